@@ -4,25 +4,28 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import ann, byte_bpe, exact, packing, sharding, simhash, substring, suffix_array, toxicity, warc
 from .common import table
 
 THRESHOLD = 0.3
-#: The remainder of crc32(doc_id) by 4 that is held out from training.
-HELD_OUT = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+
+
+def held_out() -> Column:
+    """Rows that no training sees: those whose crc32(doc_id) leaves 2 when divided by 4."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
 
 
 def toxicity_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> toxicity.Model:
-    return toxicity.fit(docs, table(spark, sf_dir, "labels").where(~HELD_OUT))
+    return toxicity.fit(docs, table(spark, sf_dir, "labels").where(~held_out()))
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = toxicity.score(docs, toxicity_model(spark, docs, sf_dir)).drop("text")
-    return scored.select("doc_id", F.coalesce(HELD_OUT, F.lit(False)).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+    return scored.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
