@@ -64,7 +64,7 @@ def age_band(age: Column) -> Column:
 def interpolate(x: Column, knots: Column) -> Column:
     """Piecewise linear through knots (array of struct x, y, sorted), constant outside."""
     left, right = F.filter(knots, lambda k: k["x"] <= x), F.filter(knots, lambda k: k["x"] > x)
-    a, b = F.element_at(left, -1), F.element_at(right, 1)
+    a, b = F.get(left, F.size(left) - 1), F.get(right, F.lit(0))
     between = a["y"] + (b["y"] - a["y"]) * (x - a["x"]) / (b["x"] - a["x"])
     return F.when(x.isNull(), None).when(F.size(left) == 0, F.element_at(knots, 1)["y"]).when(F.size(right) == 0, F.element_at(knots, -1)["y"]).otherwise(between)
 
@@ -158,7 +158,7 @@ def prior_stats(low: Column, high: Column) -> dict[str, Column]:
 def listed(items: Column) -> Column:
     """Comma-separated with "and" before the last."""
     n = F.size(items)
-    return F.when(n == 0, "").when(n == 1, F.element_at(items, 1)).otherwise(F.concat(F.array_join(F.slice(items, 1, n - 1), ", "), F.lit(" and "), F.element_at(items, -1)))
+    return F.when(n == 0, "").when(n == 1, F.get(items, F.lit(0))).otherwise(F.concat(F.array_join(F.slice(items, 1, F.greatest(n - 1, F.lit(0))), ", "), F.lit(" and "), F.get(items, n - 1)))
 
 
 def value_text(value: Column, unit: Column, raw_value: Column, raw_unit: Column) -> Column:

@@ -90,8 +90,8 @@ def features(rows: DataFrame, medians: DataFrame) -> DataFrame:
 
 
 def standardised(rows: DataFrame, columns: tuple[str, ...], logs: tuple[str, ...] = ()) -> DataFrame:
-    """Columns minus their mean over their population deviation, those of ``logs`` as logarithms; a constant one becomes 0."""
-    value = {c: F.log(F.greatest(F.col(c), F.lit(EPS))) if c in logs else F.col(c) for c in columns}
+    """Columns minus their mean over their population deviation, those of ``logs`` as logarithms; a constant one becomes 0, null stays."""
+    value = {c: F.when(F.col(c).isNotNull(), F.log(F.greatest(F.col(c), F.lit(EPS)))) if c in logs else F.col(c) for c in columns}
     stats = rows.agg(*[f(e).alias(f"_{p}_{c}") for c, e in value.items() for p, f in (("m", F.avg), ("s", F.stddev_pop))])
     out = rows.crossJoin(F.broadcast(stats))  # one row
-    return out.withColumns({c: F.when(F.col(f"_s_{c}") == 0, 0.0).otherwise((e - F.col(f"_m_{c}")) / F.col(f"_s_{c}")) for c, e in value.items()}).select(*rows.columns)
+    return out.withColumns({c: F.when((F.col(f"_s_{c}") == 0) & e.isNotNull(), 0.0).otherwise((e - F.col(f"_m_{c}")) / F.col(f"_s_{c}")) for c, e in value.items()}).select(*rows.columns)

@@ -54,7 +54,7 @@ def convert_batch(value: Column, unit_clean: Column, units: Column, low: Column,
 
     ``units`` is the marker's array of (factor, unit_clean): candidates are weighed within the row, without a join.
     """
-    named = F.element_at(F.filter(units, lambda u: u["unit_clean"] == unit_clean), 1)["factor"]
+    named = F.get(F.filter(units, lambda u: u["unit_clean"] == unit_clean), F.lit(0))["factor"]
     middle = F.log((low + high) / 2)
     plausible = F.filter(units, lambda u: (value * u["factor"]).between(plaus_low, plaus_high))
     best = F.array_min(F.transform(plausible, lambda u: F.struct(S.log_distance(value * u["factor"], middle).alias("d"), u["factor"].alias("factor"))))
@@ -64,7 +64,7 @@ def convert_batch(value: Column, unit_clean: Column, units: Column, low: Column,
 def convert_report(value: Column, unit_clean: Column, units: Column, low: Column, high: Column, plaus_low: Column, plaus_high: Column) -> Column:
     """I4 as a struct value_si, unit_inferred, unit_confidence: a named unit counts fully; otherwise the plausible unit nearest to
     the reference, 0 inside it (0.6, or 0.45 if several lie inside); none keeps the value at 0.2."""
-    named = F.element_at(F.filter(units, lambda u: u["unit_clean"] == unit_clean), 1)["factor"]
+    named = F.get(F.filter(units, lambda u: u["unit_clean"] == unit_clean), F.lit(0))["factor"]
 
     def distance(v: Column) -> Column:
         floor = F.lit(1e-3)

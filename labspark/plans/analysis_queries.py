@@ -57,11 +57,9 @@ def j2_features(spark: SparkSession, d: str) -> DataFrame:
     return rounded(features.features(rows, medians).select("id", *_DERIVED, "micronutrient_deficit_count", "sex_female", "age"))
 
 
-@query(f"SELECT id, round((ln(greatest(TSH, 1e-3)) - (SELECT avg(ln(greatest(TSH, 1e-3))) FROM w WHERE TSH IS NOT NULL)) / (SELECT stddev_pop(ln(greatest(TSH, 1e-3))) FROM w WHERE TSH IS NOT NULL), 6) AS TSH, round((MG - (SELECT avg(MG) FROM w)) / (SELECT stddev_pop(MG) FROM w), 6) AS MG FROM ({WIDE_SQL}) w".replace("FROM w ", "FROM (" + WIDE_SQL + ") v ").replace("FROM w)", "FROM (" + WIDE_SQL + ") v)"))
+@query(f"SELECT id, CASE WHEN TSH IS NOT NULL THEN round((ln(greatest(TSH, 1e-3)) - (SELECT avg(ln(greatest(TSH, 1e-3))) FROM w WHERE TSH IS NOT NULL)) / (SELECT stddev_pop(ln(greatest(TSH, 1e-3))) FROM w WHERE TSH IS NOT NULL), 6) END AS TSH, round((MG - (SELECT avg(MG) FROM w)) / (SELECT stddev_pop(MG) FROM w), 6) AS MG FROM ({WIDE_SQL}) w".replace("FROM w ", "FROM (" + WIDE_SQL + ") v ").replace("FROM w)", "FROM (" + WIDE_SQL + ") v)"))
 def j3_standardised(spark: SparkSession, d: str) -> DataFrame:
-    rows = wide(spark, d).select("id", F.when(F.col("TSH").isNotNull(), F.col("TSH")).alias("TSH"), "MG")
-    made = features.standardised(rows.where("TSH is not null"), ("TSH",), ("TSH",)).select("id", "TSH")
-    return rounded(features.standardised(rows.select("id", "MG"), ("MG",)).join(made, "id", "left"))
+    return rounded(features.standardised(wide(spark, d).select("id", "TSH", "MG"), ("TSH", "MG"), ("TSH",)))
 
 
 @query(f"SELECT band, count(*) AS n FROM (SELECT {_BAND} AS band FROM ({WIDE_SQL})) GROUP BY band")

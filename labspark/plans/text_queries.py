@@ -46,9 +46,9 @@ def h21_h22_squeezed(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", F.sha2(S.squeezed(F.col("text")), 256).alias("digest"), S.short_hash(F.col("text")).alias("short"))
 
 
-@query("SELECT event_id, concat(CAST(event_id % 120 AS VARCHAR), CASE WHEN event_id % 120 % 100 BETWEEN 11 AND 13 THEN 'th' WHEN event_id % 10 = 1 THEN 'st' WHEN event_id % 10 = 2 THEN 'nd' WHEN event_id % 10 = 3 THEN 'rd' ELSE 'th' END) AS ordinal, CASE WHEN value >= 100 THEN printf('%.0f', value) WHEN value >= 10 THEN regexp_replace(regexp_replace(printf('%.1f', value), '0+$', ''), '\\.$', '') ELSE regexp_replace(regexp_replace(printf('%.2f', value), '0+$', ''), '\\.$', '') END AS shown FROM (SELECT event_id, floor(value * 4) / 4 + 0.1 AS value FROM events)")
+@query("SELECT event_id, concat(CAST(event_id % 120 AS VARCHAR), CASE WHEN event_id % 120 % 100 BETWEEN 11 AND 13 THEN 'th' WHEN event_id % 10 = 1 THEN 'st' WHEN event_id % 10 = 2 THEN 'nd' WHEN event_id % 10 = 3 THEN 'rd' ELSE 'th' END) AS ordinal, CASE WHEN value >= 100 THEN printf('%.0f', value) WHEN value >= 10 THEN regexp_replace(regexp_replace(printf('%.1f', value), '0+$', ''), '\\.$', '') ELSE regexp_replace(regexp_replace(printf('%.2f', value), '0+$', ''), '\\.$', '') END AS shown FROM (SELECT event_id, floor(value * 10) / 10 + 0.03 AS value FROM events)")
 def h17_number_text(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "events").select("event_id", (F.floor(F.col("value") * 4) / 4 + 0.1).alias("value"))
+    rows = table(spark, d, "events").select("event_id", (F.floor(F.col("value") * 10) / 10 + 0.03).alias("value"))
     return rows.select("event_id", S.ordinal(F.col("event_id") % 120).alias("ordinal"), S.show_number(F.col("value")).alias("shown"))
 
 
@@ -155,7 +155,7 @@ def d22_distribution(spark: SparkSession, d: str) -> DataFrame:
 def _report_lines(spark: SparkSession, d: str) -> DataFrame:
     """Report lines printed from raw rows: label, value, unit, range, flag, with head lines and lines that hold no result."""
     rows = raw(spark, d).where("raw_label is not null").select(F.col("report_id").alias("doc_id"), (F.col("event_id") + 10).alias("line_no"), F.concat_ws("    ", "raw_label", F.regexp_replace("raw_value", "<", "< "), F.coalesce(F.trim("raw_unit"), F.lit("")), F.lit("0.40 - 4.00"), "flag").alias("line")).distinct()
-    head = rows.select("doc_id").distinct().select("doc_id", F.explode(F.array(F.struct(F.lit(1).cast("long").alias("n"), F.lit("Laboratory: Central Lab").alias("t")), F.struct(F.lit(2).cast("long"), F.lit("Age/Sex: 41 Y / F")), F.struct(F.lit(3).cast("long"), F.lit("Collected: 2024-01-14")))).alias("h")).select("doc_id", F.col("h.n").alias("line_no"), F.col("h.t").alias("line"))
+    head = rows.select("doc_id").distinct().select("doc_id", F.explode(F.array(F.struct(F.lit(1).cast("long").alias("n"), F.lit("Laboratory: Central Lab").alias("t")), F.struct(F.lit(2).cast("long").alias("n"), F.lit("Age/Sex: 41 Y / F").alias("t")), F.struct(F.lit(3).cast("long").alias("n"), F.lit("Collected: 2024-01-14").alias("t")))).alias("h")).select("doc_id", F.col("h.n").alias("line_no"), F.col("h.t").alias("line"))
     return rows.unionByName(head)
 
 
@@ -191,20 +191,20 @@ def k5_page_methods(spark: SparkSession, d: str) -> DataFrame:
     return text.page_methods(rows).drop("blank_pages")
 
 
-@query("SELECT a.item_id, round(levenshtein(left(a.text, 300), left(b.text, 300)) / len(left(a.text, 300)), 6) AS cer FROM benchmark a JOIN benchmark b ON b.item_id = a.item_id + 1")
+@query("SELECT a.item_id, round(levenshtein(left(a.text, 300), left(b.text, 300)) / len(left(a.text, 300)), 6) AS cer FROM (SELECT item_id, regexp_replace(text, '[^ -~]', '', 'g') AS text FROM benchmark) a JOIN (SELECT item_id, regexp_replace(text, '[^ -~]', '', 'g') AS text FROM benchmark) b ON b.item_id = a.item_id + 1")
 def k19_error_rates(spark: SparkSession, d: str) -> DataFrame:
     """Character error rates of neighbouring passages' beginnings; word rates are tested on fixtures."""
-    rows = table(spark, d, "benchmark").select("item_id", F.substring("text", 1, 300).alias("a"))
+    rows = table(spark, d, "benchmark").select("item_id", F.substring(F.regexp_replace("text", "[^ -~]", ""), 1, 300).alias("a"))
     pairs = rows.join(rows.select((F.col("item_id") - 1).alias("item_id"), F.col("a").alias("b")), "item_id")
     return rounded(text.error_rates(pairs, "a", "b").select("item_id", "cer"))
 
 
-@query("SELECT c.conv_id, c.turn, len(list_filter(string_split(lower(b.text), ' '), lambda t: len(t) >= 6 AND contains(lower(c.text), t))) > 0 AS leak FROM conversations c JOIN benchmark b ON b.item_id = c.conv_id % (SELECT count(*) FROM benchmark)")
+@query("SELECT c.conv_id, c.turn, len(list_filter(regexp_split_to_array(lower(b.text), '[ \t\n\f\r]+'), lambda t: len(t) >= 6 AND contains(lower(c.text), t))) > 0 AS leak FROM conversations c JOIN benchmark b ON b.item_id = c.conv_id % (SELECT count(*) FROM benchmark)")
 def k20_leaks(spark: SparkSession, d: str) -> DataFrame:
     items = table(spark, d, "benchmark")
     n = items.count()
     joined = table(spark, d, "conversations").withColumn("item_id", F.col("conv_id") % n).join(items.select("item_id", F.col("text").alias("names")), "item_id")
-    long = F.array_join(F.filter(F.split("names", " "), lambda t: F.length(t) >= 6), " ")
+    long = F.array_join(F.filter(F.split("names", r"\s+"), lambda t: F.length(t) >= 6), " ")
     return joined.select("conv_id", "turn", F.coalesce(text.leaks(F.col("text"), long), F.lit(False)).alias("leak"))
 
 
@@ -450,17 +450,17 @@ def f1_ordered_output(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "supplier").select("s_nationkey", "s_suppkey", "s_acctbal").orderBy("s_nationkey", "s_suppkey")
 
 
-_STATUS = "SELECT event_id, user_id AS report_id, CAST(ts AS STRING) AS at, CASE event_type WHEN 'signup' THEN 'processing' WHEN 'view' THEN 'pending_review' WHEN 'purchase' THEN 'approved' WHEN 'click' THEN 'rejected' ELSE 'failed' END AS status FROM events"
+_STATUS = "SELECT event_id, user_id AS report_id, CAST(ts AS STRING) AS happened, CASE event_type WHEN 'signup' THEN 'processing' WHEN 'view' THEN 'pending_review' WHEN 'purchase' THEN 'approved' WHEN 'click' THEN 'rejected' ELSE 'failed' END AS status FROM events"
 
 
-@query(f"WITH s AS ({_STATUS}), l AS (SELECT report_id, arg_max(status, (at, event_id)) AS status FROM s GROUP BY report_id) SELECT status, count(*) AS reports FROM l GROUP BY status")
+@query(f"WITH s AS ({_STATUS}), l AS (SELECT report_id, arg_max(status, (happened, event_id)) AS status FROM s GROUP BY report_id) SELECT status, count(*) AS reports FROM l GROUP BY status")
 def l5_status_counts(spark: SparkSession, d: str) -> DataFrame:
-    return reports.status_counts(relation(spark, d, _STATUS))
+    return reports.status_counts(relation(spark, d, _STATUS), at="happened")
 
 
-@query(f"WITH s AS (SELECT *, lag(status) OVER (PARTITION BY report_id ORDER BY at, event_id) AS before FROM ({_STATUS})) SELECT event_id, coalesce((before IS NULL AND status = 'processing') OR (before = 'processing' AND status IN ('pending_review', 'failed')) OR (before = 'pending_review' AND status IN ('approved', 'rejected')), false) AS legal FROM s")
+@query(f"WITH s AS (SELECT *, lag(status) OVER (PARTITION BY report_id ORDER BY happened, event_id) AS before FROM ({_STATUS})) SELECT event_id, coalesce((before IS NULL AND status = 'processing') OR (before = 'processing' AND status IN ('pending_review', 'failed')) OR (before = 'pending_review' AND status IN ('approved', 'rejected')), false) AS legal FROM s")
 def l5_transitions(spark: SparkSession, d: str) -> DataFrame:
-    return reports.transitions(relation(spark, d, _STATUS)).select("event_id", "legal")
+    return reports.transitions(relation(spark, d, _STATUS), at="happened").select("event_id", "legal")
 
 
 def _positions(spark: SparkSession, d: str) -> DataFrame:
@@ -534,13 +534,13 @@ def m3_stream_latest(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(f"{path}/out/v{last}").select("patient_id", "collected_at")
 
 
-@query(f"SELECT report_id, arg_max(status, (at, status)) AS status FROM ({_STATUS}) GROUP BY report_id")
+@query(f"SELECT report_id, arg_max(status, (happened, status)) AS status FROM ({_STATUS}) GROUP BY report_id")
 def m4_stream_status(spark: SparkSession, d: str) -> DataFrame:
     path = io.scratch(spark, "m4")
-    rows = relation(spark, d, _STATUS).select("report_id", "at", "status")
+    rows = relation(spark, d, _STATUS).select("report_id", "happened", "status")
     rows.unionByName(rows.where("report_id % 3 = 0")).repartition(3).write.json(f"{path}/in")  # some events twice
-    stream = spark.readStream.schema("report_id long, at string, status string").option("maxFilesPerTrigger", 2).json(f"{path}/in")
-    streams.complete_once(streams.latest_status(stream), f"{path}/out", f"{path}/state").awaitTermination()
+    stream = spark.readStream.schema("report_id long, happened string, status string").option("maxFilesPerTrigger", 2).json(f"{path}/in")
+    streams.complete_once(streams.latest_status(stream, at="happened"), f"{path}/out", f"{path}/state").awaitTermination()
     return spark.read.parquet(f"{path}/out").select("report_id", "status")
 
 
