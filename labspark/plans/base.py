@@ -9,6 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .. import catalog
+from ..session import importable
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -28,7 +29,7 @@ def query(oracle: str | None = None, name: str | None = None) -> Callable[[Query
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return importable(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 #: Result rows as laboratories would send them, made from ``events``; the text runs in both engines.
@@ -74,7 +75,7 @@ MARKERS = ("TSH", "FT4", "VITD", "FERRITIN", "MG")
 
 def relation(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     """A derived relation over the given tables: the table's name in the text becomes its Parquet files."""
-    return spark.sql(re.sub(r"\bFROM (events|customer|orders|lineitem|documents|pages|benchmark|labels|conversations|embeddings|nation|region|supplier|part)\b", lambda m: f"FROM parquet.`{sf_dir}/{m[1]}.parquet`", sql))
+    return importable(spark).sql(re.sub(r"\bFROM (events|customer|orders|lineitem|documents|pages|benchmark|labels|conversations|embeddings|nation|region|supplier|part)\b", lambda m: f"FROM parquet.`{sf_dir}/{m[1]}.parquet`", sql))
 
 
 def raw(spark: SparkSession, sf_dir: str) -> DataFrame:

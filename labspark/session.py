@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import SparkSession
 
 
@@ -15,3 +17,16 @@ def session(app: str = "labspark", **conf: str) -> SparkSession:
         "spark.sql.sources.partitionOverwriteMode": "dynamic",
     } | {k.replace("__", "."): v for k, v in conf.items()}
     return SparkSession.builder.appName(app).config(map=settings).getOrCreate()
+
+
+def importable(spark: SparkSession) -> SparkSession:
+    """Lets Python workers of this machine import the package from where the driver did, wherever the driver was started.
+
+    On a cluster the package is distributed like any other (``--py-files`` or an installed wheel).
+    """
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    environment = spark.sparkContext.environment
+    known = environment.get("PYTHONPATH", "")
+    if root not in known.split(os.pathsep):
+        environment["PYTHONPATH"] = os.pathsep.join(filter(None, (root, known)))
+    return spark

@@ -114,7 +114,7 @@ def front_matter(texts: DataFrame, text: str = "value") -> DataFrame:
 
 def read_markdown(spark: SparkSession, path: str) -> DataFrame:
     """Whole files with their name, meta and body."""
-    files = spark.read.option("wholetext", True).text(path).withColumn("source", F.regexp_extract(F.input_file_name(), r"([^/]+)$", 1))
+    files = spark.read.text(path, wholetext=True).withColumn("source", F.regexp_extract(F.input_file_name(), r"([^/]+)$", 1))
     return front_matter(files).drop("value")
 
 
