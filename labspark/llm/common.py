@@ -11,6 +11,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import importable
+
 #: ASCII white space of every word contract here: space and \x09 to \x0D.
 SPACE = b" \t\n\x0b\x0c\r"
 #: Bytes of text that numpy kernels take at a time; bounds their working memory.
@@ -18,7 +20,7 @@ SLICE_BYTES = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return importable(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def durable(df: DataFrame) -> DataFrame:
@@ -87,14 +89,14 @@ def powers(base: int, n: int) -> np.ndarray:
     return _POWERS[base][:n]
 
 
-def ordered_chunks(docs: DataFrame, id_col: str, text_col: str, target_bytes: int, cells: int = 1 << 15) -> DataFrame:
-    """Columns doc_id, text, chunk: ``chunk`` numbers ranges of rising doc_id of about ``target_bytes`` of text each.
+def ordered_chunks(docs: DataFrame, id_col: str, text_col: str, target_bytes: int, cells: int = 1 << 15, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Columns doc_id, text, chunk (and those of ``carry``): ``chunk`` numbers ranges of rising doc_id of about ``target_bytes`` of text each.
 
     The id range is cut into equal cells (at most ``cells`` rows reach the driver and are broadcast back, whatever the
     input), and runs of cells become chunks.  Equal ids always share a chunk; null ids go to a last chunk of their own.
     """
     spark = docs.sparkSession
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *carry)
     low, high = base.agg(F.min("doc_id"), F.max("doc_id")).first()
     if low is None:
         return base.withColumn("chunk", F.lit(0))
@@ -108,7 +110,7 @@ def ordered_chunks(docs: DataFrame, id_col: str, text_col: str, target_bytes: in
         filled += sizes[k]
         rows.append((k, chunk))
     found = spark.createDataFrame(rows, "cell int, chunk int")
-    return base.withColumn("cell", cell).join(F.broadcast(found), "cell", "left").select("doc_id", "text", F.coalesce("chunk", F.lit(chunk + 1)).alias("chunk"))
+    return base.withColumn("cell", cell).join(F.broadcast(found), "cell", "left").select("doc_id", "text", *carry, F.coalesce("chunk", F.lit(chunk + 1)).alias("chunk"))
 
 
 def packed_by_bucket(values: np.ndarray, bits: int) -> Iterator[tuple[int, bytes]]:

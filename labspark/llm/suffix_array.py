@@ -18,9 +18,11 @@ from .substring import bucket_bits
 LENGTH = 100
 #: Length of the seeds by which equal strings meet.
 SEED = 20
-CHUNK_BYTES = 8 << 20
-#: Texts of a group are hashed so many bytes at a time.
-PART = 1 << 20
+CHUNK_BYTES = 4 << 20
+#: Texts of a chunk are hashed so many bytes at a time.
+PART = 1 << 18
+#: Buckets for each chunk, as a power of two: an index is built over a few hundred kB.
+MORE_BUCKETS = 2
 
 
 # ---- the index -----------------------------------------------------------------------------------------------------
@@ -143,14 +145,14 @@ def seeds(data: np.ndarray, offsets: np.ndarray, length: int, seed: int) -> tupl
     change = np.concatenate(([True], (at[1:] != at[:-1]) | ~inside[:-1] | ~inside[1:]))
     first = np.flatnonzero(change & inside)
     breaks = np.flatnonzero(np.concatenate((change[1:] | ~inside[1:], [True])) & inside)
-    return first, breaks, hashes[at[first]]
+    return first, breaks, mix(hashes[at[first]])  # least hashes are small numbers; scrambled again they spread evenly over buckets
 
 
 class Segments:
     """The runs of one chunk: where they lie, and their seeds."""
 
     def __init__(self, rows: pa.Table, length: int, seed: int) -> None:
-        rows = rows.select(["doc_id", "text"]).sort_by([("doc_id", "ascending")])
+        rows = self.rows = rows.sort_by([("doc_id", "ascending")])
         ids = rows.column("doc_id").combine_chunks()
         self.ids = pa.concat_arrays(ids.chunks) if isinstance(ids, pa.ChunkedArray) else ids
         self.texts = text_array(rows.column("text"))
@@ -206,9 +208,9 @@ def _both_ways(hashed: DataFrame) -> DataFrame:
 _RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, spans array<struct<start: long, end: long>>, kept_sha256 string"
 
 
-def remove_repeats_by_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, seed: int = SEED, keep_text: bool = False) -> DataFrame:
+def remove_repeats_by_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, seed: int = SEED, keep_text: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_bytes, n_removed, n_spans, spans (maximal removed byte ranges), kept_sha256
-    and, on demand, kept_text (bytes of a character cut in two become U+FFFD).
+    and, on demand, kept_text (bytes of a character cut in two become U+FFFD) and the columns of ``carry``.
 
     A byte goes if a ``length``-byte string covers it that also starts earlier: in a smaller doc_id, or in the same document before. Strings don't
     cross documents, may overlap, and are judged on the input.  Null counts as empty; shorter texts lose nothing.  Rows without an
@@ -219,12 +221,11 @@ def remove_repeats_by_index(docs: DataFrame, id_col: str = "doc_id", text_col: s
     and streams them through it; what matches earlier text for the full length goes back to its chunk.  Hashes only bring
     candidates together: the index compares bytes.
     """
-    chunked = ordered_chunks(docs, id_col, text_col, CHUNK_BYTES)
-    bits = bucket_bits(chunked.agg(F.max("chunk")).first()[0] or 0)
-    shift = np.uint64(64 - bits) if bits else None
+    chunked = ordered_chunks(docs, id_col, text_col, CHUNK_BYTES, carry=carry)
+    bits = bucket_bits(chunked.agg(F.max("chunk")).first()[0] or 0) + MORE_BUCKETS
 
     def bucket_of(values: np.ndarray) -> np.ndarray:
-        return (values >> shift).astype(np.int64) if bits else np.zeros(len(values), np.int64)
+        return (values >> np.uint64(64 - bits)).astype(np.int64)
 
     def send_seeds(rows: pa.Table) -> pa.Table:
         values = np.unique(Segments(rows, length, seed).seed)
@@ -306,7 +307,7 @@ def remove_repeats_by_index(docs: DataFrame, id_col: str = "doc_id", text_col: s
                 kept.append(data.decode("utf-8", "replace"))
         sizes = np.diff(own.offsets)
         columns = {"doc_id": own.ids, "n_bytes": pa.array(sizes, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "n_spans": pa.array([len(s) for s in spans], pa.int64()), "spans": pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), "kept_sha256": pa.array(digests, pa.string())}
-        return pa.table(columns | ({"kept_text": pa.array(kept, pa.string())} if keep_text else {}))
+        return pa.table(columns | ({"kept_text": pa.array(kept, pa.string())} if keep_text else {}) | {c: own.rows.column(c) for c in carry})
 
     groups = chunked.groupBy("chunk")
     hashed = groups.applyInArrow(send_seeds, "bucket int, chunk int, hashes binary")
@@ -314,4 +315,4 @@ def remove_repeats_by_index(docs: DataFrame, id_col: str = "doc_id", text_col: s
     runs = groups.cogroup(shared.groupBy("chunk")).applyInArrow(send_runs, "bucket int, chunk int, runs binary, sizes binary, data binary")
     marks = runs.groupBy("bucket").applyInArrow(mark, "chunk int, marks binary, hashes binary")
     back = shared.select("chunk", F.lit(None).cast("binary").alias("marks"), "hashes").unionByName(marks)
-    return groups.cogroup(back.groupBy("chunk")).applyInArrow(settle, _RESULT + ", kept_text string" * keep_text)
+    return groups.cogroup(back.groupBy("chunk")).applyInArrow(settle, _RESULT + ", kept_text string" * keep_text + "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in docs.select(*carry).schema))
