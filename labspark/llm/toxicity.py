@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import text_array
+from .simhash import shingle_hashes
 
 #: Labelled rows that a model is fitted on at most (by order of a hash of their id), and lexicon entries learnt.
 TRAINING_ROWS, LEXICON = 20_000, 5_000
@@ -64,34 +65,45 @@ def allowed_edits(term: str) -> int:
 
 
 class Lexicon:
-    """A trie of terms, with stems that any ending may follow."""
-
-    def __init__(self, terms: list[str], stems: list[str]) -> None:
-        self.terms, self.stems = set(terms), set(stems)
-        self.stem_lengths = sorted({len(s) for s in stems})
-        self.root: dict = {}
+    """Tries of terms, and stems that any ending may follow, each with its weight; the longest stem of a word counts."""
+
+    def __init__(self, terms: list[str], stems: dict[str, float]) -> None:
+        self.terms, self.stems = set(terms), stems
+        self.stem_lengths = sorted({len(s) for s in stems}, reverse=True)
+        # A word within e edits of a term keeps its first or last of e + 1 parts in place, or a middle one moved by a place.
+        # Terms with a part in common share a trie; a word walks the tries of the parts that it has.
+        self.heads: dict[str, dict] = {}
+        self.tails: dict[str, dict] = {}
+        self.middles: dict[tuple[str, int], dict] = {}
         for t in terms:
-            node = self.root
-            for c in t:
-                node = node.setdefault(c, {})
-            node[""] = t
-        # A word within two edits of a term keeps one of the term's three parts; with a word that keeps none the trie is not walked.
-        self.parts = {part for t in terms if allowed_edits(t) for part in self._thirds(t)}
-        self.part_lengths = sorted({len(p) for p in self.parts})
-        self.lengths = {n for t in terms for n in range(len(t) - allowed_edits(t), len(t) + allowed_edits(t) + 1)}
+            edits = allowed_edits(t)
+            if edits:
+                cuts = [len(t) * i // (edits + 1) for i in range(edits + 2)]
+                parts = [(t[x:y], x) for x, y in zip(cuts, cuts[1:], strict=False)]
+                self._add(self.heads.setdefault(parts[0][0], {}), t)
+                self._add(self.tails.setdefault(parts[-1][0], {}), t)
+                for part, x in parts[1:-1]:
+                    for move in (-1, 0, 1):
+                        self._add(self.middles.setdefault((part, x + move), {}), t)
+        self.head_lengths, self.tail_lengths = sorted({len(p) for p in self.heads}), sorted({len(p) for p in self.tails})
+        self.middle_shapes = sorted({(len(p), x) for p, x in self.middles})
+        self.lengths = {n for t in terms for n in range(len(t) - allowed_edits(t), len(t) + allowed_edits(t) + 1) if allowed_edits(t)}
         self.known: set[str] = set()
         self.found: dict[str, tuple[str, str, int]] = {}
 
     @staticmethod
-    def _thirds(term: str) -> list[str]:
-        n = allowed_edits(term) + 1
-        return [term[len(term) * i // n : len(term) * (i + 1) // n] for i in range(n)]
+    def _add(trie: dict, term: str) -> None:
+        for c in term:
+            trie = trie.setdefault(c, {})
+        trie[""] = term
 
     def misspelt(self, word: str) -> tuple[str, int] | None:
-        """The nearest term within its allowed edits: the automaton of the word and the trie advance together, and a branch
+        """The nearest term within its allowed edits: the automaton of the word and a trie advance together, and a branch
         ends where no state is left."""
-        automaton, best = Levenshtein(word, 2), None
-        todo = [(self.root, automaton.start())]
+        tries = [t for n in self.head_lengths if (t := self.heads.get(word[:n]))] + [t for n in self.tail_lengths if (t := self.tails.get(word[-n:]))]
+        tries += [t for n, x in self.middle_shapes if (t := self.middles.get((word[x : x + n], x)))]
+        best, automaton = None, Levenshtein(word, 2)
+        todo = [(t, automaton.start()) for t in tries]
         while todo:
             node, state = todo.pop()
             for c, child in node.items():
@@ -113,7 +125,7 @@ class Lexicon:
         plain = word.translate(LOOKALIKES)
         if plain != word and plain in self.terms:
             return "misspelt", plain, 1
-        if len(plain) in self.lengths and any(plain[i : i + n] in self.parts for n in self.part_lengths for i in range(len(plain) - n + 1)):
+        if len(plain) in self.lengths:
             near = self.misspelt(plain)
             if near:
                 return "misspelt", *near
@@ -131,8 +143,8 @@ class Lexicon:
         return not own.isdisjoint(self.found)
 
 
-#: terms, stems and misspelt words used by the writer; the same within quotations or reports; hits that address someone; any; density.
-FEATURES = ("bias", "terms", "stems", "misspelt", "quoted", "addressed", "any", "density")
+#: terms, stems (by weight) and misspelt words used by the writer; hits within quotations or reports; hits that address someone; several; density.
+FEATURES = ("bias", "terms", "stems", "misspelt", "quoted", "addressed", "several", "density")
 PRIOR = np.array([-3.0, 1.0, 1.0, 0.3, -0.2, 0.3, 1.5, 0.3])
 
 
@@ -142,6 +154,7 @@ def features(text: str, lexicon: Lexicon) -> list[float]:
     if not words or not lexicon.hits(words):
         return [1.0] + [0.0] * 7
     counts = dict.fromkeys(("term", "stem", "misspelt", "quoted", "addressed"), 0.0)
+    direct = 0
     quotes = [m.span() for m in QUOTED.finditer(lower)]
     for m in TOKEN.finditer(lower):
         hit = lexicon.found.get(m[0])
@@ -153,16 +166,17 @@ def features(text: str, lexicon: Lexicon) -> list[float]:
         if in_quotes or (REPORTING.search(before) and any(q in around for q in "\"“«„'")):
             counts["quoted"] += 1
         else:
-            counts[hit[0]] += 1
+            counts[hit[0]] += lexicon.stems[hit[1]] if hit[0] == "stem" else 1
+            direct += hit[0] != "misspelt"
             counts["addressed"] += bool(ADDRESS.search(around))
     own = counts["term"] + counts["stem"]
-    return [1.0, *(float(np.log1p(counts[k])) for k in ("term", "stem", "misspelt", "quoted", "addressed")), float(own > 0), float(np.log1p(100 * own / len(words)))]
+    return [1.0, *(float(np.log1p(counts[k])) for k in ("term", "stem", "misspelt", "quoted", "addressed")), float(direct > 1), float(np.log1p(100 * own / len(words)))]
 
 
 @dataclass
 class Model:
     terms: list[str] = field(default_factory=lambda: list(SEED_TERMS))
-    stems: list[str] = field(default_factory=list)
+    stems: dict[str, float] = field(default_factory=dict)
     weights: list[float] = field(default_factory=PRIOR.tolist)
 
 
@@ -188,31 +202,39 @@ def fit(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col:
     """
     chosen = labelled.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label")).where("doc_id is not null and label is not null").orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(rows)
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    train = base.join(F.broadcast(chosen), "doc_id").select("text", "label").persist()  # at most ``rows`` rows on the small side
+
+    def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            least = [min(shingle_hashes(t, 5), default=0) & (1 << 63) - 1 for t in text_array(batch.column("text")).to_pylist()]
+            yield batch.append_column("signature", pa.array(least, pa.int64()))
+
+    joined = base.join(F.broadcast(chosen), "doc_id").select("text", "label")  # at most ``rows`` rows on the small side
+    # Copies and near copies mostly share their least shingle hash; of each such group one row trains, else its words would all seem toxic.
+    train = joined.mapInArrow(signed, "text string, label int, signature long").dropDuplicates(["signature", "label"]).persist()
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, 64):
-                out, labels = [], []
-                for t, y in zip(text_array(batch.column("text"))[i : i + 64].to_pylist(), batch.column("label")[i : i + 64].to_pylist(), strict=True):
+                out, labels, marks = [], [], []
+                for t, y, s in zip(text_array(batch.column("text"))[i : i + 64].to_pylist(), batch.column("label")[i : i + 64].to_pylist(), batch.column("signature")[i : i + 64].to_pylist(), strict=True):
                     own = set(TOKEN.findall(t.lower()))
-                    out.extend(own), labels.extend([y] * len(own))
-                yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()), pa.array(labels, pa.int32())], ["word", "label"])
+                    out.extend(own), labels.extend([y] * len(own)), marks.extend([s] * len(own))
+                yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()), pa.array(labels, pa.int32()), pa.array(marks, pa.int64())], ["word", "label", "signature"])
 
     n, toxic = train.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
     if not n or not toxic or toxic == n:
         train.unpersist()
         return Model()
     base_rate = F.lit(toxic / n)
-    counts = train.mapInArrow(words, "word string, label int").groupBy("word").agg(F.sum("label").alias("pos"), F.count("*").alias("n"), F.lit(1).alias("words")).persist()
-    stems = counts.where("length(word) >= 5").select(F.explode(F.expr("transform(sequence(4, least(7, length(word) - 1)), k -> substring(word, 1, k))")).alias("word"), "pos", "n").groupBy("word").agg(F.sum("pos").alias("pos"), F.sum("n").alias("n"), F.count("*").alias("words"))
+    counts = train.mapInArrow(words, "word string, label int, signature long").groupBy("word").agg(F.sum("label").alias("pos"), F.count("*").alias("n"), F.min("signature").alias("low"), F.max("signature").alias("high")).persist()
+    stems = counts.where("length(word) >= 5").select(F.explode(F.expr("transform(sequence(4, least(9, length(word) - 1)), k -> substring(word, 1, k))")).alias("word"), "pos", "n", "low", "high").groupBy("word").agg(F.sum("pos").alias("pos"), F.sum("n").alias("n"), F.count("*").alias("words"), F.min("low").alias("low"), F.max("high").alias("high"))
     evidence = F.col("pos") * F.log(F.col("pos") / F.col("n") / base_rate)
     vocabulary = counts.where("n >= 2").count()
-    beyond = (F.col("pos") >= 0.9 * F.col("n")) & (evidence >= float(np.log(max(vocabulary, 2)) + 4)) & F.col("word").rlike(r"^\p{L}{3,}")
-    terms = [r[0] for r in counts.where(beyond).orderBy(F.desc("pos"), "word").limit(LEXICON).select("word").collect()]
-    shared = sorted(r[0] for r in stems.where(beyond & F.expr("words >= 5 and pos >= 0.97 * n")).orderBy(F.desc("pos"), "word").limit(LEXICON).select("word").collect())
-    shared = [s for i, s in enumerate(shared) if not any(s.startswith(t) for t in shared[max(0, i - 50) : i])]
-    model = Model(sorted({*SEED_TERMS, *(t for t in terms if not any(t.startswith(s) for s in shared))}), shared)
+    beyond = (evidence >= float(np.log(max(vocabulary, 2)) + 4)) & F.col("word").rlike(r"^\p{L}{3,}")
+    terms = [r[0] for r in counts.where(beyond & F.expr("pos >= 0.9 * n")).orderBy(F.desc("pos"), "word").limit(LEXICON).select("word").collect()]
+    odds = F.log(F.col("pos") / F.greatest(F.col("n") - F.col("pos"), F.lit(0.5)) * (1 - base_rate) / base_rate)
+    shared = stems.where(beyond & F.expr("words >= 5 and pos >= 0.5 * n and low < high")).orderBy(F.desc("pos"), "word").limit(LEXICON).select("word", odds).collect()
+    model = Model(sorted({*SEED_TERMS, *terms}), {r[0]: float(r[1]) for r in shared})
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon = Lexicon(model.terms, model.stems)
