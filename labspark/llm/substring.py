@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASE, BASE_INVERSE, mix, ordered_chunks, packed_by_bucket, powers, row_slices, text_array, text_buffer
+from .common import BASE, BASE_INVERSE, SLICE_BYTES, mix, ordered_chunks, packed_by_bucket, powers, row_slices, text_array, text_buffer
 
 #: Bytes of text in a chunk, the unit that finds its own repeats before anything is shuffled.
 CHUNK_BYTES = 12 << 20
@@ -44,12 +44,31 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mix((total[ends] - total[starts]) * powers(BASE_INVERSE, len(data) + 1)[starts] + (ends - starts).astype(np.uint64))
 
 
+def _long_row(data: np.ndarray, length: int, limit: int) -> tuple[np.ndarray, int]:
+    """Window hashes and the number of words of one long text, taken in pieces that end between words."""
+    hashes, words, last, start = [], 0, np.zeros(0, np.uint64), 0
+    while start < len(data):
+        stop = min(start + limit, len(data))
+        while stop < len(data) and not _IS_SPACE[data[stop]]:
+            stop += 1
+        piece = data[start:stop]
+        begins, ends, _ = word_spans(piece, np.array([0, len(piece)]))
+        values = np.concatenate((last, word_hashes(piece, begins, ends)))
+        hashes.append(rolling(values, length))
+        words, last, start = words + len(begins), values[max(0, len(values) - length + 1) :], stop
+    return np.concatenate(hashes), words
+
+
 def windows(texts: pa.Array, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hash of every window of ``length`` words of each text; its row; and the number of words of each row."""
     data, offsets = text_buffer(texts)
     hashes, rows, counts = [], [], []
     for a, b in row_slices(offsets):
         part, own = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
+        if len(part) > 2 * SLICE_BYTES:  # a single row
+            h, n = _long_row(part, length, SLICE_BYTES)
+            hashes.append(h), rows.append(np.full(len(h), a)), counts.append(np.array([n]))
+            continue
         starts, ends, first = word_spans(part, own)
         each = np.diff(first)
         counts.append(each)
