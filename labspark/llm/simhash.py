@@ -241,18 +241,18 @@ def near_duplicate_components(docs: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def verified_links(docs: DataFrame, pairs: DataFrame, words: int, similarity: float) -> DataFrame:
-    """Those of ``pairs`` (a, b: doc_ids) whose sets of word shingles have a Jaccard similarity of ``similarity`` or more."""
+    """Those of ``pairs`` (a, b: doc_ids) whose sets of word shingles (as 32-bit hashes) have a Jaccard similarity of ``similarity`` or more."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data = [np.unique(np.array(shingle_hashes(t, words), np.uint64)).tobytes() for t in text_array(batch.column("text")).to_pylist()]
+            data = [np.unique(np.array(shingle_hashes(t, words), np.uint64).astype(np.uint32)).tobytes() for t in text_array(batch.column("text")).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(data, pa.binary())], ["doc_id", "hashes"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
             for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                x, y = np.frombuffer(x.as_buffer(), np.uint32), np.frombuffer(y.as_buffer(), np.uint32)
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(both >= similarity * (len(x) + len(y) - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
@@ -264,7 +264,7 @@ def verified_links(docs: DataFrame, pairs: DataFrame, words: int, similarity: fl
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(compare, "a long, b long")
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, distance: int = 15, tables: int = 64, bits: int = 16) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, distance: int = 13, tables: int = 64, bits: int = 16) -> DataFrame:
     """``docs`` with one row of each group of near-duplicates, the one with the smallest doc_id; all columns kept.
 
     Texts whose shingles are as similar as that differ by some ten bits, beyond what pruning can bear at full reach.  So the trees work on
@@ -275,7 +275,7 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     prints = durable(fingerprints(base, words=words).where("doc_id is not null and print <> 0"))
     groups = durable(prints.groupBy("print").agg(F.min("doc_id").alias("rep")))
-    pairs = candidate_links(groups, sampled_masks(tables, bits), 0, distance, leaf=64, pairs_up_to=32)
+    pairs = candidate_links(groups, sampled_masks(tables, bits), 0, distance, leaf=1024, pairs_up_to=32)
     same = prints.join(groups, "print").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     found = components(verified_links(base, pairs.union(same), words, similarity))
     dropped = found.where("node <> component").select(F.col("node").alias("_dropped_id"))
