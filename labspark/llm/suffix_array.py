@@ -58,20 +58,21 @@ class RunLengthIndex:
         place = np.arange(n)
 
         # Sorts by 7 symbols, then doubles; terminators rank by their number, so no comparison goes past one.
-        key, alive = np.zeros(n, np.int64), np.ones(n, bool)
-        for k in range(7):
-            at = np.minimum(place + k, stop)
-            key = (key << 9) | np.where(alive, symbols[at], 0)
-            alive &= at < stop
-        rank = cls._ranked(key)
-        rank += len(ends)
-        rank[ends] = np.arange(len(ends))
+        ahead = lambda k: np.minimum(place + k, stop)
+        two = (symbols << 9) | symbols[ahead(1)]
+        four = (two << 18) | two[ahead(2)]
+        key = (four << 27) | (four[ahead(4)] >> 9)
+        key[ends] = np.arange(len(ends)) - len(ends)
+        rank, tied = cls._ranked(key, np.zeros(n, np.int64), place)
         depth, half = 7, None
-        while half is None or int(rank.max()) < n - 1:
+        while len(tied):
             if half is None and length < 2 * depth:
-                half = (min(depth, length), rank)
-            rank = cls._ranked((rank << 32) | rank[np.minimum(place + depth, stop)])
+                half = (min(depth, length), rank.copy())
+            fresh, tied = cls._ranked((rank[tied] << 32) | rank[np.minimum(tied + depth, stop[tied])], rank, tied)
+            rank = fresh
             depth *= 2
+        if half is None:
+            half = (min(depth, length), rank)
         suffixes = np.empty(n, np.int64)
         suffixes[rank] = place
 
@@ -92,22 +93,33 @@ class RunLengthIndex:
         return cls(len(ends), run_start, run_symbol, run_step, suffixes[run_start], suffixes[np.append(run_start[1:], n) - 1], block_start, block_first)
 
     @staticmethod
-    def _ranked(key: np.ndarray) -> np.ndarray:
+    def _ranked(key: np.ndarray, rank: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ranks (numbers of smaller suffixes) with those at ``places`` refined by their keys, and the places still tied.
+
+        Keys begin with the rank so far, so each tied group stays in its own stretch of ranks.
+        """
         by = np.argsort(key)
-        ordered = key[by]
-        out = np.empty(len(key), np.int64)
-        out[by] = np.concatenate(([0], np.cumsum(ordered[1:] != ordered[:-1])))
-        return out
+        key, places = key[by], places[by]
+        old = rank[places]
+        index = np.arange(len(by))
+        group = np.maximum.accumulate(np.where(np.concatenate(([True], old[1:] != old[:-1])), index, 0))
+        head = np.concatenate(([True], key[1:] != key[:-1]))
+        rank = rank.copy()
+        rank[places] = old + np.maximum.accumulate(np.where(head, index, 0)) - group
+        alone = head & np.concatenate((head[1:], [True]))
+        return rank, places[~alone]
 
     def long_matches(self, starts: np.ndarray, ends: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Streams the texts backwards through the index, all at once: (texts, places) whose matching statistic against
         what lies before them reaches the index's length."""
+        n = int(ends[-1]) + 1
+        run_of, block_of = (np.repeat(np.arange(len(x), dtype=np.int32), np.diff(np.append(x, n))) for x in (self.run_start, self.block_start))
+        shift = self.run_step - self.run_start
         text, row, place = np.arange(self.texts), np.arange(self.texts), ends.copy()
         while len(text):
-            run = np.searchsorted(self.run_start, row, "right") - 1
-            row = self.run_step[run] + row - self.run_start[run]
+            row = row + shift[run_of[row]]
             place = place - 1
-            first = self.block_first[np.searchsorted(self.block_start, row, "right") - 1]
+            first = self.block_first[block_of[row]]
             hit = (first >= 0) & (first < place)
             if hit.any():
                 yield text[hit], place[hit]
