@@ -14,8 +14,10 @@ from .common import durable
 
 #: Vectors that the centroids are fitted on (the driver gets these, no more), centroids of each half, rounds of Lloyd's algorithm.
 SAMPLE, CENTROIDS, ROUNDS = 20_000, 32, 12
-#: Different vectors that a query's cells must hold together before its traversal ends.
-WANTED = 4_000
+#: Share of true neighbours that the calibration on the sample asks for, and how many sampled queries it takes.
+RECALL, PROBES = 0.95, 200
+#: Groups that cells are dealt to; stored vectors of a cell beyond so many go to groups of their own.
+GROUPS, CELL_ROWS = 64, 4_096
 
 
 def usable(vector: Column) -> Column:
@@ -63,21 +65,43 @@ def _matrix(column: pa.ChunkedArray | pa.Array, width: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, width)
 
 
-def nearest(vectors: DataFrame, queries: Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 10, wanted: int = WANTED) -> DataFrame:
+def visited_share(sample: np.ndarray, first: np.ndarray, second: np.ndarray, k: int) -> float:
+    """The share of all vectors that a traversal must reach for ``RECALL`` of the true neighbours, measured on the sample.
+
+    Sampled queries are compared with the whole sample; each true neighbour asks for as many vectors as the cells up to its own hold.
+    """
+    half = first.shape[1]
+    probes = sample[: min(PROBES, len(sample))]
+    a, b = squared(sample[:, :half], first).argmin(axis=1), squared(sample[:, half:], second).argmin(axis=1)
+    cell, needed = a * len(second) + b, []
+    held = np.bincount(cell, minlength=len(first) * len(second))
+    for i, q in enumerate(probes):
+        away = ((sample - q) ** 2).sum(axis=1)
+        away[i] = np.inf
+        true = np.argsort(away, kind="stable")[: min(k, len(sample) - 1)]
+        order = np.argsort((squared(q[None, :half], first)[0][:, None] + squared(q[None, half:], second)[0][None, :]).ravel(), kind="stable")
+        reached = np.empty(len(order))
+        reached[order] = np.cumsum(held[order])
+        needed.extend(reached[cell[true]])
+    return float(np.quantile(needed, RECALL)) / len(sample) if needed else 1.0
+
+
+def nearest(vectors: DataFrame, queries: Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 10, wanted: int | None = None) -> DataFrame:
     """query_id, rank (from 1), vec_id, score for the rows that ``queries`` selects: the ``k`` nearest other rows found, by
     Euclidean distance in double precision, ties to the smaller vec_id.
 
     Null, empty or zero vectors and those with null or non-finite components take no part, nor do rows without an id or of
-    another length than most have.  Each half of a vector has centroids fitted on at most ``SAMPLE`` vectors; all vectors are indexed by their pair of centroids. A query
-    visits pairs by summed distance until they hold ``wanted`` different vectors, or all.  Equal vectors are one entry with its k + 1
+    another length than most have.  Each half of a vector has centroids fitted on at most ``SAMPLE`` vectors; all vectors are indexed by their
+    pair of centroids.  A query visits pairs by summed distance until they hold ``wanted`` different vectors; by default as large a share of
+    all as finds 95 % of the true neighbours within the sample (data without clusters ask for a large one).  Equal vectors are one entry with its k + 1
     smallest ids, which is exact, as ties go to smaller ids; so a vector that fills a third of the table fills no cell.
-    A repeated vec_id is no candidate of its own.  An empty table gives no rows.
+    Of rows that repeat a vec_id any one counts.  An empty table gives no rows.
     """
+    spark = vectors.sparkSession
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"), F.coalesce(queries, F.lit(False)).alias("asks")).where(F.col("vec_id").isNotNull() & usable(F.col("v")))
     width = rows.groupBy(F.size("v").alias("n")).agg(F.count("*").alias("rows")).orderBy(F.desc("rows"), F.desc("n")).first()
-    schema = "query_id long, vec_id long, score double"
     if width is None:
-        return rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     width, half = width[0], (width[0] + 1) // 2
     rows = rows.where(F.size("v") == width)
     sample = np.array([r[0] for r in rows.select("v").orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).collect()])
@@ -93,41 +117,62 @@ def nearest(vectors: DataFrame, queries: Column, id_col: str = "vec_id", vector_
     own = Window.partitionBy("v").orderBy("vec_id")
     entries = rows.select("v", "vec_id").withColumn("copy", F.row_number().over(own)).where(F.col("copy") <= k + 1)
     entries = durable(entries.mapInArrow(place, "v array<double>, vec_id long, copy int, cell int"))
-    held = np.zeros(len(first) * len(second), np.int64)
-    for cell, n in entries.where("copy = 1").groupBy("cell").agg(F.count("*")).collect():  # as many rows as pairs of centroids
-        held[cell] = n
+    held, stored_rows = (np.zeros(len(first) * len(second), np.int64) for _ in range(2))
+    for cell, n, m in entries.groupBy("cell").agg(F.count_if(F.col("copy") == 1), F.count("*")).collect():  # as many rows as pairs of centroids
+        held[cell], stored_rows[cell] = n, m
+    parts = np.maximum(1, -(-stored_rows // CELL_ROWS))
+    if wanted is None:
+        different = np.unique(sample, axis=0)
+        different = different[np.random.default_rng(0).permutation(len(different))]
+        wanted = int(np.ceil(visited_share(different, first, second, k) * held.sum()))
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            v = _matrix(batch.column("v"), width)
-            index, cells = [], []
+            v, ids = _matrix(batch.column("v"), width), batch.column("vec_id").to_numpy()
+            asked: dict[int, list[int]] = {}
             for i, (x, y) in enumerate(zip(squared(v[:, :half], first), squared(v[:, half:], second), strict=True)):
                 found = 0
                 for a, b in cells_by_distance(x, y):
                     cell = a * len(second) + b
                     if held[cell]:
-                        index.append(i), cells.append(cell)
+                        asked.setdefault(cell, []).append(i)
                         found += held[cell]
                     if found >= wanted:
                         break
-            yield batch.select(["vec_id", "v"]).take(pa.array(index, pa.int64())).append_column("cell", pa.array(cells, pa.int32()))
+            out = [(cell, part, ids[at].tobytes(), v[at].tobytes()) for cell, at in asked.items() for part in range(parts[cell])]
+            kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in out], kind) for j, kind in enumerate(kinds)], ["cell", "part", "ids", "asked"])
 
     def rerank(asked: pa.Table, stored: pa.Table) -> pa.Table:
-        ids, q = asked.column("vec_id").to_numpy(), _matrix(asked.column("v"), width)
-        names, v = stored.column("vec_id").to_numpy(), _matrix(stored.column("v"), width)
+        names, v, cells = stored.column("vec_id").to_numpy(), _matrix(stored.column("v"), width), stored.column("cell").to_numpy()
+        by = np.argsort(cells, kind="stable")
+        names, v, cells = names[by], v[by], cells[by]
+        vectors_of: dict[int, np.ndarray] = {}
+        near: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+        for cell, ids, data in zip(asked.column("cell").to_pylist(), asked.column("ids"), asked.column("asked"), strict=True):
+            a, b = np.searchsorted(cells, (cell, cell + 1))
+            ids, q = np.frombuffer(ids.as_buffer(), np.int64), np.frombuffer(data.as_buffer(), np.float64).reshape(-1, width)
+            for i in range(0, len(ids), 256):
+                rough = np.maximum(squared(q[i : i + 256], v[a:b]), 0)
+                for j, (name, d) in enumerate(zip(ids[i : i + 256].tolist(), rough, strict=True)):
+                    vectors_of[name] = q[i + j]
+                    most = np.partition(d, k)[k] if len(d) > k + 1 else np.inf  # one more than k, as the query itself may be among them
+                    at = np.flatnonzero(d <= most * (1 + 1e-9) + 1e-9)
+                    near.setdefault(name, []).append((at + a, d[at]))
         out: list[tuple] = []
-        for i in range(len(ids) if len(names) else 0):
-            d = np.sqrt(((v - q[i]) ** 2).sum(axis=1))
-            d[names == ids[i]] = np.inf
-            near = np.flatnonzero(d <= np.partition(d, min(k, len(d)) - 1)[min(k, len(d)) - 1])
-            near = near[np.lexsort((names[near], d[near]))][:k]
-            out += [(int(ids[i]), int(n), float(s)) for n, s in zip(names[near], d[near], strict=True) if np.isfinite(s)]
+        for name, found in near.items():
+            at = np.unique(np.concatenate([x for x, _ in found]))
+            at = at[names[at] != name]
+            d = np.sqrt(((v[at] - vectors_of[name]) ** 2).sum(axis=1))
+            best = np.lexsort((names[at], d))[:k]
+            out += [(name, int(n), float(s)) for n, s in zip(names[at[best]], d[best], strict=True)]
         return pa.table({c: pa.array([r[j] for r in out], kind) for j, (c, kind) in enumerate((("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())))})
 
-    visits = rows.where("asks").select("vec_id", "v").dropDuplicates(["vec_id"]).mapInArrow(visit, "vec_id long, v array<double>, cell int")
-    spread = F.pmod(F.xxhash64("vec_id"), F.lit(8)).cast("int")
-    visits, stored = visits.withColumn("part", F.explode(F.array(*map(F.lit, range(8))))), entries.withColumn("part", spread)
-    found = visits.groupBy("cell", "part").cogroup(stored.groupBy("cell", "part")).applyInArrow(rerank, schema)
+    group = F.pmod(F.xxhash64("cell", "part"), F.lit(max(GROUPS, int(parts.sum()) // 16))).alias("group")
+    visits = rows.where("asks").select("vec_id", "v").dropDuplicates(["vec_id"]).mapInArrow(visit, "cell int, part int, ids binary, asked binary").select("*", group)
+    spread = F.pmod(F.xxhash64("vec_id"), F.get(F.array(*map(F.lit, parts.tolist())), F.col("cell"))).cast("int")
+    stored = entries.select("vec_id", "v", "cell", spread.alias("part")).select("*", group)
+    found = visits.groupBy("group").cogroup(stored.groupBy("group")).applyInArrow(rerank, "query_id long, vec_id long, score double")
     found = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
