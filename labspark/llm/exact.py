@@ -17,6 +17,8 @@ PRIMES = (2147483647, 2147483629)
 BASES = (1298374651, 918273645)
 #: Bytes hashed at a time; a sum of so many products of a byte and a residue stays below 2**63.
 CHUNK = 1 << 16
+#: Rows of a batch taken at a time; bounds the copies of their texts that a task holds.
+ROWS = 1024
 
 
 def _descending(base: int, prime: int) -> np.ndarray:
@@ -54,7 +56,7 @@ def same_text(a: bytes, b: bytes) -> bool:
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in (b.slice(i, ROWS) for b in batches for i in range(0, b.num_rows, ROWS)):
         texts = text_array(batch.column("text")).to_pylist()
         length, prints, digests = [], [], []
         for t in texts:
@@ -65,8 +67,8 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _first_of_each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each batch's different texts, once: copies are compared here, before the shuffle."""
-    for batch in batches:
+    """The different texts of each ``ROWS`` rows, once: copies are compared here, before the shuffle."""
+    for batch in (b.slice(i, ROWS) for b in batches for i in range(0, b.num_rows, ROWS)):
         held: dict[tuple[int, int], list[bytes]] = {}
         for t in text_array(batch.column("text")).to_pylist():
             data = t.encode("utf-8", "surrogatepass").translate(None, SPACE)

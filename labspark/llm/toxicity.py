@@ -27,7 +27,8 @@ QUOTED = re.compile(r"\"[^\"\n]{1,400}\"|“[^”\n]{1,400}”|«[^»\n]{1,400}
 TOKEN = re.compile(r"[\w@$]+")
 #: Digits and signs that stand for letters.
 LOOKALIKES = str.maketrans("01345@$", "oieasas")
-CACHE = 1_500_000
+#: Words that a task remembers as looked up; it starts anew when there are more.
+CACHE = 250_000
 
 
 class Levenshtein:
