@@ -217,7 +217,7 @@ def candidate_links(groups: DataFrame, masks: list[int], reach: int, distance: i
 
     def link(leaf_rows: pa.Table) -> pa.Table:
         prints, reps = (leaf_rows.column(c).to_numpy() for c in ("print", "rep"))
-        order = np.argsort(mix(prints.view(np.uint64) ^ np.uint64(leaf_rows.column("leaf")[0].as_py())))
+        order = np.argsort(mix(prints.view(np.uint64)))  # the same in all trees, so that dense groups have the same few representatives in each
         a, b = leaf_links(prints.view(np.uint64)[order], reps[order], leaf_rows.column("home").to_numpy()[order], distance, pairs_up_to)
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
