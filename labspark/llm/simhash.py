@@ -149,12 +149,10 @@ def sampled_masks(tables: int, bits: int, seed: int = 7) -> list[int]:
     return [sum(1 << int(b) for b in rng.choice(64, bits, replace=False)) for _ in range(tables)]
 
 
-def leaf_links(prints: np.ndarray, reps: np.ndarray, home: np.ndarray, distance: int, pairs_up_to: int = 0) -> tuple[np.ndarray, np.ndarray]:
+def leaf_links(prints: np.ndarray, reps: np.ndarray, home: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
     """Links (two arrays of reps) between the home fingerprints of a leaf and all of it, within ``distance``.
 
-    With ``pairs_up_to`` 0 a spanning forest: one link for each fingerprint that a component reaches, so that dense
-    groups give no more links than members.  Otherwise the pairs themselves; a fingerprint with more neighbours than that stands for
-    them, and they leave.
+    A spanning forest: one link for each fingerprint that a component reaches, so that dense groups give no more links than members.
     """
     own, guests = np.flatnonzero(home), np.flatnonzero(~home)
     if len(own) * len(prints) <= 1 << 26:  # a first pass by blocks drops those without neighbours
@@ -163,13 +161,6 @@ def leaf_links(prints: np.ndarray, reps: np.ndarray, home: np.ndarray, distance:
     a, b, left = [], [], own
     while len(left):
         first, left = left[0], left[1:]
-        if pairs_up_to:
-            near = left[np.bitwise_count(prints[left] ^ prints[first]) <= distance]
-            met = np.concatenate((near, guests[np.bitwise_count(prints[guests] ^ prints[first]) <= distance]))
-            a.append(np.full(len(met), first)), b.append(met)
-            if len(near) > pairs_up_to:
-                left = np.setdiff1d(left, near, assume_unique=True)
-            continue
         front, away = [first], guests
         while front:
             x = prints[front.pop()]
@@ -188,18 +179,23 @@ def leaf_links(prints: np.ndarray, reps: np.ndarray, home: np.ndarray, distance:
     return reps[np.concatenate(a)], reps[np.concatenate(b)]
 
 
-def candidate_links(groups: DataFrame, masks: list[int], reach: int, distance: int, leaf: int = LEAF, pairs_up_to: int = 0) -> DataFrame:
+def fit_trees(groups: DataFrame, masks: list[int], reach: int, leaf: int) -> list[VantageTree]:
+    """A tree for each mask, fitted on a sample of the column print, with about ``leaf`` rows a leaf."""
+    n = groups.count()
+    wanted = min(SAMPLE, max(1024, 8 * n // leaf))
+    sample = np.array([r[0] for r in groups.select("print").orderBy(F.xxhash64("print"), "print").limit(wanted).collect()], np.int64).view(np.uint64)
+    depth = max(0, int(np.ceil(np.log2(max(1, n / leaf)))))
+    return [VantageTree.fit(sample, m, reach, depth, i) for i, m in enumerate(masks)]
+
+
+def candidate_links(groups: DataFrame, masks: list[int], reach: int, distance: int, leaf: int = LEAF) -> DataFrame:
     """Links a, b between the rows of ``groups`` (print, rep; one row per fingerprint) within ``distance`` bits.
 
     A tree for each mask deals the fingerprints out to leaves; each leaf is one Spark group.  A fingerprint is at home in one leaf of a tree and
     a guest in the lower-numbered leaves that its boundary overlaps, so a pair meets where one of both is at home.  Disjoint
     masks of all 64 bits with reach = distance // masks miss no pair: on one of them a pair differs by that much at most.
     """
-    n = groups.count()
-    wanted = min(SAMPLE, max(1024, 8 * n // leaf))
-    sample = np.array([r[0] for r in groups.select("print").orderBy(F.xxhash64("print"), "print").limit(wanted).collect()], np.int64).view(np.uint64)
-    depth = max(0, int(np.ceil(np.log2(max(1, n / leaf)))))
-    trees = [VantageTree.fit(sample, m, reach, depth, i) for i, m in enumerate(masks)]
+    trees = fit_trees(groups, masks, reach, leaf)
     first = np.cumsum([0, *(t.leaves for t in trees)])
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -217,8 +213,8 @@ def candidate_links(groups: DataFrame, masks: list[int], reach: int, distance: i
 
     def link(leaf_rows: pa.Table) -> pa.Table:
         prints, reps = (leaf_rows.column(c).to_numpy() for c in ("print", "rep"))
-        order = np.argsort(mix(prints.view(np.uint64)))  # the same in all trees, so that dense groups have the same few representatives in each
-        a, b = leaf_links(prints.view(np.uint64)[order], reps[order], leaf_rows.column("home").to_numpy()[order], distance, pairs_up_to)
+        order = np.argsort(mix(prints.view(np.uint64)))
+        a, b = leaf_links(prints.view(np.uint64)[order], reps[order], leaf_rows.column("home").to_numpy()[order], distance)
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     dealt = groups.mapInArrow(deal, "leaf long, print long, rep long, home boolean")
@@ -240,14 +236,20 @@ def near_duplicate_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     return prints.join(named, "print").select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def verified_links(docs: DataFrame, pairs: DataFrame, words: int, similarity: float) -> DataFrame:
-    """Those of ``pairs`` (a, b: doc_ids) whose sets of word shingles (as 32-bit hashes) have a Jaccard similarity of ``similarity`` or more."""
+def shingle_sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
+    """doc_id, hashes: the sets of word shingles (as sorted 32-bit hashes) of the rows of ``docs`` that ``ids`` names."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data = [np.unique(np.array(shingle_hashes(t, words), np.uint64).astype(np.uint32)).tobytes() for t in text_array(batch.column("text")).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(data, pa.binary())], ["doc_id", "hashes"])
 
+    return docs.join(ids, "doc_id", "left_semi").mapInArrow(sets, "doc_id long, hashes binary").dropDuplicates(["doc_id"])
+
+
+def verified_links(pairs: DataFrame, shingled: DataFrame, similarity: float) -> DataFrame:
+    """Those of ``pairs`` (a, b: doc_ids) whose sets of word shingles have a Jaccard similarity of ``similarity`` or more."""
+
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
@@ -257,13 +259,97 @@ def verified_links(docs: DataFrame, pairs: DataFrame, words: int, similarity: fl
                 keep.append(both >= similarity * (len(x) + len(y) - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    pairs = durable(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct())
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    shingled = durable(docs.join(ids, "doc_id", "left_semi").mapInArrow(sets, "doc_id long, hashes binary").dropDuplicates(["doc_id"]))
     left, right = (shingled.select(F.col("doc_id").alias(c), F.col("hashes").alias(h)) for c, h in (("a", "x"), ("b", "y")))
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(compare, "a long, b long")
 
 
+def leaf_pairs(prints: np.ndarray, labels: np.ndarray, distance: int, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs (two arrays of positions) of a leaf within ``distance`` bits whose labels differ, and the positions still to be paired.
+
+    A fingerprint with more than ``most`` such neighbours stands for them in this round: they make no pairs of their own.  The third array then has
+    all that have a neighbour; it is empty where no pair was put off.
+    """
+    n, a, b, seen, off = len(prints), [], [], [], np.zeros(len(prints), bool)
+    step = max(1, min(64, (1 << 22) // max(1, n)))
+    for i in range(0, n, step):
+        x, y = np.nonzero(np.bitwise_count(prints[i : i + step, None] ^ prints[None, i:]) <= distance)
+        x, y = x[y > x] + i, y[y > x] + i
+        keep = labels[x] != labels[y]
+        x, y = x[keep], y[keep]
+        seen.append(np.union1d(x, y))
+        if len(x) > most or off.any():
+            cuts = np.flatnonzero(np.diff(x)) + 1
+            for u, v in zip(np.split(x, cuts), np.split(y, cuts), strict=True):
+                if len(u) and not off[u[0]]:
+                    u, v = u[~off[v]], v[~off[v]]
+                    a.append(u), b.append(v)
+                    if len(v) > most:
+                        off[v] = True
+        else:
+            a.append(x), b.append(y)
+    none = np.zeros(0, np.int64)
+    a, b, seen = (np.concatenate([none, *p]) for p in (a, b, seen))
+    return a, b, np.unique(seen) if off.any() else none
+
+
+def leaf_round(nodes: DataFrame, trees: list[VantageTree], distance: int, most: int, turn: int, leaves: np.ndarray | None) -> DataFrame:
+    """a, b, leaf: the pairs of one round between ``nodes`` (print, rep, label) that meet in a leaf of the trees, of ``leaves`` only where given.
+
+    Rows without b name a node that later rounds may pair, and a leaf where pairs were put off.
+    """
+    first = np.cumsum([0, *(t.leaves for t in trees)]).tolist()
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 4096):
+                part = batch.slice(i, 4096)
+                prints = part.column("print").to_numpy().view(np.uint64)
+                for tree, base in zip(trees, first, strict=False):
+                    own = tree.home(prints) + base
+                    take = np.arange(len(own)) if leaves is None else np.flatnonzero(leaves[own])
+                    rows = pa.array(take)
+                    yield pa.RecordBatch.from_arrays([pa.array(own[take], pa.int64()), *(part.column(c).take(rows) for c in ("print", "rep", "label"))], ["leaf", "print", "rep", "label"])
+
+    def pair(key: tuple, rows: pa.Table) -> pa.Table:
+        prints, reps, labels = (rows.column(c).to_numpy() for c in ("print", "rep", "label"))
+        prints = prints.view(np.uint64)
+        order = np.lexsort((reps, mix(prints ^ mix(np.array([turn], np.uint64)))))  # the same in all trees, so that dense groups have the same few representatives in each
+        reps = reps[order]
+        a, b, rest = leaf_pairs(prints[order], labels[order], distance, most)
+        none = pa.nulls(len(rest), pa.int64())
+        return pa.table({"a": pa.array(np.concatenate((reps[a], reps[rest])), pa.int64()), "b": pa.chunked_array([pa.array(reps[b], pa.int64()), none]), "leaf": pa.chunked_array([pa.nulls(len(a), pa.int64()), pa.array(np.full(len(rest), key[0].as_py()), pa.int64())])})
+
+    return nodes.mapInArrow(deal, "leaf long, print long, rep long, label long").groupBy("leaf").applyInArrow(pair, "a long, b long, leaf long")
+
+
+def similar_links(docs: DataFrame, groups: DataFrame, same: DataFrame, words: int, similarity: float, distance: int, masks: list[int], leaf: int = 1024, most: int = 32) -> DataFrame:
+    """Links a, b that join up, with ``same``'s, whatever pairs of ``groups`` (print, rep) within ``distance`` bits meet in a leaf and are similar.
+
+    In a round, a fingerprint with more than ``most`` neighbours stands for them.  Shingle sets decide, joined-up nodes take one label, and
+    the leaves where pairs were put off go into the next round with four times ``most`` and other representatives, until none is left.  So a pair is left
+    out only where verified links join its ends already.
+    """
+    trees = fit_trees(groups, masks, 0, leaf)
+    leaves, nodes, done, found, shingled, turn = None, groups.withColumn("label", F.col("rep")), None, None, None, 0
+    while True:
+        made = durable(leaf_round(nodes, trees, distance, most << 2 * turn, turn, leaves))
+        pairs = made.where("b is not null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b")
+        if turn == 0:
+            pairs = durable(pairs.union(same).where("a <> b").distinct())
+            shingled = durable(shingle_sets(docs, made.select(F.col("a").alias("doc_id")).union(made.select("b")).union(pairs.select("a")).union(pairs.select("b")).where("doc_id is not null").distinct(), words))
+        else:
+            pairs = durable(pairs.distinct().join(done, ["a", "b"], "left_anti"))
+        links = durable(verified_links(pairs, shingled, similarity))
+        found, done = (links, pairs) if turn == 0 else (found.union(links), done.union(pairs))
+        put_off = [r[0] for r in made.where("leaf is not null").select("leaf").distinct().collect()]  # at most the trees' leaves
+        if not put_off:
+            return found
+        leaves = np.zeros(sum(t.leaves for t in trees), bool)
+        leaves[put_off] = True
+        nodes = durable(groups.join(components(found), F.col("rep") == F.col("node"), "left").select("print", "rep", F.coalesce("component", "rep").alias("label")))
+        turn += 1
+
+
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, distance: int = 13, tables: int = 64, bits: int = 16) -> DataFrame:
     """``docs`` with one row of each group of near-duplicates, the one with the smallest doc_id; all columns kept.
 
@@ -275,8 +361,7 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     prints = durable(fingerprints(base, words=words).where("doc_id is not null and print <> 0"))
     groups = durable(prints.groupBy("print").agg(F.min("doc_id").alias("rep")))
-    pairs = candidate_links(groups, sampled_masks(tables, bits), 0, distance, leaf=1024, pairs_up_to=32)
-    same = prints.join(groups, "print").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    found = components(verified_links(base, pairs.union(same), words, similarity))
+    same = prints.join(groups, "print").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
+    found = components(similar_links(base, groups, same, words, similarity, distance, sampled_masks(tables, bits)))
     dropped = found.where("node <> component").select(F.col("node").alias("_dropped_id"))
     return docs.join(dropped, docs[id_col].cast("long") == dropped["_dropped_id"], "left_anti")

@@ -222,6 +222,19 @@ def test_near_duplicates_by_similarity(spark):
     assert len(got - want) <= 1
 
 
+def test_near_duplicates_among_many_variants(spark):
+    """Whatever a crowded neighbourhood's representative stands for, similar texts in it meet."""
+    rng = np.random.default_rng(3)
+    prints = np.uint64(1 << 40) ^ (np.uint64(1) << rng.integers(0, 64, 400, dtype=np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, 400, dtype=np.uint64))
+    prints = np.unique(prints)
+    texts = [" ".join(f"w{i // 2}x{j}" for j in range(30)) for i in range(len(prints))]  # 2k and 2k + 1 are equal, others have nothing in common
+    order = rng.permutation(len(prints))
+    rows = spark.createDataFrame([(int(p), int(i)) for p, i in zip(prints.view(np.int64)[order], range(len(prints)), strict=True)], "print long, rep long")
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    links = simhash.similar_links(docs, rows, spark.createDataFrame([], "a long, b long"), 5, 0.8, 13, simhash.sampled_masks(4, 16)).collect()
+    assert {(r.a, r.b) for r in links} == {(i, i + 1) for i in range(0, len(prints) - 1, 2)}
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_components(spark, seed):
     random.seed(seed)
