@@ -225,6 +225,15 @@ def test_dbscan(spark):
     assert {got[i].cluster for i in range(20)} == {0} and {got[100 + i].cluster for i in range(10)} == {101} and got[999].cluster is None
 
 
+def test_dbscan_follows_long_chains(spark):
+    """A chain of 150 steps of eps is one cluster; too few rounds raise."""
+    points = spark.createDataFrame([(i, [0.1 * i, 0.0]) for i in range(151)] + [(500 + i, [0.1 * i, 9.0]) for i in range(5)], "id int, v array<double>")
+    got = {r.id: r.cluster for r in cluster.dbscan(points, "id", "v", 0.11, 2).collect()}
+    assert {got[i] for i in range(151)} == {0} and {got[500 + i] for i in range(5)} == {500}
+    with pytest.raises(RuntimeError, match="did not settle"):
+        cluster.dbscan(points, "id", "v", 0.11, 2, rounds=1)
+
+
 def test_sources(spark, tmp_path):
     (tmp_path / "kb").mkdir()
     (tmp_path / "kb" / "07-ferritin.md").write_text('---\ntitle: "Ferritin"\nstatus: active\n---\n# Iron\n\nBody: text')
