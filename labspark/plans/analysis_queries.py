@@ -180,13 +180,13 @@ def j8_cluster_indices(spark: SparkSession, d: str) -> DataFrame:
 
 @query(None)
 def j8_silhouette(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(cluster.silhouette(_vectors(spark, d), "id", "v", "label", 500))
+    return rounded(cluster.silhouette(_vectors(spark, d), "id", "v", "label"))
 
 
 @query(None)
 def j4_kmeans(spark: SparkSession, d: str) -> DataFrame:
     rows = _vectors(spark, d)
-    model, scored = cluster.choose_kmeans(rows, "v", range(3, 6))
+    model, scored = cluster.choose_kmeans(rows, "v")
     from pyspark.ml.functions import array_to_vector
 
     return model.transform(rows.withColumn("_f", array_to_vector("v"))).groupBy("cluster").agg(F.count("*").alias("n")).withColumn("k", F.lit(max(scored, key=lambda s: s[1])[0]))
@@ -195,8 +195,11 @@ def j4_kmeans(spark: SparkSession, d: str) -> DataFrame:
 @query(None)
 def j5_mixture(spark: SparkSession, d: str) -> DataFrame:
     rows = cluster.project(_vectors(spark, d), "v", 3)[0].select("id", F.col("map").alias("v"))
-    model, scored = cluster.choose_mixture(rows, "v", 3, range(2, 4))
-    return spark.createDataFrame([(k, float(b)) for k, b in scored], "k int, bic double")
+    from pyspark.ml.functions import array_to_vector
+
+    model, scored = cluster.choose_mixture(rows, "v", 3)
+    tried = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(float(b)).alias("bic")) for k, b in scored])
+    return model.transform(rows.withColumn("_f", array_to_vector("v"))).select("id", "cluster", F.lit(min(scored, key=lambda s: s[1])[0]).alias("k"), tried.alias("tried"))
 
 
 @query(None)
@@ -208,7 +211,7 @@ def j6_dbscan(spark: SparkSession, d: str) -> DataFrame:
 
 @query(_CENTRES + ", p AS (SELECT a.id AS a, b.id AS b, sqrt(sum((a.x - b.x) * (a.x - b.x))) AS d FROM u a JOIN u b ON a.i = b.i AND a.id <> b.id GROUP BY ALL), k AS (SELECT a, d, row_number() OVER (PARTITION BY a ORDER BY d, b) AS r FROM p) SELECT round(quantile_cont(d, 0.9), 6) AS eps FROM k WHERE r = 5")
 def j7_neighbour_distance(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(cluster.neighbour_distance(_vectors(spark, d), "id", "v", 5, sample=2000))
+    return rounded(cluster.neighbour_distance(_vectors(spark, d), "id", "v", 5, sample=None))
 
 
 @query(None)
@@ -248,7 +251,7 @@ def j11_j12_risk_band(spark: SparkSession, d: str) -> DataFrame:
 
 @query(None)
 def j13_band_interval(spark: SparkSession, d: str) -> DataFrame:
-    return bands.bootstrap_edges(relation(spark, d, _CURVE), "event_id", "x", "y", ("age",), replicates=3, size=3000)
+    return bands.bootstrap_edges(relation(spark, d, _CURVE), "event_id", "x", "y", ("age",), replicates=20, size=15_000)
 
 
 _GRID = "SELECT event_type AS marker, CAST(floor(value / 25) AS INT) AS point, avg(value) AS x, avg(CAST(event_id % 7 AS DOUBLE)) AS risk FROM events GROUP BY event_type, CAST(floor(value / 25) AS INT)"

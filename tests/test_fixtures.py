@@ -234,6 +234,50 @@ def test_dbscan_follows_long_chains(spark):
         cluster.dbscan(points, "id", "v", 0.11, 2, rounds=1)
 
 
+def test_neighbour_distance_among_all_rows(spark):
+    """The k-th neighbour is one of all rows, whether every row asks or a sample."""
+    import numpy as np
+
+    points = np.random.default_rng(8).random((2600, 2))
+    rows = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(points)], "id long, v array<double>")
+    d = np.sort(np.sqrt(((points[:, None] - points[None]) ** 2).sum(axis=2)), axis=1)[:, 5]
+    assert cluster.neighbour_distance(rows, "id", "v", 5, sample=None, block=1000).first().eps == pytest.approx(np.quantile(d, 0.9))
+    ids = [r.id for r in stats.seeded_sample(rows, "id", 500).collect()]
+    assert cluster.neighbour_distance(rows, "id", "v", 5, sample=500).first().eps == pytest.approx(np.quantile(d[ids], 0.9))
+
+
+def test_queries_run_the_survey_s_parameters(spark, sf_dir, monkeypatch):
+    import inspect
+
+    from labspark.plans import analysis_queries
+
+    class Called(Exception):
+        pass
+
+    def caught(module, name, query):
+        signature = inspect.signature(getattr(module, name))
+
+        def stop(*args, **named):
+            bound = signature.bind(*args, **named)
+            bound.apply_defaults()
+            raise Called(bound.arguments)
+
+        with monkeypatch.context() as m:
+            m.setattr(module, name, stop)
+            with pytest.raises(Called) as found:
+                query(spark, sf_dir)
+        return found.value.args[0]
+
+    assert caught(cluster, "silhouette", analysis_queries.j8_silhouette)["sample"] == 2000
+    assert caught(cluster, "choose_kmeans", analysis_queries.j4_kmeans)["ks"] == range(3, 10)
+    assert caught(cluster, "choose_mixture", analysis_queries.j5_mixture)["ks"] == range(2, 6)
+    assert caught(cluster, "neighbour_distance", analysis_queries.j7_neighbour_distance)["sample"] is None
+    found = caught(bands, "bootstrap_edges", analysis_queries.j13_band_interval)
+    assert (found["replicates"], found["size"]) == (20, 15_000)
+    made = analysis_queries.j5_mixture(spark, sf_dir)
+    assert made.count() == spark.read.parquet(f"{sf_dir}/embeddings.parquet").count() and [t.k for t in made.first().tried] == [2, 3, 4, 5]
+
+
 def test_sources(spark, tmp_path):
     (tmp_path / "kb").mkdir()
     (tmp_path / "kb" / "07-ferritin.md").write_text('---\ntitle: "Ferritin"\nstatus: active\n---\n# Iron\n\nBody: text')
