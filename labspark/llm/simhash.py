@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -15,8 +16,8 @@ from .common import durable, mix, text_array
 from .components import components
 
 SEED = 42
-#: Fingerprints that a leaf should hold, and the most that the trees are fitted on (the driver gets these, no more).
-LEAF, SAMPLE = 512, 1 << 18
+#: Fingerprints that a leaf and a shard should hold, and the most that the shards' trees are fitted on (the driver gets these, no more).
+LEAF, SHARD, SAMPLE = 512, 1 << 14, 1 << 18
 FULL = (1 << 64) - 1
 
 
@@ -60,17 +61,17 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def set_fingerprints(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, print, second of each row of ``docs`` (doc_id, text) with words: majority fingerprints of the set of word shingles, by two independent hashes."""
+    """doc_id, print, second, size of each row of ``docs`` (doc_id, text) with words: majority fingerprints of the set of word shingles, by two independent hashes, and its size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, prints, seconds = [], [], []
+            ids, prints, seconds, sizes = [], [], [], []
             for doc_id, text in zip(batch.column("doc_id"), text_array(batch.column("text")), strict=True):
                 if len(values := np.unique(np.array(shingle_hashes(text.as_py(), words), np.uint64))):
-                    ids.append(doc_id.as_py()), prints.append(_signed(simhash(values))), seconds.append(_signed(simhash(mix(values))))
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (ids, prints, seconds)], ["doc_id", "print", "second"])
+                    ids.append(doc_id.as_py()), prints.append(_signed(simhash(values))), seconds.append(_signed(simhash(mix(values)))), sizes.append(len(values))
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (ids, prints, seconds, sizes)], ["doc_id", "print", "second", "size"])
 
-    return docs.where("doc_id is not null").mapInArrow(run, "doc_id long, print long, second long")
+    return docs.where("doc_id is not null").mapInArrow(run, "doc_id long, print long, second long, size long")
 
 
 @dataclass
@@ -193,23 +194,52 @@ def leaf_links(prints: np.ndarray, reps: np.ndarray, home: np.ndarray, distance:
     return reps[np.concatenate(a)], reps[np.concatenate(b)]
 
 
-def fit_trees(groups: DataFrame, masks: list[int], reach: int, leaf: int) -> list[VantageTree]:
-    """A tree for each mask, fitted on a sample of the column print, with about ``leaf`` rows a leaf."""
+def fit_trees(groups: DataFrame, masks: list[int], reach: int, shard: int) -> tuple[list[VantageTree], list[np.ndarray]]:
+    """A tree for each mask, fitted on a sample of the column print, with about ``shard`` rows a leaf; and by the sample, how many rows are at home in each leaf."""
     n = groups.count()
-    wanted = min(SAMPLE, max(1024, 8 * n // leaf))
+    wanted = min(SAMPLE, max(4096, 64 * n // shard))
     sample = np.array([r[0] for r in groups.select("print").orderBy(F.xxhash64("print"), "print").limit(wanted).collect()], np.int64).view(np.uint64)
-    depth = max(0, int(np.ceil(np.log2(max(1, n / leaf)))))
-    return [VantageTree.fit(sample, m, reach, depth, i) for i, m in enumerate(masks)]
+    depth = max(0, int(np.ceil(np.log2(max(1, n / shard)))))
+    trees = [VantageTree.fit(sample, m, reach, depth, i) for i, m in enumerate(masks)]
+    return trees, [np.bincount(t.home(sample), minlength=t.leaves) * (n / max(1, len(sample))) for t in trees]
 
 
-def candidate_links(groups: DataFrame, masks: list[int], reach: int, distance: int, leaf: int = LEAF) -> DataFrame:
+def subleaves(prints: np.ndarray, home: np.ndarray, bits: list[tuple[int, int]], leaf: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The tree goes on within a shard: (rows, whether at home) of leaves of about ``leaf`` rows, so that a pair one of which is at home in the shard meets in a leaf where one of both is.
+
+    ``bits``: the mask and reach to split on, and those for a leaf that stays eight times too large; at last such a leaf is given out as it is.
+    """
+    if len(prints) <= leaf or not bits:
+        yield np.arange(len(prints)), home
+        return
+    (mask, reach), others = bits[0], bits[1:]
+    sample = prints[:: max(1, len(prints) // 8192)]
+    tree = VantageTree.fit(sample, mask, reach, int(np.ceil(np.log2(len(prints) / leaf))), 0)
+    own = tree.home(prints)
+    index, leaves = tree.shards(prints)
+    keep = leaves <= own[index]
+    index, leaves = index[keep], leaves[keep]
+    by = np.lexsort((index, leaves))
+    index, leaves = index[by], leaves[by]
+    cuts = np.flatnonzero(np.diff(leaves)) + 1
+    for at, k in zip(np.split(index, cuts), leaves[np.concatenate(([0], cuts))].tolist(), strict=True):
+        # At home in this leaf are rows whose own leaf it is.  A guest of the shard is no less needed by the shard's home rows here than elsewhere.
+        inside = own[at] == k
+        if len(at) > 8 * leaf and others:
+            for rows, mine in subleaves(prints[at], inside, others, leaf):
+                yield at[rows], mine
+        else:
+            yield at, inside
+
+
+def candidate_links(groups: DataFrame, masks: list[int], reach: int, distance: int, shard: int = SHARD, leaf: int = LEAF) -> DataFrame:
     """Links a, b between the rows of ``groups`` (print, rep; one row per fingerprint) within ``distance`` bits.
 
-    A tree for each mask deals the fingerprints out to leaves; each leaf is one Spark group.  A fingerprint is at home in one leaf of a tree and
-    a guest in the lower-numbered leaves that its boundary overlaps, so a pair meets where one of both is at home.  Disjoint
+    A tree for each mask deals the fingerprints out to shards, each one Spark group, in which the tree goes on down to leaves.  A fingerprint is at home
+    in one leaf of a tree and a guest in the lower-numbered leaves that its boundary overlaps, so a pair meets where one of both is at home.  Disjoint
     masks of all 64 bits with reach = distance // masks miss no pair: on one of them a pair differs by that much at most.
     """
-    trees = fit_trees(groups, masks, reach, leaf)
+    trees, _ = fit_trees(groups, masks, reach, shard)
     first = np.cumsum([0, *(t.leaves for t in trees)])
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -219,20 +249,23 @@ def candidate_links(groups: DataFrame, masks: list[int], reach: int, distance: i
                 prints = part.column("print").to_numpy().view(np.uint64)
                 for tree, base in zip(trees, first.tolist(), strict=False):
                     home = tree.home(prints)
-                    index, leaves = tree.shards(prints) if reach else (np.arange(len(prints)), home)
+                    index, leaves = tree.shards(prints)
                     keep = leaves <= home[index]
                     index, leaves = index[keep], leaves[keep]
                     take = pa.array(index)
-                    yield pa.RecordBatch.from_arrays([pa.array(leaves + base, pa.int64()), part.column("print").take(take), part.column("rep").take(take), pa.array(leaves == home[index])], ["leaf", "print", "rep", "home"])
+                    yield pa.RecordBatch.from_arrays([pa.array(leaves + base, pa.int64()), part.column("print").take(take), part.column("rep").take(take), pa.array(leaves == home[index])], ["shard", "print", "rep", "home"])
 
-    def link(leaf_rows: pa.Table) -> pa.Table:
-        prints, reps = (leaf_rows.column(c).to_numpy() for c in ("print", "rep"))
+    def link(key: tuple, rows: pa.Table) -> pa.Table:
+        prints, reps = (rows.column(c).to_numpy() for c in ("print", "rep"))
         order = np.argsort(mix(prints.view(np.uint64)))
-        a, b = leaf_links(prints.view(np.uint64)[order], reps[order], leaf_rows.column("home").to_numpy()[order], distance)
+        prints, reps, home = prints.view(np.uint64)[order], reps[order], rows.column("home").to_numpy()[order]
+        mask = masks[int(np.searchsorted(first, key[0].as_py(), "right")) - 1]
+        found = [leaf_links(prints[at], reps[at], inside, distance) for at, inside in subleaves(prints, home, [(mask, reach), (FULL ^ mask, distance)], leaf)]
+        a, b = (np.concatenate(x) for x in zip(*found, strict=True))
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    dealt = groups.mapInArrow(deal, "leaf long, print long, rep long, home boolean")
-    return dealt.groupBy("leaf").applyInArrow(link, "a long, b long")
+    dealt = groups.mapInArrow(deal, "shard long, print long, rep long, home boolean")
+    return dealt.groupBy("shard").applyInArrow(link, "a long, b long")
 
 
 def near_duplicate_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, distance: int = 4, blocks: int = 3) -> DataFrame:
@@ -251,14 +284,16 @@ def near_duplicate_components(docs: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def shingle_sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
-    """doc_id, hashes: the sets of word shingles (as sorted 32-bit hashes) of the rows of ``docs`` that ``ids`` names."""
+    """doc_id, hashes: the sets of word shingles (as sorted 64-bit hashes) of the rows of ``docs`` that ``ids`` names."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data = [np.unique(np.array(shingle_hashes(t, words), np.uint64).astype(np.uint32)).tobytes() for t in text_array(batch.column("text")).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(data, pa.binary())], ["doc_id", "hashes"])
+            for i in range(0, batch.num_rows, 256):
+                part = batch.slice(i, 256)
+                data = [np.unique(np.array(shingle_hashes(t, words), np.uint64)).tobytes() for t in text_array(part.column("text")).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(data, pa.binary())], ["doc_id", "hashes"])
 
-    return docs.join(ids, "doc_id", "left_semi").mapInArrow(sets, "doc_id long, hashes binary").dropDuplicates(["doc_id"])
+    return docs.join(ids, "doc_id", "left_semi").mapInArrow(sets, "doc_id long, hashes binary").groupBy("doc_id").agg(F.min("hashes").alias("hashes"))
 
 
 def verified_links(pairs: DataFrame, shingled: DataFrame, similarity: float) -> DataFrame:
@@ -268,7 +303,10 @@ def verified_links(pairs: DataFrame, shingled: DataFrame, similarity: float) ->
         for batch in batches:
             keep = []
             for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint32), np.frombuffer(y.as_buffer(), np.uint32)
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                if min(len(x), len(y)) < similarity * max(len(x), len(y)):
+                    keep.append(False)
+                    continue
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(both >= similarity * (len(x) + len(y) - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
@@ -277,108 +315,226 @@ def verified_links(pairs: DataFrame, shingled: DataFrame, similarity: float) ->
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(compare, "a long, b long")
 
 
-def leaf_pairs(prints: np.ndarray, seconds: np.ndarray, labels: np.ndarray, distance: int, total: int, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs (two arrays of positions) of a leaf within ``distance`` bits, and ``total`` with those of ``seconds``, whose labels differ, and the positions still to be paired.
+def search_plan(rows: int, similarity: float, reach: int = 1, recall: float = 0.99) -> tuple[int, int]:
+    """(bits of a mask, masks) with which a pair of sets of ``similarity`` is within ``reach`` on a mask with a chance of ``recall``, whatever the number of rows.
 
-    A fingerprint with more than ``most`` such neighbours stands for them in this round: they make no pairs of their own.  The third array then has
-    all that have a neighbour; it is empty where no pair was put off.
+    Masks are the wider the more rows there are, so that the chance pairs of a row stay few; then more masks are needed.
+    A bit differs with a chance of angle / pi, so the bits of a pair that differ are binomial.
     """
-    n, a, b, seen, off = len(prints), [], [], [], np.zeros(len(prints), bool)
-    step = max(1, min(64, (1 << 22) // max(1, n)))
-    for i in range(0, n, step):
-        x, y = np.nonzero(np.bitwise_count(prints[i : i + step, None] ^ prints[None, i:]) <= distance)
-        x, y = x[y > x] + i, y[y > x] + i
-        keep = (labels[x] != labels[y]) & (np.bitwise_count(prints[x] ^ prints[y]) + np.bitwise_count(seconds[x] ^ seconds[y]) <= total)
-        x, y = x[keep], y[keep]
-        seen.append(np.union1d(x, y))
-        if len(x) > most or off.any():
-            cuts = np.flatnonzero(np.diff(x)) + 1
-            for u, v in zip(np.split(x, cuts), np.split(y, cuts), strict=True):
-                if len(u) and not off[u[0]]:
-                    u, v = u[~off[v]], v[~off[v]]
-                    a.append(u), b.append(v)
-                    if len(v) > most:
-                        off[v] = True
-        else:
-            a.append(x), b.append(y)
+    bits = min(40, max(10, int(np.ceil(np.log2(max(rows, 2)))) - 8))
+    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    chance = np.array([math.comb(64, d) * p**d * (1 - p) ** (64 - d) for d in range(65)])
+    meet = np.array([sum(math.comb(d, j) * math.comb(64 - d, bits - j) for j in range(reach + 1)) / math.comb(64, bits) for d in range(65)])
+    masks = 1
+    while chance @ (1 - (1 - meet) ** masks) < recall:
+        masks += 1
+    return bits, masks
+
+
+class Leaf:
+    """The rows of a leaf, in the order common to all leaves, and which pairs of them may be similar."""
+
+    def __init__(self, rows: dict[str, np.ndarray], at: np.ndarray, home: np.ndarray, distance: int, total: int, similarity: float) -> None:
+        self.at, self.home, self.distance, self.total, self.similarity = at, home, distance, total, similarity
+        self.print, self.second, self.size, self.label, self.block = (rows[c][at] for c in ("print", "second", "size", "label", "block"))
+
+    def pairs(self, across: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs (two arrays of positions in the leaf, the later one first, by rising order) within the distances, of different labels and near enough in
+        size; ``across``: of different blocks only.  Labels may change between two steps."""
+        n = len(self.at)
+        step = max(1, (1 << 21) // max(1, n))
+        for i in range(0, n, step):
+            stop = min(i + step, n)
+            x, y = np.nonzero(np.bitwise_count(self.print[i:stop, None] ^ self.print[None, :stop]) <= self.distance)
+            x = x + i
+            keep = (y < x) & (self.label[x] != self.label[y]) & (self.home[x] | self.home[y])
+            x, y = x[keep], y[keep]
+            keep = np.bitwise_count(self.print[x] ^ self.print[y]) + np.bitwise_count(self.second[x] ^ self.second[y]) <= self.total
+            keep &= np.minimum(self.size[x], self.size[y]) >= self.similarity * np.maximum(self.size[x], self.size[y])
+            if across:
+                keep &= self.block[x] != self.block[y]
+            yield x[keep], y[keep]
+
+
+def first_neighbours(leaves: Iterator[Leaf], across: bool, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each row its first ``most`` possible partners before it (two arrays of positions), and the rows that are not done with by these.
+
+    The third array has all rows with a possible partner; it is empty where no row has more than ``most``.
+    """
+    a, b, seen, more = [], [], [], False
+    for leaf in leaves:
+        for x, y in leaf.pairs(across):
+            if len(x):
+                seen.append(np.unique(leaf.at[np.concatenate((x, y))]))
+                nth = np.arange(len(x)) - np.searchsorted(x, x)
+                more |= bool(nth.max() >= most)
+                a.append(leaf.at[x[nth < most]]), b.append(leaf.at[y[nth < most]])
     none = np.zeros(0, np.int64)
     a, b, seen = (np.concatenate([none, *p]) for p in (a, b, seen))
-    return a, b, np.unique(seen) if off.any() else none
-
-
-def leaf_round(nodes: DataFrame, trees: list[VantageTree], distance: int, total: int, most: int, turn: int, leaves: np.ndarray | None) -> DataFrame:
-    """a, b, leaf: the pairs of one round between ``nodes`` (print, second, rep, label) that meet in a leaf of the trees, of ``leaves`` only where given.
-
-    Rows without b name a node that later rounds may pair, and a leaf where pairs were put off.
+    if len(a):
+        a, b = np.unique(np.stack((a, b)), axis=1)
+        nth = np.arange(len(a)) - np.searchsorted(a, a)
+        more |= bool(nth.max() >= most)
+        a, b = a[nth < most], b[nth < most]
+    return a, b, np.unique(seen) if more else none
+
+
+def joined_up(leaf: Leaf, sets: list[np.ndarray], across: bool) -> Iterator[tuple[int, int]]:
+    """Links (positions in the leaf) of a spanning forest over the leaf's labels: every possible pair is compared, but where links join its ends already."""
+    shared = None
+    for later, earlier in leaf.pairs(across):
+        for i in range(0, len(later), 1 << 14):
+            x, y = later[i : i + (1 << 14)], earlier[i : i + (1 << 14)]
+            keep = leaf.label[x] != leaf.label[y]
+            x, y = x[keep], y[keep]
+            if not len(x):
+                continue
+            if shared is None:
+                shared = _bitmaps(sets)
+            if shared.nbytes > 1 << 27 or len(x) * shared.shape[1] > 1 << 25:
+                both = np.array([len(np.intersect1d(sets[k], sets[m], assume_unique=True)) for k, m in zip(x.tolist(), y.tolist(), strict=True)])
+            else:
+                both = np.bitwise_count(shared[x] & shared[y]).sum(axis=1, dtype=np.int64)
+            alike = both >= leaf.similarity * (leaf.size[x] + leaf.size[y] - both)
+            for k, m in zip(x[alike].tolist(), y[alike].tolist(), strict=True):
+                if leaf.label[k] != leaf.label[m]:
+                    leaf.label[leaf.label == leaf.label[k]] = leaf.label[m]
+                    yield k, m
+
+
+def _bitmaps(sets: list[np.ndarray]) -> np.ndarray:
+    """A row of bits for each set: one for every value that several sets have.  Empty (with more columns than are worth it) where that takes too much."""
+    sizes = [len(s) for s in sets]
+    _, inverse, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    number = np.cumsum(counts > 1) - 1
+    keep = (counts > 1)[inverse]
+    column, row = number[inverse][keep], np.repeat(np.arange(len(sets)), sizes)[keep]
+    words = (int(number[-1]) + 64) // 64
+    if words * len(sets) > 1 << 24:
+        return np.zeros((0, 1 << 26), np.uint64)
+    out = np.zeros((len(sets), words), np.uint64)
+    np.bitwise_or.at(out, (row, column >> 6), np.uint64(1) << (column & 63).astype(np.uint64))
+    return out
+
+
+def _grid(rows: DataFrame, budget: int) -> DataFrame:
+    """``rows`` (shard, label, print, rep, size, ..) dealt to groups (shard, low, high) of about ``budget`` shingles at most twice, with the column block.
+
+    A shard with one label only needs no more comparison.  A larger one is split into blocks: of rows that have another label than most of it, and of the others.
+    Two blocks meet if one of them is of the former; so rows of one label, however many, are dealt out as often as there are blocks of other labels.
     """
+    by_label = rows.groupBy("shard", "label").agg(F.sum("size").alias("own"))
+    total, most = F.sum("own"), F.max("own")
+    split = total > budget
+    shards = by_label.groupBy("shard").agg(
+        F.max_by("label", F.struct("own", "label")).alias("major"), F.count("*").alias("labels"), split.alias("split"),
+        F.when(split, F.ceil((total - most) / budget)).otherwise(1).cast("int").alias("minor_blocks"), F.when(split, F.ceil(most / budget)).otherwise(0).cast("int").alias("major_blocks"),
+    ).where("labels > 1")
+    crowd = F.col("split") & (F.col("label") == F.col("major"))
+    spread = F.xxhash64("print", "rep")
+    block = F.when(crowd, F.col("minor_blocks") + F.pmod(spread, F.col("major_blocks"))).otherwise(F.pmod(spread, F.col("minor_blocks"))).cast("int")
+    last = F.when(crowd, F.col("minor_blocks")).otherwise(F.col("minor_blocks") + F.col("major_blocks")) - 1
+    met = rows.join(shards, "shard").withColumn("block", block).withColumn("met", F.explode(F.sequence(F.lit(0), last)))
+    return met.withColumn("low", F.least("block", "met")).withColumn("high", F.greatest("block", "met")).drop("met", "major", "labels", "split", "minor_blocks", "major_blocks")
+
+
+def similar_links(docs: DataFrame, groups: DataFrame, same: DataFrame, words: int, similarity: float, distance: int, masks: list[int], reach: int = 1, total: int = 128, shard: int = 1 << 16, leaf: int = LEAF, most: int = 2, budget: int = 1 << 22) -> DataFrame:
+    """Links a, b that join up, with ``same``'s, whatever pairs of ``groups`` (print, second, size, rep) within ``distance`` bits, and ``total`` bits of both, are within ``reach`` on a mask and similar.
+
+    A tree for each mask deals the fingerprints out to shards, with guests where a boundary is within reach.  First each fingerprint is compared with its
+    first ``most`` neighbours, in an order common to all shards, so that many near copies give a few pairs each; what these links join up takes one label.
+    Then those that have further neighbours of another label meet with their shingle sets in the shards, where every pair of different labels is compared and only
+    links that join two labels come out.  So a pair is left out only where verified links join its ends already.
+
+    A shard of too many rows is split into blocks (see ``_grid``).  A crowd of near copies, however large, mostly has one label by then and costs about its own
+    size; only a crowd that is near by its bits but not similar costs up to all its pairs, compared within groups of ``budget`` shingles.
+    """
+    trees, sizes = fit_trees(groups, masks, reach, shard)
     first = np.cumsum([0, *(t.leaves for t in trees)]).tolist()
+    blocks_of = [np.maximum(1, np.ceil(s / (4 * shard))).astype(np.uint64) for s in sizes]
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, 4096):
                 part = batch.slice(i, 4096)
                 prints = part.column("print").to_numpy().view(np.uint64)
-                for tree, base in zip(trees, first, strict=False):
-                    own = tree.home(prints) + base
-                    take = np.arange(len(own)) if leaves is None else np.flatnonzero(leaves[own])
-                    rows = pa.array(take)
-                    yield pa.RecordBatch.from_arrays([pa.array(own[take], pa.int64()), *(part.column(c).take(rows) for c in ("print", "second", "rep", "label"))], ["leaf", "print", "second", "rep", "label"])
-
-    def pair(key: tuple, rows: pa.Table) -> pa.Table:
-        prints, seconds, reps, labels = (rows.column(c).to_numpy() for c in ("print", "second", "rep", "label"))
-        prints, seconds = prints.view(np.uint64), seconds.view(np.uint64)
-        order = np.lexsort((reps, mix(prints ^ mix(np.array([turn], np.uint64)))))  # the same in all trees, so that dense groups have the same few representatives in each
-        reps = reps[order]
-        a, b, rest = leaf_pairs(prints[order], seconds[order], labels[order], distance, total, most)
+                for k, tree in enumerate(trees):
+                    index, leaves = tree.shards(prints)
+                    keep = leaves <= tree.home(prints)[index]
+                    index, leaves = index[keep], leaves[keep]
+                    # Large shards are split at random here, otherwise in each tree; all their rows go on to the next step.
+                    blocks = blocks_of[k][leaves]
+                    block = ((mix(prints[index] ^ np.uint64(k)) >> np.uint64(40)) * blocks) >> np.uint64(24)
+                    rows = part.take(pa.array(index))
+                    yield pa.RecordBatch.from_arrays([pa.array(leaves + first[k], pa.int64()), pa.array(block.astype(np.int32)), pa.array(blocks > 1), *(rows.column(c) for c in ("print", "second", "size", "rep"))], ["shard", "block", "split", "print", "second", "size", "rep"])
+
+    def leaves_of(number: int, rows: pa.Table) -> tuple[np.ndarray, np.ndarray, Iterator[Leaf]]:
+        values = {c: rows.column(c).to_numpy() for c in ("print", "second", "size", "rep", "block", "label" if "label" in rows.column_names else "rep")}
+        order = np.lexsort((values["rep"], mix(values["print"].view(np.uint64))))  # the same everywhere, so that the members of a dense group meet the same few first ones
+        values = {c: v[order] for c, v in values.items()}
+        values.setdefault("label", values["rep"])
+        values |= {c: values[c].view(np.uint64) for c in ("print", "second")}
+        mask = masks[int(np.searchsorted(first, number, "right")) - 1]
+        parts = subleaves(values["print"], np.ones(len(order), bool), [(mask, reach)], leaf)
+        return order, values["rep"], (Leaf(values, at, home, distance, total, similarity) for at, home in parts)
+
+    def neighbours(key: tuple, rows: pa.Table) -> pa.Table:
+        _, reps, leaves = leaves_of(key[0].as_py(), rows)
+        a, b, rest = first_neighbours(leaves, False, most)
+        if rows.column("split")[0].as_py():
+            rest = np.arange(len(reps))
         none = pa.nulls(len(rest), pa.int64())
-        return pa.table({"a": pa.array(np.concatenate((reps[a], reps[rest])), pa.int64()), "b": pa.chunked_array([pa.array(reps[b], pa.int64()), none]), "leaf": pa.chunked_array([pa.nulls(len(a), pa.int64()), pa.array(np.full(len(rest), key[0].as_py()), pa.int64())])})
-
-    return nodes.mapInArrow(deal, "leaf long, print long, second long, rep long, label long").groupBy("leaf").applyInArrow(pair, "a long, b long, leaf long")
-
-
-def similar_links(docs: DataFrame, groups: DataFrame, same: DataFrame, words: int, similarity: float, distance: int, masks: list[int], leaf: int = 1024, most: int = 32, total: int = 128) -> DataFrame:
-    """Links a, b that join up, with ``same``'s, whatever pairs of ``groups`` (print, rep) within ``distance`` bits meet in a leaf and are similar.
-
-    Where ``groups`` has a column second, pairs must also be within ``total`` bits of both.
-
-    In a round, a fingerprint with more than ``most`` neighbours stands for them.  Shingle sets decide, joined-up nodes take one label, and
-    the leaves where pairs were put off go into the next round with four times ``most`` and other representatives, until none is left.  So a pair is left
-    out only where verified links join its ends already.
-    """
-    trees = fit_trees(groups, masks, 0, leaf)
-    groups = groups if "second" in groups.columns else groups.withColumn("second", F.col("print"))
-    leaves, nodes, done, found, shingled, turn = None, groups.withColumn("label", F.col("rep")), None, None, None, 0
-    while True:
-        made = durable(leaf_round(nodes, trees, distance, total, most << 2 * turn, turn, leaves))
-        pairs = made.where("b is not null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b")
-        if turn == 0:
-            pairs = durable(pairs.union(same).where("a <> b").distinct())
-            shingled = durable(shingle_sets(docs, made.select(F.col("a").alias("doc_id")).union(made.select("b")).union(pairs.select("a")).union(pairs.select("b")).where("doc_id is not null").distinct(), words))
-        else:
-            pairs = durable(pairs.distinct().join(done, ["a", "b"], "left_anti"))
-        links = durable(verified_links(pairs, shingled, similarity))
-        found, done = (links, pairs) if turn == 0 else (found.union(links), done.union(pairs))
-        put_off = [r[0] for r in made.where("leaf is not null").select("leaf").distinct().collect()]  # at most the trees' leaves
-        if not put_off:
-            return found
-        leaves = np.zeros(sum(t.leaves for t in trees), bool)
-        leaves[put_off] = True
-        nodes = durable(groups.join(components(found), F.col("rep") == F.col("node"), "left").select("print", "second", "rep", F.coalesce("component", "rep").alias("label")))
-        turn += 1
-
-
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, distance: int = 18, total: int = 32, tables: int = 128, bits: int = 16) -> DataFrame:
+        shards = pa.chunked_array([pa.nulls(len(a), pa.int64()), pa.array(np.full(len(rest), key[0].as_py()), pa.int64())])
+        return pa.table({"a": pa.array(np.concatenate((reps[a], reps[rest])), pa.int64()), "b": pa.chunked_array([pa.array(reps[b], pa.int64()), none]), "shard": shards})
+
+    def undecided(key: tuple, rows: pa.Table) -> pa.Table:
+        number, low, high = (k.as_py() for k in key)
+        _, reps, leaves = leaves_of(number, rows)
+        rest = first_neighbours(leaves, low != high, 0)[2]
+        return pa.table({"shard": pa.array(np.full(len(rest), number), pa.int64()), "rep": pa.array(reps[rest], pa.int64())})
+
+    def settle(key: tuple, rows: pa.Table) -> pa.Table:
+        number, low, high = (k.as_py() for k in key)
+        order, reps, leaves = leaves_of(number, rows)
+        hashes, links = rows.column("hashes"), []
+        for part in leaves:
+            sets = [np.frombuffer(hashes[int(i)].as_buffer(), np.uint64) for i in order[part.at]]
+            part.size = np.array([len(s) for s in sets])
+            links += [(int(reps[part.at[k]]), int(reps[part.at[m]])) for k, m in joined_up(part, sets, low != high)]
+        return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
+
+    dealt = groups.mapInArrow(deal, "shard long, block int, split boolean, print long, second long, size long, rep long")
+    made = durable(dealt.groupBy("shard", "block").applyInArrow(neighbours, "a long, b long, shard long"))
+    pairs = made.where("b is not null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    pairs = durable(pairs.union(same).where("a <> b").distinct())
+    sets = lambda ids: shingle_sets(docs, ids.distinct(), words)
+    links = durable(verified_links(pairs, sets(pairs.select(F.explode(F.array("a", "b")).alias("doc_id"))), similarity))
+    left = made.where("b is null").select("shard", F.col("a").alias("rep")).distinct()
+    if left.isEmpty():
+        return links
+    labels = components(links).select(F.col("node").alias("rep"), F.col("component").alias("label"))
+    nodes = durable(groups.join(labels, "rep", "left").withColumn("label", F.coalesce("label", "rep")))
+    left = _grid(durable(left.join(nodes, "rep")), budget)
+    left = durable(left.groupBy("shard", "low", "high").applyInArrow(undecided, "shard long, rep long").distinct())
+    shingled = sets(left.select(F.col("rep").alias("doc_id"))).withColumnRenamed("doc_id", "rep")
+    left = _grid(durable(left.join(nodes, "rep")), budget).join(shingled, "rep")
+    return links.union(left.groupBy("shard", "low", "high").applyInArrow(settle, "a long, b long"))
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, distance: int = 18, total: int = 32, recall: float = 0.99) -> DataFrame:
     """``docs`` with one row of each group of near-duplicates, the one with the smallest doc_id; all columns kept.
 
-    Sets of shingles as similar as 0.8 differ by 9.7 of 64 bits on average (deviation 2.9), beyond what pruning can bear at full reach.  So the trees work on
-    ``tables`` random choices of ``bits`` bits at reach 0: a pair that differs by d of 64 bits meets in a tree with a chance of at least (1 - d/64)**bits.
-    Fingerprints within ``distance`` bits that meet, and within ``total`` of 128 with a second fingerprint, are candidates, and their shingle
+    Sets of shingles as similar as 0.8 differ by 9.7 of 64 bits on average (deviation 2.9), beyond what pruning can bear at full reach.  So each tree works on
+    a random choice of bits, at reach 1, and there are as many trees as it takes for a pair at ``similarity`` to be within reach in one with a chance of ``recall``
+    (see ``search_plan``).  Fingerprints within ``distance`` bits that meet, and within ``total`` of 128 with a second fingerprint, are candidates, and their shingle
     sets decide.  The second one keeps chance pairs out, so that ``distance`` can be wide.  Rows without an id or without words stay.
+    Repeated rows of the kept id all stay; of rows of one id that differ in text, the set that sorts first stands for all.
     """
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     prints = durable(set_fingerprints(base, words))
-    groups = durable(prints.groupBy("print", "second").agg(F.min("doc_id").alias("rep")))
+    groups = durable(prints.groupBy("print", "second").agg(F.min_by("size", "doc_id").alias("size"), F.min("doc_id").alias("rep")))
     same = prints.join(groups, ["print", "second"]).select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
+    bits, tables = search_plan(groups.count(), similarity, 1, recall)
     found = components(similar_links(base, groups, same, words, similarity, distance, sampled_masks(tables, bits), total=total))
     dropped = found.where("node <> component").select(F.col("node").alias("_dropped_id"))
     return docs.join(dropped, docs[id_col].cast("long") == dropped["_dropped_id"], "left_anti")

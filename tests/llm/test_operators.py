@@ -229,14 +229,37 @@ def test_near_duplicates_among_many_variants(spark):
     prints = np.unique(prints)
     texts = [" ".join(f"w{i // 2}x{j}" for j in range(30)) for i in range(len(prints))]  # 2k and 2k + 1 are equal, others have nothing in common
     order = rng.permutation(len(prints))
-    rows = spark.createDataFrame([(int(p), int(i)) for p, i in zip(prints.view(np.int64)[order], range(len(prints)), strict=True)], "print long, rep long")
+    rows = spark.createDataFrame([(int(p), int(p), 26, int(i)) for p, i in zip(prints.view(np.int64)[order], range(len(prints)), strict=True)], "print long, second long, size long, rep long")
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    links = simhash.similar_links(docs, rows, spark.createDataFrame([], "a long, b long"), 5, 0.8, 13, simhash.sampled_masks(4, 16)).collect()
-    assert {(r.a, r.b) for r in links} == {(i, i + 1) for i in range(0, len(prints) - 1, 2)}
+    want = {(i + 1, i) for i in range(0, len(prints) - 1, 2)}
+    for budget in (1 << 22, 3000):  # the second one splits the shards into blocks
+        links = simhash.similar_links(docs, rows, spark.createDataFrame([], "a long, b long"), 5, 0.8, 18, simhash.sampled_masks(12, 10), budget=budget).collect()
+        assert {(max(r.a, r.b), min(r.a, r.b)) for r in links} == want
+
+
+def _similar_groups(texts, similarity=0.8, words=5):
+    """Components of all pairs whose sets of word shingles are similar, by rarest-shingle prefixes."""
+    sets = {k: set(simhash.shingle_hashes(t or "", words)) for k, t in texts.items()}
+    often, met, pairs = Counter(h for s in sets.values() for h in s), defaultdict(list), set()
+    for k in sorted(sets):
+        rare = sorted(sets[k], key=lambda h: (often[h], h))
+        for h in rare[: len(rare) - int(np.ceil(similarity * len(rare))) + 1]:
+            pairs |= {(o, k) for o in met[h]}
+            met[h].append(k)
+    return _union(sets, [(a, b) for a, b in pairs if len(sets[a] & sets[b]) >= similarity * len(sets[a] | sets[b])])
+
+
+def test_near_duplicates_equal_all_pairs(spark):
+    """On the given documents, each group of similar texts keeps one, and nothing else goes."""
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    groups = _similar_groups({r.doc_id: r.text for r in rows.collect()})
+    got = {r.doc_id for r in simhash.drop_near_duplicates(rows).collect()}
+    want = set(groups.values())
+    assert want <= got and len(got - want) <= 0.02 * (len(groups) - len(want))
 
 
 def test_near_duplicates_at_the_stated_similarity(spark):
-    """Of 3,000 pairs of similarity 0.80 to 0.85 among 6,000 fingerprints, 98.5 % or more are found."""
+    """Of 3,000 pairs of similarity 0.80 to 0.85, of 45 to 366 shingles, among 6,000 fingerprints, 98.5 % or more are found."""
     rng = random.Random(12)
     rows = []
     for i in range(3000):
@@ -256,6 +279,36 @@ def test_near_duplicates_at_the_stated_similarity(spark):
     assert found >= 0.985 * 3000
 
 
+@pytest.mark.parametrize(("rows", "least"), [(10_000, 10), (10_000_000, 16), (10_000_000_000, 26)])
+def test_the_search_plan_keeps_its_recall_at_every_size(rows, least):
+    """Simulated pairs at similarity 0.8 are within reach on one of the planned masks, 98.5 % or more of them, however many rows there are."""
+    bits, count = simhash.search_plan(rows, 0.8)
+    assert bits >= least
+    rng = np.random.default_rng(rows)
+    differing = rng.random((4000, 64)) < np.arccos(1.6 / 1.8) / np.pi
+    found = np.zeros(4000, bool)
+    for mask in simhash.sampled_masks(count, bits):
+        found |= differing[:, [i for i in range(64) if mask >> i & 1]].sum(axis=1) <= 1
+    assert found.mean() >= 0.985
+
+
+def test_a_shard_is_searched_whole():
+    """The tree within a shard loses no pair, on its mask or, where that leaves a leaf too large, on the other bits."""
+    rng = np.random.default_rng(11)
+    mask = (1 << 21) - 1
+    base = rng.integers(0, 1 << 63, 3000, dtype=np.uint64)
+    base[:1500] = base[0] & np.uint64(mask) | base[:1500] & np.uint64(simhash.FULL ^ mask)  # half of them alike on the mask
+    flips = np.array([sum(1 << int(b) for b in rng.choice(64, 2, replace=False)) for _ in range(3000)], np.uint64)
+    prints = np.unique(np.concatenate((base, base ^ flips)))
+    meet = set()
+    for at, home in simhash.subleaves(prints, np.ones(len(prints), bool), [(mask, 1), (simhash.FULL ^ mask, 4)], 64):
+        for i in at[home].tolist():
+            near = at[np.bitwise_count(prints[at] ^ prints[i]) <= 4]
+            meet |= {(min(i, j), max(i, j)) for j in near.tolist() if j != i}
+    want = {(i, int(j)) for i in range(len(prints)) for j in np.flatnonzero((np.bitwise_count(prints ^ prints[i]) <= 4) & (np.bitwise_count((prints ^ prints[i]) & np.uint64(mask)) <= 1)) if j > i}
+    assert want <= meet and len(want) > 1000
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_components(spark, seed):
     random.seed(seed)
