@@ -3,18 +3,20 @@
 from __future__ import annotations
 
 import functools
+import os
 import unicodedata
 import zlib
+from array import array
 from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import public_tokenizers
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import text_array
+from .common import durable, text_array
 
 VOCABULARY = "word_bpe_49k.json"
 #: Context sizes, powers of two, longest first.
@@ -25,66 +27,98 @@ END = 2
 STEP_TOKENS = 1 << 17
 #: Tokens of documents that wait in a task for a place; bounds its memory, but for a single longer document.
 WAITING_TOKENS = 1 << 19
-CACHE = 1_000_000
+#: Bytes of words and ids that a Python worker remembers (it starts anew when there are more), and the longest word that it remembers.
+CACHE_BYTES, CACHE_WORD = 192 << 20, 256
+#: Words below this character whose letters need no text rules; beyond it, libraries may know other letters.
+_PLAIN_BELOW = "\u0530"
 
 
 class WordCoder:
-    """Ids of whole texts from the ids of their words.
+    """Ids of whole texts, as the tokenizers library gives them with the vocabulary file as it is, from the ids of their words.
 
     The vocabulary's own rules lower the case and never join characters across white space, so a text's ids are its words' ids
     in a row.  Each different word is encoded once; lower-case words of letters only skip the text rules, which leave them alone.
+    A text that holds the string of a special token goes through the library whole, as such strings may touch words.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True
+        self.special = [t.content.encode().lower() for t in self.whole.get_added_tokens_decoder().values()]
         self.plain = Tokenizer(self.whole.model)
         self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.ends_word = np.zeros(self.whole.get_vocab_size(), bool)
+        self.ends_word[[i for t, i in self.whole.get_vocab().items() if t.endswith("</w>")]] = True
         self.cache: dict[bytes, bytes] = {}
+        self.held = 0
         self.marks = {m: self._encode(self.whole, [m.decode()])[0] for m in (b".", b",")}
 
     @staticmethod
     def _encode(tokenizer, words: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        return [array("I", e.ids).tobytes() for e in tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    def _encode_plain(self, words: list[str]) -> list[bytes]:
+        """Plain words, many to a text: each word's last id is one that ends words."""
+        out = []
+        lines = [words[i : i + 64] for i in range(0, len(words), 64)]
+        for line, e in zip(lines, self.plain.encode_batch_fast([" ".join(line) for line in lines], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, "<u4")
+            cuts = [0, *(4 * (np.flatnonzero(self.ends_word[ids]) + 1)).tolist()]
+            data = ids.tobytes()
+            out += [data[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+        return out
+
+    @staticmethod
+    def _is_plain(text: str) -> bool:
+        """Letters only, which lower-casing and composing leave as they are."""
+        return text.isalpha() and (text.isascii() or (max(text) < _PLAIN_BELOW and text == text.lower() and unicodedata.is_normalized("NFC", text)))
 
     def _learn(self, fresh: set[bytes]) -> None:
-        """Fills the cache.  A letter word with a full stop or comma behind it is the word's ids and the mark's."""
-        marked, stems = [], set()
+        """Fills the cache.  A plain word with a full stop or comma behind it is the word's ids and the mark's."""
+        marked, letters, others = [], [], []
         for w in fresh:
-            stem = w[:-1] if w[-1:] in self.marks else w
-            text = stem.decode("utf-8", "surrogatepass")
-            if stem is not w and text.isalpha():
-                marked.append((w, stem))
-                if stem not in self.cache:
-                    stems.add((stem, text))
+            text = w.decode("utf-8", "surrogatepass")
+            if w[-1:] in self.marks and self._is_plain(text[:-1]):
+                marked.append(w)
+                if w[:-1] not in self.cache and w[:-1] not in fresh:
+                    letters.append((w[:-1], text[:-1]))
+            elif self._is_plain(text):
+                letters.append((w, text))
             else:
-                stems.add((w, w.decode("utf-8", "surrogatepass")))
-        letters = [(w, t) for w, t in stems if t.isalpha() and t == t.lower() and (t.isascii() or unicodedata.is_normalized("NFC", t))]
-        known = {w for w, _ in letters}
-        others = [(w, t) for w, t in stems if w not in known]
-        for tokenizer, part in ((self.plain, letters), (self.whole, others)):
-            for i in range(0, len(part), 4096):
-                own = part[i : i + 4096]
-                self.cache.update(zip((w for w, _ in own), self._encode(tokenizer, [t for _, t in own]), strict=True))
-        for w, stem in marked:
-            self.cache[w] = self.cache[stem] + self.marks[w[-1:]]
+                others.append((w, text))
+        self.cache.update(zip((w for w, _ in letters), self._encode_plain([t for _, t in letters]), strict=True))
+        for i in range(0, len(others), 4096):
+            own = others[i : i + 4096]
+            self.cache.update(zip((w for w, _ in own), self._encode(self.whole, [t for _, t in own]), strict=True))
+        for w in marked:
+            self.cache[w] = self.cache[w[:-1]] + self.marks[w[-1:]]
+        self.held += sum(len(w) + len(self.cache[w]) + 150 for w in fresh)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        if len(self.cache) > CACHE:
-            self.cache = {}
-        words = [t.encode("utf-8", "surrogatepass").lower().split() for t in texts]
-        fresh = {w for own in words for w in own if w not in self.cache}
+        if self.held > CACHE_BYTES:
+            self.cache, self.held = {}, 0
+        lower = [t.encode("utf-8", "surrogatepass").lower() for t in texts]
+        special = {i for i, t in enumerate(lower) if any(m in t for m in self.special)}
+        words = [[] if i in special else t.split() for i, t in enumerate(lower)]
+        cache = self.cache
+        fresh = {w for own in words for w in own if w not in cache}
         if fresh:
             self._learn(fresh)
-        get = self.cache.__getitem__
-        return [b"".join(map(get, own)) for own in words]
+        get = cache.__getitem__
+        out = [b"".join(map(get, own)) for own in words]
+        for i in special:
+            out[i] = self._encode(self.whole, [texts[i]])[0]
+        for w in [w for w in fresh if len(w) > CACHE_WORD]:
+            self.held -= len(w) + len(cache[w]) + 150
+            del cache[w]
+        return out
 
 
 @functools.lru_cache(maxsize=2)
 def word_coder(path: str) -> WordCoder:
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs as many tasks as there are cores
     return WordCoder(path)
 
 
@@ -177,18 +211,31 @@ class TierPacker:
             left -= size
 
 
-_SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, step_group long"
+_SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, task int, number long"
+
+
+def step_groups(packed: DataFrame) -> DataFrame:
+    """``packed`` (tier, task, number of the sequence among its task's and tier's) with step_group in place of task and number.
+
+    The sequences of a tier are numbered over all tasks, and each run of ``STEP_TOKENS`` tokens is a step: all steps of a tier hold equal tokens,
+    but for its last one.  Only counts by task and tier are gathered, as many rows as tasks times tiers; these are what is joined back.
+    """
+    counts = packed.groupBy("tier", "task").agg((F.max("number") + 1).alias("n"))
+    before = counts.select("tier", "task", F.coalesce(F.sum("n").over(Window.partitionBy("tier").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    step = F.shiftleft(F.col("tier").cast("long"), 44) + F.floor((F.col("before") + F.col("number")) * F.col("tier") / F.lit(STEP_TOKENS))
+    return packed.join(before, ["tier", "task"]).withColumn("step_group", step).drop("task", "number", "before")
 
 
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, tiers: tuple[int, ...] = TIERS, ids: bool = False) -> DataFrame:
     """One row per piece of a packed document; with ``ids`` also the piece's ids as array<int>.
 
-    Each text (null: empty) becomes its ids and the end id 2, so an empty text is a document of one id.  Pieces fill sequences of the tiers'
+    Each text (null: empty) becomes its ids and the end id 2, so an empty text is a document of one id.  Ids are the library's with the file as it
+    is: the string of a special token within a text becomes that token.  Pieces fill sequences of the tiers'
     sizes; a task's last ones are shorter powers of two, so that no sequence needs padding.  ``sequence_id`` is unique: the task's
-    number and a number within it; ``step_group`` puts sequences of one tier into steps of equal tokens.  A text
+    number and a number within it; ``step_group`` puts sequences of one tier into steps of equal tokens (see ``step_groups``).  A text
     of any length is encoded whole and cut into as many pieces as it takes.  Repeated rows are packed each; other columns
-    are left out; an empty table gives no rows.  One pass over the input, no shuffle; a task holds at most
-    ``WAITING_TOKENS`` ids and one batch.
+    are left out; an empty table gives no rows.  One pass over the input, no shuffle of it; a task holds at most
+    ``WAITING_TOKENS`` ids, one batch and the words it remembers.  The pieces are kept in the checkpoint folder, as the steps need their counts.
     """
     path = path or public_tokenizers.path(VOCABULARY)
 
@@ -208,14 +255,13 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
                 done = steps.setdefault(size, [0, -1])
                 if sequence != done[1]:
                     done[0], done[1] = done[0] + 1, sequence
-                group = (task << 32) | (size << 18) | ((done[0] - 1) * size // STEP_TOKENS)
-                rows.append((own[0], start, length, zlib.crc32(data), len(own[1]) // 4, (task << 33) | sequence, offset, size, group, np.frombuffer(data, "<u4").astype(np.int32) if ids else None))
+                rows.append((own[0], start, length, zlib.crc32(data), len(own[1]) // 4, (task << 33) | sequence, offset, size, task, done[0] - 1, np.frombuffer(data, "<u4").astype(np.int32) if ids else None))
                 own[2] -= length
                 if not own[2]:
                     del held[doc]
             packer.out = []
-            kinds = [pa.int64()] * 7 + [pa.int32(), pa.int64()] + [pa.list_(pa.int32())] * ids
-            names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "tier", "step_group", "ids"][: len(kinds)]
+            kinds = [pa.int64()] * 7 + [pa.int32(), pa.int32(), pa.int64()] + [pa.list_(pa.int32())] * ids
+            names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "tier", "task", "number", "ids"][: len(kinds)]
             return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names)
 
         for batch in batches:
@@ -232,4 +278,4 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
         yield flush()
 
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return base.mapInArrow(run, _SCHEMA + ", ids array<int>" * ids)
+    return step_groups(durable(base.mapInArrow(run, _SCHEMA + ", ids array<int>" * ids)))

@@ -351,7 +351,6 @@ def test_packing_holds_every_id_once(docs, plain):
     from tokenizers import Tokenizer
 
     whole = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    whole.encode_special_tokens = True
     rows = packing.pack(docs, ids=True).collect()
     pieces, sequences = defaultdict(list), defaultdict(list)
     for r in rows:
@@ -370,10 +369,41 @@ def test_packing_holds_every_id_once(docs, plain):
     steps = defaultdict(set)
     for r in rows:
         steps[r.step_group].add((r.sequence_id, r.tier))
-    assert all(sum(t for _, t in s) <= packing.STEP_TOKENS for s in steps.values())
+    tokens = Counter()
+    for s in steps.values():
+        assert len({t for _, t in s}) == 1
+        own = sum(t for _, t in s)
+        assert own <= packing.STEP_TOKENS
+        tokens[next(iter(s))[1]] += own < packing.STEP_TOKENS
+    assert all(n <= 1 for n in tokens.values())  # one short step a tier, whatever the number of tasks
     assert max(Counter(r.doc_id for r in rows if r.doc_tokens < 2000).values()) <= 12
 
 
+def test_word_coder_equals_the_library():
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    whole, coder = Tokenizer.from_file(path), packing.WordCoder(path)
+    texts = ["a <|endoftext|> b", "x<|startoftext|>y<|endoftext|>", "<|ENDOFTEXT|> <|STARTOFTEXT|>", "É ̀ ßeİ.", "İ. İ, Iİ ıI.", "don't, it's. I'LL", "ΣΑΣ. σας, Ας", "日本語。 テキスト.", "K Å ﬁ.", "", " \n", "a" * 3000 + ". b"]
+    random.seed(8)
+    parts = ["İ", "ı", "é", "e", "́", "ß", ".", ",", " ", "'s", "a", "Ab", "Σ", "ς", "<|endoftext|>", "<|", "|>", "日", "ﬁ", "1", "-", "\t", "\u00a0", "Ａ", "ʼn", "ǅ", "́."]
+    texts += ["".join(random.choice(parts) for _ in range(random.randint(1, 14))) for _ in range(6000)]
+    for i in range(0, len(texts), 500):
+        part = texts[i : i + 500]
+        for t, got in zip(part, coder.encode(part), strict=True):
+            assert np.frombuffer(got, "<u4").tolist() == whole.encode(t, add_special_tokens=False).ids, t
+
+
+def test_caches_are_bounded_by_bytes(monkeypatch):
+    monkeypatch.setattr(packing, "CACHE_BYTES", 20_000)
+    monkeypatch.setattr(byte_bpe, "CACHE_BYTES", 20_000)
+    words, pieces = packing.WordCoder(public_tokenizers.path("word_bpe_49k.json")), byte_bpe.ByteBpe(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    for coder, encode in ((words, words.encode), (pieces, pieces.encode_batch)):
+        for i in range(20):
+            encode([" ".join(f"w{i}x{j}" for j in range(50)) + " " + "long" * 5000])
+            assert sum(map(len, coder.cache)) < 40_000 and max(map(len, coder.cache)) <= 256 and coder.held >= 0
+
+
 # ---- substring dedup ------------------------------------------------------------------------------------------------
 
 
