@@ -5,7 +5,9 @@ from __future__ import annotations
 import base64
 import functools
 import hashlib
+import os
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,8 +23,8 @@ RANKS = "byte_bpe_multi_50k.tiktoken"
 _BOUNDARY = re.compile(r"(?<=\S) (?=\S)")
 #: A text that can't be cut at its spaces alone.
 _UNEVEN = re.compile(r"\s \S|\S \s|  |^\s|\s$|^ | $")
-#: Entries of the word cache of a Python worker; it starts anew when full.
-CACHE = 1_000_000
+#: Bytes of pieces and ids that a Python worker remembers (it starts anew when there are more), and the longest piece that it remembers.
+CACHE_BYTES, CACHE_PIECE = 64 << 20, 256
 
 
 def byte_alphabet() -> list[str]:
@@ -52,6 +54,7 @@ class ByteBpe:
         byte_of = {c: b for b, c in enumerate(alphabet)}
         self.bytes_of = {i: bytes(byte_of[c] for c in text) for text, i in self.tokenizer.get_vocab().items()}
         self.cache: dict[str, bytes] = {}
+        self.held = 0
 
     def _pieces(self, text: str) -> list[str]:
         words = _BOUNDARY.split(text) if _UNEVEN.search(text) else text.split(" ")
@@ -62,16 +65,20 @@ class ByteBpe:
 
         Texts are cut at spaces where no match can cross, and each different piece is encoded once.
         """
-        if len(self.cache) > CACHE:
-            self.cache = {}
+        if self.held > CACHE_BYTES:
+            self.cache, self.held = {}, 0
         pieces = [self._pieces(t) if t else [] for t in texts]
         fresh = list({p for own in pieces for p in own if p not in self.cache})
         for i in range(0, len(fresh), 4096):
             part = fresh[i : i + 4096]
             for p, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.cache[p] = np.asarray(e.ids, "<u4").tobytes()
+                self.cache[p] = ids = array("I", e.ids).tobytes()
+                self.held += len(p) + len(ids) + 150
         get = self.cache.__getitem__
-        return [b"".join(map(get, own)) for own in pieces]
+        out = [b"".join(map(get, own)) for own in pieces]
+        for p in [p for p in fresh if len(p) > CACHE_PIECE]:
+            self.held -= len(p) + len(self.cache.pop(p)) + 150
+        return out
 
     def offsets(self, text: str) -> list[tuple[int, int]]:
         """The characters that each id covers; ids that split a character share its range."""
@@ -87,6 +94,7 @@ class ByteBpe:
 
 @functools.lru_cache(maxsize=2)
 def coder(path: str) -> ByteBpe:
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs as many tasks as there are cores
     return ByteBpe(path)
 
 
