@@ -12,12 +12,14 @@ from pyspark.sql import functions as F
 
 from .common import durable
 
-#: Vectors that the centroids are fitted on (the driver gets these, no more), centroids of each half, rounds of Lloyd's algorithm.
-SAMPLE, CENTROIDS, ROUNDS = 20_000, 32, 12
+#: Vectors that the centroids are fitted on (the driver gets these, no more), bounds of the centroids of each half, rounds of Lloyd's algorithm.
+SAMPLE, CENTROIDS, ROUNDS = 20_000, (32, 512), 12
+#: Different vectors that a cell should hold: as many as take about the time that the heap takes for a cell.
+CELL = 16
 #: Share of true neighbours that the calibration on the sample asks for, and how many sampled queries it takes.
 RECALL, PROBES = 0.95, 200
-#: Groups that cells are dealt to; stored vectors of a cell beyond so many go to groups of their own.
-GROUPS, CELL_ROWS = 64, 4_096
+#: Stored vectors of a group of cells (a larger cell is split), and queries that meet them at a time.
+GROUP_ROWS, BLOCK = 4_096, 1_024
 
 
 def usable(vector: Column) -> Column:
@@ -86,26 +88,88 @@ def visited_share(sample: np.ndarray, first: np.ndarray, second: np.ndarray, k:
     return float(np.quantile(needed, RECALL)) / len(sample) if needed else 1.0
 
 
+def centroids_for(rows: int) -> int:
+    """Centroids of each half: with n vectors about sqrt(n / CELL), so that cells stay small as the table grows."""
+    return int(np.clip(np.ceil(np.sqrt(rows / CELL)), *CENTROIDS))
+
+
+class Cells:
+    """Where the vectors of each cell lie: consecutive cells fill groups of about ``GROUP_ROWS``, and a larger cell has groups of its own."""
+
+    def __init__(self, different: np.ndarray, rows: np.ndarray) -> None:
+        self.different = different
+        self.parts = np.maximum(1, -(-rows // GROUP_ROWS))
+        self.first = np.zeros(len(rows), np.int64)
+        number, filled = 0, 0
+        for cell in np.flatnonzero(rows).tolist():
+            if filled and filled + rows[cell] > GROUP_ROWS:
+                number, filled = number + 1, 0
+            self.first[cell] = number
+            filled += rows[cell]
+            if self.parts[cell] > 1:
+                number, filled = number + int(self.parts[cell]), 0
+
+
+def visited(x: np.ndarray, y: np.ndarray, cells: Cells, wanted: int) -> np.ndarray:
+    """The cells with vectors that a query at squared distances ``x`` and ``y`` from the halves' centroids visits, until they hold ``wanted`` different vectors."""
+    out, found, width = [], 0, len(y)
+    for a, b in cells_by_distance(x, y):
+        held = cells.different[a * width + b]
+        if held:
+            out.append(a * width + b)
+            found += held
+            if found >= wanted:
+                break
+    return np.array(out, np.int64)
+
+
+def rerank(ids: np.ndarray, queries: np.ndarray, asked: list[np.ndarray], names: np.ndarray, cells: np.ndarray, v: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(query, names, distances) of the ``k`` nearest among the stored vectors (sorted by cell) of the cells that each query asks for."""
+    rough = np.full((len(ids), len(names)), np.inf)
+    own = np.unique(cells)
+    begin, end = np.searchsorted(cells, own), np.searchsorted(cells, own, "right")
+    wants = np.zeros((len(ids), len(own)), bool)
+    for i, c in enumerate(asked):
+        at = np.searchsorted(own, c)
+        known = at < len(own)
+        known[known] = own[at[known]] == c[known]
+        wants[i, at[known]] = True
+    for j, (a, b) in enumerate(zip(begin.tolist(), end.tolist(), strict=True)):
+        of = np.flatnonzero(wants[:, j])
+        if len(of):
+            rough[of, a:b] = np.maximum(squared(queries[of], v[a:b]), 0)
+    most = np.partition(rough, k, axis=1)[:, k] if len(names) > k + 1 else np.full(len(ids), np.inf)  # one more than k, as the query itself may be among them
+    for i, name in enumerate(ids.tolist()):
+        at = np.flatnonzero((rough[i] <= most[i] * (1 + 1e-9) + 1e-9) & np.isfinite(rough[i]) & (names != name))
+        d = np.sqrt(((v[at] - queries[i]) ** 2).sum(axis=1))
+        best = np.lexsort((names[at], d))[:k]
+        yield name, names[at[best]], d[best]
+
+
 def nearest(vectors: DataFrame, queries: Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 10, wanted: int | None = None) -> DataFrame:
     """query_id, rank (from 1), vec_id, score for the rows that ``queries`` selects: the ``k`` nearest other rows found, by
     Euclidean distance in double precision, ties to the smaller vec_id.
 
     Null, empty or zero vectors and those with null or non-finite components take no part, nor do rows without an id or of
-    another length than most have.  Each half of a vector has centroids fitted on at most ``SAMPLE`` vectors; all vectors are indexed by their
+    another length than most have.  Each half of a vector has centroids fitted on at most ``SAMPLE`` vectors, the more the more rows there are (see
+    ``centroids_for``); all vectors are indexed by their
     pair of centroids.  A query visits pairs by summed distance until they hold ``wanted`` different vectors; by default as large a share of
     all as finds 95 % of the true neighbours within the sample (data without clusters ask for a large one).  Equal vectors are one entry with its k + 1
     smallest ids, which is exact, as ties go to smaller ids; so a vector that fills a third of the table fills no cell.
-    Of rows that repeat a vec_id any one counts.  An empty table gives no rows.
+    Of rows that repeat a vec_id the smallest vector counts.  An empty table gives no rows.
+
+    Cells lie in groups of about ``GROUP_ROWS`` stored vectors; a query goes once to each group that holds cells it visits, with their numbers.  A group that
+    more than ``BLOCK`` queries reach is sent to as many tasks as there are blocks of them, so a task's vectors and queries are bounded both.
     """
     spark = vectors.sparkSession
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"), F.coalesce(queries, F.lit(False)).alias("asks")).where(F.col("vec_id").isNotNull() & usable(F.col("v")))
     width = rows.groupBy(F.size("v").alias("n")).agg(F.count("*").alias("rows")).orderBy(F.desc("rows"), F.desc("n")).first()
     if width is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    width, half = width[0], (width[0] + 1) // 2
+    (width, total), half = width, (width[0] + 1) // 2
     rows = rows.where(F.size("v") == width)
-    sample = np.array([r[0] for r in rows.select("v").orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).collect()])
-    first, second = (lloyd(x, CENTROIDS, ROUNDS, i) if x.shape[1] else np.zeros((1, 0)) for i, x in enumerate((sample[:, :half], sample[:, half:])))
+    sample = _matrix(rows.select("v").orderBy(F.xxhash64("vec_id"), "vec_id", "v").limit(SAMPLE).toArrow().column("v"), width)
+    first, second = (lloyd(x, centroids_for(total), ROUNDS, i) if x.shape[1] else np.zeros((1, 0)) for i, x in enumerate((sample[:, :half], sample[:, half:])))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -117,62 +181,49 @@ def nearest(vectors: DataFrame, queries: Column, id_col: str = "vec_id", vector_
     own = Window.partitionBy("v").orderBy("vec_id")
     entries = rows.select("v", "vec_id").withColumn("copy", F.row_number().over(own)).where(F.col("copy") <= k + 1)
     entries = durable(entries.mapInArrow(place, "v array<double>, vec_id long, copy int, cell int"))
-    held, stored_rows = (np.zeros(len(first) * len(second), np.int64) for _ in range(2))
+    different, stored_rows = (np.zeros(len(first) * len(second), np.int64) for _ in range(2))
     for cell, n, m in entries.groupBy("cell").agg(F.count_if(F.col("copy") == 1), F.count("*")).collect():  # as many rows as pairs of centroids
-        held[cell], stored_rows[cell] = n, m
-    parts = np.maximum(1, -(-stored_rows // CELL_ROWS))
+        different[cell], stored_rows[cell] = n, m
+    cells = Cells(different, stored_rows)
     if wanted is None:
-        different = np.unique(sample, axis=0)
-        different = different[np.random.default_rng(0).permutation(len(different))]
-        wanted = int(np.ceil(visited_share(different, first, second, k) * held.sum()))
+        distinct = np.unique(sample, axis=0)
+        distinct = distinct[np.random.default_rng(0).permutation(len(distinct))]
+        wanted = int(np.ceil(visited_share(distinct, first, second, k) * different.sum()))
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            v, ids = _matrix(batch.column("v"), width), batch.column("vec_id").to_numpy()
-            asked: dict[int, list[int]] = {}
-            for i, (x, y) in enumerate(zip(squared(v[:, :half], first), squared(v[:, half:], second), strict=True)):
-                found = 0
-                for a, b in cells_by_distance(x, y):
-                    cell = a * len(second) + b
-                    if held[cell]:
-                        asked.setdefault(cell, []).append(i)
-                        found += held[cell]
-                    if found >= wanted:
-                        break
-            out = [(cell, part, ids[at].tobytes(), v[at].tobytes()) for cell, at in asked.items() for part in range(parts[cell])]
-            kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in out], kind) for j, kind in enumerate(kinds)], ["cell", "part", "ids", "asked"])
-
-    def rerank(asked: pa.Table, stored: pa.Table) -> pa.Table:
-        names, v, cells = stored.column("vec_id").to_numpy(), _matrix(stored.column("v"), width), stored.column("cell").to_numpy()
-        by = np.argsort(cells, kind="stable")
-        names, v, cells = names[by], v[by], cells[by]
-        vectors_of: dict[int, np.ndarray] = {}
-        near: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
-        for cell, ids, data in zip(asked.column("cell").to_pylist(), asked.column("ids"), asked.column("asked"), strict=True):
-            a, b = np.searchsorted(cells, (cell, cell + 1))
-            ids, q = np.frombuffer(ids.as_buffer(), np.int64), np.frombuffer(data.as_buffer(), np.float64).reshape(-1, width)
-            for i in range(0, len(ids), 256):
-                rough = np.maximum(squared(q[i : i + 256], v[a:b]), 0)
-                for j, (name, d) in enumerate(zip(ids[i : i + 256].tolist(), rough, strict=True)):
-                    vectors_of[name] = q[i + j]
-                    most = np.partition(d, k)[k] if len(d) > k + 1 else np.inf  # one more than k, as the query itself may be among them
-                    at = np.flatnonzero(d <= most * (1 + 1e-9) + 1e-9)
-                    near.setdefault(name, []).append((at + a, d[at]))
-        out: list[tuple] = []
-        for name, found in near.items():
-            at = np.unique(np.concatenate([x for x, _ in found]))
-            at = at[names[at] != name]
-            d = np.sqrt(((v[at] - vectors_of[name]) ** 2).sum(axis=1))
-            best = np.lexsort((names[at], d))[:k]
-            out += [(name, int(n), float(s)) for n, s in zip(names[at[best]], d[best], strict=True)]
+            for i in range(0, batch.num_rows, 64):
+                part = batch.slice(i, 64)
+                v, out = _matrix(part.column("v"), width), []
+                for j, (x, y) in enumerate(zip(squared(v[:, :half], first), squared(v[:, half:], second), strict=True)):
+                    asked = np.sort(visited(x, y, cells, wanted))
+                    group, parts = cells.first[asked], cells.parts[asked]
+                    whole = parts == 1
+                    for own in np.split(np.flatnonzero(whole), np.flatnonzero(np.diff(group[whole])) + 1):
+                        if len(own):
+                            out.append((j, int(group[own[0]]), asked[own].astype("<i4").tobytes()))
+                    out += [(j, int(group[c]) + p, asked[c : c + 1].astype("<i4").tobytes()) for c in np.flatnonzero(~whole).tolist() for p in range(int(parts[c]))]
+                take = pa.array([r[0] for r in out], pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array([r[1] for r in out], pa.int32()), part.column("vec_id").take(take), part.column("v").take(take), pa.array([r[2] for r in out], pa.binary())], ["group", "query_id", "q", "asked"])
+
+    def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cell, spread = (batch.column(c).to_numpy() for c in ("cell", "spread"))
+            group = cells.first[cell] + spread % cells.parts[cell]
+            yield pa.RecordBatch.from_arrays([pa.array(group, pa.int32()), *(batch.column(c) for c in ("vec_id", "v", "cell"))], ["group", "vec_id", "v", "cell"])
+
+    def search(asked: pa.Table, stored: pa.Table) -> pa.Table:
+        cell = stored.column("cell").to_numpy()
+        by = np.argsort(cell, kind="stable")
+        out = [(name, int(n), float(d)) for name, near, away in rerank(asked.column("query_id").to_numpy(), _matrix(asked.column("q"), width), [np.frombuffer(c.as_buffer(), "<i4") for c in asked.column("asked")], stored.column("vec_id").to_numpy()[by], cell[by], _matrix(stored.column("v"), width)[by], k) for n, d in zip(near, away, strict=True)]
         return pa.table({c: pa.array([r[j] for r in out], kind) for j, (c, kind) in enumerate((("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())))})
 
-    group = F.pmod(F.xxhash64("cell", "part"), F.lit(max(GROUPS, int(parts.sum()) // 16))).alias("group")
-    visits = rows.where("asks").select("vec_id", "v").dropDuplicates(["vec_id"]).mapInArrow(visit, "cell int, part int, ids binary, asked binary").select("*", group)
-    spread = F.pmod(F.xxhash64("vec_id"), F.get(F.array(*map(F.lit, parts.tolist())), F.col("cell"))).cast("int")
-    stored = entries.select("vec_id", "v", "cell", spread.alias("part")).select("*", group)
-    found = visits.groupBy("group").cogroup(stored.groupBy("group")).applyInArrow(rerank, "query_id long, vec_id long, score double")
+    visits = durable(rows.where("asks").groupBy("vec_id").agg(F.min("v").alias("v")).mapInArrow(visit, "group int, query_id long, q array<double>, asked binary"))
+    reached = visits.groupBy("group").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
+    visits = visits.join(reached, "group").withColumn("block", F.pmod(F.xxhash64("query_id"), F.col("blocks")).cast("int")).select("group", "block", "query_id", "q", "asked")
+    stored = entries.withColumn("spread", F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30))).mapInArrow(store, "group int, vec_id long, v array<double>, cell int")
+    stored = stored.join(reached.toDF("group", "of"), "group").select(F.col("group").alias("group"), F.explode(F.sequence(F.lit(0), F.col("of") - 1)).alias("block"), "vec_id", "v", "cell")
+    found = visits.groupBy("group", "block").cogroup(stored.groupBy("group", "block")).applyInArrow(search, "query_id long, vec_id long, score double")
     found = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
