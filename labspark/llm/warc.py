@@ -13,8 +13,8 @@ from .common import durable
 
 #: Payloads from this size on are stored once; later captures of them revisit the first.
 REVISIT_BYTES = 1000
-#: Records of an archive file; a file is one row when read.
-FILE_RECORDS = 600
+#: Records of an archive file, which is one row when read; captures of larger payloads have files of their own.
+FILE_RECORDS, LARGE_BYTES = 600, 1 << 17
 VERSION = "WARC/1.1"
 _NAMESPACE = "urn:uuid:"
 
@@ -39,6 +39,7 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     The request and the metadata name the response in WARC-Concurrent-To.  Of equal payloads (null: empty) of at least ``REVISIT_BYTES`` bytes, the
     row with the largest id has the response; the others are revisits of it and carry no payload.  Spark's text writer makes
     the files, so that they may lie in any store.  Only ids and digests are shuffled to find equal payloads.
+    A file holds at most 200 captures of up to ``LARGE_BYTES`` bytes, or a single larger one.  Repeated rows write equal records.
     """
     payload = F.coalesce(F.col(payload_col).cast("string"), F.lit(""))
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.regexp_replace(F.coalesce(F.col(url_col).cast("string"), F.lit("")), "[\r\n]", " ").alias("url"), payload.alias("payload"), F.sha1(F.encode(payload, "UTF-8")).alias("digest"), F.octet_length(payload).alias("size"))
@@ -46,7 +47,7 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     revisits = durable(rows.where(F.col("size") >= REVISIT_BYTES).select("page_id", "digest").join(firsts, "digest").where("page_id <> first").distinct())
     rows = rows.join(revisits, ["page_id", "digest"], "left")
 
-    name = lambda page: F.concat(F.coalesce(page.cast("string"), F.concat(F.lit("null "), "url")), F.lit("|"), "digest")
+    name = lambda page: F.concat(F.coalesce(page.cast("string"), F.lit("null")), F.lit("|"), "digest")
     rows = rows.withColumn("capture", name(F.col("page_id"))).withColumn("response_id", _record_id("response", F.col("capture")))
     original_id = F.when(F.col("first").isNotNull(), _record_id("response", name(F.col("first"))))
     head = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("size").cast("string"), F.lit("\r\n\r\n"))
@@ -58,8 +59,11 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     )
     fields = F.concat_ws("\r\n", F.concat(F.lit("pageId: "), F.col("page_id").cast("string")), F.concat(F.lit("payloadLength: "), F.col("size").cast("string")), F.lit(""))
     metadata = _record("metadata", _record_id("metadata", F.col("capture")), fields, target, ("WARC-Concurrent-To", F.col("response_id")), ("Content-Type", F.lit("application/warc-fields")))
-    records = rows.select(F.explode(F.array(request, response, metadata)).alias("value"))
-    records.write.option("lineSep", "\r\n\r\n").option("compression", codec).option("maxRecordsPerFile", FILE_RECORDS).text(path)
+    records = rows.select("size", F.explode(F.array(request, response, metadata)).alias("value"))
+    largest = pages.agg(F.max(F.octet_length(F.col(payload_col).cast("string")))).first()[0] or 0
+    small = records.where(F.col("size") < LARGE_BYTES) if largest >= LARGE_BYTES else records
+    for part, folder, count in ((small, "small", FILE_RECORDS), *([(records.where(F.col("size") >= LARGE_BYTES), "large", 3)] if largest >= LARGE_BYTES else [])):
+        part.select("value").write.option("lineSep", "\r\n\r\n").option("compression", codec).option("maxRecordsPerFile", count).text(f"{path}/{folder}")
 
 
 def parse_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -101,7 +105,7 @@ def read_records(spark: SparkSession, path: str, payloads: bool = False) -> Data
                         out = []
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], f.type) for i, f in enumerate(schema)], schema=schema)
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, _RECORD)
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("content").mapInArrow(run, _RECORD)
 
 
 def assemble(records: DataFrame) -> DataFrame:
@@ -110,7 +114,8 @@ def assemble(records: DataFrame) -> DataFrame:
     Request and metadata records join the response or revisit that their concurrent-to identifier names.  Captures without them
     have null there.
     """
-    nested = F.struct("record_type", "record_id", "refers_to", "payload_digest", "payload_bytes", "computed_digest", "payload").alias("response")
+    names = ["record_type", "record_id", "refers_to", "payload_digest", "payload_bytes", "computed_digest", "payload", *(["copies"] if "copies" in records.columns else [])]
+    nested = F.struct(*names).alias("response")
     responses = records.where("record_type in ('response', 'revisit')").select(F.col("record_id").alias("id"), "target_uri", nested)
     requests = records.where("record_type = 'request'").select(F.col("concurrent_to").alias("id"), F.struct("record_id", "target_uri").alias("request"))
     metadata = records.where("record_type = 'metadata'").select(F.col("concurrent_to").alias("id"), F.struct("record_id", "fields").alias("metadata"))
@@ -123,20 +128,24 @@ def captures(pages: DataFrame, path: str | None = None) -> DataFrame:
     archives under ``path`` (a new folder beside the session's checkpoints, if none is given).
 
     Sizes and digests of responses are those of the payload read back; revisits have what their records state: the digest, and
-    the length in their metadata.  Null html is an empty payload.  Repeated rows (equal page_id and html) write equal records, which
-    are one capture when read; rows without an id keep null, and are one for each url and html.  An empty table gives no rows.
+    the length in their metadata.  Null html is an empty payload.  Repeated rows (equal page_id and html) write records of equal ids, which are one
+    transaction, and are returned as often as they are; rows without an id keep null.  An empty table gives no rows.
     """
     spark = pages.sparkSession
     if path is None:
         durable(spark.range(1))
         path = f"{spark.sparkContext.getCheckpointDir()}/archives-{uuid.uuid4().hex}"
     write_archives(pages, path)
-    records = durable(read_records(spark, path).drop("payload").dropDuplicates(["record_id"]))
+    read = read_records(spark, path).drop("payload")
+    # Equal records become one with a count, so that joins through their ids don't multiply them.
+    records = durable(read.groupBy("record_id").agg(*((F.first if c == "fields" else F.min)(c).alias(c) for c in read.columns if c != "record_id"), F.count("*").alias("copies")))
     whole = assemble(records.withColumn("payload", F.lit(None).cast("binary")))
     names = records.where("record_type = 'metadata' and concurrent_to is not null").select(F.col("concurrent_to").alias("original_id"), F.col("fields")["pageId"].cast("long").alias("refers_to")).distinct()
     wanted = whole.where("response.refers_to is not null").select(F.col("response.refers_to").alias("original_id")).distinct()
     names = names.join(wanted, "original_id", "left_semi")
-    joined = whole.withColumn("original_id", F.col("response.refers_to")).join(names, "original_id", "left")
+    # Responses refer to nothing; keys of their own keep them from meeting in one task.
+    joined = whole.withColumn("original_id", F.coalesce("response.refers_to", F.concat(F.lit("none "), "response.record_id"))).join(names, "original_id", "left")
+    joined = joined.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("response.copies").cast("int"))))
     length = F.coalesce("response.payload_bytes", F.col("metadata.fields")["payloadLength"].cast("long"))
     digest = F.coalesce("response.computed_digest", F.regexp_replace("response.payload_digest", "^sha1:", ""))
     return joined.select("page_id", length.alias("payload_bytes"), digest.alias("payload_digest"), F.col("response.record_type").alias("record_type"), "refers_to")
