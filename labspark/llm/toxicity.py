@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_array
+from .common import durable, text_array
 from .simhash import shingle_hashes
 
 #: Labelled rows that a model is fitted on at most (by order of a hash of their id), and lexicon entries learnt.
@@ -27,8 +27,8 @@ QUOTED = re.compile(r"\"[^\"\n]{1,400}\"|“[^”\n]{1,400}”|«[^»\n]{1,400}
 TOKEN = re.compile(r"[\w@$]+")
 #: Digits and signs that stand for letters.
 LOOKALIKES = str.maketrans("01345@$", "oieasas")
-#: Words that a task remembers as looked up; it starts anew when there are more.
-CACHE = 250_000
+#: Bytes of words that a task remembers as looked up; it starts anew when there are more.
+CACHE_BYTES = 32 << 20
 
 
 class Levenshtein:
@@ -90,6 +90,7 @@ class Lexicon:
         self.middle_shapes = sorted({(len(p), x) for p, x in self.middles})
         self.lengths = {n for t in terms for n in range(len(t) - allowed_edits(t), len(t) + allowed_edits(t) + 1) if allowed_edits(t)}
         self.known: set[str] = set()
+        self.held = 0
         self.found: dict[str, tuple[str, str, int]] = {}
 
     @staticmethod
@@ -134,11 +135,12 @@ class Lexicon:
 
     def hits(self, words: list[str]) -> bool:
         """Looks every new word up; whether any is a hit."""
-        if len(self.known) > CACHE:
-            self.known, self.found = set(), {}
+        if self.held > CACHE_BYTES:
+            self.known, self.found, self.held = set(), {}, 0
         own = set(words)
         for w in own - self.known:
             self.known.add(w)
+            self.held += len(w) + 100
             if hit := self.search(w):
                 self.found[w] = hit
         return not own.isdisjoint(self.found)
@@ -200,6 +202,11 @@ def fit(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col:
 
     Entries are words, and beginnings that several words share, whose share of toxic documents is beyond chance for so many
     candidates.  Word counts are summed in Spark; at most ``LEXICON`` entries and ``rows`` short feature vectors reach the driver.
+
+    Labels are those of the smallest hashes of their ids.  Rows without an id or a label don't train; null texts are empty ones.  Of near copies (equal least shingle
+    hash and label) the one with the smallest id trains, of several texts of one id the one with the smallest hash; a document with contradictory labels
+    trains once for each.  Without labels, or with labels of one kind only, nothing can be learnt: the model then is ``SEED_TERMS`` with prior weights.
+    Terms of fewer than five letters are found as they are only, as nearly every short word is within an edit of another.
     """
     chosen = labelled.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label")).where("doc_id is not null and label is not null").orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(rows)
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -209,9 +216,10 @@ def fit(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col:
             least = [min(shingle_hashes(t, 5), default=0) & (1 << 63) - 1 for t in text_array(batch.column("text")).to_pylist()]
             yield batch.append_column("signature", pa.array(least, pa.int64()))
 
-    joined = base.join(F.broadcast(chosen), "doc_id").select("text", "label")  # at most ``rows`` rows on the small side
+    joined = base.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label")  # at most ``rows`` rows on the small side
     # Copies and near copies mostly share their least shingle hash; of each such group one row trains, else its words would all seem toxic.
-    train = joined.mapInArrow(signed, "text string, label int, signature long").dropDuplicates(["signature", "label"]).persist()
+    one_each = joined.mapInArrow(signed, "doc_id long, text string, label int, signature long").groupBy("signature", "label").agg(F.min_by("text", F.struct("doc_id", F.xxhash64("text"))).alias("text"))
+    train = durable(one_each.orderBy("signature", "label").limit(rows).select("text", "label", "signature"))
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -224,10 +232,10 @@ def fit(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col:
 
     n, toxic = train.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
     if not n or not toxic or toxic == n:
-        train.unpersist()
         return Model()
     base_rate = F.lit(toxic / n)
-    counts = train.mapInArrow(words, "word string, label int, signature long").groupBy("word").agg(F.sum("label").alias("pos"), F.count("*").alias("n"), F.min("signature").alias("low"), F.max("signature").alias("high")).persist()
+    counts = train.mapInArrow(words, "word string, label int, signature long").groupBy("word").agg(F.sum("label").alias("pos"), F.count("*").alias("n"), F.min("signature").alias("low"), F.max("signature").alias("high"))
+    counts = durable(counts)
     stems = counts.where("length(word) >= 5").select(F.explode(F.expr("transform(sequence(4, least(9, length(word) - 1)), k -> substring(word, 1, k))")).alias("word"), "pos", "n", "low", "high").groupBy("word").agg(F.sum("pos").alias("pos"), F.sum("n").alias("n"), F.count("*").alias("words"), F.min("low").alias("low"), F.max("high").alias("high"))
     evidence = F.col("pos") * F.log(F.col("pos") / F.col("n") / base_rate)
     vocabulary = counts.where("n >= 2").count()
@@ -245,8 +253,6 @@ def fit(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col:
 
     rows_ = train.mapInArrow(vectors, "x array<double>, label int").collect()
     model.weights = regress(np.array([r[0] for r in rows_]), np.array([r[1] for r in rows_], float)).tolist()
-    counts.unpersist()
-    train.unpersist()
     return model
 
 
