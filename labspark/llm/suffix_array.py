@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -12,13 +11,14 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASE, BASE_INVERSE, mix, ordered_chunks, powers, row_slices, text_array, text_buffer
-from .substring import bucket_bits
+from .common import BASE, BASE_INVERSE, bucket_bits, mix, ordered_chunks, powers, row_slices, text_array, text_buffer
 
 LENGTH = 100
 #: Length of the seeds by which equal strings meet.
 SEED = 20
 CHUNK_BYTES = 4 << 20
+#: Texts that are streamed through an index at a time.
+TEXTS = 2048
 #: Texts of a chunk are hashed so many bytes at a time.
 PART = 1 << 18
 #: Buckets for each chunk, as a power of two: an index is built over a few hundred kB.
@@ -30,26 +30,25 @@ MORE_BUCKETS = 2
 
 @dataclass
 class RunLengthIndex:
-    """Run-compressed Burrows-Wheeler transform of texts that each end in a terminator of their own.
+    """Run-compressed Burrows-Wheeler transform of texts that each end in a terminator of their own, with sampled run ends.
 
-    ``run_start``, ``run_symbol``: rows where a run of the transform begins, and its symbol (0: a terminator).
-    ``run_step``: the row that the last-to-first step reaches from a run's first row.
-    ``head_sample``, ``tail_sample``: text places of the rows at the runs' ends.
-    ``block_start``: rows where the first ``length`` bytes of the sorted suffixes change, and ``block_first`` the earliest text place of each such block
-    (-1: shorter suffixes).
+    ``symbol``: the symbol of each run of the transform (0: a terminator; these make runs of one row).
+    ``head_sample``, ``tail_sample``: text places of the suffixes at each run's first and last row.
+    ``head_match``: how many bytes the suffix one place before a run's head shares with the suffix above it in the order.
+
+    Rows of a run keep their order one place further left, so the suffix above that of place p is one place left of that above p + 1, but where p + 1 is a
+    run's head; there it is one place left of the tail of the last run before with the same symbol.  The samples hold these breaks, and everything between
+    follows by counting: of any place the neighbours in the suffix order and how many bytes are shared with them.  Nothing of the texts' length is kept.
     """
 
-    texts: int
-    run_start: np.ndarray
-    run_symbol: np.ndarray
-    run_step: np.ndarray
+    size: int
+    symbol: np.ndarray
     head_sample: np.ndarray
     tail_sample: np.ndarray
-    block_start: np.ndarray
-    block_first: np.ndarray
+    head_match: np.ndarray
 
     @classmethod
-    def build(cls, data: np.ndarray, ends: np.ndarray, length: int) -> RunLengthIndex:
+    def build(cls, data: np.ndarray, ends: np.ndarray) -> RunLengthIndex:
         """From texts laid end to end, each with one more place, at ``ends``, for its terminator."""
         n = len(data)
         symbols = data.astype(np.int64) + 1
@@ -64,33 +63,21 @@ class RunLengthIndex:
         key = (four << 27) | (four[ahead(4)] >> 9)
         key[ends] = np.arange(len(ends)) - len(ends)
         rank, tied = cls._ranked(key, np.zeros(n, np.int64), place)
-        depth, half = 7, None
+        depth = 7
         while len(tied):
-            if half is None and length < 2 * depth:
-                half = (min(depth, length), rank.copy())
-            fresh, tied = cls._ranked((rank[tied] << 32) | rank[np.minimum(tied + depth, stop[tied])], rank, tied)
-            rank = fresh
+            rank, tied = cls._ranked((rank[tied] << 32) | rank[np.minimum(tied + depth, stop[tied])], rank, tied)
             depth *= 2
-        if half is None:
-            half = (min(depth, length), rank)
         suffixes = np.empty(n, np.int64)
         suffixes[rank] = place
 
-        # Blocks of suffixes that share their first ``length`` bytes.
-        first, second = half[1], half[1][np.minimum(place + length - half[0], stop)]
-        full = stop - place >= length
-        a, b = suffixes[:-1], suffixes[1:]
-        same = full[a] & full[b] & (first[a] == first[b]) & (second[a] == second[b])
-        block_start = np.concatenate(([0], np.flatnonzero(~same) + 1))
-        block_first = np.where(full[suffixes[block_start]], np.minimum.reduceat(suffixes, block_start), -1)
-
-        transform = np.where(suffixes > 0, symbols[suffixes - 1], 0)
-        run_start = np.concatenate(([0], np.flatnonzero(np.diff(transform)) + 1))
-        run_symbol, run_length = transform[run_start], np.diff(np.append(run_start, n))
-        by = np.argsort(run_symbol, kind="stable")
-        run_step = np.empty(len(run_start), np.int64)
-        run_step[by] = np.concatenate(([0], np.cumsum(run_length[by])[:-1]))
-        return cls(len(ends), run_start, run_symbol, run_step, suffixes[run_start], suffixes[np.append(run_start[1:], n) - 1], block_start, block_first)
+        before = np.where(suffixes > 0, symbols[suffixes - 1], 0)
+        start = np.flatnonzero(np.concatenate(([True], (before[1:] != before[:-1]) | (before[1:] == 0))))
+        tails = np.append(start[1:], n) - 1
+        index = cls(n, before[start], suffixes[start], suffixes[tails], np.zeros(len(start), np.int64))
+        runs, heads, last = index._shifted()
+        left, right = heads[1:], last[:-1]
+        index.head_match[runs[1:]] = cls._common(data, left, right, np.minimum(stop[left] - left, stop[right] - right))
+        return index
 
     @staticmethod
     def _ranked(key: np.ndarray, rank: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -109,22 +96,63 @@ class RunLengthIndex:
         alone = head & np.concatenate((head[1:], [True]))
         return rank, places[~alone]
 
-    def long_matches(self, starts: np.ndarray, ends: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Streams the texts backwards through the index, all at once: (texts, places) whose matching statistic against
-        what lies before them reaches the index's length."""
-        n = int(ends[-1]) + 1
-        run_of, block_of = (np.repeat(np.arange(len(x), dtype=np.int32), np.diff(np.append(x, n))) for x in (self.run_start, self.block_start))
-        shift = self.run_step - self.run_start
-        text, row, place = np.arange(self.texts), np.arange(self.texts), ends.copy()
-        while len(text):
-            row = row + shift[run_of[row]]
-            place = place - 1
-            first = self.block_first[block_of[row]]
-            hit = (first >= 0) & (first < place)
-            if hit.any():
-                yield text[hit], place[hit]
-            more = place > starts[text]
-            text, row, place = text[more], row[more], place[more]
+    @staticmethod
+    def _common(data: np.ndarray, a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
+        """Lengths of the common beginnings at places ``a`` and ``b``, at most ``most``: eight bytes at a time while they agree."""
+        eight = np.lib.stride_tricks.sliding_window_view(np.concatenate((data, np.zeros(8, np.uint8))), 8)
+        out, left = np.zeros(len(a), np.int64), np.arange(len(a))
+        while len(left):
+            x, y = (np.ascontiguousarray(eight[p[left] + out[left]]).view("<u8").ravel() for p in (a, b))
+            differ = x ^ y
+            low = differ & (~differ + np.uint64(1))  # the lowest differing bit lies in the first differing byte
+            out[left] += np.where(differ == 0, 8, np.bitwise_count(low - np.uint64(1)) >> 3)
+            left = left[(differ == 0) & (out[left] < most[left])]
+        return np.minimum(out, most)
+
+    def _shifted(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Runs in the order of the suffixes one place before theirs, and the places of these at each run's head and tail.
+
+        That order goes by the symbol, and among equal ones keeps the runs'; terminators come first, by their number.
+        """
+        heads, tails = (self.head_sample - 1) % self.size, (self.tail_sample - 1) % self.size
+        runs = np.lexsort((np.where(self.symbol == 0, heads, np.arange(len(heads))), self.symbol))
+        return runs, heads[runs], tails[runs]
+
+    def neighbours(self) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Breaks of the suffix above and of that below: sorted places, the neighbour there and the bytes shared with it."""
+        runs, heads, tails = self._shifted()
+        none, match = -(1 << 40), self.head_match[runs]
+        out = []
+        for at, to, shared in ((heads, np.concatenate(([-1], tails[:-1])), np.concatenate(([none], match[1:]))), (tails, np.concatenate((heads[1:], [-1])), np.concatenate((match[1:], [none])))):
+            by = np.argsort(at)
+            out.append((at[by], to[by], shared[by]))
+        return out
+
+    def earlier_matches(self, places: np.ndarray, length: int) -> np.ndarray:
+        """For each of ``places`` a smaller place with which it shares ``length`` bytes or more (-1: there is none).
+
+        Matching statistics are streamed along the suffix order, upwards and downwards from each place at once, while ``length`` bytes are shared, until a
+        smaller place is met.  Neighbours and shared lengths come from the samples alone.
+        """
+        found, both = np.full(len(places), -1), self.neighbours()
+        here = [(np.arange(len(places)), places), (np.arange(len(places)), places)]
+        steps = 0
+        while any(len(own) for own, _ in here):
+            steps += 1
+            if steps > self.size:
+                raise ValueError("the samples of the index contradict each other")
+            for side, (at, to, match) in enumerate(both):
+                own, now = here[side]
+                more = found[own] < 0
+                own, now = own[more], now[more]
+                k = np.searchsorted(at, now)
+                away = at[k] - now
+                near = match[k] + away >= length
+                own, now = own[near], to[k[near]] - away[near]
+                hit = now < places[own]
+                found[own[hit]] = now[hit]
+                here[side] = own[~hit], now[~hit]
+        return found
 
 
 # ---- which strings meet where ------------------------------------------------------------------------------------
@@ -160,11 +188,25 @@ def seeds(data: np.ndarray, offsets: np.ndarray, length: int, seed: int) -> tupl
     return first, breaks, mix(hashes[at[first]])  # least hashes are small numbers; scrambled again they spread evenly over buckets
 
 
+def whole_characters(data: np.ndarray, edges: list[int]) -> list[int]:
+    """Starts and ends of what stays of a UTF-8 text without the spans whose starts and ends are ``edges``, and without characters that lose a byte."""
+    out = [0]
+    for start, end in zip(edges[::2], edges[1::2], strict=True):
+        while start < len(data) and start > 0 and data[start] & 0xC0 == 0x80:
+            start -= 1
+        while end < len(data) and data[end] & 0xC0 == 0x80:
+            end += 1
+        if start < out[-1]:  # within the character that the last span has cut
+            start = out[-1]
+        out += [start, end]
+    return [*out, len(data)]
+
+
 class Segments:
     """The runs of one chunk: where they lie, and their seeds."""
 
     def __init__(self, rows: pa.Table, length: int, seed: int) -> None:
-        rows = self.rows = rows.sort_by([("doc_id", "ascending")])
+        rows = self.rows = rows.sort_by([("doc_id", "ascending"), ("tie", "ascending")])
         ids = rows.column("doc_id").combine_chunks()
         self.ids = pa.concat_arrays(ids.chunks) if isinstance(ids, pa.ChunkedArray) else ids
         self.texts = text_array(rows.column("text"))
@@ -222,19 +264,19 @@ _RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, spans array<
 
 def remove_repeats_by_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, seed: int = SEED, keep_text: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_bytes, n_removed, n_spans, spans (maximal removed byte ranges), kept_sha256
-    and, on demand, kept_text (bytes of a character cut in two become U+FFFD) and the columns of ``carry``.
+    and, on demand, kept_text (without the characters that lose a byte) and the columns of ``carry``.
 
     A byte goes if a ``length``-byte string covers it that also starts earlier: in a smaller doc_id, or in the same document before. Strings don't
     cross documents, may overlap, and are judged on the input.  Null counts as empty; shorter texts lose nothing.  Rows without an
-    id come last, and rows of one doc_id follow each other in the order they are met.  Other columns are left out; an empty table gives no rows.
+    id come last; they, and rows of one doc_id, follow each other by a hash of their text, whatever order they are met in.  Other columns are left out; an empty table gives no rows.
 
     Equal strings meet by their seeds (see ``seeds``): each chunk of documents sends its seeds' hashes once, learns which are shared, and sends the
     runs of strings around shared seeds, each different one once, to the seed's bucket.  A bucket builds the run-length index over its runs in document order
-    and streams them through it; what matches earlier text for the full length goes back to its chunk.  Hashes only bring
+    and streams them through it; what its matching statistics show to match earlier text for the full length goes back to its chunk.  Hashes only bring
     candidates together: the index compares bytes.
     """
-    chunked = ordered_chunks(docs, id_col, text_col, CHUNK_BYTES, carry=carry)
-    bits = bucket_bits(chunked.agg(F.max("chunk")).first()[0] or 0) + MORE_BUCKETS
+    chunked, count = ordered_chunks(docs, id_col, text_col, CHUNK_BYTES, carry=carry)
+    bits = bucket_bits(count) + MORE_BUCKETS
 
     def bucket_of(values: np.ndarray) -> np.ndarray:
         return (values >> np.uint64(64 - bits)).astype(np.int64)
@@ -279,13 +321,14 @@ def remove_repeats_by_index(docs: DataFrame, id_col: str = "doc_id", text_col: s
         ends = np.cumsum(sizes + 1) - 1
         starts = ends - sizes
         data = np.frombuffer(b"\0".join(texts) + b"\0", np.uint8)
-        index = RunLengthIndex.build(data, ends, length)
-        hits = list(index.long_matches(starts, ends))
-        if hits:
-            text, place = (np.concatenate(x) for x in zip(*hits, strict=True))
-            by = np.lexsort((place, text))
-            text, place = text[by], place[by] - starts[text[by]]
-            cut = np.concatenate(([0], np.flatnonzero((np.diff(text) != 0) | (np.diff(place) != 1)) + 1, [len(text)]))
+        index = RunLengthIndex.build(data, ends)
+        for first in range(0, len(texts), TEXTS):  # streamed through it in document order
+            size = sizes[first : first + TEXTS] - length + 1
+            text = np.repeat(np.arange(first, first + len(size)), size)
+            place = np.arange(len(text)) - np.repeat(np.cumsum(size) - size, size)
+            hit = index.earlier_matches(starts[text] + place, length) >= 0
+            text, place = text[hit], place[hit]
+            cut = np.concatenate(([0], np.flatnonzero((np.diff(text) != 0) | (np.diff(place) != 1)) + 1, [len(text)])) if len(text) else np.zeros(1, np.int64)
             later += [(owner[int(text[a])], number[int(text[a])], int(place[a]), b - a) for a, b in zip(cut.tolist(), cut[1:].tolist(), strict=False)]
         marks = np.array(later, np.int64).reshape(-1, 4)
         marks = marks[np.argsort(marks[:, 0], kind="stable")]
@@ -316,7 +359,9 @@ def remove_repeats_by_index(docs: DataFrame, id_col: str = "doc_id", text_col: s
             data = b"".join(bytes(view[a + x : a + y]) for x, y in zip(inner[::2], inner[1::2], strict=True))
             digests.append(hashlib.sha256(data).hexdigest())
             if keep_text:
-                kept.append(data.decode("utf-8", "replace"))
+                part = own.data[a:b]
+                inner = whole_characters(part, edges)
+                kept.append(b"".join(part[x:y].tobytes() for x, y in zip(inner[::2], inner[1::2], strict=True)).decode("utf-8", "surrogatepass"))
         sizes = np.diff(own.offsets)
         columns = {"doc_id": own.ids, "n_bytes": pa.array(sizes, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "n_spans": pa.array([len(s) for s in spans], pa.int64()), "spans": pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), "kept_sha256": pa.array(digests, pa.string())}
         return pa.table(columns | ({"kept_text": pa.array(kept, pa.string())} if keep_text else {}) | {c: own.rows.column(c) for c in carry})
