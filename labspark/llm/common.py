@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import importable
@@ -26,11 +26,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def durable(df: DataFrame) -> DataFrame:
     """``df`` computed once and kept where every executor can read it.
 
-    Uses the folder of ``spark.checkpoint.dir``; a folder of its own is set only where the session names none.
+    Uses the folder of ``spark.checkpoint.dir``.  Where the session names none, a local session takes a temporary folder; on a cluster, whose
+    executors could not read that, this raises.
     """
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
         named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="labspark-checkpoint-"))
     return df.checkpoint()
 
@@ -89,35 +92,88 @@ def powers(base: int, n: int) -> np.ndarray:
     return _POWERS[base][:n]
 
 
-def ordered_chunks(docs: DataFrame, id_col: str, text_col: str, target_bytes: int, cells: int = 1 << 15, carry: tuple[str, ...] = ()) -> DataFrame:
-    """Columns doc_id, text, chunk (and those of ``carry``): ``chunk`` numbers ranges of rising doc_id of about ``target_bytes`` of text each.
+def _cut(base: DataFrame, size: Column, target: int) -> tuple[list[tuple[int, np.ndarray, np.ndarray]], int]:
+    """Cells of the id range, as (shift, cells, chunk of each) by level, and the number of chunks.
 
-    The id range is cut into equal cells (at most ``cells`` rows reach the driver and are broadcast back, whatever the
-    input), and runs of cells become chunks.  Equal ids always share a chunk; null ids go to a last chunk of their own.
+    A cell is the ids that agree but for their lowest ``shift`` bits.  Cells of more than ``target`` bytes are cut into smaller ones by a further pass over
+    their rows, until none is too large or a cell is a single id; so outlying ids cost a pass or two and nothing overflows.
+    The driver gets a number and a size a cell: some 50 bytes for each ``target`` bytes of text.
     """
-    spark = docs.sparkSession
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *carry)
     low, high = base.agg(F.min("doc_id"), F.max("doc_id")).first()
     if low is None:
-        return base.withColumn("chunk", F.lit(0))
-    width = max(1, -(-(high - low + 1) // cells))
-    cell = F.floor((F.col("doc_id") - F.lit(low)) / F.lit(width)).cast("int")
-    sizes = {r[0]: r[1] for r in base.groupBy(cell.alias("cell")).agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 16)).collect()}
-    rows, chunk, filled = [], 0, 0
-    for k in sorted(c for c in sizes if c is not None):
-        if filled and filled + sizes[k] > target_bytes:
-            chunk, filled = chunk + 1, 0
-        filled += sizes[k]
-        rows.append((k, chunk))
-    found = spark.createDataFrame(rows, "cell int, chunk int")
-    return base.withColumn("cell", cell).join(F.broadcast(found), "cell", "left").select("doc_id", "text", *carry, F.coalesce("chunk", F.lit(chunk + 1)).alias("chunk"))
-
-
-def packed_by_bucket(values: np.ndarray, bits: int) -> Iterator[tuple[int, bytes]]:
-    """Sorted 64-bit values as little-endian bytes, cut where their top ``bits`` change."""
+        return [], 0
+    rows, shift, levels = base.where("doc_id is not null"), max(0, (high - low).bit_length() - 15), []
+    while True:
+        found = rows.groupBy(F.shiftright("doc_id", shift).alias("cell")).agg(F.sum(size).alias("bytes")).toArrow()
+        cells, sizes = (found.column(c).to_numpy() for c in ("cell", "bytes"))
+        heavy = cells[sizes > target] if shift else cells[:0]
+        small = ~np.isin(cells, heavy)
+        levels.append((shift, cells[small], sizes[small]))
+        if not len(heavy):
+            break
+        bits = min(shift, 12 if len(heavy) <= 16 else int(np.ceil(np.log2(sizes.max() / target))) + 1)
+        parents = base.sparkSession.createDataFrame(pa.table({"parent": heavy}))
+        rows = rows.join(parents, F.shiftright("doc_id", shift) == F.col("parent"), "left_semi")
+        shift -= bits
+    level = np.repeat(np.arange(len(levels)), [len(c) for _, c, _ in levels])
+    first_id, sizes = np.concatenate([c << s for s, c, _ in levels]), np.concatenate([z for *_, z in levels])
+    order = np.argsort(first_id)
+    chunk, number, filled = np.zeros(len(order), np.int64), 0, 0
+    for k, z in zip(order.tolist(), sizes[order].tolist(), strict=True):
+        if filled and filled + z > target:
+            number, filled = number + 1, 0
+        filled += z
+        chunk[k] = number
+    return [(s, c, chunk[level == i]) for i, (s, c, _) in enumerate(levels) if len(c)], number + 1
+
+
+def ordered_chunks(docs: DataFrame, id_col: str, text_col: str, target_bytes: int, carry: tuple[str, ...] = ()) -> tuple[DataFrame, int]:
+    """Columns doc_id, text, tie, chunk (and those of ``carry``), and the number of chunks.  ``chunk`` numbers ranges of rising doc_id of about ``target_bytes`` of text each.
+
+    Equal ids share a chunk.  Rows without an id come after all others, in the order of ``tie``, a hash of the text, and fill as many chunks as they
+    need.  (doc_id, tie) orders all rows alike whatever partitions they come in; rows equal in both have equal texts.
+    """
+    spark = docs.sparkSession
+    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *carry)
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 16
+    levels, count = _cut(base.select("doc_id", "text"), size, target_bytes)
+    missing = base.where("doc_id is null").agg(F.sum(size)).first()[0] or 0
+    bits = max(0, (missing // target_bytes).bit_length())
+    last = F.lit(count) + (F.shiftright("tie", 64 - bits) + (1 << bits >> 1) if bits else 0)
+    out, chunks = base.withColumn("tie", F.xxhash64("text")), [F.when(F.col("doc_id").isNull(), last)]
+    for k, (shift, cells, numbers) in enumerate(levels):
+        known = spark.createDataFrame(pa.table({f"cell_{k}": cells, f"chunk_{k}": numbers}))
+        out = out.withColumn(f"cell_{k}", F.shiftright("doc_id", shift)).join(F.broadcast(known) if len(cells) <= 1 << 18 else known, f"cell_{k}", "left")
+        chunks.append(F.col(f"chunk_{k}"))
+    return out.select("doc_id", "text", "tie", *carry, F.coalesce(*chunks).cast("int").alias("chunk")), count + ((1 << bits) if missing else 0)
+
+
+def bucket_bits(chunks: int) -> int:
+    """So many bits that there is a bucket for each chunk."""
+    return max(0, int(chunks - 1).bit_length())
+
+
+def bucket_cuts(values: np.ndarray, bits: int) -> Iterator[tuple[int, int, int]]:
+    """(bucket, start, stop) of sorted 64-bit values, cut where their top ``bits`` change."""
     if not len(values):
         return
     tops = (values >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(values), np.int64)
-    cuts = np.flatnonzero(np.diff(tops)) + 1
-    for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(values)], strict=True):
-        yield int(tops[a]), values[a:b].tobytes()
+    cuts = (np.flatnonzero(np.diff(tops)) + 1).tolist()
+    for a, b in zip([0, *cuts], [*cuts, len(values)], strict=True):
+        yield int(tops[a]), a, b
+
+
+def flags_table(chunks: list[int], buckets: list[int], flags: list[np.ndarray]) -> pa.Table:
+    """chunk, bucket, bits: a bit for each value that the chunk has sent to the bucket, in order; rows without any set bit are left out."""
+    own = [(c, k, np.packbits(f).tobytes()) for c, k, f in zip(chunks, buckets, flags, strict=True) if f.any()]
+    return pa.table({n: pa.array([r[i] for r in own], t) for i, (n, t) in enumerate((("chunk", pa.int32()), ("bucket", pa.int32()), ("bits", pa.binary())))})
+
+
+def flagged(values: np.ndarray, bits: int, back: pa.Table) -> np.ndarray:
+    """Which of a chunk's sorted values have their bit set in the rows bucket, bits that came back."""
+    sent = {k: (a, b) for k, a, b in bucket_cuts(values, bits)}
+    out = np.zeros(len(values), bool)
+    for k, packed in zip(back.column("bucket").to_pylist(), back.column("bits"), strict=True):
+        a, b = sent[k]
+        out[a:b] = np.unpackbits(np.frombuffer(packed.as_buffer(), np.uint8), count=b - a).astype(bool)
+    return out

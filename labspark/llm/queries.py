@@ -82,8 +82,8 @@ ORACLE_SQL: dict[str, str] = {
         p AS (SELECT doc_id, unnest(range(1, len(w) - 11)) AS i, w FROM d WHERE len(w) >= 13),
         h AS (SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS s FROM p),
         f AS (SELECT s, min(doc_id) AS m FROM h GROUP BY s HAVING count(DISTINCT doc_id) > 1),
-        r AS (SELECT doc_id, list(i) AS at FROM (SELECT h.doc_id, h.i FROM h JOIN f USING (s) WHERE h.doc_id > f.m) GROUP BY doc_id),
-        c AS (SELECT r.doc_id, list_distinct(flatten(list_transform(at, lambda x: range(x, x + 13)))) AS gone FROM r),
+        r AS (SELECT doc_id, list(i) AS places FROM (SELECT h.doc_id, h.i FROM h JOIN f USING (s) WHERE h.doc_id > f.m) GROUP BY doc_id),
+        c AS (SELECT r.doc_id, list_distinct(flatten(list_transform(places, lambda x: range(x, x + 13)))) AS gone FROM r),
         k AS (SELECT d.doc_id, len(w) AS n_words, coalesce(len(gone), 0) AS n_removed, CASE WHEN gone IS NULL THEN w ELSE list_transform(list_filter(range(1, len(w) + 1), lambda x: NOT list_contains(gone, x)), lambda x: w[x]) END AS kept FROM d LEFT JOIN c USING (doc_id))
         SELECT doc_id, n_words, n_removed, sha256(array_to_string(kept, ' ')) AS kept_sha256 FROM k""",
 }

@@ -6,10 +6,11 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASE, BASE_INVERSE, SLICE_BYTES, mix, ordered_chunks, packed_by_bucket, powers, row_slices, text_array, text_buffer
+from .common import BASE, BASE_INVERSE, SLICE_BYTES, bucket_bits, bucket_cuts, flagged, flags_table, mix, ordered_chunks, powers, row_slices, text_array, text_buffer
 
 #: Bytes of text in a chunk, the unit that finds its own repeats before anything is shuffled.
 CHUNK_BYTES = 12 << 20
@@ -80,41 +81,90 @@ def windows(texts: pa.Array, length: int) -> tuple[np.ndarray, np.ndarray, np.nd
     return join(hashes, np.uint64), join(rows, np.int64), join(counts, np.int64)
 
 
-def _sorted_chunk(rows: pa.Table) -> tuple[pa.Array, np.ndarray, pa.Array]:
-    """A chunk's ids, their ranks (equal ids share one, null is a last one of its own) and texts, by id."""
-    rows = rows.select(["doc_id", "text"]).sort_by([("doc_id", "ascending")])
-    ids = rows.column("doc_id").combine_chunks()
-    ids = pa.concat_arrays(ids.chunks) if isinstance(ids, pa.ChunkedArray) else ids
-    values = ids.fill_null(np.iinfo(np.int64).max).to_numpy(zero_copy_only=False)
-    return ids, np.concatenate(([0], np.cumsum(np.diff(values) != 0))) if len(values) else values, text_array(rows.column("text"))
+#: What windows are compared by once their hashes have met: 96 bits of an XXH3 digest of their words.
+DIGEST = np.dtype("S12")
 
 
-def repeats(hashed: DataFrame) -> DataFrame:
-    """From rows bucket, chunk, hashes (sorted, each once a chunk): chunk, hashes that also occur in a lower chunk.
+def digests(text: str, at: np.ndarray, length: int) -> np.ndarray:
+    """Digests of the windows of ``length`` words of ``text`` that start at the words ``at``, from the words themselves."""
+    words = text.encode("utf-8", "surrogatepass").split()
+    joined, digest = b" ".join(words), xxhash.xxh3_128_digest
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
+    starts = np.concatenate(([0], ends))[at].tolist()
+    return np.frombuffer(b"".join([digest(joined[a:b])[:12] for a, b in zip(starts, (ends[at + length - 1] - 1).tolist(), strict=True)]), DIGEST)
 
-    A hash comes once from a chunk, however often the chunk has it, so the most frequent one gives a bucket no more rows than there are chunks.
+
+def tops(values: np.ndarray) -> np.ndarray:
+    """The first 64 bits of digests."""
+    return np.ascontiguousarray(values.view(np.uint8).reshape(-1, 12)[:, :8]).view(">u8").ravel().astype(np.uint64)
+
+
+class Chunk:
+    """The rows of one chunk in order, and their windows."""
+
+    def __init__(self, rows: pa.Table, length: int) -> None:
+        rows = rows.select(["doc_id", "text", "tie"]).sort_by([("doc_id", "ascending"), ("tie", "ascending")])
+        ids = rows.column("doc_id").combine_chunks()
+        self.ids, self.length = pa.concat_arrays(ids.chunks) if isinstance(ids, pa.ChunkedArray) else ids, length
+        self.texts = text_array(rows.column("text"))
+        self.hashes, self.row, self.counts = windows(self.texts, length)
+        values, ties = self.ids.fill_null(np.iinfo(np.int64).max).to_numpy(zero_copy_only=False), rows.column("tie").to_numpy()
+        new = (np.diff(values) != 0) | (self.ids.is_null().to_numpy(zero_copy_only=False)[1:] & (np.diff(ties) != 0)) if len(values) else values
+        #: Number of each row's document: rows of one id are one, and so are rows without an id that have equal texts.
+        self.document = np.concatenate(([0], np.cumsum(new))) if len(values) else values
+
+    def distinct(self) -> np.ndarray:
+        return np.unique(self.hashes)
+
+    def met(self, bits: int, back: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        """Windows whose hash other chunks have too, by what came ``back``, and those whose hash is in several documents here."""
+        values, inverse = np.unique(self.hashes, return_inverse=True)
+        elsewhere = flagged(values, bits, back)[inverse]
+        if not len(values):
+            return elsewhere, elsewhere
+        own = self.document[self.row]
+        least, most = np.full(len(values), len(self.texts)), np.full(len(values), -1)
+        np.minimum.at(least, inverse, own)
+        np.maximum.at(most, inverse, own)
+        return elsewhere, (least < most)[inverse]
+
+    def digests(self, of: np.ndarray) -> np.ndarray:
+        """Digests of the windows ``of`` (rising numbers)."""
+        per_row = np.maximum(self.counts - self.length + 1, 0)
+        first = np.cumsum(per_row) - per_row
+        row = self.row[of]
+        cuts = np.flatnonzero(np.diff(row)) + 1
+        parts = [digests(self.texts[int(self.row[own[0]])].as_py(), own - first[self.row[own[0]]], self.length) for own in np.split(of, cuts) if len(own)]
+        return np.concatenate(parts) if parts else np.zeros(0, DIGEST)
+
+
+def _occurrences(sent: DataFrame, kind: np.dtype, lower: bool) -> DataFrame:
+    """From rows bucket, chunk, values (sorted, each once a chunk): chunk, bucket, bits of those that any other chunk has, or, with ``lower``, that a lower chunk has.
+
+    A value comes once from a chunk, however often the chunk has it, so the most frequent one gives a bucket no more rows than there are chunks.
     """
 
     def run(bucket: pa.Table) -> pa.Table:
         chunks = bucket.column("chunk").to_numpy()
         order = np.argsort(chunks, kind="stable")
-        parts = [np.frombuffer(bucket.column("hashes")[int(k)].as_buffer(), np.uint64) for k in order]
-        values, owner = np.concatenate(parts), np.repeat(chunks[order], [len(p) for p in parts])
+        parts = [np.frombuffer(bucket.column("values")[int(k)].as_buffer(), kind) for k in order]
+        values = np.concatenate(parts)
         by = np.argsort(values, kind="stable")
-        values, owner = values[by], owner[by]
-        later = np.concatenate(([False], values[1:] == values[:-1]))
-        values, owner = values[later], owner[later]
-        by = np.argsort(owner, kind="stable")
-        values, owner = values[by], owner[by]
-        cuts = np.flatnonzero(np.diff(owner)) + 1
-        groups = np.split(values, cuts) if len(values) else []
-        return pa.table({"chunk": pa.array([int(owner[i]) for i in [0, *cuts][: len(groups)]], pa.int32()), "hashes": pa.array([np.sort(g).tobytes() for g in groups], pa.binary())})
+        again = values[by][1:] == values[by][:-1]
+        hit = np.zeros(len(values), bool)
+        hit[by[1:][again]] = True
+        if not lower:
+            hit[by[:-1][again]] = True
+        ends = np.cumsum([len(p) for p in parts])
+        number = bucket.column("bucket")[0].as_py()
+        return flags_table(chunks[order].tolist(), [number] * len(parts), np.split(hit, ends[:-1]))
 
-    return hashed.groupBy("bucket").applyInArrow(run, "chunk int, hashes binary")
+    return sent.groupBy("bucket").applyInArrow(run, "chunk int, bucket int, bits binary")
 
 
-def bucket_bits(chunks: int) -> int:
-    return max(0, int(chunks - 1).bit_length())
+def _sent(chunk: int, values: np.ndarray, places: np.ndarray, bits: int) -> pa.Table:
+    out = [(k, values[a:b].tobytes()) for k, a, b in bucket_cuts(places, bits)]
+    return pa.table({"bucket": pa.array([k for k, _ in out], pa.int32()), "chunk": pa.array([chunk] * len(out), pa.int32()), "values": pa.array([v for _, v in out], pa.binary())})
 
 
 def covered(first: np.ndarray, size: int, length: int) -> np.ndarray:
@@ -134,44 +184,52 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     A word goes if a window of ``length`` consecutive words covers it whose word sequence also starts in a document with a smaller
     doc_id, judged on the input.  Words are runs of other than ASCII white space, unchanged; null texts have none; a text shorter than a
-    window loses nothing.  Rows of one doc_id don't remove each other's words; rows without an id come last and count as one
-    document.  Other columns are left out; an empty table gives no rows.
+    window loses nothing.  Rows of one doc_id don't remove each other's words; rows without an id come last, by a hash of their text, and equal
+    ones among them count as one document.  Other columns are left out; an empty table gives no rows.
 
-    Documents go to chunks by rising doc_id.  A chunk sends each of its window hashes once, by hash; what also occurs in a lower chunk comes back,
-    and the chunk settles repeats of its own.  Equality is that of 64-bit window hashes.
+    Documents go to chunks by rising doc_id.  A chunk sends each of its window hashes once, by hash, and learns which of them other chunks have; of those windows
+    only, and of hashes that several of its own documents share, digests of the words decide: 96 bits of another hash function, sent likewise.
     """
-    chunked = ordered_chunks(docs, id_col, text_col, CHUNK_BYTES)
-    bits = bucket_bits(chunked.agg(F.max("chunk")).first()[0] or 0)
+    chunked, count = ordered_chunks(docs, id_col, text_col, CHUNK_BYTES)
+    bits = bucket_bits(count)
 
     def send(rows: pa.Table) -> pa.Table:
-        _, _, texts = _sorted_chunk(rows)
-        chunk = rows.column("chunk")[0].as_py()
-        out = list(packed_by_bucket(np.unique(windows(texts, length)[0]), bits))
-        return pa.table({"bucket": pa.array([k for k, _ in out], pa.int32()), "chunk": pa.array([chunk] * len(out), pa.int32()), "hashes": pa.array([h for _, h in out], pa.binary())})
+        values = Chunk(rows, length).distinct()
+        return _sent(rows.column("chunk")[0].as_py(), values, values, bits)
+
+    def verify(rows: pa.Table, back: pa.Table) -> pa.Table:
+        if not rows.num_rows or not back.num_rows:
+            return _sent(0, np.zeros(0, DIGEST), np.zeros(0, np.uint64), bits)
+        own = Chunk(rows, length)
+        elsewhere, _ = own.met(bits, back)
+        values = np.unique(own.digests(np.flatnonzero(elsewhere)))
+        return _sent(rows.column("chunk")[0].as_py(), values, tops(values), bits)
 
     def settle(rows: pa.Table, back: pa.Table) -> pa.Table:
-        ids, rank, texts = _sorted_chunk(rows)
-        hashes, row, counts = windows(texts, length)
-        gone = np.zeros(len(hashes), bool)
-        if len(hashes):
-            order = np.argsort(hashes)
-            ordered = hashes[order]
-            heads = np.concatenate(([0], np.flatnonzero(np.diff(ordered)) + 1))
-            place = rank[row][order]
-            least = np.minimum.reduceat(place, heads)
-            sizes = np.diff(np.append(heads, len(ordered)))
-            local = place > np.repeat(least, sizes)
-            known = np.concatenate([np.frombuffer(b.as_buffer(), np.uint64) for b in back.column("hashes")]) if back.num_rows else np.zeros(0, np.uint64)
-            prior = np.isin(ordered[heads], known)
-            gone[order] = local | np.repeat(prior, sizes)
+        own = Chunk(rows, length)
+        second = back.column("verified").to_numpy(zero_copy_only=False).astype(bool)
+        elsewhere, here = own.met(bits, back.filter(pa.array(~second)))
+        of = np.flatnonzero(elsewhere | here)
+        gone = np.zeros(len(own.hashes), bool)
+        if len(of):
+            values, inverse = np.unique(own.digests(of), return_inverse=True)
+            document = own.document[own.row[of]]
+            least = np.full(len(values), len(own.texts))
+            np.minimum.at(least, inverse, document)
+            sent = np.zeros(len(values), bool)
+            sent[inverse[elsewhere[of]]] = True
+            before = np.zeros(len(values), bool)
+            before[sent] = flagged(tops(values[sent]), bits, back.filter(pa.array(second)))
+            gone[of] = (document > least[inverse]) | before[inverse]
+        texts, counts = own.texts, own.counts
         per_row = np.maximum(counts - length + 1, 0)
         ends = np.cumsum(per_row)
-        removed, spans, digests, kept = [], [], [], []
+        removed, spans, hexes, kept = [], [], [], []
         for i in range(len(texts)):
-            own = gone[ends[i] - per_row[i] : ends[i]]
+            part = gone[ends[i] - per_row[i] : ends[i]]
             words = texts[i].as_py().encode("utf-8", "surrogatepass").split()
-            if own.any():
-                cover = covered(np.flatnonzero(own), len(words), length)
+            if part.any():
+                cover = covered(np.flatnonzero(part), len(words), length)
                 edges = np.flatnonzero(np.diff(np.concatenate(([0], cover.astype(np.int8), [0])))).tolist()
                 spans.append([{"start": a, "end": b} for a, b in zip(edges[::2], edges[1::2], strict=True)])
                 removed.append(int(cover.sum()))
@@ -179,12 +237,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             else:
                 spans.append([]), removed.append(0)
             text = b" ".join(words)
-            digests.append(hashlib.sha256(text).hexdigest())
+            hexes.append(hashlib.sha256(text).hexdigest())
             if keep_text:
                 kept.append(text.decode("utf-8", "surrogatepass"))
-        columns = {"doc_id": ids, "n_words": pa.array(counts, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "spans": pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), "kept_sha256": pa.array(digests, pa.string())}
+        columns = {"doc_id": own.ids, "n_words": pa.array(counts, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "spans": pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), "kept_sha256": pa.array(hexes, pa.string())}
         return pa.table(columns | ({"kept_text": pa.array(kept, pa.string())} if keep_text else {}))
 
-    hashed = chunked.groupBy("chunk").applyInArrow(send, "bucket int, chunk int, hashes binary")
-    schema = _RESULT + ", kept_text string" * keep_text
-    return chunked.groupBy("chunk").cogroup(repeats(hashed).groupBy("chunk")).applyInArrow(settle, schema)
+    groups = chunked.groupBy("chunk")
+    met = _occurrences(groups.applyInArrow(send, "bucket int, chunk int, values binary"), np.dtype(np.uint64), False)
+    verified = _occurrences(groups.cogroup(met.groupBy("chunk")).applyInArrow(verify, "bucket int, chunk int, values binary"), DIGEST, True)
+    back = met.withColumn("verified", F.lit(False)).union(verified.withColumn("verified", F.lit(True)))
+    return groups.cogroup(back.groupBy("chunk")).applyInArrow(settle, _RESULT + ", kept_text string" * keep_text)

@@ -10,12 +10,14 @@ from collections import Counter, defaultdict
 import numpy as np
 import pandas as pd
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 import xxhash
 from pyspark.sql import functions as F
 
 from labspark.llm import ann, byte_bpe, components, exact, packing, queries, sharding, simhash, substring, suffix_array, toxicity, warc
+from labspark.llm.common import ordered_chunks
 
 SPACES = re.compile(r"[\x20\x09-\x0D]+")
 
@@ -112,6 +114,31 @@ def test_toxicity_on_held_out_labels(spark):
     assert sum(p for p, y in held if y) >= 0.7 * sum(y for _, y in held)
 
 
+def test_toxicity_of_null_empty_and_long_texts(spark):
+    long = " ".join(f"word{i}" for i in range(200_000))
+    model = toxicity.Model()
+    texts = {1: None, 2: "", 3: long, 4: long + " you idiot, you idiot", 5: "x" * 300_000}
+    got = {r.doc_id: r.score for r in toxicity.score(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), model).collect()}
+    none = 1 / (1 + np.exp(-model.weights[0]))
+    assert got[1] == got[2] == got[3] == got[5] == pytest.approx(none) and got[4] > got[3]
+
+
+def test_fit_takes_odd_labels_and_does_not_depend_on_order(spark):
+    """Repeated ids, contradictory and missing labels, null texts; the same model from any partitioning."""
+    random.seed(12)
+    words = ["".join(random.choice("abcdefghij") for _ in range(6)) for _ in range(400)]
+    rows = [(i, " ".join(random.choices(words, k=30)) + (" zornbraten grumpf" if i % 3 == 0 else "")) for i in range(600)] + [(7, "another text of seven"), (None, "zornbraten"), (601, None)]
+    labels = [(i, int(i % 3 == 0)) for i in range(600)] + [(9, 0), (9, 1), (10, None), (None, 1), (601, 0)]
+    models = []
+    for parts in (1, 7):
+        docs = spark.createDataFrame(random.Random(parts).sample(rows, len(rows)), "doc_id long, text string").repartition(parts)
+        models.append(toxicity.fit(docs, spark.createDataFrame(random.Random(parts).sample(labels, len(labels)), "doc_id long, toxic int").repartition(parts)))
+    assert models[0].terms == models[1].terms and models[0].stems == models[1].stems and np.allclose(models[0].weights, models[1].weights)
+    assert {"zornbraten", "grumpf"} <= set(models[0].terms)
+    one = toxicity.fit(docs, spark.createDataFrame([(1, 1), (2, 1)], "doc_id long, toxic int"))
+    assert one.terms == list(toxicity.SEED_TERMS) and one.weights == toxicity.PRIOR.tolist()
+
+
 def test_toxicity_keeps_rows_and_clashing_columns(docs):
     scored = toxicity.score(docs, toxicity.Model())
     assert scored.columns == ["doc_id", "text", "n_chars", "rank", "chunk", "score"] and scored.count() == docs.count()
@@ -469,14 +496,83 @@ def test_run_length_index(spark):
         sizes = np.array([len(t) for t in texts])
         ends = np.cumsum(sizes + 1) - 1
         data = ("\0".join(texts) + "\0").encode()
-        index = suffix_array.RunLengthIndex.build(np.frombuffer(data, np.uint8), ends, n)
-        got = {int(p) for _, places in index.long_matches(ends - sizes, ends) for p in places}
+        index = suffix_array.RunLengthIndex.build(np.frombuffer(data, np.uint8), ends)
+        places = np.concatenate([np.arange(s, e - n + 1) for s, e in zip(ends - sizes, ends, strict=True)])
+        found = index.earlier_matches(places, n)
         seen, want = set(), set()
         for s, e in zip(ends - sizes, ends, strict=True):
             for i in range(s, e - n + 1):
                 want |= {int(i)} if data[i : i + n] in seen else set()
                 seen.add(data[i : i + n])
-        assert got == want
+        assert {int(p) for p in places[found >= 0]} == want
+        assert all(w < p and data[w : w + n] == data[p : p + n] for p, w in zip(places.tolist(), found.tolist(), strict=True) if w >= 0)
+
+
+def test_matches_come_from_the_sampled_run_ends():
+    """Repetitive texts make few runs, and results go wrong with the samples."""
+    random.seed(4)
+    base = "".join(random.choice("abcdefgh ") for _ in range(300))
+    texts = [base[a:] + str(a) for a in range(0, 150, 3)]
+    sizes = np.array([len(t) for t in texts])
+    ends = np.cumsum(sizes + 1) - 1
+    data = np.frombuffer(("\0".join(texts) + "\0").encode(), np.uint8)
+    places = np.concatenate([np.arange(s, e - 99) for s, e in zip(ends - sizes, ends, strict=True)])
+    index = suffix_array.RunLengthIndex.build(data, ends)
+    assert len(index.symbol) < len(data) / 10
+    right = index.earlier_matches(places, 100)
+    assert (right >= 0).sum() > 5000
+    for field in ("head_sample", "tail_sample", "head_match"):
+        broken = suffix_array.RunLengthIndex.build(data, ends)
+        values = getattr(broken, field)
+        values[:] = np.roll(values, 1)
+        try:
+            assert (broken.earlier_matches(places, 100) != right).any(), field
+        except (ValueError, IndexError):
+            pass
+
+
+def test_suffix_array_dedup_of_repeated_ids(spark):
+    """Rows of one id, and rows without one, follow each other by a hash of their text, in whatever order and partitions they come."""
+    random.seed(6)
+    words = ["".join(random.choice("abcdef") for _ in range(5)) for _ in range(500)]
+    passages = [" ".join(random.choice(words) for _ in range(40)) for _ in range(5)]
+    rows = [(random.choice([None, 1, 2, 3]), f"{i} {random.choice(passages)} {random.choice(words)} {random.choice(passages)}") for i in range(80)]
+    hashed = spark.createDataFrame(rows, "doc_id long, text string").select("*", F.xxhash64("text").alias("tie")).collect()
+    order = sorted(hashed, key=lambda r: (r.doc_id is None, r.doc_id or 0, r.tie))
+    want = sorted((str(r.doc_id), len(data), int(gone.sum()), hashlib.sha256(bytes(b for b, g in zip(data, gone, strict=True) if not g)).hexdigest()) for r, (data, gone) in zip(order, _repeated_bytes({k: r.text for k, r in enumerate(order)}, 100).values(), strict=True))
+    for seed, parts in ((1, 1), (2, 7), (3, 3)):
+        shuffled = random.Random(seed).sample(rows, len(rows))
+        got = suffix_array.remove_repeats_by_index(spark.createDataFrame(shuffled, "doc_id long, text string").repartition(parts)).collect()
+        assert sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.kept_sha256) for r in got) == want
+
+
+def test_chunks_stay_near_their_target(spark):
+    """With ids at both ends of the long range, an outlying one, dense and repeated ones and many missing ones."""
+    ends = [-(1 << 63), (1 << 63) - 1, 1 << 40]
+    rows = [(i, "x" * 84) for i in [*ends, *range(3000), *([7] * 50)]] + [(None, f"{i:084d}") for i in range(1000)]
+    docs = spark.createDataFrame(random.Random(1).sample(rows, len(rows)), "doc_id long, text string")
+    chunked, count = ordered_chunks(docs, "doc_id", "text", 10_000)
+    got = chunked.collect()
+    assert len(got) == len(rows) and {r.chunk for r in got} <= set(range(count))
+    sizes = Counter(r.chunk for r in got)
+    assert max(sizes.values()) <= 160 and 40 <= len(sizes) <= 90
+    ids = sorted((r.doc_id is None, r.doc_id or 0, r.tie, r.chunk) for r in got)
+    assert [r[3] for r in ids] == sorted(r[3] for r in ids)
+    assert len({r.chunk for r in got if r.doc_id == 7}) == 1
+    assert len({r.chunk for r in got if r.doc_id is None}) > 5
+
+
+def test_hash_collisions_remove_nothing(spark, monkeypatch):
+    """Windows whose hashes meet are judged by digests of their words."""
+    rows = [(i, " ".join(f"w{i}x{j}" for j in range(40))) for i in range(6)] + [(6, " ".join(f"w2x{j}" for j in range(5, 30)))]
+    texts = pa.array([t for _, t in rows], pa.large_string())
+    table = pa.table({"doc_id": pa.array([i for i, _ in rows]), "text": texts, "tie": pa.array([0] * 7), "chunk": pa.array([0] * 7, pa.int32())})
+    chunk = substring.Chunk(table, 13)
+    chunk.hashes = chunk.hashes % np.uint64(5)  # as if nearly all hashes collided
+    elsewhere, here = chunk.met(0, pa.table({"bucket": pa.array([], pa.int32()), "bits": pa.array([], pa.binary())}))
+    assert here.all() and not elsewhere.any()
+    values, inverse = np.unique(chunk.digests(np.flatnonzero(here)), return_inverse=True)
+    assert len(values) == 6 * 28 and {tuple(sorted(chunk.row[inverse == k])) for k in range(len(values)) if (inverse == k).sum() > 1} == {(2, 6)}
 
 
 # ---- exact dedup ----------------------------------------------------------------------------------------------------
@@ -501,8 +597,6 @@ def test_fingerprints_compose_and_collisions_part(monkeypatch, spark):
         assert exact.combine(_whole(data[:cut]), _whole(data[cut:])) == _whole(data)
     assert exact.fingerprint(data) == (len(data), _whole(data)[1] << 31 | _whole(data)[2])
     rows = [(1, 3, b"abc"), (1, 3, b"abd"), (1, 3, b"abc"), (2, 3, b"abd")]
-    import pyarrow as pa
-
     batch = pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.int64(), pa.int64(), pa.binary()))], ["print", "length", "data"])
     out = pa.Table.from_batches(exact._differing(iter([batch]))).to_pylist()
     assert [(r["print"], r["sha"], r["variant"]) for r in out] == [(1, hashlib.sha256(b"abd").digest(), 1)]
@@ -522,7 +616,9 @@ def test_warc_round_trip(spark, tmp_path):
     long = "<p>\r\n\r\nWARC/1.1\r\n" + "é" * 700
     rows = [(1, "http://a/", long), (2, "http://b/", long), (3, None, "short"), (4, "http://c/", "short"), (5, "http://d/\r\nX: y", None), (6, "http://e/", ""), (7, "http://f/", long), (8, "http://g/", long + "!"), (9, "u", "z"), (9, "u", "z"), (None, "v", "w")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("digest", F.lit("clash"))
-    got = {r.page_id: r for r in warc.captures(pages, f"{tmp_path}/a").collect()}
+    all_rows = warc.captures(pages, f"{tmp_path}/a").collect()
+    assert Counter(r.page_id for r in all_rows) == Counter(r[0] for r in rows)
+    got = {r.page_id: r for r in all_rows}
     assert set(got) == {*range(1, 10), None}
     for i, _, h in rows:
         data = (h or "").encode()
@@ -533,6 +629,36 @@ def test_warc_round_trip(spark, tmp_path):
     assert all(r.request is not None and r.metadata is not None for r in whole.values())
 
 
+def test_large_captures_have_files_of_their_own(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "LARGE_BYTES", 5000)
+    pages = spark.createDataFrame([(i, f"http://a/{i}", "x" * (10 + 1000 * (i % 8)) + str(i)) for i in range(80)], "page_id long, url string, html string")
+    got = {r.page_id: r.payload_bytes for r in warc.captures(pages, f"{tmp_path}/b").collect()}
+    assert got == {i: 10 + 1000 * (i % 8) + len(str(i)) for i in range(80)}
+    assert len(list((tmp_path / "b" / "large").glob("*.gz"))) == 30
+    assert all(r.response is not None and r.request is not None and r.metadata is not None for r in warc.assemble(warc.read_records(spark, f"{tmp_path}/b")).collect())
+
+
+# ---- twins -----------------------------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_twin(spark, name):
+    """Each query with a DuckDB twin gives the twin's rows."""
+    import duckdb
+
+    d = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    for t in ("documents", "pages"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{d}/{t}.parquet'")
+    df = queries.QUERIES[name](spark, d)
+    columns = sorted(df.columns)
+    got = sorted(str([r[c] for c in columns]) for r in df.collect())
+    found = con.execute(queries.ORACLE_SQL[name])
+    names = [c[0] for c in found.description]
+    assert sorted(names) == columns
+    assert got == sorted(str([r[names.index(c)] for c in columns]) for r in found.fetchall())
+
+
 # ---- nearest neighbours ---------------------------------------------------------------------------------------------
 
 
@@ -566,6 +692,34 @@ def test_ann_odd_vectors_and_copies(spark):
     assert ann.nearest(spark.createDataFrame([(1, [1.0, 2.0])], "vec_id long, embedding array<double>"), F.lit(True)).count() == 0
 
 
+def test_ann_groups_and_blocks_lose_nothing(spark, monkeypatch):
+    """Small groups and blocks, and cells larger than a group: the same rows as by comparing all."""
+    monkeypatch.setattr(ann, "GROUP_ROWS", 40)
+    monkeypatch.setattr(ann, "BLOCK", 8)
+    rng = np.random.default_rng(5)
+    data = np.concatenate((rng.normal(0, 0.01, (300, 6)) + 1, rng.normal(0, 1, (300, 6))))
+    data[-1] = data[0]
+    rows = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(data)], "vec_id long, embedding array<double>")
+    got = defaultdict(list)
+    for r in ann.nearest(rows, F.col("vec_id") % 5 == 0, wanted=10_000).orderBy("query_id", "rank").collect():
+        got[r.query_id].append(r.vec_id)
+    for q in range(0, 600, 5):
+        d = np.sqrt(((data - data[q]) ** 2).sum(axis=1))
+        assert got[q] == [int(i) for i in np.lexsort((np.arange(600), d)) if i != q][:10]
+
+
+def test_ann_work_grows_less_than_by_all_pairs():
+    """On clustered vectors, what all queries (one row in a hundred) visit grows with a power of the rows below 1.5."""
+    rng, work, sizes = np.random.default_rng(1), [], (4_000, 64_000)
+    for n in sizes:
+        centres = rng.normal(0, 1, (n // 40, 16))
+        data = centres[rng.integers(0, len(centres), n)] + rng.normal(0, 0.05, (n, 16))
+        sample = data[: ann.SAMPLE]
+        first, second = (ann.lloyd(x, ann.centroids_for(n), 4, i) for i, x in enumerate((sample[:, :8], sample[:, 8:])))
+        work.append(n / 100 * n * ann.visited_share(sample, first, second, 10))
+    assert np.log(work[1] / work[0]) / np.log(sizes[1] / sizes[0]) < 1.5
+
+
 def test_heap_visits_pairs_by_summed_distance():
     rng = np.random.default_rng(0)
     a, b = rng.random(7), rng.random(5)
