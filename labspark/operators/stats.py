@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.io import durable
+
+#: Relative accuracy of the sketches that bracket an exact percentile: some 4 / ACCURACY of a group's values are sorted for each.
+ACCURACY = 10_000
+
 
 def average_rank(partition: list[str], by: str) -> Column:
     """E5: the rank of ``by`` within a partition, ties sharing the mean of their places."""
@@ -12,14 +17,57 @@ def average_rank(partition: list[str], by: str) -> Column:
     return F.rank().over(own.orderBy(by)) + (F.count("*").over(Window.partitionBy(*partition, by)) - 1) / 2
 
 
-def ranked_by_value(rows: DataFrame, keys: tuple[str, ...], value: str, weight: str | None = None) -> DataFrame:
-    """One row per different value of a group: keys, value, n and ``rank`` (average ranks).
+def percentiles(rows: DataFrame, keys: tuple[str, ...], value: Column, levels: tuple[float, ...], to: str = "quantiles") -> DataFrame:
+    """keys, ``to``, n: exact percentiles (interpolated between neighbours) of each group at rising ``levels``, nulls left out.
 
-    Counts come first, so the running sum runs over different values; a group without many different ones stays small.
+    A sketch brackets each level first; then the values below the brackets are counted, and only those within one are sorted.  So a group's memory is
+    the sketch's and some 4 / ACCURACY of its values a level, not all its different ones.
+    """
+    own = rows.select(*keys, value.cast("double").alias("_x")).where("_x is not null")
+    at = lambda move: F.array(*[F.lit(min(1.0, max(0.0, q + move / ACCURACY))) for q in levels])
+    sketch = own.groupBy(*keys).agg(F.percentile_approx("_x", at(-2), ACCURACY).alias("_lo"), F.percentile_approx("_x", at(2), ACCURACY).alias("_hi"), F.count("*").alias("n"))
+    near = own.join(sketch.drop("n"), list(keys)) if keys else own.crossJoin(F.broadcast(sketch.drop("n")))  # without keys one row
+    # A row counts for the levels whose bracket begins above it, and is kept for those whose bracket holds it.  As a place lies between two
+    # rows, the next value on each side of a bracket may be needed too.
+    upto, over = F.size(F.filter("_lo", lambda low: low <= F.col("_x"))), F.size(F.filter("_hi", lambda high: high < F.col("_x")))
+    held = F.filter(F.sequence(F.lit(0), F.lit(len(levels) - 1)), lambda i: (F.get("_lo", i) <= F.col("_x")) & (F.get("_hi", i) >= F.col("_x")))
+    marked = near.select(*keys, "_x", upto.alias("_upto"), over.alias("_over"), held.alias("_held"))
+    parts = marked.groupBy(*keys, "_upto", "_over").agg(F.count("*").alias("_c"), F.min("_x").alias("_least"), F.max("_x").alias("_most")).groupBy(*keys).agg(F.collect_list(F.struct("_upto", "_over", "_c", "_least", "_most")).alias("_parts"))
+    inside = marked.where(F.size("_held") > 0).select(*keys, "_x", F.explode("_held").alias("_level")).groupBy(*keys, "_level").agg(F.sort_array(F.collect_list("_x")).alias("_sorted"))
+    inside = inside.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("_level", "_sorted"))).alias("_in"))
+    joined = sketch.select(*keys, "n").join(parts, list(keys)).join(inside, list(keys)) if keys else sketch.select("n").crossJoin(parts).crossJoin(inside)  # a row for each group
+
+    def exact(i: Column) -> Column:
+        place, own = F.get(F.array(*map(F.lit, levels)), i) * (F.col("n") - 1), F.try_element_at("_in", i)
+        first = F.aggregate(F.filter("_parts", lambda s: s["_upto"] <= i), F.lit(0).cast("long"), lambda acc, s: acc + s["_c"])
+        before = F.array_max(F.transform(F.filter("_parts", lambda s: s["_upto"] <= i), lambda s: s["_most"]))
+        after = F.array_min(F.transform(F.filter("_parts", lambda s: s["_over"] > i), lambda s: s["_least"]))
+        value_at = lambda k: F.when(k < first, before).when(k - first >= F.size(own), after).otherwise(F.get(own, (k - first).cast("int")))
+        low, high = value_at(F.floor(place)), value_at(F.ceil(place))
+        return F.when(F.floor(place) == F.ceil(place), low).otherwise(low + (place - F.floor(place)) * (high - low))
+
+    return joined.select(*keys, F.transform(F.sequence(F.lit(0), F.lit(len(levels) - 1)), exact).alias(to), "n")
+
+
+def running_sums(rows: DataFrame, keys: tuple[str, ...], order: str, **sums: str) -> DataFrame:
+    """``rows`` with a column for each of ``sums``: the sum of that column over the rows of the same keys up to this one by rising ``order``, whose values differ within keys.
+
+    Rows are partitioned by ranges of keys and order; sums within a partition get the totals of those before it, which are a row for each
+    partition and key.  So no task holds a key's rows, however many.
     """
+    placed = durable(rows.repartitionByRange(*keys, order).withColumn("_part", F.spark_partition_id()))
+    totals = placed.groupBy(*keys, "_part").agg(*[F.sum(c).alias(f"_t_{to}") for to, c in sums.items()])
+    earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(*keys, "_part", *[F.coalesce(F.sum(f"_t_{to}").over(earlier), F.lit(0)).alias(f"_o_{to}") for to in sums])
+    own = Window.partitionBy(*keys, "_part").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = placed.withColumns({f"_r_{to}": F.sum(c).over(own) for to, c in sums.items()}).join(offsets, [*keys, "_part"])
+    return out.select(*rows.columns, *[(F.col(f"_r_{to}") + F.col(f"_o_{to}")).alias(to) for to in sums])
+
+
+def ranked_by_value(rows: DataFrame, keys: tuple[str, ...], value: str, weight: str | None = None) -> DataFrame:
+    """One row per different value of a group: keys, value, n and ``rank`` (average ranks)."""
     counts = rows.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("n"))
-    before = F.sum("n").over(Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n")
-    return counts.withColumn("rank", before + (F.col("n") + 1) / 2)
+    return running_sums(counts, keys, value, _upto="n").withColumn("rank", F.col("_upto") - F.col("n") + (F.col("n") + 1) / 2).drop("_upto")
 
 
 def spearman(rows: DataFrame, keys: tuple[str, ...], x: str, y: str) -> DataFrame:
@@ -31,8 +79,7 @@ def spearman(rows: DataFrame, keys: tuple[str, ...], x: str, y: str) -> DataFram
 
 def percentile_ladder(rows: DataFrame, keys: tuple[str, ...], value: str, levels: int = 99) -> DataFrame:
     """The 1st to 99th percentile of each group in an array."""
-    steps = F.array(*[F.lit(i / (levels + 1)) for i in range(1, levels + 1)])
-    return rows.groupBy(*keys).agg(F.percentile(value, steps).alias("ladder"))
+    return percentiles(rows, keys, F.col(value), tuple(i / (levels + 1) for i in range(1, levels + 1)), "ladder").drop("n")
 
 
 def percentile_of(value: Column, ladder: Column) -> Column:
@@ -60,16 +107,16 @@ def calibration_error(rows: DataFrame, score: str, label: str, bins: int = 10) -
 
 def calibration_curve(rows: DataFrame, score: str, label: str, bins: int = 10) -> DataFrame:
     """Bins between quantiles with both edges in, so a row on an inner edge counts in two."""
-    steps = F.array(*[F.lit(i / bins) for i in range(bins + 1)])
-    edges = rows.agg(F.percentile(score, steps).alias("q")).select(F.posexplode(F.arrays_zip(F.slice("q", 1, bins).alias("lo"), F.slice("q", 2, bins).alias("hi")))).select(F.col("pos").alias("bin"), "col.lo", "col.hi")
+    edges = percentiles(rows, (), F.col(score), tuple(i / bins for i in range(bins + 1)), "q").select(F.posexplode(F.arrays_zip(F.slice("q", 1, bins).alias("lo"), F.slice("q", 2, bins).alias("hi")))).select(F.col("pos").alias("bin"), "col.lo", "col.hi")
     return rows.join(F.broadcast(edges), F.col(score).between(F.col("lo"), F.col("hi"))).groupBy("bin").agg(F.avg(score).alias("predicted"), F.avg(label).alias("observed"), F.count("*").alias("n"))  # ``bins`` edges
 
 
 def ranking_scores(rows: DataFrame, score: str, label: str) -> DataFrame:
     """AUROC by average ranks, average precision over falling scores (ties together) and Brier score, in one row."""
-    by = rows.groupBy(score).agg(F.sum(label).alias("pos"), F.count("*").alias("n"))
-    up, down = (Window.partitionBy().orderBy(o).rowsBetween(Window.unboundedPreceding, Window.currentRow) for o in (F.asc(score), F.desc(score)))
-    ranked = by.withColumns({"below": F.sum("n").over(up) - F.col("n"), "tp": F.sum("pos").over(down), "seen": F.sum("n").over(down)})
+    by = rows.where(F.col(score).isNotNull()).groupBy(score).agg(F.sum(label).alias("pos"), F.count("*").alias("n"))
+    all_ = by.agg(F.sum("pos").alias("all_pos"), F.sum("n").alias("all_n"))
+    ranked = running_sums(by, (), score, _pos="pos", _n="n").crossJoin(F.broadcast(all_))  # one row
+    ranked = ranked.withColumns({"below": F.col("_n") - F.col("n"), "tp": F.col("all_pos") - F.col("_pos") + F.col("pos"), "seen": F.col("all_n") - F.col("_n") + F.col("n")})
     totals = ranked.agg(F.sum("pos").alias("p"), (F.sum("n") - F.sum("pos")).alias("q"), F.sum(F.col("pos") * (F.col("below") + (F.col("n") + 1) / 2)).alias("r"), F.sum(F.col("pos") * F.col("tp") / F.col("seen")).alias("a"))
     brier = rows.agg(F.avg(F.pow(F.col(score) - F.col(label), 2)).alias("brier"))
     return totals.crossJoin(brier).select(((F.col("r") - F.col("p") * (F.col("p") + 1) / 2) / (F.col("p") * F.col("q"))).alias("auroc"), (F.col("a") / F.col("p")).alias("average_precision"), "brier")  # one row each

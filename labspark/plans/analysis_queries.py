@@ -267,8 +267,8 @@ _TRUTH = [("click", 30.0), ("view", 75.0), ("error", 240.0)]
 
 @query("WITH b AS (SELECT event_type AS marker, quantile_cont(value, 0.5) AS edge, quantile_cont(value, 0.25) AS lo, quantile_cont(value, 0.75) AS hi FROM events GROUP BY event_type) SELECT marker, round(abs(edge - truth) / abs(truth), 6) AS relative_error, truth BETWEEN lo AND hi AS in_interval, hi - lo < 300 AS narrower FROM b JOIN (VALUES ('click', 30.0::DOUBLE), ('view', 75.0), ('error', 240.0)) t(marker, truth) USING (marker)")
 def j22_band_errors(spark: SparkSession, d: str) -> DataFrame:
-    q = F.percentile("value", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    found = table(spark, d, "events").groupBy(F.col("event_type").alias("marker")).agg(q.alias("q")).select("marker", F.col("q")[1].alias("edge"), F.col("q")[0].alias("ci_low"), F.col("q")[2].alias("ci_high"), (F.col("q")[2] - F.col("q")[0]).alias("width"), F.lit(300.0).alias("reference_width"))
+    quartiles = stats.percentiles(table(spark, d, "events").withColumnRenamed("event_type", "marker"), ("marker",), F.col("value"), (0.25, 0.5, 0.75), "q")
+    found = quartiles.select("marker", F.col("q")[1].alias("edge"), F.col("q")[0].alias("ci_low"), F.col("q")[2].alias("ci_high"), (F.col("q")[2] - F.col("q")[0]).alias("width"), F.lit(300.0).alias("reference_width"))
     return rounded(bands.band_errors(found, F.broadcast(spark.createDataFrame(_TRUTH, "marker string, truth double"))))
 
 
@@ -327,16 +327,15 @@ def h11_h12_h13_calibrated(spark: SparkSession, d: str) -> DataFrame:
 @query("WITH l AS (SELECT event_type AS marker, quantile_cont(value, [" + ", ".join(f"{i / 100}" for i in range(1, 100)) + "]) AS q, quantile_cont(value, 0.3) AS lo, quantile_cont(value, 0.6) AS hi FROM events GROUP BY event_type), p AS (SELECT event_id, CASE WHEN value < 50 THEN 'below' WHEN value > 400 THEN 'above' ELSE 'within' END AS reference_status, CASE WHEN value < lo THEN 'below' WHEN marker <> 'view' AND value > hi THEN 'above' ELSE 'within' END AS functional_status, CASE WHEN len(list_filter(q, lambda x: x <= value)) = 99 THEN 100 ELSE len(list_filter(q, lambda x: x <= value)) END AS percentile, round((value - 50) / 350, 6) AS reference_position FROM events JOIN l ON marker = event_type) SELECT *, CASE WHEN reference_status = 'below' THEN 'low' WHEN reference_status = 'above' THEN 'high' WHEN functional_status <> 'within' THEN 'borderline' ELSE 'in_range' END AS status FROM p")
 def h14_h15_h16_j19_positions(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "events").select("event_id", F.col("event_type").alias("marker"), "value", F.lit(50.0).alias("low"), F.lit(400.0).alias("high"))
-    q = F.percentile("value", F.array(*[F.lit(i / 100) for i in range(1, 100)]))
-    found = rows.groupBy("marker").agg(q.alias("ladder"), F.percentile("value", F.lit(0.3)).alias("band_low"), F.percentile("value", F.lit(0.6)).alias("band_high")).withColumns({"low_limited": F.lit(False), "high_limited": F.col("marker") == "view"})
+    ladder = stats.percentile_ladder(rows, ("marker",), "value")
+    found = ladder.select("marker", "ladder", F.col("ladder")[29].alias("band_low"), F.col("ladder")[59].alias("band_high")).withColumns({"low_limited": F.lit(False), "high_limited": F.col("marker") == "view"})
     made = reports.band_positions(rows, found)
     return rounded(made.select("event_id", "reference_status", "functional_status", "percentile", "status", S.reference_position(F.col("value"), F.col("low"), F.col("high")).alias("reference_position")))
 
 
 @query("SELECT marker, round(m, 6) AS log_mean, round(s, 6) AS log_sd, round(m - 0.674 * s, 6) AS log_q1, round(m + 0.674 * s, 6) AS log_q3, n FROM (SELECT marker, (ln(greatest(lo, 1e-3)) + ln(greatest(hi, 1e-3))) / 2 AS m, (ln(greatest(hi, 1e-3)) - ln(greatest(lo, 1e-3))) / 3.92 * 2 AS s, n FROM (SELECT event_type AS marker, quantile_cont(value, 0.025) AS lo, quantile_cont(value, 0.975) AS hi, count(*) AS n FROM events GROUP BY event_type))")
 def h27_prior_stats(spark: SparkSession, d: str) -> DataFrame:
-    q = F.percentile("value", F.array(F.lit(0.025), F.lit(0.975)))
-    rows = table(spark, d, "events").groupBy(F.col("event_type").alias("marker")).agg(q.alias("q"), F.count("*").alias("n"))
+    rows = stats.percentiles(table(spark, d, "events").withColumnRenamed("event_type", "marker"), ("marker",), F.col("value"), (0.025, 0.975), "q")
     return rounded(rows.select("marker", *[e.alias(n) for n, e in S.prior_stats(F.col("q")[0], F.col("q")[1]).items()], "n"))
 
 

@@ -11,10 +11,16 @@ from .. import catalog, schemas
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """``df`` computed once into the session's checkpoint folder (``spark.checkpoint.dir``), where every executor can read it."""
+    """``df`` computed once into the session's checkpoint folder (``spark.checkpoint.dir``), where every executor can read it.
+
+    Where the session names none, a local session takes a temporary folder; on a cluster, whose executors could not read that, this raises.
+    """
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="labspark-checkpoint-"))
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="labspark-checkpoint-"))
     return df.checkpoint()
 
 
