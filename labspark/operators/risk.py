@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -82,32 +83,57 @@ def _tree_arrays(tree) -> tuple[np.ndarray, ...]:
     return tuple(np.array(x, t) for x, t in zip((feature, threshold, left, right, value, weight), (int, float, int, int, float, float), strict=True))
 
 
-def shapley(tree: tuple[np.ndarray, ...], row: np.ndarray) -> np.ndarray:
-    """Exact Shapley values of one tree's features for one row, under the tree's own path weights.
+@dataclass
+class LeafTable:
+    """A leaf's contributions to the features on its path, for every way in which these may agree with a row."""
+
+    features: list[int]
+    conditions: list[list[tuple[float, bool]]]
+    table: np.ndarray
+
+
+def leaf_tables(tree: tuple[np.ndarray, ...]) -> list[LeafTable]:
+    """The leaves of a tree under its own path weights.
 
-    For every leaf the features on its path either agree with the row or take the share of training rows that went that way; a leaf's
-    contribution to a feature is a sum over sizes of coalitions, with coefficients from products of (share + agrees * z).
+    Features on a leaf's path either agree with a row or take the share of training rows that went that way; the leaf's contribution to one of them
+    is a sum over sizes of coalitions, with coefficients from products of (share + agrees * z).  A path of n features has 2**n rows.
     """
     feature, threshold, left, right, value, weight = tree
-    out = np.zeros(len(row))
-    todo: list[tuple[int, dict[int, tuple[float, bool]]]] = [(0, {})]
+    out = []
+    todo: list[tuple[int, dict[int, tuple[float, tuple]]]] = [(0, {})]
     while todo:
         k, path = todo.pop()
         if feature[k] >= 0:
-            f, goes_left = int(feature[k]), row[feature[k]] <= threshold[k]
-            for child, agrees in ((left[k], goes_left), (right[k], not goes_left)):
-                share, own = path.get(f, (1.0, True))
-                todo.append((int(child), path | {f: (share * weight[child] / weight[k], own and agrees)}))
+            f = int(feature[k])
+            for child, is_left in ((left[k], True), (right[k], False)):
+                share, tests = path.get(f, (1.0, ()))
+                todo.append((int(child), path | {f: (share * weight[child] / weight[k], (*tests, (float(threshold[k]), is_left)))}))
             continue
-        n = len(path)
-        for f, (share, own) in path.items():
-            others = np.ones(1)
-            for g, (s, a) in path.items():
-                if g != f:
-                    others = np.convolve(others, (s, 1.0 if a else 0.0))
-            sizes = np.arange(n)
-            factors = np.array([np.prod(np.arange(1, i + 1)) * np.prod(np.arange(1, n - i)) for i in sizes]) / np.prod(np.arange(1, n + 1))
-            out[f] += value[k] * (float(own) - share) * float(others @ factors)
+        n, shares = len(path), [s for s, _ in path.values()]
+        factors = np.array([math.factorial(i) * math.factorial(n - 1 - i) for i in range(n)]) / math.factorial(n)
+        table = np.zeros((1 << n, n))
+        for code in range(1 << n):
+            for i in range(n):
+                others = np.ones(1)
+                for j in range(n):
+                    if j != i:
+                        others = np.convolve(others, (shares[j], float(code >> j & 1)))
+                table[code, i] = value[k] * (float(code >> i & 1) - shares[i]) * float(others @ factors)
+        out.append(LeafTable(list(path), [list(t) for _, t in path.values()], table))
+    return out
+
+
+def shapley(leaves: list[LeafTable], x: np.ndarray) -> np.ndarray:
+    """Exact Shapley values of one tree for all rows of ``x`` at once: a row's agreements with a leaf's path look its contributions up."""
+    out = np.zeros(x.shape)
+    for leaf in leaves:
+        code = np.zeros(len(x), np.int64)
+        for i, (f, tests) in enumerate(zip(leaf.features, leaf.conditions, strict=True)):
+            agrees = np.ones(len(x), bool)
+            for bound, is_left in tests:
+                agrees &= (x[:, f] <= bound) == is_left
+            code |= agrees.astype(np.int64) << i
+        out[:, leaf.features] += leaf.table[code]
     return out
 
 
@@ -125,12 +151,12 @@ def contributions(rows: DataFrame, model: RiskModel, key: str) -> DataFrame:
     """Key, bias and ``contributions`` (an entry per column), which add up to the row's margin."""
     trees, weights = [_tree_arrays(t) for t in model.trees.trees], list(model.trees.treeWeights)
     bias = sum(w * expected(t) for w, t in zip(weights, trees, strict=True))
-    columns = list(model.columns)
+    columns, leaves = list(model.columns), [leaf_tables(t) for t in trees]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             x = pdf[columns].to_numpy(float)
-            made = [sum((w * shapley(t, r) for w, t in zip(weights, trees, strict=True)), np.zeros(len(columns))) for r in x]
+            made = sum((w * shapley(own, x) for w, own in zip(weights, leaves, strict=True)), np.zeros(x.shape))
             yield pd.DataFrame({key: pdf[key], "bias": bias, "contributions": [m.tolist() for m in made]})
 
     kind = dict(rows.dtypes)[key]
