@@ -166,6 +166,13 @@ def strongest(reasons: DataFrame, owner: str) -> DataFrame:
     return top.select(owner, F.get(F.array(*map(F.lit, catalog.LEVELS)), (F.col("_r") - 1).cast("int")).alias("level"), "reasons")
 
 
+def escalation_recall(wanted: DataFrame, assigned: DataFrame, owner: str) -> DataFrame:
+    """Owners for whom a level is ``wanted``, and the share whose assigned level is at least that; no assigned level is below all."""
+    rank = level_rank(F.col("level"))
+    both = wanted.select(owner, rank.alias("_w")).join(assigned.select(owner, rank.alias("_a")), owner, "left")
+    return both.agg(F.count("*").alias("patients"), F.avg((F.coalesce("_a", F.lit(0)) >= F.col("_w")).cast("int")).alias("recall"))
+
+
 def escalation(values: DataFrame, answers: DataFrame, issues: DataFrame, texts: DataFrame, owner: str) -> DataFrame:
     """The level that markers, answers, quality errors and messages call for; owners without reasons are not listed."""
     from .text import red_flag

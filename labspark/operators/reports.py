@@ -88,6 +88,17 @@ def appointment_guide(positions: DataFrame, levels: DataFrame, owner: str, limit
     return rows.select(owner, F.slice(F.concat(first, "own", F.array(F.lit("Are there other tests or follow-up steps you would suggest?"))), 1, limit).alias("questions"))
 
 
+def throughput(jobs: DataFrame, elapsed: str = "seconds") -> DataFrame:
+    """Job rows (error, rows, method, ``elapsed`` of one worker) in one row: documents, errors, result rows, documents by method, and documents a second.
+
+    A document without an error counts for its method; the rate is null where no time was spent.
+    """
+    done = F.col("error").isNull()
+    by = jobs.where(done).groupBy("method").agg(F.count("*").alias("c")).agg(F.sort_array(F.collect_list(F.concat_ws(":", "method", "c"))).alias("methods"))  # a row per method
+    totals = jobs.agg(F.count("*").alias("documents"), F.count_if(~done).alias("errors"), F.coalesce(F.sum(F.when(done, F.col("rows"))), F.lit(0)).alias("rows"), F.sum(elapsed).alias("_s"))
+    return totals.crossJoin(by).select("documents", "errors", "rows", F.array_join("methods", ",").alias("methods"), F.when(F.col("_s") > 0, F.round(F.col("documents") / F.col("_s"), 2)).alias("docs_per_second"))
+
+
 def interpretation(reports: DataFrame, owner: str, **parts: DataFrame) -> DataFrame:
     """L4: a report's bands, clusters, risks, chains, level and summary in one row; each part is a table with the owner's key, nested under its
     name as an array, empty where the owner has none."""

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
-from .cluster import squared_distance
+from ..sources.io import durable
 
 K1, B = 1.4, 0.75
 
@@ -67,9 +69,13 @@ def bm25(docs: DataFrame, queries: DataFrame, key: str, query_key: str, text: st
     keep = [owner] if owner else []
     asked = queries.select(query_key, *keep, F.explode(S.tokens(F.col(query))).alias("term")).groupBy(query_key, *keep, "term").agg(F.count("*").alias("times"))
     terms = asked.select(*keep, "term").distinct()
-    found = postings(docs, key, text, owner).join(terms, [*keep, "term"], "left_semi")
+    # One pass makes tokens of the texts; what is kept of it is an array a chunk of the terms that queries ask for, and its length.
+    words = docs.select(key, *keep, S.tokens(F.col(text)).alias("_t")).select(key, *keep, F.size("_t").alias("length"), F.explode_outer("_t").alias("term"))
+    marked = words.join(terms.withColumn("_asked", F.lit(1)), [*keep, "term"], "left")
+    counted = durable(marked.groupBy(*keep, key, "length", F.when(F.col("_asked").isNotNull(), F.col("term")).alias("term")).agg(F.count("*").alias("tf")))
+    found = counted.where("term is not null")
     df = found.groupBy(*keep, "term").agg(F.count("*").alias("df"))
-    stats = corpus_stats(docs, key, text, owner)
+    stats = counted.groupBy(*keep, key, "length").agg(F.lit(1).alias("_one")).groupBy(*keep).agg(F.count("*").alias("n"), F.avg("length").alias("avg_length"))
     weighed = found.join(df, [*keep, "term"])
     weighed = weighed.join(stats, keep) if keep else weighed.crossJoin(F.broadcast(stats))  # without owners one row
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
@@ -80,15 +86,50 @@ def bm25(docs: DataFrame, queries: DataFrame, key: str, query_key: str, text: st
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def vector_search(chunks: DataFrame, queries: DataFrame, key: str, query_key: str, vector: str = "embedding", k: int = 4) -> DataFrame:
+def vector_search(chunks: DataFrame, queries: DataFrame, key: str, query_key: str, vector: str = "embedding", k: int = 4, block: int = 8192) -> DataFrame:
     """Exact nearest chunks of a stated query set, by Euclidean distance; filters go before.
 
-    The queries' side is the stated one and is broadcast in blocks of rows by Spark; each chunk is read once.
+    Queries are dealt to blocks of at most ``block`` rows and chunks to as many tasks as hold ``block`` each; every block of queries meets every block of
+    chunks, whose ``k`` best go on.  Nothing is broadcast, and a task's memory does not grow with either side.
     """
-    q = queries.select(query_key, F.col(vector).alias("_q"))
-    pairs = chunks.select(key, vector).join(F.broadcast(q), F.col(key) != F.col(query_key)).select(query_key, key, F.sqrt(squared_distance(F.col(vector), F.col("_q"))).alias("distance"))
-    order = Window.partitionBy(query_key).orderBy("distance", key)
-    return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    asked, stored = ((df.select(F.col(n).alias("n"), F.col(vector).cast("array<double>").alias("v")).where("v is not null and n is not null")) for df, n in ((queries, query_key), (chunks, key)))
+    counts = {"q": max(1, -(-asked.count() // block)), "r": max(1, -(-stored.count() // block))}
+
+    def dealt(df: DataFrame, own: str, other: str) -> DataFrame:
+        return df.withColumns({own: F.pmod(F.xxhash64("n"), F.lit(counts[own])), other: F.explode(F.sequence(F.lit(0), F.lit(counts[other] - 1)).cast("array<bigint>"))}).select("q", "r", "n", "v")
+
+    def best(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = []
+        if left.num_rows and right.num_rows:
+            names, near = np.array(right.column("n").to_pylist()), np.array(right.column("v").to_pylist(), np.float64)
+            for own, v in zip(left.column("n").to_pylist(), left.column("v").to_pylist(), strict=True):
+                d = np.sqrt(((near - np.array(v)) ** 2).sum(axis=1))
+                d[names == own] = np.inf
+                most = np.partition(d, min(k, len(d)) - 1)[min(k, len(d)) - 1]
+                at = np.flatnonzero((d <= most) & np.isfinite(d))
+                at = at[np.lexsort((names[at], d[at]))[:k]]
+                out += [(own, names[i].item(), float(d[i])) for i in at]
+        return pa.table({c: pa.array([r[i] for r in out], t) for i, (c, t) in enumerate((("query", left.schema.field("n").type), ("chunk", right.schema.field("n").type), ("distance", pa.float64())))})
+
+    kinds = dict(queries.dtypes)[query_key], dict(chunks.dtypes)[key]
+    pairs = dealt(asked, "q", "r").groupBy("q", "r").cogroup(dealt(stored, "r", "q").groupBy("q", "r")).applyInArrow(best, f"query {kinds[0]}, chunk {kinds[1]}, distance double")
+    order = Window.partitionBy("query").orderBy("distance", "chunk")
+    return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(F.col("query").alias(query_key), F.col("chunk").alias(key), "distance", "rank")
+
+
+def holders(docs: DataFrame, passages_: DataFrame, key: str, passage_key: str, text: str = "text", passage: str = "query") -> DataFrame:
+    """passage_key, key: the documents whose text holds a whole passage.
+
+    A document that holds a passage has all of its inner terms (the outer two may be parts of longer words there), so each passage is looked up by the inner
+    term that the fewest documents have, and only those are searched.  Passages without inner terms are found nowhere.
+    """
+    inner = passages_.select(passage_key, F.col(passage).alias("_p"), S.tokens(F.col(passage)).alias("_t")).where(F.size("_t") > 2)
+    inner = inner.select(passage_key, "_p", F.explode(F.array_distinct(F.slice("_t", 2, F.size("_t") - 2))).alias("term"))
+    lists = durable(docs.select(key, F.explode(F.array_distinct(S.tokens(F.col(text)))).alias("term")).join(inner.select("term").distinct(), "term", "left_semi"))
+    counts = lists.groupBy("term").agg(F.count("*").alias("_df"))
+    rare = inner.join(counts, "term").groupBy(passage_key, "_p").agg(F.min_by("term", F.struct("_df", "term")).alias("term"))
+    found = rare.join(lists, "term").join(docs.select(key, F.col(text).alias("_d")), key)
+    return found.where(F.col("_d").contains(F.col("_p"))).select(passage_key, key).distinct()
 
 
 def retrieval_accuracy(hits: DataFrame, expected: DataFrame, query_key: str, key: str) -> DataFrame:

@@ -35,7 +35,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 #: Result rows as laboratories would send them, made from ``events``; the text runs in both engines.
 #: ``event_id`` decides what is wrong with a row: spelling of labels, units left out, decimal commas, qualifiers, misread
 #: points, text instead of a number, rows sent twice.
-_RESULTS = """
+RESULTS_SQL = """
   SELECT event_id, ts, user_id, event_type,
     CASE event_type WHEN 'signup' THEN CAST(floor(cents / 5) AS BIGINT) WHEN 'error' THEN cents WHEN 'click' THEN cents * 10 WHEN 'view' THEN cents * 5 ELSE CAST(floor(cents / 15) AS BIGINT) END AS milli
   FROM (SELECT event_id, ts, user_id, event_type, CAST(round(value * 100) AS BIGINT) AS cents FROM events) e"""
@@ -44,7 +44,7 @@ _UNITS = f"""
       WHEN event_type = 'purchase' THEN CAST(round(milli / CAST(0.4114 AS DOUBLE)) AS BIGINT) ELSE milli END * CASE WHEN event_id % 97 = 0 THEN 10 ELSE 1 END AS shown,
     CASE WHEN event_id % 13 = 0 THEN NULL WHEN event_id % 2 = 0 THEN CASE event_type WHEN 'signup' THEN ' mIU / L ' WHEN 'error' THEN 'pmol/L' WHEN 'click' THEN 'mcg/L' WHEN 'view' THEN 'nmol/litre' ELSE 'mmol/L' END
       ELSE CASE event_type WHEN 'signup' THEN 'µIU/mL' WHEN 'error' THEN 'ng/dL' WHEN 'click' THEN 'NG/ML' WHEN 'view' THEN 'ng/mL' ELSE 'mg/dL' END END AS raw_unit
-  FROM ({_RESULTS}) r"""
+  FROM ({RESULTS_SQL}) r"""
 _TEXT = f"""
   SELECT *, CASE WHEN event_id % 193 = 0 THEN 'n/a' ELSE concat(CASE WHEN event_id % 11 = 0 THEN '<' ELSE '' END, CAST(CAST(floor(shown / 1000) AS BIGINT) AS STRING), CASE WHEN event_id % 7 = 0 THEN ',' ELSE '.' END, lpad(CAST(shown % 1000 AS STRING), 3, '0')) END AS raw_value
   FROM ({_UNITS}) u"""

@@ -13,7 +13,8 @@ from .base import LAKE, MARKERS, RAW_SQL, forms, patients, query, raw, rounded,
 
 
 def _flagged(spark: SparkSession, d: str, compat: bool = False) -> DataFrame:
-    base = lake.converted(raw(spark, d))
+    """Converted rows are written once: statistics and flags both read them, so reading, matching and conversion run once."""
+    base = io.durable(lake.converted(raw(spark, d)))
     return lake.flagged(base, quality.population_stats(base, where=lake.plausible()), compat)
 
 
@@ -47,6 +48,24 @@ def i1_i2_label_match(spark: SparkSession, d: str) -> DataFrame:
     return rounded(normalize.match_labels(raw(spark, d)))
 
 
+@query("SELECT event_type AS marker, concat('e-', event_type) AS loinc, 'events' AS panel, 'u/l' AS unit, round(min(value), 6) AS ref_low, round(max(value), 6) AS ref_high, round(min(value) / 10, 6) AS plaus_low, round(max(value) * 10, 6) AS plaus_high, 'mu/l,u/l' AS units, array_to_string(list_sort([event_type, concat('the ', event_type)]), ',') AS aliases, round(max(CASE WHEN user_id % 2 = 0 THEN value END), 6) AS female_high, CASE WHEN count(*) > 100 THEN 'urgent' ELSE 'priority' END AS level FROM events GROUP BY event_type")
+def a14_catalog_document(spark: SparkSession, d: str) -> DataFrame:
+    """A catalog document written from the event types' ranges, read into its dimension tables, and these joined."""
+    path = io.scratch(spark, "catalog")
+    bounds = lambda low, high: F.struct(low.alias("low"), high.alias("high"))
+    low, high, kind = F.min("value"), F.max("value"), F.col("event_type")
+    markers = table(spark, d, "events").groupBy(kind).agg(low.alias("low"), high.alias("high"), F.max(F.when(F.col("user_id") % 2 == 0, F.col("value"))).alias("female"), F.count("*").alias("n")).select(F.struct(
+        kind.alias("marker"), F.concat(F.lit("e-"), kind).alias("loinc"), F.lit("events").alias("panel"), F.lit("u/l").alias("unit"), F.array(kind, F.concat(F.lit("the "), kind)).alias("aliases"), F.create_map(F.lit("u/l"), F.lit(1.0), F.lit("mu/l"), F.lit(0.001)).alias("units"),
+        bounds(F.col("low"), F.col("high")).alias("reference"), F.create_map(F.lit("F"), bounds(F.col("low"), F.col("female"))).alias("reference_by_sex"), bounds(F.col("low") / 10, F.col("high") * 10).alias("plausible"),
+        F.array(F.struct(F.lit(">").alias("op"), F.col("high").alias("bound"), F.when(F.col("n") > 100, "urgent").otherwise("priority").alias("level"), F.lit("high").alias("reason"))).alias("escalation"),
+    ).alias("m"))
+    markers.agg(F.lit("v1").alias("version"), F.collect_list("m").alias("markers")).write.json(path)  # a row for each of a few event types
+    t = io.read_catalog(spark, path)
+    listed = lambda name, column: t[name].groupBy("marker").agg(F.array_join(F.sort_array(F.collect_list(column)), ",").alias(name))
+    whole = t["meta"].join(listed("units", "unit_clean"), "marker").join(listed("aliases", "alias"), "marker").join(t["sex_references"].where("sex = 'F'").select("marker", F.col("sex_high").alias("female_high")), "marker").join(t["escalation"].select("marker", "level"), "marker")
+    return rounded(whole)
+
+
 @query(None)
 def i1_label_match_levenshtein(spark: SparkSession, d: str) -> DataFrame:
     return rounded(normalize.match_labels(raw(spark, d), method="levenshtein"))
@@ -87,7 +106,7 @@ def c6_e1_i3_conversion(spark: SparkSession, d: str) -> DataFrame:
 
 @query(LAKE + "SELECT marker, round(log_mean, 6) AS log_mean, round(log_sd, 6) AS log_sd, round(log_q1, 6) AS log_q1, round(log_q3, 6) AS log_q3, n FROM pop_stats")
 def d1_population_stats(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(quality.population_stats(lake.converted(raw(spark, d)), where=lake.plausible()))
+    return rounded(quality.population_stats(io.durable(lake.converted(raw(spark, d))), where=lake.plausible()))
 
 
 @query(LAKE + "SELECT event_id, marker, unparseable, implausible, round(z_log, 6) AS z_log, iqr_outlier, decimal_misread_suspect, count(*) AS copies FROM flagged GROUP BY ALL")
