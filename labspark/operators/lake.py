@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import catalog
 from ..functions import scalar as S
+from ..sources.io import durable
 from . import normalize, quality
 
 LAB_COLUMNS = ("report_id", "patient_id", "lab_provider", "collected_at", "raw_label", "raw_value", "raw_unit", "raw_reference", "flag")
@@ -127,9 +128,9 @@ class Lake:
 
 
 def run(rows: DataFrame, forms: DataFrame, patients: DataFrame, compat: bool = False) -> Lake:
-    """The whole lake.  ``converted`` is what statistics and flags share; callers may persist the results they use twice."""
-    labels = normalize.match_labels(rows)
-    base = converted(rows, labels)
+    """The whole lake.  Labels and converted rows, which statistics, flags and audits share, are written once."""
+    labels = durable(normalize.match_labels(rows))
+    base = durable(converted(rows, labels))
     stats = quality.population_stats(base, where=plausible())
     marked = flagged(base, stats, compat)
     kept, answers = silver(marked), questionnaires(forms)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from .. import catalog
 from ..functions import scalar as S
+from ..sources.io import durable
 
 FUZZY_CUTOFF = 0.84
 
@@ -26,6 +27,7 @@ def match_labels(labels: DataFrame, column: str = "raw_label", method: str = "ra
     spark = labels.sparkSession
     known = F.broadcast(aliases if aliases is not None else catalog.aliases(spark))  # a fixed table of some hundred rows
     raw = labels.select(F.coalesce(F.col(column), F.lit("")).alias("label")).distinct().withColumn("clean", catalog.clean_label(F.col("label")))
+    raw = raw if labels.isStreaming else durable(raw)  # the three ways of matching read the labels, not the rows again
     exact = raw.join(known, F.col("clean") == F.col("alias")).select("label", "marker", F.lit(1.0).alias("confidence"), F.lit("exact").alias("match_method"))
     rest = raw.join(known.select("alias"), F.col("clean") == F.col("alias"), "left_anti").where("clean <> ''")
     begins = F.concat("clean", F.lit(" ")).startswith(F.concat("alias", F.lit(" "))) & (F.length("alias") >= 3)

@@ -21,11 +21,11 @@ def percentiles(rows: DataFrame, keys: tuple[str, ...], value: Column, levels: t
     """keys, ``to``, n: exact percentiles (interpolated between neighbours) of each group at rising ``levels``, nulls left out.
 
     A sketch brackets each level first; then the values below the brackets are counted, and only those within one are sorted.  So a group's memory is
-    the sketch's and some 4 / ACCURACY of its values a level, not all its different ones.
+    the sketch's and some 4 / ACCURACY of its values a level, not all its different ones.  The keys and values are written once for these passes.
     """
-    own = rows.select(*keys, value.cast("double").alias("_x")).where("_x is not null")
+    own = durable(rows.select(*keys, value.cast("double").alias("_x")).where("_x is not null"))
     at = lambda move: F.array(*[F.lit(min(1.0, max(0.0, q + move / ACCURACY))) for q in levels])
-    sketch = own.groupBy(*keys).agg(F.percentile_approx("_x", at(-2), ACCURACY).alias("_lo"), F.percentile_approx("_x", at(2), ACCURACY).alias("_hi"), F.count("*").alias("n"))
+    sketch = durable(own.groupBy(*keys).agg(F.percentile_approx("_x", at(-2), ACCURACY).alias("_lo"), F.percentile_approx("_x", at(2), ACCURACY).alias("_hi"), F.count("*").alias("n")))
     near = own.join(sketch.drop("n"), list(keys)) if keys else own.crossJoin(F.broadcast(sketch.drop("n")))  # without keys one row
     # A row counts for the levels whose bracket begins above it, and is kept for those whose bracket holds it.  As a place lies between two
     # rows, the next value on each side of a bracket may be needed too.

@@ -329,7 +329,8 @@ _FIND = "SELECT patient_id, marker, max(value_si) AS value FROM silver WHERE NOT
 
 
 def _findings(spark: SparkSession, d: str) -> DataFrame:
-    return lake.silver(_flagged(spark, d)).where("not implausible").groupBy("patient_id", "marker").agg(F.max("value_si").alias("value"))
+    """A value for each patient and marker; written once, as chains, bands and summaries join it several times."""
+    return io.durable(lake.silver(_flagged(spark, d)).where("not implausible").groupBy("patient_id", "marker").agg(F.max("value_si").alias("value")))
 
 
 _FIRED = f""", f AS ({_FIND}), th AS {_T}, ind AS {_I}, sy AS {_S},
