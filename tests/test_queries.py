@@ -41,9 +41,10 @@ def test_twin(spark, sf_dir, duck, name):
 
 @pytest.mark.parametrize("name", sorted(set(base.QUERIES) - set(base.ORACLE_SQL)))
 def test_rows(spark, sf_dir, name):
-    """Values are held by tests/test_values.py and tests/test_fixtures.py; here each query must give rows, and the same ones again."""
-    found = [sorted(map(str, base.QUERIES[name](spark, sf_dir).collect())) for _ in range(2)]
-    assert found[0] and found[0] == found[1]
+    """Values are held by tests/test_values.py and tests/test_fixtures.py; here each query must give whole rows."""
+    found = base.QUERIES[name](spark, sf_dir)
+    rows = found.collect()
+    assert rows and all(len(r) == len(found.columns) for r in rows) and any(v is not None for r in rows for v in r)
 
 
 def test_entry_survives_without_the_training_data_operators():
