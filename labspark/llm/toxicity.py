@@ -219,7 +219,7 @@ def fit(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col:
     joined = base.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label")  # at most ``rows`` rows on the small side
     # Copies and near copies mostly share their least shingle hash; of each such group one row trains, else its words would all seem toxic.
     one_each = joined.mapInArrow(signed, "doc_id long, text string, label int, signature long").groupBy("signature", "label").agg(F.min_by("text", F.struct("doc_id", F.xxhash64("text"))).alias("text"))
-    train = durable(one_each.orderBy("signature", "label").limit(rows).select("text", "label", "signature"))
+    train = durable(one_each.select("text", "label", "signature"))
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -248,10 +248,11 @@ def fit(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col:
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon = Lexicon(model.terms, model.stems)
         for batch in batches:
-            rows = [features(t, lexicon) for t in text_array(batch.column("text")).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.float64())), batch.column("label")], ["x", "label"])
+            made = [features(t, lexicon) for t in text_array(batch.column("text")).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(made, pa.list_(pa.float64())), batch.column("label"), batch.column("signature")], ["x", "label", "signature"])
 
-    rows_ = train.mapInArrow(vectors, "x array<double>, label int").collect()
+    # Repeated ids may join more rows than were chosen; the vectors are short, so the driver's bound is kept here.
+    rows_ = train.mapInArrow(vectors, "x array<double>, label int, signature long").orderBy("signature", "label").limit(rows).collect()
     model.weights = regress(np.array([r[0] for r in rows_]), np.array([r[1] for r in rows_], float)).tolist()
     return model
 
