@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, byte_bpe, exact, packing, sharding, simhash, substring, suffix_array, toxicity, warc
+from . import ann, byte_bpe, conversation_trie, exact, packing, sharding, simhash, substring, suffix_array, toxicity, warc
 from .common import table
 
 THRESHOLD = 0.3
@@ -64,7 +64,17 @@ def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_byte_bpe, op3_simhash, op4_sharding, op5_packing, op6_substring_dedup, op7_warc, op8_suffix_array_dedup, op9_exact_dedup, op10_ann)}
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = conversation_trie.ordered_turns(table(spark, sf_dir, "conversations"))
+    conv = F.col("conv")
+    return conversation_trie.prefix_trie(*conversation_trie.splice(turns, base=conv - conv % 5, reach=F.crc32(conv.cast("string").cast("binary")) % 9, most=8))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_byte_bpe, op3_simhash, op4_sharding, op5_packing, op6_substring_dedup, op7_warc, op8_suffix_array_dedup, op9_exact_dedup, op10_ann, op13_conversation_trie)}
+
+#: CRC-32 (polynomial 0xEDB88320, reflected) of a decimal number's digits, in DuckDB: one step a bit of each byte.
+_CRC32 = """xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({0}::VARCHAR, ''), lambda s: ascii(s)::BIGINT)),
+    lambda c, b: list_reduce(list_prepend(xor(c, b), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda x, y: xor(x >> 1, (x & 1) * 3988292384))))"""
 
 #: DuckDB twins, where SQL can express the result over whole tables.
 ORACLE_SQL: dict[str, str] = {
@@ -86,4 +96,17 @@ ORACLE_SQL: dict[str, str] = {
         c AS (SELECT r.doc_id, list_distinct(flatten(list_transform(places, lambda x: range(x, x + 13)))) AS gone FROM r),
         k AS (SELECT d.doc_id, len(w) AS n_words, coalesce(len(gone), 0) AS n_removed, CASE WHEN gone IS NULL THEN w ELSE list_transform(list_filter(range(1, len(w) + 1), lambda x: NOT list_contains(gone, x)), lambda x: w[x]) END AS kept FROM d LEFT JOIN c USING (doc_id))
         SELECT doc_id, n_words, n_removed, sha256(array_to_string(kept, ' ')) AS kept_sha256 FROM k""",
+    "op13_conversation_trie": f"""
+        WITH t AS (SELECT conv_id AS c, coalesce(role, '') AS r, coalesce(text, '') AS x, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(concat(strlen(coalesce(role, '')), ':', role, text))) AS d FROM conversations WHERE conv_id IS NOT NULL),
+        k AS (SELECT DISTINCT c, {_CRC32.format("c")} % 9 AS h FROM t),
+        b AS (SELECT k.c, t.d, r, x FROM k JOIN t ON t.c = k.c - k.c % 5 AND t.d <= h UNION ALL SELECT t.c, 100 + t.d, r, x FROM t JOIN k USING (c) WHERE t.d > h),
+        m AS (SELECT c, row_number() OVER (PARTITION BY c ORDER BY d) AS d, strlen(x) AS n, sha256(concat(strlen(r), ':', r, x)) AS s FROM b),
+        p AS (SELECT c, d, n, sha256(string_agg(s, '') OVER (PARTITION BY c ORDER BY d)) AS node FROM m UNION ALL SELECT c, 0, 0, 'root' FROM k),
+        q AS (SELECT *, lag(node) OVER (PARTITION BY c ORDER BY d) AS parent, d = max(d) OVER (PARTITION BY c) AS last FROM p),
+        v AS (SELECT node, min(c) AS conv_id, min(d) AS depth, min(parent) AS parent, count(*) AS n_convs, max(n) AS n, coalesce(string_agg(CASE WHEN last THEN c END::VARCHAR, ',' ORDER BY c), '') AS ends FROM q GROUP BY node),
+        g AS (SELECT parent AS node, count(*) AS n_children FROM v WHERE parent IS NOT NULL GROUP BY parent),
+        w AS (SELECT v.*, coalesce(n_children, 0) AS n_children FROM v LEFT JOIN g USING (node)),
+        u AS (SELECT a.node, sum((w.n_children = 0)::BIGINT) AS n_leaves, sum((w.n_convs - 1) * w.n) AS saved_tokens FROM w JOIN q AS a ON a.c = w.conv_id AND a.d <= w.depth GROUP BY a.node)
+        SELECT w.conv_id, w.depth, o.conv_id AS parent_conv_id, w.n_convs, w.n_children, n_leaves::BIGINT AS n_leaves, saved_tokens::BIGINT AS saved_tokens, sha256(w.ends) AS ends_sha256
+        FROM w JOIN u USING (node) LEFT JOIN w AS o ON o.node = w.parent""",
 }
