@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, byte_bpe, conversation_trie, exact, packing, sharding, simhash, substring, suffix_array, toxicity, warc
+from . import ann, byte_bpe, conversation_trie, exact, packing, personal, sharding, simhash, spelling, substring, suffix_array, toxicity, warc
 from .common import table
 
 THRESHOLD = 0.3
@@ -64,13 +64,23 @@ def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
+def op11_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal.find(table(spark, sf_dir, "documents"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    h = F.crc32(F.encode(F.concat(F.col("doc_id").cast("string"), F.lit(":"), F.col("run")), "UTF-8"))
+    gone = F.when(h % 199 == 0, h % F.char_length("run"))
+    return spelling.variants(spelling.words_of(table(spark, sf_dir, "documents"), gone))
+
+
 def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = conversation_trie.ordered_turns(table(spark, sf_dir, "conversations"))
     conv = F.col("conv")
     return conversation_trie.prefix_trie(*conversation_trie.splice(turns, base=conv - conv % 5, reach=F.crc32(conv.cast("string").cast("binary")) % 9, most=8))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_byte_bpe, op3_simhash, op4_sharding, op5_packing, op6_substring_dedup, op7_warc, op8_suffix_array_dedup, op9_exact_dedup, op10_ann, op13_conversation_trie)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_byte_bpe, op3_simhash, op4_sharding, op5_packing, op6_substring_dedup, op7_warc, op8_suffix_array_dedup, op9_exact_dedup, op10_ann, op11_personal_data, op12_spelling_variants, op13_conversation_trie)}
 
 #: CRC-32 (polynomial 0xEDB88320, reflected) of a decimal number's digits, in DuckDB: one step a bit of each byte.
 _CRC32 = """xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({0}::VARCHAR, ''), lambda s: ascii(s)::BIGINT)),
