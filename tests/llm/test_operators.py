@@ -591,6 +591,26 @@ def test_exact_groups(docs, plain):
     assert {r.doc_id for r in exact.drop_copies(docs).collect()} == {k for k, r in got.items() if r.kept}
 
 
+def test_one_row_of_each_group_stays(spark):
+    rows = [(5, "A text", 1), (5, "A text", 2), (6, "Atext", 3), (7, "AAAA", 4), (7, "BB", 5), (3, "BB", 6), (None, "C", 7), (None, "C", 7), (None, "C ", 8), (None, None, 9), (8, "", 10), (-(2**63), "D", 11), (2**63 - 1, "D", 12), (-(2**63), "E", 13)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, keep_id int").repartition(4)
+    got = sorted(((r.doc_id, r.text, r.keep_id) for r in exact.drop_copies(df).collect()), key=lambda r: r[2])
+    assert got == [(5, "A text", 1), (7, "AAAA", 4), (3, "BB", 6), (None, "C ", 8), (8, "", 10), (-(2**63), "D", 11), (-(2**63), "E", 13)]
+    ids = {(r.doc_id, r.keep_id) for r in exact.exact_groups(df).collect()}
+    assert (2**63 - 1, -(2**63)) in ids and (-(2**63), -(2**63)) in ids
+    assert exact.drop_copies(df.limit(0)).count() == 0
+    many = spark.range(3000).select(F.lit(1).cast("long").alias("doc_id"), F.lit("the same").alias("text"))
+    assert exact.drop_copies(many).count() == 1
+
+
+def test_only_repeated_fingerprints_are_compared(spark):
+    df = spark.createDataFrame([(k, f"text {k % 60}") for k in range(100)], "doc_id long, text string")
+    narrow = spark.createDataFrame([(*reversed(exact.fingerprint(f"text{k % 60}".encode())),) for k in range(100)], "print long, length long")
+    assert np.unpackbits(exact._repeated(narrow)).sum() == 40
+    assert exact._repeated(narrow.limit(0)).sum() == 0
+    assert {r.group_size for r in exact.exact_groups(df).collect()} == {1, 2}
+
+
 def test_fingerprints_compose_and_collisions_part(monkeypatch, spark):
     data = bytes(random.Random(1).randbytes(200_001))
     for cut in (0, 1, 65_536, 70_000, 200_001):
