@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import catalog
 from ..functions import scalar as S
+from . import stats
 
 EPS = 1e-3
 MICRO = ("VITD", "B12", "FERRITIN", "MG", "ZINC")
@@ -44,11 +45,14 @@ def validated(answers: DataFrame) -> DataFrame:
 
 
 def fit_imputer(rows: DataFrame, keys: tuple[str, ...], columns: tuple[str, ...]) -> DataFrame:
-    """Medians per group and, under null keys, of all rows: one pass over grouping sets would scan twice, so the global ones come
-    from a second aggregation of the same columns."""
-    medians = [F.median(c).alias(c) for c in columns]
-    grouped = rows.groupBy(*keys).agg(*medians)
-    return grouped.unionByName(rows.agg(*medians).select(*[F.lit(None).cast(dict(grouped.dtypes)[k]).alias(k) for k in keys], *columns))
+    """Exact medians per group and, under null keys, of all rows; no task holds a group's values (``stats.medians``).  Without rows all is null.
+
+    A group whose keys are all null is not told from the whole in the result; ``impute`` gives rows with a null key the whole's median.
+    """
+    found = stats.medians(rows, [tuple(keys), ()], columns)
+    whole = found.where("grouping = 1").drop("grouping")
+    empty = rows.sparkSession.range(1).select(*[F.lit(None).cast(t).alias(k) for k, t in whole.dtypes])
+    return found.where("grouping = 0").where(" or ".join(f"{k} is not null" for k in keys)).drop("grouping").unionByName(whole.unionByName(empty).limit(1))
 
 
 def impute(rows: DataFrame, medians: DataFrame, keys: tuple[str, ...], columns: tuple[str, ...]) -> DataFrame:

@@ -182,5 +182,5 @@ def importance(rows: DataFrame) -> DataFrame:
 
 
 def demographic_share(rows: DataFrame, demographics: tuple[str, ...] = ("sex", "age")) -> DataFrame:
-    """J23."""
-    return rows.agg((F.sum(F.when(F.col("marker").isin(*demographics), F.abs("contribution")).otherwise(0)) / F.sum(F.abs("contribution"))).alias("demographic_share"))
+    """J23; null where all contributions are zero."""
+    return rows.agg(F.try_divide(F.sum(F.when(F.col("marker").isin(*demographics), F.abs("contribution")).otherwise(0)), F.sum(F.abs("contribution"))).alias("demographic_share"))

@@ -20,33 +20,42 @@ def average_rank(partition: list[str], by: str) -> Column:
 def percentiles(rows: DataFrame, keys: tuple[str, ...], value: Column, levels: tuple[float, ...], to: str = "quantiles") -> DataFrame:
     """keys, ``to``, n: exact percentiles (interpolated between neighbours) of each group at rising ``levels``, nulls left out.
 
-    A sketch brackets each level first; then the values below the brackets are counted, and only those within one are sorted.  So a group's memory is
-    the sketch's and some 4 / ACCURACY of its values a level, not all its different ones.  The keys and values are written once for these passes.
+    A mergeable sketch brackets each level in one pass.  A second pass counts: a row for each different value within a bracket (ties are one count), and
+    one for all values between two brackets, with their least and greatest.  Running sums over range partitions of these counts give the places, so no task holds a
+    group's values, however many are equal; the counts are some 4 / ACCURACY of a group's different values a level.  A null key is a group like any other.
     """
-    own = durable(rows.select(*keys, value.cast("double").alias("_x")).where("_x is not null"))
+    own = rows.select(*keys, value.cast("double").alias("_x")).where("_x is not null")
     at = lambda move: F.array(*[F.lit(min(1.0, max(0.0, q + move / ACCURACY))) for q in levels])
-    sketch = durable(own.groupBy(*keys).agg(F.percentile_approx("_x", at(-2), ACCURACY).alias("_lo"), F.percentile_approx("_x", at(2), ACCURACY).alias("_hi"), F.count("*").alias("n")))
-    near = own.join(sketch.drop("n"), list(keys)) if keys else own.crossJoin(F.broadcast(sketch.drop("n")))  # without keys one row
-    # A row counts for the levels whose bracket begins above it, and is kept for those whose bracket holds it.  As a place lies between two
-    # rows, the next value on each side of a bracket may be needed too.
-    upto, over = F.size(F.filter("_lo", lambda low: low <= F.col("_x"))), F.size(F.filter("_hi", lambda high: high < F.col("_x")))
-    held = F.filter(F.sequence(F.lit(0), F.lit(len(levels) - 1)), lambda i: (F.get("_lo", i) <= F.col("_x")) & (F.get("_hi", i) >= F.col("_x")))
-    marked = near.select(*keys, "_x", upto.alias("_upto"), over.alias("_over"), held.alias("_held"))
-    parts = marked.groupBy(*keys, "_upto", "_over").agg(F.count("*").alias("_c"), F.min("_x").alias("_least"), F.max("_x").alias("_most")).groupBy(*keys).agg(F.collect_list(F.struct("_upto", "_over", "_c", "_least", "_most")).alias("_parts"))
-    inside = marked.where(F.size("_held") > 0).select(*keys, "_x", F.explode("_held").alias("_level")).groupBy(*keys, "_level").agg(F.sort_array(F.collect_list("_x")).alias("_sorted"))
-    inside = inside.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("_level", "_sorted"))).alias("_in"))
-    joined = sketch.select(*keys, "n").join(parts, list(keys)).join(inside, list(keys)) if keys else sketch.select("n").crossJoin(parts).crossJoin(inside)  # a row for each group
-
-    def exact(i: Column) -> Column:
-        place, own = F.get(F.array(*map(F.lit, levels)), i) * (F.col("n") - 1), F.try_element_at("_in", i)
-        first = F.aggregate(F.filter("_parts", lambda s: s["_upto"] <= i), F.lit(0).cast("long"), lambda acc, s: acc + s["_c"])
-        before = F.array_max(F.transform(F.filter("_parts", lambda s: s["_upto"] <= i), lambda s: s["_most"]))
-        after = F.array_min(F.transform(F.filter("_parts", lambda s: s["_over"] > i), lambda s: s["_least"]))
-        value_at = lambda k: F.when(k < first, before).when(k - first >= F.size(own), after).otherwise(F.get(own, (k - first).cast("int")))
-        low, high = value_at(F.floor(place)), value_at(F.ceil(place))
-        return F.when(F.floor(place) == F.ceil(place), low).otherwise(low + (place - F.floor(place)) * (high - low))
-
-    return joined.select(*keys, F.transform(F.sequence(F.lit(0), F.lit(len(levels) - 1)), exact).alias(to), "n")
+    sketch = own.groupBy(*keys).agg(F.percentile_approx("_x", at(-2), ACCURACY).alias("_lo"), F.percentile_approx("_x", at(2), ACCURACY).alias("_hi"), F.count("*").alias("n"))
+    sketch = durable(sketch.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.arrays_zip("_lo", "_hi").alias("_b"), "n"))
+    condition = F.lit(True)
+    for k in keys:
+        condition &= F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    near = own.join(sketch.drop("n"), condition) if keys else own.crossJoin(F.broadcast(sketch.drop("n")))  # without keys one row
+    within = F.exists("_b", lambda s: (s["_lo"] <= F.col("_x")) & (s["_hi"] >= F.col("_x")))
+    counts = near.groupBy(*keys, F.when(within, F.col("_x")).alias("_v"), F.when(~within, F.size(F.filter("_b", lambda s: s["_lo"] <= F.col("_x")))).alias("_gap")).agg(F.count("*").alias("_c"), F.min("_x").alias("_least"), F.max("_x").alias("_most"))
+    summed = running_sums(counts.drop("_v", "_gap"), keys, "_least", _upto="_c")
+    # The places a row of counts covers are _upto - _c to _upto - 1; a bracket's ends may be one place beyond it, the first or last of the row next to it.
+    met = summed.join(sketch.drop("_b"), condition) if keys else summed.crossJoin(F.broadcast(sketch.drop("_b")))
+    covers = lambda p: (p >= F.col("_upto") - F.col("_c")) & (p < F.col("_upto"))
+    held = F.filter(F.transform(F.sequence(F.lit(0), F.lit(len(levels) - 1)), lambda i: F.struct(i.alias("i"), (F.get(F.array(*map(F.lit, levels)), i) * (F.col("n") - 1)).alias("p"))), lambda s: covers(F.floor(s["p"])) | covers(F.ceil(s["p"])))
+    value_of = lambda p: F.when(~covers(p), None).when(p == F.col("_upto") - F.col("_c"), F.col("_least")).otherwise(F.col("_most"))
+    parts = met.select(*keys, "n", "_upto", "_c", "_least", "_most", F.explode(held).alias("_s"))
+    ends = parts.groupBy(*keys, "n", F.col("_s.i").alias("_i"), F.col("_s.p").alias("_p")).agg(F.max(value_of(F.floor("_s.p"))).alias("_low"), F.max(value_of(F.ceil("_s.p"))).alias("_high"))
+    exact = F.when(F.floor("_p") == F.ceil("_p"), F.col("_low")).otherwise(F.col("_low") + (F.col("_p") - F.floor("_p")) * (F.col("_high") - F.col("_low")))
+    return ends.groupBy(*keys, "n").agg(F.transform(F.array_sort(F.collect_list(F.struct("_i", exact.alias("_x")))), lambda s: s["_x"]).alias(to)).select(*keys, to, "n")
+
+
+def medians(rows: DataFrame, groups: list[tuple[str, ...]], columns: tuple[str, ...]) -> DataFrame:
+    """The exact median of every column, a row for each group of each of ``groups``' keys; keys that a group lacks are null there, and ``grouping`` is its place in the list."""
+    keys = list(dict.fromkeys(k for g in groups for k in g))
+    kinds = dict(rows.dtypes)
+    scopes = F.explode(F.array(*[F.struct(F.lit(i).alias("grouping"), *[(F.col(k) if k in g else F.lit(None).cast(kinds[k])).alias(f"k_{k}") for k in keys]) for i, g in enumerate(groups)]))
+    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("x")) for c in columns]))
+    long = rows.select(*keys, pairs.alias("_v"), *columns).select(scopes.alias("_g"), "_v").select("_g.*", "_v.*")
+    found = percentiles(long, ("grouping", *[f"k_{k}" for k in keys], "column"), F.col("x"), (0.5,), "_q")
+    wide = found.groupBy("grouping", *[f"k_{k}" for k in keys]).agg(*[F.max(F.when(F.col("column") == c, F.col("_q")[0])).alias(c) for c in columns])
+    return wide.select("grouping", *[F.col(f"k_{k}").alias(k) for k in keys], *columns)
 
 
 def running_sums(rows: DataFrame, keys: tuple[str, ...], order: str, **sums: str) -> DataFrame:
@@ -58,9 +67,12 @@ def running_sums(rows: DataFrame, keys: tuple[str, ...], order: str, **sums: str
     placed = durable(rows.repartitionByRange(*keys, order).withColumn("_part", F.spark_partition_id()))
     totals = placed.groupBy(*keys, "_part").agg(*[F.sum(c).alias(f"_t_{to}") for to, c in sums.items()])
     earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*keys, "_part", *[F.coalesce(F.sum(f"_t_{to}").over(earlier), F.lit(0)).alias(f"_o_{to}") for to in sums])
+    offsets = totals.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_part").alias("_k_part"), *[F.coalesce(F.sum(f"_t_{to}").over(earlier), F.lit(0)).alias(f"_o_{to}") for to in sums])
     own = Window.partitionBy(*keys, "_part").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    out = placed.withColumns({f"_r_{to}": F.sum(c).over(own) for to, c in sums.items()}).join(offsets, [*keys, "_part"])
+    condition = F.col("_part") == F.col("_k_part")
+    for k in keys:
+        condition &= F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    out = placed.withColumns({f"_r_{to}": F.sum(c).over(own) for to, c in sums.items()}).join(offsets, condition)
     return out.select(*rows.columns, *[(F.col(f"_r_{to}") + F.col(f"_o_{to}")).alias(to) for to in sums])
 
 
@@ -95,14 +107,14 @@ def shares(rows: DataFrame, column: str) -> DataFrame:
 
 
 def crosstab_shares(rows: DataFrame, row: str, column: str, values: tuple) -> DataFrame:
-    """Of each row value, the share of each column value."""
-    return rows.groupBy(row).agg(*[(F.count_if(F.col(column) == v) / F.count(column)).alias(str(v)) for v in values])
+    """Of each row value, the share of each column value; null where all are null."""
+    return rows.groupBy(row).agg(*[F.try_divide(F.count_if(F.col(column) == v), F.count(column)).alias(str(v)) for v in values])
 
 
 def calibration_error(rows: DataFrame, score: str, label: str, bins: int = 10) -> DataFrame:
     """Mean distance of predicted and observed rates over equal-width bins, weighted by size."""
     binned = rows.withColumn("_bin", F.least(F.floor(F.col(score) * bins), F.lit(bins - 1))).groupBy("_bin").agg(F.count("*").alias("n"), F.avg(score).alias("p"), F.avg(label).alias("y"))
-    return binned.agg((F.sum(F.col("n") * F.abs(F.col("p") - F.col("y"))) / F.sum("n")).alias("ece"))
+    return binned.agg(F.try_divide(F.sum(F.col("n") * F.abs(F.col("p") - F.col("y"))), F.sum("n")).alias("ece"))
 
 
 def calibration_curve(rows: DataFrame, score: str, label: str, bins: int = 10) -> DataFrame:
@@ -112,14 +124,14 @@ def calibration_curve(rows: DataFrame, score: str, label: str, bins: int = 10) -
 
 
 def ranking_scores(rows: DataFrame, score: str, label: str) -> DataFrame:
-    """AUROC by average ranks, average precision over falling scores (ties together) and Brier score, in one row."""
+    """AUROC by average ranks, average precision over falling scores (ties together) and Brier score, in one row; null where a class is absent."""
     by = rows.where(F.col(score).isNotNull()).groupBy(score).agg(F.sum(label).alias("pos"), F.count("*").alias("n"))
     all_ = by.agg(F.sum("pos").alias("all_pos"), F.sum("n").alias("all_n"))
     ranked = running_sums(by, (), score, _pos="pos", _n="n").crossJoin(F.broadcast(all_))  # one row
     ranked = ranked.withColumns({"below": F.col("_n") - F.col("n"), "tp": F.col("all_pos") - F.col("_pos") + F.col("pos"), "seen": F.col("all_n") - F.col("_n") + F.col("n")})
     totals = ranked.agg(F.sum("pos").alias("p"), (F.sum("n") - F.sum("pos")).alias("q"), F.sum(F.col("pos") * (F.col("below") + (F.col("n") + 1) / 2)).alias("r"), F.sum(F.col("pos") * F.col("tp") / F.col("seen")).alias("a"))
     brier = rows.agg(F.avg(F.pow(F.col(score) - F.col(label), 2)).alias("brier"))
-    return totals.crossJoin(brier).select(((F.col("r") - F.col("p") * (F.col("p") + 1) / 2) / (F.col("p") * F.col("q"))).alias("auroc"), (F.col("a") / F.col("p")).alias("average_precision"), "brier")  # one row each
+    return totals.crossJoin(brier).select((F.try_divide(F.col("r") - F.col("p") * (F.col("p") + 1) / 2, F.col("p") * F.col("q"))).alias("auroc"), F.try_divide("a", "p").alias("average_precision"), "brier")  # one row each
 
 
 def fingerprint(rows: DataFrame) -> DataFrame:

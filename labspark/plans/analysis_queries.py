@@ -239,19 +239,19 @@ def d26_cluster_band(spark: SparkSession, d: str) -> DataFrame:
     return rounded(cluster.best_cluster_band(relation(spark, d, _PROFILE), "site", "TSH", "tired"))
 
 
-_CURVE = "SELECT CAST(value / 10 AS DOUBLE) AS x, CAST(CASE WHEN abs(value - 250) > 120 AND event_id % 3 > 0 OR event_id % 11 = 0 THEN 1 ELSE 0 END AS DOUBLE) AS y, CAST(user_id % 50 AS DOUBLE) AS age, event_id FROM events"
+_CURVE = "SELECT CAST(value / 10 AS DOUBLE) AS x, CAST(CASE WHEN abs(value - 250) > 120 AND event_id % 3 > 0 OR event_id % 11 = 0 THEN 1 ELSE 0 END AS DOUBLE) AS y, CAST(user_id % 50 AS DOUBLE) AS age, CAST(user_id % 2 AS DOUBLE) AS female, event_id FROM events"
 
 
 @query(None)
 def j11_j12_risk_band(spark: SparkSession, d: str) -> DataFrame:
     """The contiguous range around the least risk of a spline model."""
-    curve = bands.risk_curve(relation(spark, d, _CURVE), "x", "y", ("age",))
+    curve = bands.risk_curve(relation(spark, d, _CURVE), "x", "y", ("age", "female"))
     return rounded(bands.band(curve, "x"), 3)
 
 
 @query(None)
 def j13_band_interval(spark: SparkSession, d: str) -> DataFrame:
-    return bands.bootstrap_edges(relation(spark, d, _CURVE), "event_id", "x", "y", ("age",), replicates=20, size=15_000)
+    return bands.bootstrap_edges(relation(spark, d, _CURVE), "event_id", "x", "y", ("age", "female"), replicates=20, size=15_000)
 
 
 _GRID = "SELECT event_type AS marker, CAST(floor(value / 25) AS INT) AS point, avg(value) AS x, avg(CAST(event_id % 7 AS DOUBLE)) AS risk FROM events GROUP BY event_type, CAST(floor(value / 25) AS INT)"
