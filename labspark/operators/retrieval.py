@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-import numpy as np
+from collections.abc import Iterator
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
 from ..sources.io import durable
+from . import neighbours
 
 K1, B = 1.4, 0.75
 
@@ -86,50 +88,57 @@ def bm25(docs: DataFrame, queries: DataFrame, key: str, query_key: str, text: st
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def vector_search(chunks: DataFrame, queries: DataFrame, key: str, query_key: str, vector: str = "embedding", k: int = 4, block: int = 8192) -> DataFrame:
-    """Exact nearest chunks of a stated query set, by Euclidean distance; filters go before.
+def vector_search(chunks: DataFrame, queries: DataFrame, key: str, query_key: str, vector: str = "embedding", k: int = 4) -> DataFrame:
+    """Exact nearest chunks of a stated query set, by Euclidean distance; filters go before.  See ``neighbours.nearest_join``."""
+    found = neighbours.nearest_join(queries, chunks, query_key, key, vector, k)
+    return found.select(F.col("query").alias(query_key), F.col("chunk").alias(key), "distance", "rank")
 
-    Queries are dealt to blocks of at most ``block`` rows and chunks to as many tasks as hold ``block`` each; every block of queries meets every block of
-    chunks, whose ``k`` best go on.  Nothing is broadcast, and a task's memory does not grow with either side.
-    """
-    asked, stored = ((df.select(F.col(n).alias("n"), F.col(vector).cast("array<double>").alias("v")).where("v is not null and n is not null")) for df, n in ((queries, query_key), (chunks, key)))
-    counts = {"q": max(1, -(-asked.count() // block)), "r": max(1, -(-stored.count() // block))}
-
-    def dealt(df: DataFrame, own: str, other: str) -> DataFrame:
-        return df.withColumns({own: F.pmod(F.xxhash64("n"), F.lit(counts[own])), other: F.explode(F.sequence(F.lit(0), F.lit(counts[other] - 1)).cast("array<bigint>"))}).select("q", "r", "n", "v")
-
-    def best(left: pa.Table, right: pa.Table) -> pa.Table:
-        out = []
-        if left.num_rows and right.num_rows:
-            names, near = np.array(right.column("n").to_pylist()), np.array(right.column("v").to_pylist(), np.float64)
-            for own, v in zip(left.column("n").to_pylist(), left.column("v").to_pylist(), strict=True):
-                d = np.sqrt(((near - np.array(v)) ** 2).sum(axis=1))
-                d[names == own] = np.inf
-                most = np.partition(d, min(k, len(d)) - 1)[min(k, len(d)) - 1]
-                at = np.flatnonzero((d <= most) & np.isfinite(d))
-                at = at[np.lexsort((names[at], d[at]))[:k]]
-                out += [(own, names[i].item(), float(d[i])) for i in at]
-        return pa.table({c: pa.array([r[i] for r in out], t) for i, (c, t) in enumerate((("query", left.schema.field("n").type), ("chunk", right.schema.field("n").type), ("distance", pa.float64())))})
-
-    kinds = dict(queries.dtypes)[query_key], dict(chunks.dtypes)[key]
-    pairs = dealt(asked, "q", "r").groupBy("q", "r").cogroup(dealt(stored, "r", "q").groupBy("q", "r")).applyInArrow(best, f"query {kinds[0]}, chunk {kinds[1]}, distance double")
-    order = Window.partitionBy("query").orderBy("distance", "chunk")
-    return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(F.col("query").alias(query_key), F.col("chunk").alias(key), "distance", "rank")
-
-
-def holders(docs: DataFrame, passages_: DataFrame, key: str, passage_key: str, text: str = "text", passage: str = "query") -> DataFrame:
-    """passage_key, key: the documents whose text holds a whole passage.
+
+def holders(docs: DataFrame, passages_: DataFrame, key: str, passage_key: str, text: str = "text", passage: str = "query", block: int = 10_000) -> DataFrame:
+    """passage_key, key: the documents whose text holds a whole passage; an empty passage is held by every text.
 
     A document that holds a passage has all of its inner terms (the outer two may be parts of longer words there), so each passage is looked up by the inner
-    term that the fewest documents have, and only those are searched.  Passages without inner terms are found nowhere.
+    term that the fewest documents have, and only those are searched.  Passages of fewer than three terms have no inner one: texts are scanned for ``block``
+    of them at a time by an Aho-Corasick automaton, in time linear in the text.
     """
-    inner = passages_.select(passage_key, F.col(passage).alias("_p"), S.tokens(F.col(passage)).alias("_t")).where(F.size("_t") > 2)
+    termed = passages_.select(passage_key, F.col(passage).cast("string").alias("_p"), S.tokens(F.col(passage)).alias("_t")).where("_p is not null")
+    inner = termed.where(F.size("_t") > 2)
     inner = inner.select(passage_key, "_p", F.explode(F.array_distinct(F.slice("_t", 2, F.size("_t") - 2))).alias("term"))
     lists = durable(docs.select(key, F.explode(F.array_distinct(S.tokens(F.col(text)))).alias("term")).join(inner.select("term").distinct(), "term", "left_semi"))
     counts = lists.groupBy("term").agg(F.count("*").alias("_df"))
     rare = inner.join(counts, "term").groupBy(passage_key, "_p").agg(F.min_by("term", F.struct("_df", "term")).alias("term"))
     found = rare.join(lists, "term").join(docs.select(key, F.col(text).alias("_d")), key)
-    return found.where(F.col("_d").contains(F.col("_p"))).select(passage_key, key).distinct()
+    out = found.where(F.col("_d").contains(F.col("_p"))).select(passage_key, key).distinct()
+    short = durable(termed.where(F.size("_t") <= 2).select(passage_key, "_p").distinct())
+    different = short.select("_p").distinct()
+    blocks = -(-different.count() // block)
+    for b in range(blocks):
+        patterns = [r[0] for r in different.where(F.pmod(F.xxhash64("_p"), F.lit(blocks)) == b).collect()]  # about ``block`` short texts
+        out = out.unionByName(_holding(docs, key, text, patterns).join(short, "_p").select(passage_key, key).distinct())
+    return out
+
+
+def _holding(docs: DataFrame, key: str, text: str, patterns: list[str]) -> DataFrame:
+    """key, _p: the patterns that each text holds."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        automaton = ahocorasick.Automaton()
+        for p in filter(None, patterns):
+            automaton.add_word(p, p)
+        automaton.make_automaton()
+        always = [""] if "" in patterns else []
+        for batch in batches:
+            at, held = [], []
+            for i, t in enumerate(batch.column("_d").to_pylist()):
+                own = [] if t is None else [*always, *({p for _, p in automaton.iter(t)} if len(automaton) else ())]
+                at += [i] * len(own)
+                held += own
+            yield pa.RecordBatch.from_arrays([batch.column("_key").take(pa.array(at, pa.int64())), pa.array(held, pa.string())], ["_key", "_p"])
+
+    rows = docs.select(F.col(key).alias("_key"), F.col(text).cast("string").alias("_d"))
+    return rows.mapInArrow(run, f"_key {dict(rows.dtypes)['_key']}, _p string").withColumnRenamed("_key", key)
 
 
 def retrieval_accuracy(hits: DataFrame, expected: DataFrame, query_key: str, key: str) -> DataFrame:

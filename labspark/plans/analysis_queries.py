@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import catalog
 from ..functions import scalar as S
-from ..operators import bands, cluster, features, lake, reports, risk, stats
+from ..operators import bands, cluster, features, lake, neighbours, reports, risk, stats
 
 from .base import LAKE, query, raw, relation, rounded, table
 
@@ -194,24 +194,27 @@ def j4_kmeans(spark: SparkSession, d: str) -> DataFrame:
 
 @query(None)
 def j5_mixture(spark: SparkSession, d: str) -> DataFrame:
-    rows = cluster.project(_vectors(spark, d), "v", 3)[0].select("id", F.col("map").alias("v"))
-    from pyspark.ml.functions import array_to_vector
-
-    model, scored = cluster.choose_mixture(rows, "v", 3)
+    """Mixtures of 3 to 9 components on nine standardised markers, missing ones imputed."""
+    rows = wide(spark, d).withColumn("band", S.age_band(F.col("age")))
+    whole = features.impute(rows, features.fit_imputer(rows, ("sex", "band"), catalog.MARKERS), ("sex", "band"), catalog.MARKERS)
+    vectors = features.standardised(whole.select("id", *catalog.MARKERS), catalog.MARKERS, catalog.LOG_MARKERS).select("id", F.array(*catalog.MARKERS).alias("v"))
+    mixture, scored = cluster.choose_mixture(vectors, "id", "v")
     tried = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(float(b)).alias("bic")) for k, b in scored])
-    return model.transform(rows.withColumn("_f", array_to_vector("v"))).select("id", "cluster", F.lit(min(scored, key=lambda s: s[1])[0]).alias("k"), tried.alias("tried"))
+    return cluster.mixture_labels(vectors, "id", "v", mixture).select("id", "cluster", "certainty", F.lit(len(mixture.weights)).alias("k"), tried.alias("tried"))
 
 
 @query(None)
 def j6_dbscan(spark: SparkSession, d: str) -> DataFrame:
-    rows = cluster.project(_vectors(spark, d), "v", 2)[0].select("id", F.col("map").alias("v"))
-    eps = cluster.neighbour_distance(rows, "id", "v", 5).first()[0]
-    return cluster.dbscan(rows, "id", "v", eps, 6).groupBy("core", F.col("cluster").isNull().alias("noise")).agg(F.count("*").alias("n"), F.count_distinct("cluster").alias("clusters"))
+    """Clusters and noise of all vectors on their first two components: 25 neighbours within the radius that J7 finds, and the share of label 0 among noise and core."""
+    rows = cluster.project(_vectors(spark, d), "v", 2)[0].select("id", F.col("map").alias("v"), (F.col("label") == 0).cast("int").alias("symptom"))
+    eps = cluster.neighbour_distance(rows, "id", "v", 25).first()[0]
+    labelled = neighbours.density_clusters(rows, "id", "v", eps, 25).join(rows.select("id", "symptom"), "id")
+    return rounded(neighbours.noise_profile(labelled, "symptom"))
 
 
-@query(_CENTRES + ", p AS (SELECT a.id AS a, b.id AS b, sqrt(sum((a.x - b.x) * (a.x - b.x))) AS d FROM u a JOIN u b ON a.i = b.i AND a.id <> b.id GROUP BY ALL), k AS (SELECT a, d, row_number() OVER (PARTITION BY a ORDER BY d, b) AS r FROM p) SELECT round(quantile_cont(d, 0.9), 6) AS eps FROM k WHERE r = 5")
+@query(_CENTRES + ", p AS (SELECT a.id AS a, b.id AS b, sqrt(sum((a.x - b.x) * (a.x - b.x))) AS d FROM u a JOIN u b ON a.i = b.i AND a.id <> b.id GROUP BY ALL), k AS (SELECT a, d, row_number() OVER (PARTITION BY a ORDER BY d, b) AS r FROM p) SELECT round(quantile_cont(d, 0.9), 6) AS eps FROM k WHERE r = 25")
 def j7_neighbour_distance(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(cluster.neighbour_distance(_vectors(spark, d), "id", "v", 5, sample=None))
+    return rounded(cluster.neighbour_distance(_vectors(spark, d), "id", "v", 25, sample=None))
 
 
 @query(None)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from labspark import catalog, schemas
 from labspark.functions import scalar as S
-from labspark.operators import bands, cluster, features, graph, lake, normalize, quality, reports, retrieval, risk, stats, text
+from labspark.operators import bands, cluster, features, graph, lake, neighbours, normalize, quality, reports, retrieval, risk, stats, text
 from labspark.sources import io
 
 
@@ -221,17 +221,17 @@ def test_models(spark):
 
 def test_dbscan(spark):
     points = [(i, [0.1 * (i % 5), 0.1 * (i // 5)]) for i in range(20)] + [(100 + i, [5 + 0.1 * i, 5.0]) for i in range(10)] + [(999, [20.0, 20.0])]
-    got = {r.id: r for r in cluster.dbscan(spark.createDataFrame(points, "id int, v array<double>"), "id", "v", 0.15, 3).collect()}
+    got = {r.id: r for r in neighbours.density_clusters(spark.createDataFrame(points, "id int, v array<double>"), "id", "v", 0.15, 3).collect()}
     assert {got[i].cluster for i in range(20)} == {0} and {got[100 + i].cluster for i in range(10)} == {101} and got[999].cluster is None
 
 
 def test_dbscan_follows_long_chains(spark):
     """A chain of 150 steps of eps is one cluster; too few rounds raise."""
     points = spark.createDataFrame([(i, [0.1 * i, 0.0]) for i in range(151)] + [(500 + i, [0.1 * i, 9.0]) for i in range(5)], "id int, v array<double>")
-    got = {r.id: r.cluster for r in cluster.dbscan(points, "id", "v", 0.11, 2).collect()}
+    got = {r.id: r.cluster for r in neighbours.density_clusters(points, "id", "v", 0.11, 2, cell_rows=10).collect()}
     assert {got[i] for i in range(151)} == {0} and {got[500 + i] for i in range(5)} == {500}
     with pytest.raises(RuntimeError, match="did not settle"):
-        cluster.dbscan(points, "id", "v", 0.11, 2, rounds=1)
+        cluster.settled_labels(spark.range(150).select("id", (F.col("id") + 1).alias("next")), "id", "next", rounds=1)
 
 
 def test_neighbour_distance_among_all_rows(spark):
@@ -241,7 +241,7 @@ def test_neighbour_distance_among_all_rows(spark):
     points = np.random.default_rng(8).random((2600, 2))
     rows = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(points)], "id long, v array<double>")
     d = np.sort(np.sqrt(((points[:, None] - points[None]) ** 2).sum(axis=2)), axis=1)[:, 5]
-    assert cluster.neighbour_distance(rows, "id", "v", 5, sample=None, block=1000).first().eps == pytest.approx(np.quantile(d, 0.9))
+    assert cluster.neighbour_distance(rows, "id", "v", 5, sample=None).first().eps == pytest.approx(np.quantile(d, 0.9))
     ids = [r.id for r in stats.seeded_sample(rows, "id", 500).collect()]
     assert cluster.neighbour_distance(rows, "id", "v", 5, sample=500).first().eps == pytest.approx(np.quantile(d[ids], 0.9))
 
@@ -270,12 +270,12 @@ def test_queries_run_the_survey_s_parameters(spark, sf_dir, monkeypatch):
 
     assert caught(cluster, "silhouette", analysis_queries.j8_silhouette)["sample"] == 2000
     assert caught(cluster, "choose_kmeans", analysis_queries.j4_kmeans)["ks"] == range(3, 10)
-    assert caught(cluster, "choose_mixture", analysis_queries.j5_mixture)["ks"] == range(2, 6)
+    assert caught(cluster, "choose_mixture", analysis_queries.j5_mixture)["ks"] == range(3, 10)
     assert caught(cluster, "neighbour_distance", analysis_queries.j7_neighbour_distance)["sample"] is None
     found = caught(bands, "bootstrap_edges", analysis_queries.j13_band_interval)
     assert (found["replicates"], found["size"]) == (20, 15_000)
     made = analysis_queries.j5_mixture(spark, sf_dir)
-    assert made.count() == spark.read.parquet(f"{sf_dir}/embeddings.parquet").count() and [t.k for t in made.first().tried] == [2, 3, 4, 5]
+    assert made.count() == spark.read.parquet(f"{sf_dir}/customer.parquet").count() and [t.k for t in made.first().tried] == list(range(3, 10))
 
 
 def test_sources(spark, tmp_path):

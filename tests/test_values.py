@@ -185,7 +185,7 @@ def test_shapley_values_by_all_orders():
         return sum(weight[c] / weight[k] * mean(row, known, c) for c in (left[k], right[k]))
 
     x = np.array([[a, b, c] for a in (0.5, 2.0, 5.0) for b in (1.0, 3.0) for c in (0.0, 1.0)])
-    got = risk.shapley(risk.leaf_tables(tree), x)
+    got = risk.shapley(risk.leaf_paths(tree), x)
     for row, own in zip(x, got, strict=True):
         want, orders = np.zeros(3), list(itertools.permutations(range(3)))
         for order in orders:
