@@ -551,11 +551,10 @@ def m2_stream_dedup(spark: SparkSession, d: str) -> DataFrame:
 
 @query(LAKE + "SELECT patient_id, max(collected_at) AS collected_at FROM raw GROUP BY patient_id")
 def m3_stream_latest(spark: SparkSession, d: str) -> DataFrame:
+    """Each patient's latest row by keyed state; a batch writes the patients it changes."""
     stream, path = _stream(spark, d, "m3")
-    done = streams.upsert_latest(stream.select("patient_id", "collected_at", "report_id"), f"{path}/out", f"{path}/state")
-    done.awaitTermination()
-    last = done.lastProgress["batchId"] if done.lastProgress else 0
-    return spark.read.parquet(f"{path}/out/v{last}").select("patient_id", "collected_at")
+    streams.upsert(streams.latest_changes(stream.select("patient_id", "collected_at", "report_id")), f"{path}/out", f"{path}/state").awaitTermination()
+    return streams.snapshot(spark, f"{path}/out", "patient_id", ("collected_at", "report_id")).select("patient_id", "collected_at")
 
 
 @query(f"SELECT report_id, arg_max(status, (happened, status)) AS status FROM ({_STATUS}) GROUP BY report_id")
@@ -564,8 +563,8 @@ def m4_stream_status(spark: SparkSession, d: str) -> DataFrame:
     rows = relation(spark, d, _STATUS).select("report_id", "happened", "status")
     rows.unionByName(rows.where("report_id % 3 = 0")).repartition(3).write.json(f"{path}/in")  # some events twice
     stream = spark.readStream.schema("report_id long, happened string, status string").option("maxFilesPerTrigger", 2).json(f"{path}/in")
-    streams.complete_once(streams.latest_status(stream, at="happened"), f"{path}/out", f"{path}/state").awaitTermination()
-    return spark.read.parquet(f"{path}/out").select("report_id", "status")
+    streams.upsert(streams.status_changes(stream, at="happened"), f"{path}/out", f"{path}/state").awaitTermination()
+    return streams.snapshot(spark, f"{path}/out", "report_id", ("at", "changes")).select("report_id", "status")
 
 
 @query(LAKE + f", ru AS {RULES} SELECT s.marker, r.level, count(*) AS n FROM converted s JOIN ru r ON r.marker = s.marker AND ((op = '<' AND value_si < bound) OR (op = '>' AND value_si > bound)) GROUP BY ALL")
