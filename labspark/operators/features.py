@@ -99,3 +99,12 @@ def standardised(rows: DataFrame, columns: tuple[str, ...], logs: tuple[str, ...
     stats = rows.agg(*[f(e).alias(f"_{p}_{c}") for c, e in value.items() for p, f in (("m", F.avg), ("s", F.stddev_pop))])
     out = rows.crossJoin(F.broadcast(stats))  # one row
     return out.withColumns({c: F.when((F.col(f"_s_{c}") == 0) & e.isNotNull(), 0.0).otherwise((e - F.col(f"_m_{c}")) / F.col(f"_s_{c}")) for c, e in value.items()}).select(*rows.columns)
+
+
+#: The markers that each derived feature comes from; other columns are their own.
+SOURCES = {f"log_{m}": (m,) for m in catalog.LOG_MARKERS} | {
+    "ft3_ft4_ratio": ("FT3", "FT4"), "log_ferritin_to_tsh": ("FERRITIN", "TSH"), "log_tsh_x_ft4": ("TSH", "FT4"), "low_iron_x_high_tsh": ("FERRITIN", "TSH"),
+    "log_tpo_x_log_tsh": ("TPOAB", "TSH"), "log_b12_x_log_vitd": ("B12", "VITD"), "micronutrient_deficit_count": MICRO, "sex_female": ("sex",),
+}
+#: The columns that models see.
+MODEL_COLUMNS = (*catalog.MARKERS, *[f"{m}_missing" for m in catalog.MARKERS], *SOURCES, "age")

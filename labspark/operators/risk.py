@@ -8,40 +8,48 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import StandardScaler, VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
-from . import stats
+from ..sources.io import durable
+from . import boosting, stats
 
 
 @dataclass
 class RiskModel:
+    """A target's trees, its calibration knots (margin, probability) and prevalence."""
+
     columns: tuple[str, ...]
-    trees: object
+    trees: boosting.Ensemble
     knots: list[tuple[float, float]]
     prevalence: float
 
 
-def train(rows: DataFrame, columns: tuple[str, ...], label: str, key: str, iterations: int = 20, depth: int = 4, seed: int = 42) -> RiskModel:
-    """Boosted trees with early stopping on a validation share, and an isotonic calibration on rows that the trees have not seen."""
-    split = stats.stratified_split(rows, key, label, seed=seed)
-    data = VectorAssembler(inputCols=list(columns), outputCol="_x", handleInvalid="keep").transform(split).withColumn("_v", F.pmod(F.xxhash64(key, F.lit(seed + 1)), F.lit(10)) == 0).persist()
-    trees = GBTClassifier(featuresCol="_x", labelCol=label, maxIter=iterations, maxDepth=depth, stepSize=0.1, subsamplingRate=0.8, validationIndicatorCol="_v", seed=seed).fit(data.where("split = 'train'"))
-    held = trees.transform(data.where("split = 'calibration'")).select(F.col(label).cast("double").alias("y"), margin().alias("m"))
-    fitted = IsotonicRegression(featuresCol="m", labelCol="y").fit(held)
-    knots = list(zip(map(float, fitted.boundaries.toArray()), map(float, fitted.predictions.toArray()), strict=True))
-    prevalence = data.agg(F.avg(label)).first()[0]
-    data.unpersist()
-    return RiskModel(columns, trees, knots, prevalence)
+def train_targets(rows: DataFrame, columns: tuple[str, ...], labels: tuple[str, ...], key: str, rounds: int = 1500, patience: int = 50, rate: float = 0.05, depth: int = 4, seed: int = 42) -> dict[str, RiskModel]:
+    """For each label boosted trees that stop early on the calibration rows, and an isotonic calibration on these, which the trees were not grown on.
+
+    All labels share one split, stratified by their combination, and their passes over the rows (``boosting.fit``).
+    """
+    marked = rows.select(key, *columns, *labels).withColumn("_stratum", F.concat_ws("|", *labels))
+    split = durable(stats.stratified_split(marked, key, "_stratum", seed=seed).drop("_stratum"))
+    found = boosting.fit(split, columns, labels, rounds=rounds, patience=patience, rate=rate, depth=depth)
+    held = durable(boosting.margins(split.where("split = 'calibration'").select(*columns, *labels), columns, found))
+    prevalence = rows.agg(*[F.avg(t).alias(t) for t in labels]).first()
+    out = {}
+    for t in labels:
+        fitted = IsotonicRegression(featuresCol="m", labelCol="y").fit(held.select(F.col(t).cast("double").alias("y"), F.col(f"margin_{t}").alias("m")))
+        knots = list(zip(map(float, fitted.boundaries.toArray()), map(float, fitted.predictions.toArray()), strict=True))
+        out[t] = RiskModel(columns, found[t], knots, prevalence[t])
+    return out
 
 
-def margin() -> Column:
-    return vector_to_array("rawPrediction")[1]
+def train(rows: DataFrame, columns: tuple[str, ...], label: str, key: str, iterations: int = 1500, depth: int = 4, seed: int = 42) -> RiskModel:
+    """J14, J15 for one label."""
+    return train_targets(rows, columns, (label,), key, iterations, depth=depth, seed=seed)[label]
 
 
 def baseline(rows: DataFrame, columns: tuple[str, ...], label: str):
@@ -51,10 +59,10 @@ def baseline(rows: DataFrame, columns: tuple[str, ...], label: str):
 
 def score(rows: DataFrame, model: RiskModel) -> DataFrame:
     """Columns margin, probability (calibrated), level and prevalence."""
-    made = model.trees.transform(VectorAssembler(inputCols=list(model.columns), outputCol="_x", handleInvalid="keep").transform(rows))
+    made = boosting.margins(rows, model.columns, {"": model.trees}).withColumnRenamed("margin_", "margin")
     knots = F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in model.knots])
-    made = made.withColumn("margin", margin()).withColumn("probability", S.interpolate(F.col("margin"), knots))
-    return made.withColumns({"level": S.risk_level(F.col("probability")), "prevalence": F.lit(model.prevalence)}).drop("_x", "rawPrediction", "prediction")
+    made = made.withColumn("probability", S.interpolate(F.col("margin"), knots))
+    return made.withColumns({"level": S.risk_level(F.col("probability")), "prevalence": F.lit(model.prevalence)})
 
 
 def gated(scored: DataFrame, markers: tuple[str, ...], least: int = 3) -> DataFrame:
@@ -63,25 +71,6 @@ def gated(scored: DataFrame, markers: tuple[str, ...], least: int = 3) -> DataFr
     return scored.withColumns({"probability": F.when(enough, F.col("probability")), "level": F.when(enough, F.col("level")), "note": F.when(~enough, F.lit(f"fewer than {least} markers"))})
 
 
-def _tree_arrays(tree) -> tuple[np.ndarray, ...]:
-    """A tree as arrays: feature (-1 for leaves), threshold, left, right, value, weight (training rows)."""
-    feature, threshold, left, right, value, weight = [], [], [], [], [], []
-
-    def walk(node) -> int:
-        k = len(feature)
-        for column in (feature, threshold, left, right, value, weight):
-            column.append(0)
-        leaf = node.subtreeDepth() == 0
-        value[k], weight[k], feature[k] = node.prediction(), float(node.impurityStats().count()), -1
-        if not leaf:
-            feature[k], threshold[k] = node.split().featureIndex(), node.split().threshold()
-            left[k], right[k] = walk(node.leftChild()), walk(node.rightChild())
-        return k
-
-    walk(tree._call_java("rootNode"))
-    return tuple(np.array(x, t) for x, t in zip((feature, threshold, left, right, value, weight), (int, float, int, int, float, float), strict=True))
-
-
 @dataclass
 class LeafPath:
     """A leaf's value, and for each feature on its path the tests it passes and the share of training rows that passed them."""
@@ -151,14 +140,14 @@ def expected(tree: tuple[np.ndarray, ...]) -> float:
 
 def contributions(rows: DataFrame, model: RiskModel, key: str) -> DataFrame:
     """Key, bias and ``contributions`` (an entry per column), which add up to the row's margin."""
-    trees, weights = [_tree_arrays(t) for t in model.trees.trees], list(model.trees.treeWeights)
-    bias = sum(w * expected(t) for w, t in zip(weights, trees, strict=True))
+    trees = model.trees.arrays()
+    bias = model.trees.base + sum(expected(t) for t in trees)
     columns, leaves = list(model.columns), [leaf_paths(t) for t in trees]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            x = pdf[columns].to_numpy(float)
-            made = sum((w * shapley(own, x) for w, own in zip(weights, leaves, strict=True)), np.zeros(x.shape))
+            x = np.nan_to_num(pdf[columns].to_numpy(float), nan=-np.inf)  # a missing value passes every test, as in the trees
+            made = sum((shapley(own, x) for own in leaves), np.zeros(x.shape))
             yield pd.DataFrame({key: pdf[key], "bias": bias, "contributions": [m.tolist() for m in made]})
 
     kind = dict(rows.dtypes)[key]
