@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.io import durable
+from ..sources.io import durable, packed
 from . import stats
 
 
@@ -130,7 +130,7 @@ def _prepared(rows: DataFrame, x: str, label: str, extra: tuple[str, ...], key:
     low, high, n, *means = kept.agg(F.min(x), F.max(x), F.count("*"), *[F.avg(e) for e in extra]).first()
     if n and low < high:
         grid = grid or tuple(stats.percentiles(kept, (), F.col(x), (0.01, 0.99)).first()["quantiles"])
-    return kept, (low, high), grid, means, n
+    return packed(kept, n), (low, high), grid, means, n
 
 
 def risk_curve(rows: DataFrame, x: str, label: str, extra: tuple[str, ...] = (), points: int = 120, grid: tuple[float, float] | None = None) -> DataFrame:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.io import durable
+from ..sources.io import durable, packed
 
 #: Rounds after which the rows' margins are written anew, so that a pass adds up at most so many trees.
 FOLD = 16
@@ -98,7 +98,7 @@ def fit(rows: DataFrame, columns: tuple[str, ...], labels: tuple[str, ...], spli
     kept = rows.where(F.col(split).isin("train", "calibration"))
     levels = F.array(*[F.lit((i + 1) / bins) for i in range(bins - 1)])
     train = F.col(split) == "train"
-    first = kept.where(train).agg(*[F.percentile_approx(F.col(c).cast("double"), levels, 1000).alias(f"q{i}") for i, c in enumerate(names)], *[F.avg(t).alias(f"p{i}") for i, t in enumerate(targets)]).first()
+    first = kept.where(train).agg(*[F.percentile_approx(F.col(c).cast("double"), levels, 1000).alias(f"q{i}") for i, c in enumerate(names)], *[F.avg(t).alias(f"p{i}") for i, t in enumerate(targets)], F.count("*").alias("n")).first()
     cuts = [np.unique(np.array(first[f"q{i}"] or [], float)) for i in range(len(names))]
     base = [float(np.log(p / (1 - p))) if p is not None and 0 < p < 1 else 0.0 for p in (first[f"p{i}"] for i in range(len(targets)))]
     found = {t: Ensemble(b, cuts, depth) for t, b in zip(targets, base, strict=True)}
@@ -112,7 +112,7 @@ def fit(rows: DataFrame, columns: tuple[str, ...], labels: tuple[str, ...], spli
                 yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in own], pa.binary()), pa.array(y.tolist(), pa.list_(pa.float64())), pa.array(np.tile(base, (len(y), 1)).tolist(), pa.list_(pa.float64())), batch.column("_train")], ["bins", "y", "margin", "train"])
 
     schema = "bins binary, y array<double>, margin array<double>, train boolean"
-    data = durable(kept.select(*names, *targets, train.alias("_train")).mapInArrow(prepared, schema))
+    data = durable(packed(kept.select(*names, *targets, train.alias("_train")), first["n"]).mapInArrow(prepared, schema))
 
     def read(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
         n = batch.num_rows

@@ -24,6 +24,11 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def packed(df: DataFrame, rows: int, each: int = 50_000) -> DataFrame:
+    """``df`` in no more partitions than ``rows`` fill with ``each``: for tables that many passes read, whose tasks would be too small."""
+    return df.coalesce(max(1, -(-rows // each)))
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder beside the session's checkpoints."""
     import uuid
