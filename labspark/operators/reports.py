@@ -107,3 +107,25 @@ def interpretation(reports: DataFrame, owner: str, **parts: DataFrame) -> DataFr
         fields = [c for c in part.columns if c != owner]
         out = out.join(part.groupBy(owner).agg(F.sort_array(F.collect_list(F.struct(*fields))).alias(name)), owner, "left")
     return out
+
+
+#: What counts as a number in a text, and the whole numbers that any text may name (percentiles, "out of 100").
+NUMBER, COMMON = r"(?<![\w.])\d+(?:\.\d+)?", 100
+
+
+def printed_forms(numbers: Column) -> Column:
+    """The ways in which texts may print numbers: rounded to none, one and two places, as hundredths, and without ending zeros."""
+    def forms(n: Column) -> Column:
+        x = n.cast("double")
+        made = F.array(n, *[F.format_string(f"%.{k}f", x) for k in (0, 1, 2, 6)], F.format_string("%.0f", x * 100))
+        return F.concat(made, F.transform(made, lambda t: F.when(t.contains("."), F.regexp_replace(t, r"\.?0+$", "")).otherwise(t)))
+
+    return F.array_distinct(F.flatten(F.transform(numbers, forms)))
+
+
+def ungrounded(text: Column, facts: Column) -> Column:
+    """The different numbers of a text that its report's own facts (any nested column) do not hold in a printed form, in order; null text has none."""
+    allowed = printed_forms(F.array_distinct(F.regexp_extract_all(F.to_json(facts), F.lit(NUMBER), F.lit(0))))
+    found = F.array_distinct(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(NUMBER), F.lit(0)))
+    common = F.transform(F.sequence(F.lit(0), F.lit(COMMON)), lambda i: i.cast("string"))
+    return F.sort_array(F.array_except(F.array_except(found, common), F.coalesce(allowed, F.array().cast("array<string>"))))

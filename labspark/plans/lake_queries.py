@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import catalog
 from ..functions import scalar as S
-from ..operators import features, graph, lake, normalize, quality
+from ..operators import features, graph, lake, normalize, quality, text
 from ..sources import io
 from .base import LAKE, MARKERS, RAW_SQL, forms, patients, query, raw, rounded, table
 
@@ -264,10 +264,12 @@ def a7_audit_sinks(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.option("header", True).csv(f"{path}/audit").select("lab_provider", F.col("rows_total").cast("long").alias("rows_total"))
 
 
-@query("SELECT page_id, strlen(html) AS bytes, sha256(html) AS sha256 FROM pages")
+@query("SELECT page_id, strlen(coalesce(html, '')) + 1 AS bytes, sha256(concat(coalesce(html, ''), chr(10))) AS sha256 FROM pages")
 def a8_document_scan(spark: SparkSession, d: str) -> DataFrame:
-    """Sizes and digests of documents as the file scan computes them, on the bytes of each page."""
-    return table(spark, d, "pages").select("page_id", F.octet_length("html").cast("long").alias("bytes"), F.sha2("html", 256).alias("sha256"))
+    """Every page written as a file of its own and scanned as a document."""
+    path = io.scratch(spark, "documents")
+    io.write_documents(table(spark, d, "pages"), "page_id", "html", path)
+    return io.scan_documents(spark, path, io.FOLDER).select(F.col("report_id").cast("long").alias("page_id"), "bytes", "sha256")
 
 
 @query("SELECT 'events' AS view, count(*) AS n FROM events")
@@ -332,11 +334,21 @@ def i5_i17_normalised_rows(spark: SparkSession, d: str) -> DataFrame:
     return normalize.normalise_rows(_report_rows(spark, d)).groupBy("reject_reason").agg(F.count("*").alias("n"))
 
 
-@query(LAKE + r"SELECT CASE WHEN TRY_CAST(replace(regexp_replace(raw_value, '[^0-9.,]', '', 'g'), ',', '.') AS DOUBLE) IS NULL THEN 'quarantine' ELSE 'good' END AS part, count(*) AS n FROM raw GROUP BY part")
+_DOCUMENT_SQL = "SELECT user_id, min(event_id) AS first FROM events GROUP BY user_id"
+
+
+@query(f"SELECT coalesce(error, 'none') AS error, count(*) AS documents FROM (SELECT CASE user_id % 7 WHEN 3 THEN 'not UTF-8 text' WHEN 5 THEN 'no text' WHEN 6 THEN 'no result rows' END AS error FROM ({_DOCUMENT_SQL})) GROUP BY 1")
 def i16_quarantine(spark: SparkSession, d: str) -> DataFrame:
-    rows = raw(spark, d).withColumn("error", F.when(S.lenient_number(F.col("raw_value")).isNull(), "not numeric"))
-    good, bad = io.quarantined(rows)
-    return good.select(F.lit("good").alias("part")).unionByName(bad.select(F.lit("quarantine").alias("part"))).groupBy("part").agg(F.count("*").alias("n"))
+    """Report files, one a patient and some of them broken, read as one batch: a broken one is a row with its reason."""
+    path = io.scratch(spark, "reports")
+    line = F.concat_ws("    ", F.coalesce("raw_label", F.lit("TSH")), F.lit("2.5"), F.lit("mIU/L"), F.lit("0.40 - 4.00"))
+    whole = raw(spark, d).groupBy(F.col("patient_id").alias("report_id")).agg(F.array_join(F.sort_array(F.collect_set(line)), "\n").alias("text"))
+    kind = F.col("report_id").cast("long") % 7
+    broken = F.when(kind == 3, F.unhex(F.lit("89504E470DFF")).cast("string")).when(kind == 5, " ").when(kind == 6, "Thank you for your visit.").otherwise(F.col("text"))
+    io.write_documents(whole.withColumn("text", broken), "report_id", "text", path)
+    rows, documents = text.ingest(io.read_documents(spark, path, io.FOLDER))
+    good, bad = io.quarantined(documents)
+    return good.unionByName(bad).groupBy(F.coalesce("error", F.lit("none")).alias("error")).agg(F.count("*").alias("documents"))
 
 
 def _issues(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:

@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from .. import catalog
 from ..functions import scalar as S
-from ..operators import graph, lake, normalize, reports, retrieval, stats, text
+from ..operators import cluster, features, graph, lake, normalize, reports, retrieval, risk, stats, text
 from ..sources import io
 from ..streaming import streams
-from .base import LAKE, RESULTS_SQL, RULES, forms, query, raw, relation, rounded, table
+from .base import LAKE, MARKERS, RESULTS_SQL, RULES, forms, patients, query, raw, relation, rounded, table
 from .lake_queries import _flagged
 
 _STOP = "[" + ", ".join(f"'{w}'" for w in S.STOP_WORDS) + "]"
@@ -419,12 +419,6 @@ def d28_escalation_recall(spark: SparkSession, d: str) -> DataFrame:
     return rounded(graph.escalation_recall(wanted, k13_d27_escalation(spark, d), "patient_id"))
 
 
-@query("SELECT conv_id, turn, array_to_string(list_sort(list_filter(list_distinct(regexp_extract_all(text, '[0-9]+')), lambda x: NOT list_contains(['1', '2', '10'], x))), ',') AS ungrounded FROM conversations")
-def g4_number_grounding(spark: SparkSession, d: str) -> DataFrame:
-    found = F.array_except(F.regexp_extract_all("text", F.lit("([0-9]+)"), F.lit(1)), F.array(F.lit("1"), F.lit("2"), F.lit("10")))
-    return table(spark, d, "conversations").select("conv_id", "turn", F.array_join(F.sort_array(found), ",").alias("ungrounded"))
-
-
 # ---- reports -------------------------------------------------------------------------------------------------------------
 
 _REPORTS = "SELECT o_orderkey AS report_id, o_custkey AS patient_id, CASE o_orderstatus WHEN 'O' THEN 'pending_review' WHEN 'F' THEN 'approved' ELSE 'rejected' END AS status, CASE substring(o_orderpriority, 1, 1) WHEN '1' THEN 'emergency' WHEN '2' THEN 'urgent' WHEN '3' THEN 'priority' ELSE 'routine' END AS level, CAST(o_orderdate AS STRING) AS created_at, CASE WHEN o_orderkey % 4 = 0 THEN 'edited' END AS edited, 'generated' AS generated FROM orders"
@@ -504,14 +498,52 @@ def k22_questions(spark: SparkSession, d: str) -> DataFrame:
     return reports.appointment_guide(positions, levels, "patient_id").select("patient_id", F.size("questions").alias("n"), F.col("questions")[0].alias("first"))
 
 
-@query(None)
-def l4_interpretation(spark: SparkSession, d: str) -> DataFrame:
-    """Patients' positions, chains, level and summary in one nested row."""
-    positions = _positions(spark, d)
+def _interpretation(spark: SparkSession, d: str, **more: DataFrame) -> DataFrame:
+    """Patients' positions, chains, escalation, questions and summary, nested by patient."""
+    positions = io.durable(_positions(spark, d))
     answers = lake.questionnaires(forms(spark, d)).select("patient_id", F.explode_outer(graph.reported_symptoms()).alias("s")).groupBy("patient_id").agg(F.collect_set("s").alias("symptoms"))
     chains = graph.evidence_chains(positions.select("patient_id", "marker", "value"), answers)
-    whole = reports.interpretation(positions.select("patient_id").distinct(), "patient_id", bands=positions.select("patient_id", "marker", "status"), chains=chains.select("patient_id", "rank", "condition"), summary=reports.template_summary(positions, "patient_id"))
-    return whole.select("patient_id", F.size("bands").alias("bands"), F.size("chains").alias("chains"), F.length(F.col("summary")[0]["summary"]).alias("summary_length"))
+    levels = graph.strongest(graph.triggered(positions, catalog.escalation_rules(spark)).select("patient_id", "level", "reason"), "patient_id")
+    parts = {
+        "bands": positions.select("patient_id", "marker", "value", "unit", "low", "high", "band_low", "band_high", "percentile", "reference_status", "functional_status", "status"),
+        "chains": chains.select("patient_id", "rank", "marker", "condition"),
+        "escalation": levels,
+        "questions": reports.appointment_guide(positions, levels, "patient_id"),
+        "summary": reports.template_summary(positions, "patient_id"),
+    }
+    return reports.interpretation(positions.select("patient_id").distinct(), "patient_id", **parts, **more)
+
+
+def _analytics(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Each patient's cluster and calibrated risk of fatigue, from the features of gold."""
+    gold = lake.run(raw(spark, d), forms(spark, d), patients(spark, d)).gold
+    rows = io.durable(gold.select("patient_id", *MARKERS, F.col("age").cast("double").alias("age"), (F.col("sex") == "F").cast("int").alias("sex_female"), F.coalesce((F.col("fatigue_severity") >= 7).cast("int"), F.lit(0)).alias("fatigue")))
+    model = risk.train(rows, (*MARKERS, "age", "sex_female"), "fatigue", "patient_id", iterations=10)
+    risks = risk.gated(risk.score(rows, model), MARKERS).select("patient_id", F.lit("fatigue").alias("target"), "probability", "level", "prevalence", "note")
+    vectors = features.standardised(rows, MARKERS, MARKERS).select("patient_id", F.array(*[F.coalesce(m, F.lit(0.0)) for m in MARKERS]).alias("v"))
+    kmeans, _ = cluster.choose_kmeans(vectors, "v", ks=range(3, 5), key="patient_id")
+    centres = spark.createDataFrame([(k, c.tolist()) for k, c in enumerate(kmeans.clusterCenters())], "cluster int, centre array<double>")
+    return cluster.nearest_centroid(vectors, "v", centres).select("patient_id", F.col("assigned").alias("cluster"), "distance"), risks
+
+
+@query(None)
+def g4_number_grounding(spark: SparkSession, d: str) -> DataFrame:
+    """Numbers of each patient's summary that the patient's own interpretation does not hold, and of one with a number that it should not name."""
+    rows = _interpretation(spark, d)
+    facts, summary = F.struct("bands", "chains", "escalation", "questions"), F.col("summary")[0]["summary"]
+    wrong = F.concat(summary, F.lit(" Your value is 123456.75 and your age is 41."))
+    return rows.select("patient_id", F.array_join(reports.ungrounded(summary, facts), ",").alias("ungrounded"), F.array_join(reports.ungrounded(wrong, facts), ",").alias("planted"))
+
+
+@query(None)
+def l4_interpretation(spark: SparkSession, d: str) -> DataFrame:
+    """Patients' whole interpretation in one nested row: bands, cluster, risk, chains, escalation, questions and summary."""
+    clusters, risks = _analytics(spark, d)
+    whole = _interpretation(spark, d, cluster=clusters, risk=risks)
+    return whole.select(
+        "patient_id", F.size("bands").alias("bands"), F.size("chains").alias("chains"), F.length(F.col("summary")[0]["summary"]).alias("summary_length"),
+        F.get("cluster", F.lit(0))["cluster"].alias("cluster"), F.get("risk", F.lit(0))["level"].alias("risk_level"), F.get("escalation", F.lit(0))["level"].alias("escalation"), F.size(F.col("questions")[0]["questions"]).alias("questions"),
+    )
 
 
 _JOBS = "SELECT doc_id, CASE WHEN n_chars < 50 THEN 'too short' END AS error, n_chars AS rows, CASE WHEN doc_id % 3 = 0 THEN 'ocr' ELSE 'text_layer' END AS method, CAST(1 + n_chars % 7 AS DOUBLE) / 4 AS seconds FROM documents"

@@ -77,10 +77,30 @@ def write_audit(audit: DataFrame, stats: DataFrame, summary: DataFrame, path: st
     summary.coalesce(1).write.mode("overwrite").json(f"{path}/summary")
 
 
-def scan_documents(spark: SparkSession, path: str) -> DataFrame:
-    """Path, size, digest and id (the file's stem) of whole files."""
-    files = spark.read.format("binaryFile").load(path)
-    return files.select(F.regexp_extract("path", r"([^/]+?)(?:\.[^./]*)?$", 1).alias("report_id"), "path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+#: The id of a document: its file's stem, or the value of the partition folder that it lies in.
+STEM, FOLDER = r"([^/]+?)(?:\.[^./]*)?$", r"/[^/=]+=([^/]+)/[^/]*$"
+
+
+def scan_documents(spark: SparkSession, path: str, named_by: str = STEM, content: bool = False) -> DataFrame:
+    """Id, path, size and digest of whole files, and their bytes if asked for.  Spark reads them, so any store will do."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    return files.select(F.regexp_extract("path", named_by, 1).alias("report_id"), "path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"), *(["content"] if content else []))
+
+
+def read_documents(spark: SparkSession, path: str, named_by: str = STEM) -> DataFrame:
+    """report_id, path, bytes, sha256, text and error of every file; a file that is not text, or holds none, has its reason as error and no text.
+
+    Nothing a file holds stops the batch; only a store that can't be read does.  Files of no bytes are skipped by the reader and have no row.
+    """
+    files = scan_documents(spark, path, named_by, content=True)
+    text = F.try_validate_utf8(F.col("content").cast("string"))
+    error = F.when(text.isNull(), "not UTF-8 text").when(F.trim(F.regexp_replace(text, r"\s+", " ")) == "", "no text")
+    return files.withColumn("error", error).withColumn("text", F.when(F.col("error").isNull(), text)).drop("content")
+
+
+def write_documents(docs: DataFrame, key: str, text: str, path: str) -> None:
+    """One text file a document, in a folder named by its key (``FOLDER`` reads it back); a line break ends each file."""
+    docs.select(key, F.coalesce(text, F.lit("")).alias("value")).repartition(key).write.partitionBy(key).text(path)
 
 
 def named(df: DataFrame, view: str, keep: bool = False) -> DataFrame:
