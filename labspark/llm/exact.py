@@ -19,8 +19,8 @@ BASES = (1298374651, 918273645)
 #: Bytes hashed at a time; a sum of so many products of a byte and a residue stays below 2**63.
 CHUNK = 1 << 16
 #: Rows and bytes of texts taken at a time (a longer text is taken alone); bounds the copies of texts that a task holds.
-ROWS, BYTES = 1024, 1 << 23
-#: Bits of the table, of a fixed size, that says which fingerprints may occur more than once.
+ROWS, BYTES = 1024, 1 << 22
+#: Most bits of an address in the table that says which fingerprints may occur more than once: 16 MB at most.
 REPEAT_BITS = 27
 
 
@@ -70,13 +70,15 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _repeated(narrow: DataFrame) -> np.ndarray:
-    """A bit for each value of a fingerprint's low ``REPEAT_BITS`` bits, set where some (fingerprint, length) with that value occurs twice.
+    """A bit for each value of a fingerprint's low bits, set where some (fingerprint, length) with that value occurs twice.
 
-    At most 16 MB come to the driver, whatever the input.  Where more fingerprints repeat than it can tell apart, some texts are compared for nothing.
+    Eight bits a row, up to 2**REPEAT_BITS, so at most 16 MB come to the driver.  Where more fingerprints repeat than it can tell apart, some texts are
+    compared for nothing.
     """
-    twice = narrow.groupBy("print", "length").count().where("count > 1").select((F.col("print").bitwiseAND(F.lit((1 << REPEAT_BITS) - 1)) + 1).alias("at"))
+    wide = min(REPEAT_BITS, max(15, narrow.count().bit_length() + 3))
+    twice = narrow.groupBy("print", "length").count().where("count > 1").select((F.col("print").bitwiseAND(F.lit((1 << wide) - 1)) + 1).alias("at"))
     maps = twice.groupBy(F.bitmap_bucket_number("at").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits")).collect()
-    out = np.zeros(1 << (REPEAT_BITS - 3), np.uint8)
+    out = np.zeros(1 << (wide - 3), np.uint8)
     for m in maps:
         own = np.frombuffer(m.bits, np.uint8)
         out[(m.bucket - 1) * 4096 : (m.bucket - 1) * 4096 + len(own)] = own
@@ -94,7 +96,7 @@ def _first_of_each(repeated: np.ndarray):
                 for t in column.slice(a, b - a).to_pylist():
                     data = t.encode("utf-8", "surrogatepass").translate(None, SPACE)
                     n, f = fingerprint(data)
-                    at = f & ((1 << REPEAT_BITS) - 1)
+                    at = f & (8 * len(repeated) - 1)
                     if not repeated[at >> 3] >> (at & 7) & 1:
                         continue
                     known = held.setdefault((f, n), [])
