@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 STOP_WORDS = ("a", "an", "and", "are", "as", "at", "be", "by", "can", "do", "does", "for", "from", "how", "i", "in", "is", "it", "my", "of", "on", "or", "that", "the", "this", "to", "was", "what", "when", "with")
+# The patterns of words and sentence ends that readability counts by.
 WORD = r"[A-Za-z]+(?:'[A-Za-z]+)?"
 SENTENCE_BREAK = r"""(?<=[.!?])\s+(?=[A-Z0-9"'(\[])|\n+"""
 
