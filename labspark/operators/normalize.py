@@ -16,26 +16,58 @@ from ..sources.io import durable
 FUZZY_CUTOFF = 0.84
 
 
+def close_aliases(labels: DataFrame, known: DataFrame, method: str = "ratio", cutoff: float = FUZZY_CUTOFF) -> DataFrame:
+    """label, clean, alias, marker: the pairs that may reach ``cutoff``, by an index on pairs of neighbouring letters; none that reaches it is left out.
+
+    Each pair of letters carries its number among equal ones, so that texts are sets.  Texts of a and b letters whose matching blocks hold m letters have
+    a + b - 2m others, so at most one block more than that, and share 3m - (a + b) - 1 pairs at least; an edit spoils two pairs at most.  Count filter: so many
+    pairs are shared.  Prefix filter: with t to be shared, one of the first n - t + 1 of n pairs is, in any order that both sides keep; from z to a, rare first
+    letters come first.  A pair of texts leaves the join once, at the first entry shared.  Texts of one letter are only like themselves; equal texts are found, too.
+    """
+    a, b = F.length("clean"), F.length("alias")
+    if method == "levenshtein":
+        share, least = 2 * cutoff - 1, F.greatest(a, b) - 1 - 2 * F.floor((1 - cutoff) * F.greatest(a, b) + 1e-9)
+    else:
+        share, least = (3 * cutoff - 2) / (2 - cutoff), 3 * F.ceil(cutoff * (a + b) / 2 - 1e-9) - (a + b) - 1
+
+    def indexed(rows: DataFrame, text: str, side: str) -> DataFrame:
+        n = F.length(text)
+        pairs = F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.substr(F.col(text), i, F.lit(2)))
+        numbered = F.transform("_p", lambda g, i: F.concat(g, (i + 1 - F.array_position("_p", g)).cast("string")))
+        head = (n - F.greatest(F.lit(1), F.ceil(share * n - 1 - 1e-9))).cast("int")
+        made = rows.where(n > 1).withColumn("_p", F.sort_array(pairs, asc=False)).withColumn(f"_{side}", numbered).drop("_p").withColumn(f"_{side}_head", F.slice(f"_{side}", 1, head))
+        return made.withColumn("_entry", F.explode(f"_{side}_head"))
+
+    met = indexed(labels.select("label", "clean"), "clean", "l").join(indexed(known.select("alias", "marker"), "alias", "k"), "_entry")
+    first = F.col("_entry") == F.element_at(F.array_intersect("_l_head", "_k_head"), 1)
+    return met.where(first & (F.size(F.array_intersect("_l", "_k")) >= least)).select("label", "clean", "alias", "marker")
+
+
 def match_labels(labels: DataFrame, column: str = "raw_label", method: str = "ratio", aliases: DataFrame | None = None) -> DataFrame:
     """One row per different label that has a marker: label, marker, confidence, match_method.
 
     Exact alias (1.0), then the longest alias of three letters or more that begins the label at a word's end (0.95), then the most
     similar alias from 0.84 on (0.9 times the similarity; ``method`` "ratio" is that of matching blocks, "levenshtein" a native
-    edit similarity).  Works on distinct labels only, so that slow code sees few rows; null counts as the empty label, which
-    matches nothing.
+    edit similarity).  Works on distinct labels only, and only aliases that share enough pairs of letters are compared
+    (``close_aliases``); null counts as the empty label, which matches nothing.
     """
     spark = labels.sparkSession
-    known = F.broadcast(aliases if aliases is not None else catalog.aliases(spark))  # a fixed table of some hundred rows
+    known = aliases if aliases is not None else F.broadcast(catalog.aliases(spark))  # the catalog's is a fixed table of some hundred rows
     raw = labels.select(F.coalesce(F.col(column), F.lit("")).alias("label")).distinct().withColumn("clean", catalog.clean_label(F.col("label")))
     raw = raw if labels.isStreaming else durable(raw)  # the three ways of matching read the labels, not the rows again
     exact = raw.join(known, F.col("clean") == F.col("alias")).select("label", "marker", F.lit(1.0).alias("confidence"), F.lit("exact").alias("match_method"))
     rest = raw.join(known.select("alias"), F.col("clean") == F.col("alias"), "left_anti").where("clean <> ''")
-    begins = F.concat("clean", F.lit(" ")).startswith(F.concat("alias", F.lit(" "))) & (F.length("alias") >= 3)
-    scored = rest.join(known, begins, "left").groupBy("label", "clean").agg(F.max_by("marker", F.struct(F.length("alias"), F.col("alias"))).alias("marker"))
+    # Both sides are read in bounded form: a label's beginnings have at most the words of the longest alias, and no longer label can be similar.
+    longest, words = known.agg(F.coalesce(F.max(F.length("alias")), F.lit(0)), F.coalesce(F.max(F.size(F.split("alias", " "))), F.lit(1))).first()
+    pieces = rest.withColumn("_w", F.split("clean", " "))
+    begins = F.transform(F.sequence(F.lit(1), F.least(F.size("_w"), F.lit(words))), lambda i: F.array_join(F.slice("_w", 1, i), " "))
+    heads = pieces.select("label", "clean", F.explode(begins).alias("_head"))
+    scored = heads.join(known, (F.col("_head") == F.col("alias")) & (F.length("alias") >= 3), "left").groupBy("label", "clean").agg(F.max_by("marker", F.struct(F.length("alias"), F.col("alias"))).alias("marker"))
     prefix = scored.where("marker is not null").select("label", "marker", F.lit(0.95).alias("confidence"), F.lit("contains").alias("match_method"))
-    remaining = scored.where("marker is null").select("label", "clean")
+    remaining = scored.where(F.col("marker").isNull() & (F.length("clean") <= longest * (2 - FUZZY_CUTOFF) / FUZZY_CUTOFF + 1e-9)).select("label", "clean")
+    close = close_aliases(remaining, known, method)
     if method == "levenshtein":
-        pairs = remaining.join(known).withColumn("ratio", 1 - F.levenshtein("clean", "alias") / F.greatest(F.length("clean"), F.length("alias")))
+        pairs = close.withColumn("ratio", 1 - F.levenshtein("clean", "alias") / F.greatest(F.length("clean"), F.length("alias")))
     else:
 
         @F.pandas_udf("double")
@@ -43,8 +75,7 @@ def match_labels(labels: DataFrame, column: str = "raw_label", method: str = "ra
             for a, b in batches:
                 yield pd.Series([difflib.SequenceMatcher(None, y, x).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
 
-        near = 2 * F.least(F.length("clean"), F.length("alias")) >= FUZZY_CUTOFF * (F.length("clean") + F.length("alias"))  # else no ratio can reach it
-        pairs = remaining.join(known, near).withColumn("ratio", ratio("clean", "alias"))
+        pairs = close.withColumn("ratio", ratio("clean", "alias"))
     best = pairs.where(F.col("ratio") >= FUZZY_CUTOFF).groupBy("label").agg(F.max(F.struct("ratio", "alias", "marker")).alias("b"))
     fuzzy = best.select("label", "b.marker", (0.9 * F.col("b.ratio")).alias("confidence"), F.lit("fuzzy").alias("match_method"))
     return exact.unionByName(prefix).unionByName(fuzzy)

@@ -186,3 +186,23 @@ def agreement(rows: DataFrame, a: str, b: str) -> DataFrame:
     mutual = F.col(f"h_{a}") + F.col(f"h_{b}") - F.col("h_ab")
     mean = (F.col(f"h_{a}") + F.col(f"h_{b}")) / 2
     return row.select(F.when(most == expected, 1.0).otherwise((F.col("p_ab") - expected) / (most - expected)).alias("ari"), F.when(mean == 0, 1.0).otherwise(mutual / mean).alias("nmi"))
+
+
+def reconciliation(injected: DataFrame, detected: DataFrame, key: str, kind: str) -> DataFrame:
+    """For each kind of injected fault its rows, those that were detected as that kind, their share (null where none was injected), and rows detected as
+    that kind that were not injected.  A row counts once however often it is listed; keys and kinds may be null."""
+    sides = [rows.select(F.col(key).alias("_key"), F.col(kind).alias(kind), F.lit(i == 0).alias("_in"), F.lit(i == 1).alias("_out")) for i, rows in enumerate((injected, detected))]
+    each = sides[0].unionByName(sides[1]).groupBy("_key", kind).agg(F.max("_in").alias("_in"), F.max("_out").alias("_out"))
+    made = each.groupBy(kind).agg(F.count_if("_in").alias("injected"), F.count_if(F.col("_in") & F.col("_out")).alias("detected"), F.count_if(~F.col("_in")).alias("spurious"))
+    return made.withColumn("share", F.try_divide("detected", "injected"))
+
+
+def insight_table(rows: DataFrame, group: str, hits: dict[str, Column]) -> DataFrame:
+    """For each group and measure the number of rows, of those that hold (null is no), their per cent to one place, the difference from the whole table's,
+    and the group's place among all by rate, highest first; ties by name.  A row a group and measure: groups are kinds, of which a table has few."""
+    flags = [F.struct(F.lit(name).alias("measure"), F.coalesce(hit, F.lit(False)).alias("hit")) for name, hit in hits.items()]
+    long = rows.select(group, F.explode(F.array(*flags)).alias("m")).select(group, "m.measure", "m.hit")
+    rated = long.groupBy("measure", group).agg(F.count("*").alias("n"), F.count_if("hit").alias("hits"))
+    all_rows, by_rate = Window.partitionBy("measure"), Window.partitionBy("measure").orderBy(F.desc("_rate"), group)
+    rated = rated.withColumns({"_rate": F.col("hits") / F.col("n"), "_whole": F.sum("hits").over(all_rows) / F.sum("n").over(all_rows)})
+    return rated.select("measure", group, "n", "hits", F.round(F.col("_rate") * 100, 1).alias("percent"), F.round((F.col("_rate") - F.col("_whole")) * 100, 1).alias("points_off"), F.row_number().over(by_rate).alias("place"))

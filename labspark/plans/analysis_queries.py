@@ -11,6 +11,7 @@ from ..operators import bands, cluster, features, lake, neighbours, reports, ris
 
 from ..sources.io import durable
 from .base import LAKE, query, raw, relation, rounded, table
+from .lake_queries import _flagged
 
 
 #: Scores and labels: the labelled documents, scored by their length on a curve that both engines compute alike.
@@ -361,11 +362,14 @@ def h27_prior_stats(spark: SparkSession, d: str) -> DataFrame:
     return rounded(rows.select("marker", *[e.alias(n) for n, e in S.prior_stats(F.col("q")[0], F.col("q")[1]).items()], "n"))
 
 
-@query("WITH o AS (SELECT event_type, count(*) AS injected, count_if(value > 300) AS detected FROM events GROUP BY event_type) SELECT event_type, injected, detected, round(detected / injected, 6) AS share FROM o")
+@query(LAKE + ", i AS (SELECT DISTINCT event_id, 'misread' AS kind FROM raw WHERE event_id % 97 = 0 UNION SELECT DISTINCT event_id, 'not a number' FROM raw WHERE event_id % 193 = 0 UNION SELECT DISTINCT event_id, 'no unit' FROM raw WHERE event_id % 13 = 0), o AS (SELECT DISTINCT CAST(event_id AS BIGINT) AS event_id, 'misread' AS kind FROM flagged WHERE decimal_misread_suspect UNION SELECT DISTINCT CAST(event_id AS BIGINT), 'not a number' FROM flagged WHERE unparseable UNION SELECT DISTINCT CAST(event_id AS BIGINT), 'no unit' FROM flagged WHERE unit_inferred) SELECT kind, count(i.event_id) AS injected, count(CASE WHEN i.event_id IS NOT NULL AND o.event_id IS NOT NULL THEN 1 END) AS detected, count(CASE WHEN i.event_id IS NULL THEN 1 END) AS spurious, round(count(CASE WHEN i.event_id IS NOT NULL AND o.event_id IS NOT NULL THEN 1 END) / nullif(count(i.event_id), 0), 6) AS share FROM i FULL JOIN o USING (event_id, kind) GROUP BY kind")
 def d14_reconciliation(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "events")
-    made = rows.groupBy("event_type").agg(F.count("*").alias("injected")).join(rows.where("value > 300").groupBy("event_type").agg(F.count("*").alias("detected")), "event_type", "left").fillna({"detected": 0})
-    return rounded(made.withColumn("share", F.col("detected") / F.col("injected")))
+    """The faults that the raw rows were made with, by their numbers, against what the flags of the lake say of them."""
+    kinds = {"misread": "event_id % 97 = 0", "not a number": "event_id % 193 = 0", "no unit": "event_id % 13 = 0"}
+    events, rows = table(spark, d, "events"), _flagged(spark, d).withColumn("event_id", F.col("event_id").cast("long"))
+    found = {"misread": F.col("decimal_misread_suspect"), "not a number": F.col("unparseable"), "no unit": F.col("unit_inferred")}
+    many = lambda t, conditions: t.select("event_id", F.explode(F.array_compact(F.array(*[F.when(c, F.lit(k)) for k, c in conditions.items()]))).alias("kind"))
+    return rounded(stats.reconciliation(many(events, {k: F.expr(c) for k, c in kinds.items()}), many(rows, found), "event_id", "kind"))
 
 
 @query(LAKE + "SELECT CAST(c.event_id AS BIGINT) AS event_id, abs(c.value_si - t.milli / 1000) <= 0.01 * t.milli / 1000 AS hit FROM (SELECT DISTINCT event_id, value_si FROM converted WHERE value_si IS NOT NULL) c JOIN (SELECT event_id, CASE event_type WHEN 'signup' THEN floor(round(value * 100) / 5) WHEN 'error' THEN round(value * 100) WHEN 'click' THEN round(value * 100) * 10 WHEN 'view' THEN round(value * 100) * 5 ELSE floor(round(value * 100) / 15) END AS milli FROM events) t USING (event_id)")
@@ -387,7 +391,6 @@ def c17_labels_join(spark: SparkSession, d: str) -> DataFrame:
     return relation(spark, d, SCORED_SQL).join(table(spark, d, "embeddings"), F.col("doc_id") == F.col("vec_id")).groupBy("lang", "label").agg(F.count("*").alias("n"))
 
 
-@query("SELECT event_type, round(count_if(value > 300) / count(*) * 100, 1) AS percent, rank() OVER (ORDER BY count_if(value > 300) / count(*) DESC, event_type) AS place FROM events GROUP BY event_type")
+@query("WITH m AS (SELECT event_type, 'high' AS measure, coalesce(value > 300, false) AS hit FROM events UNION ALL SELECT event_type, 'low', coalesce(value < 20, false) FROM events), r AS (SELECT measure, event_type, count(*) AS n, count_if(hit) AS hits FROM m GROUP BY ALL), w AS (SELECT *, hits / n AS rate, sum(hits) OVER (PARTITION BY measure) / sum(n) OVER (PARTITION BY measure) AS whole FROM r) SELECT measure, event_type, n, hits, round(rate * 100, 1) AS percent, round((rate - whole) * 100, 1) AS points_off, row_number() OVER (PARTITION BY measure ORDER BY rate DESC, event_type) AS place FROM w")
 def j24_insight_table(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "events").groupBy("event_type").agg((F.count_if(F.col("value") > 300) / F.count("*")).alias("rate"))
-    return rows.select("event_type", F.round(F.col("rate") * 100, 1).alias("percent"), F.rank().over(Window.partitionBy().orderBy(F.desc("rate"), "event_type")).alias("place"))  # a row per type
+    return stats.insight_table(table(spark, d, "events"), "event_type", {"high": F.col("value") > 300, "low": F.col("value") < 20})

@@ -251,13 +251,19 @@ def d25_corpus_stats(spark: SparkSession, d: str) -> DataFrame:
     return rounded(retrieval.corpus_stats(table(spark, d, "documents"), "doc_id"))
 
 
-@query(None)
+_OWN_BM25 = f"""WITH t AS (SELECT source, doc_id, {_tokens('text')} AS t FROM documents), s AS (SELECT source, count(*) AS n, avg(len(t)) AS avg_length FROM t GROUP BY source),
+  q AS (SELECT item_id, source, term, count(*) AS times FROM (SELECT item_id, source, unnest({_tokens('b.text')}) AS term FROM benchmark b JOIN documents d ON d.doc_id = b.item_id) GROUP BY ALL),
+  p AS (SELECT source, doc_id, len(t) AS length, unnest(t) AS term FROM t), f AS (SELECT source, doc_id, length, term, count(*) AS tf FROM p SEMI JOIN q USING (source, term) GROUP BY ALL), df AS (SELECT source, term, count(*) AS df FROM f GROUP BY ALL),
+  sc AS (SELECT item_id, source, doc_id, sum(times * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.4 / (tf + 1.4 * (0.25 + 0.75 * length / avg_length))) AS score FROM q JOIN f USING (source, term) JOIN df USING (source, term) JOIN s USING (source) GROUP BY ALL),
+  r AS (SELECT *, row_number() OVER (PARTITION BY item_id, source ORDER BY round(score, 9) DESC, doc_id DESC) AS rank FROM sc WHERE score > 0)"""
+
+
+@query(_OWN_BM25 + " SELECT item_id, source, doc_id, rank, round(score, 5) AS score FROM r WHERE rank <= 3")
 def k18_owner_search(spark: SparkSession, d: str) -> DataFrame:
-    """Each source asks for its own documents only, with statistics of its own."""
+    """An item is asked by the source of the document with its number, which finds documents of its own only, by statistics of its own."""
     docs = table(spark, d, "documents").select("doc_id", "text", "source")
-    sources = docs.agg(F.array_sort(F.collect_set("source")).alias("sources"))  # one row, with a few hosts' names
-    asked = _asked(spark, d).crossJoin(F.broadcast(sources)).select("item_id", "query", F.explode("sources").alias("source"))
-    return retrieval.bm25(docs, asked, "doc_id", "item_id", k=1, owner="source").select("source", "item_id", "doc_id")
+    asked = _asked(spark, d).join(docs.select(F.col("doc_id").alias("item_id"), "source"), "item_id")
+    return rounded(retrieval.bm25(docs, asked, "doc_id", "item_id", k=3, owner="source"), 5).select("item_id", "source", "doc_id", "rank", "score")
 
 
 @query(_BM25 + ", e AS (SELECT item_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)), b AS (SELECT e.item_id, min(CASE WHEN r.doc_id = e.doc_id THEN r.rank END) AS k FROM e LEFT JOIN r ON r.item_id = e.item_id AND r.rank <= 3 GROUP BY e.item_id) SELECT round(avg(coalesce(CAST(k <= 1 AS INT), 0)), 6) AS top1, round(avg(coalesce(CAST(k <= 3 AS INT), 0)), 6) AS top3, count(*) AS queries FROM b")

@@ -104,3 +104,18 @@ def test_measures_without_a_divisor(spark):
     assert risk.demographic_share(zero).first().demographic_share is None
     flat = spark.createDataFrame([(1, 2.0, 0), (1, 2.0, 1)], "c int, m double, r int")
     assert cluster.profiles(flat, "c", ("m",), ("r",)).first().z_m is None
+
+
+def test_reconciliation(spark):
+    injected = spark.createDataFrame([(1, "a"), (1, "a"), (2, "a"), (3, "b"), (None, "a"), (4, None)], "id int, kind string")
+    detected = spark.createDataFrame([(1, "a"), (1, "a"), (9, "b"), (None, "a"), (5, "c")], "id int, kind string")
+    got = {r.kind: (r.injected, r.detected, r.spurious, r.share) for r in stats.reconciliation(injected, detected, "id", "kind").collect()}
+    assert got == {"a": (3, 2, 0, 2 / 3), "b": (1, 0, 1, 0.0), "c": (0, 0, 1, None), None: (1, 0, 0, 0.0)}
+    assert stats.reconciliation(injected.limit(0), detected.limit(0), "id", "kind").count() == 0
+
+
+def test_insight_table(spark):
+    rows = spark.createDataFrame([("x", 1.0), ("x", 9.0), ("y", None), ("y", 8.0), ("z", 1.0), (None, 9.0)], "g string, v double")
+    got = {(r.measure, r.g): (r.n, r.hits, r.percent, r.points_off, r.place) for r in stats.insight_table(rows, "g", {"big": F.col("v") > 5, "any": F.lit(True)}).collect()}
+    assert got["big", None] == (1, 1, 100.0, 50.0, 1) and got["big", "x"] == (2, 1, 50.0, 0.0, 2) and got["big", "y"] == (2, 1, 50.0, 0.0, 3) and got["big", "z"] == (1, 0, 0.0, -50.0, 4)
+    assert [got["any", g][4] for g in (None, "x", "y", "z")] == [1, 2, 3, 4] and stats.insight_table(rows.limit(0), "g", {"big": F.col("v") > 5}).count() == 0
