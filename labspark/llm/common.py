@@ -92,58 +92,88 @@ def powers(base: int, n: int) -> np.ndarray:
     return _POWERS[base][:n]
 
 
-def _cut(base: DataFrame, size: Column, target: int) -> tuple[list[tuple[int, np.ndarray, np.ndarray]], int]:
-    """Cells of the id range, as (shift, cells, chunk of each) by level, and the number of chunks.
+#: Cells that one task numbers.
+CELLS = 1 << 16
+
+
+def _cells(base: DataFrame, size: Column, target: int) -> tuple[list[int], list[DataFrame]]:
+    """Cells of the id range that hold rows: the shift of each level, and its cells as (cell, first_id, bytes).
 
     A cell is the ids that agree but for their lowest ``shift`` bits.  Cells of more than ``target`` bytes are cut into smaller ones by a further pass over
     their rows, until none is too large or a cell is a single id; so outlying ids cost a pass or two and nothing overflows.
-    The driver gets a number and a size a cell: some 50 bytes for each ``target`` bytes of text.
     """
     low, high = base.agg(F.min("doc_id"), F.max("doc_id")).first()
     if low is None:
-        return [], 0
-    rows, shift, levels = base.where("doc_id is not null"), max(0, (high - low).bit_length() - 15), []
+        return [], []
+    rows, shift, shifts, levels = base.where("doc_id is not null"), max(0, (high - low).bit_length() - 15), [], []
     while True:
-        found = rows.groupBy(F.shiftright("doc_id", shift).alias("cell")).agg(F.sum(size).alias("bytes")).toArrow()
-        cells, sizes = (found.column(c).to_numpy() for c in ("cell", "bytes"))
-        heavy = cells[sizes > target] if shift else cells[:0]
-        small = ~np.isin(cells, heavy)
-        levels.append((shift, cells[small], sizes[small]))
-        if not len(heavy):
-            break
-        bits = min(shift, 12 if len(heavy) <= 16 else int(np.ceil(np.log2(sizes.max() / target))) + 1)
-        parents = base.sparkSession.createDataFrame(pa.table({"parent": heavy}))
-        rows = rows.join(parents, F.shiftright("doc_id", shift) == F.col("parent"), "left_semi")
+        found = durable(rows.groupBy(F.shiftright("doc_id", shift).alias("cell")).agg(F.sum(size).alias("bytes")).withColumn("first_id", F.shiftleft("cell", shift)))
+        heavy = (F.col("bytes") > target) & F.lit(shift > 0)
+        n, most = found.where(heavy).agg(F.count("*"), F.max("bytes")).first()
+        shifts.append(shift)
+        levels.append(found.where(~heavy).select("cell", "first_id", "bytes"))
+        if not n:
+            return shifts, levels
+        bits = min(shift, 12 if n <= 16 else int(np.ceil(np.log2(most / target))) + 1)
+        parents = found.where(heavy).select(F.col("cell").alias("parent"))
+        rows = rows.join(F.broadcast(parents) if n <= CELLS else parents, F.shiftright("doc_id", shift) == F.col("parent"), "left_semi")
         shift -= bits
-    level = np.repeat(np.arange(len(levels)), [len(c) for _, c, _ in levels])
-    first_id, sizes = np.concatenate([c << s for s, c, _ in levels]), np.concatenate([z for *_, z in levels])
-    order = np.argsort(first_id)
-    chunk, number, filled = np.zeros(len(order), np.int64), 0, 0
-    for k, z in zip(order.tolist(), sizes[order].tolist(), strict=True):
-        if filled and filled + z > target:
-            number, filled = number + 1, 0
-        filled += z
-        chunk[k] = number
-    return [(s, c, chunk[level == i]) for i, (s, c, _) in enumerate(levels) if len(c)], number + 1
-
-
-def ordered_chunks(docs: DataFrame, id_col: str, text_col: str, target_bytes: int, carry: tuple[str, ...] = ()) -> tuple[DataFrame, int]:
+
+
+def _numbered(levels: list[DataFrame], target: int, per_task: int) -> tuple[DataFrame, int, int]:
+    """level, cell, chunk of all cells, their number, and the number of chunks.  Chunks are filled with whole cells in the order of their ids up to ``target`` bytes.
+
+    Cells are dealt to tasks by ranges of ids; each task fills its own chunks, and the chunks of the tasks before go in front.  The driver gets a row a task of ``per_task`` cells.
+    """
+    spark = levels[0].sparkSession
+    cells = levels[0].withColumn("level", F.lit(0))
+    for k, own in enumerate(levels[1:], 1):
+        cells = cells.unionByName(own.withColumn("level", F.lit(k)))
+    n = cells.count()
+    tasks = -(-n // per_task)
+    dealt = cells.repartitionByRange(tasks, "first_id") if tasks > 1 else cells.coalesce(1)  # one task has ``per_task`` cells at most
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, filled = 0, 0
+        for batch in batches:
+            chunk = []
+            for z in batch.column("bytes").to_pylist():
+                if filled and filled + z > target:
+                    number, filled = number + 1, 0
+                filled += z
+                chunk.append(number)
+            yield pa.RecordBatch.from_arrays([batch.column("task"), batch.column("level"), batch.column("cell"), pa.array(chunk, pa.int64())], ["task", "level", "cell", "own"])
+
+    ordered = dealt.sortWithinPartitions("first_id").select(F.spark_partition_id().alias("task"), "level", "cell", "bytes")
+    filled = durable(ordered.mapInArrow(fill, "task int, level int, cell long, own long"))
+    before, total = [], 0
+    for task, last in filled.groupBy("task").agg(F.max("own")).orderBy("task").collect():
+        before.append((task, total))
+        total += last + 1
+    if len(before) == 1:
+        return filled.select("level", "cell", F.col("own").alias("chunk")), n, total
+    offsets = F.broadcast(spark.createDataFrame(before, "task int, before long"))  # a row a task
+    return filled.join(offsets, "task").select("level", "cell", (F.col("own") + F.col("before")).alias("chunk")), n, total
+
+
+def ordered_chunks(docs: DataFrame, id_col: str, text_col: str, target_bytes: int, carry: tuple[str, ...] = (), per_task: int = CELLS) -> tuple[DataFrame, int]:
     """Columns doc_id, text, tie, chunk (and those of ``carry``), and the number of chunks.  ``chunk`` numbers ranges of rising doc_id of about ``target_bytes`` of text each.
 
     Equal ids share a chunk.  Rows without an id come after all others, in the order of ``tie``, a hash of the text, and fill as many chunks as they
-    need.  (doc_id, tie) orders all rows alike whatever partitions they come in; rows equal in both have equal texts.
+    need.  (doc_id, tie) orders all rows alike whatever partitions they come in; rows equal in both have equal texts.  Cells and chunks are numbered in Spark,
+    ``per_task`` cells a task; the table of cells is broadcast up to 2^18 of them, and joined by a shuffle beyond.
     """
-    spark = docs.sparkSession
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *carry)
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 16
-    levels, count = _cut(base.select("doc_id", "text"), size, target_bytes)
+    shifts, levels = _cells(base.select("doc_id", "text"), size, target_bytes)
+    known, n, count = _numbered(levels, target_bytes, per_task) if levels else (None, 0, 0)
     missing = base.where("doc_id is null").agg(F.sum(size)).first()[0] or 0
     bits = max(0, (missing // target_bytes).bit_length())
     last = F.lit(count) + (F.shiftright("tie", 64 - bits) + (1 << bits >> 1) if bits else 0)
     out, chunks = base.withColumn("tie", F.xxhash64("text")), [F.when(F.col("doc_id").isNull(), last)]
-    for k, (shift, cells, numbers) in enumerate(levels):
-        known = spark.createDataFrame(pa.table({f"cell_{k}": cells, f"chunk_{k}": numbers}))
-        out = out.withColumn(f"cell_{k}", F.shiftright("doc_id", shift)).join(F.broadcast(known) if len(cells) <= 1 << 18 else known, f"cell_{k}", "left")
+    for k, shift in enumerate(shifts):
+        own = known.where(F.col("level") == k).select(F.col("cell").alias(f"cell_{k}"), F.col("chunk").alias(f"chunk_{k}"))
+        out = out.withColumn(f"cell_{k}", F.shiftright("doc_id", shift)).join(F.broadcast(own) if n <= 1 << 18 else own, f"cell_{k}", "left")
         chunks.append(F.col(f"chunk_{k}"))
     return out.select("doc_id", "text", "tie", *carry, F.coalesce(*chunks).cast("int").alias("chunk")), count + ((1 << bits) if missing else 0)
 

@@ -16,7 +16,7 @@ import tiktoken
 import xxhash
 from pyspark.sql import functions as F
 
-from labspark.llm import ann, byte_bpe, components, exact, packing, queries, sharding, simhash, substring, suffix_array, toxicity, warc
+from labspark.llm import ann, byte_bpe, common, components, exact, packing, queries, sharding, simhash, substring, suffix_array, toxicity, warc
 from labspark.llm.common import ordered_chunks
 
 SPACES = re.compile(r"[\x20\x09-\x0D]+")
@@ -546,22 +546,35 @@ def test_suffix_array_dedup_of_repeated_ids(spark):
         assert sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.kept_sha256) for r in got) == want
 
 
-def test_chunks_stay_near_their_target(spark):
-    """With ids at both ends of the long range, an outlying one, dense and repeated ones and many missing ones."""
+@pytest.mark.parametrize(("per_task", "most"), [(1 << 16, 90), (200, 100)])
+def test_chunks_stay_near_their_target(spark, per_task, most):
+    """With ids at both ends of the long range, an outlying one, dense and repeated ones and many missing ones; chunks numbered by one task and by several."""
     ends = [-(1 << 63), (1 << 63) - 1, 1 << 40]
     rows = [(i, "x" * 84) for i in [*ends, *range(3000), *([7] * 50)]] + [(None, f"{i:084d}") for i in range(1000)]
     docs = spark.createDataFrame(random.Random(1).sample(rows, len(rows)), "doc_id long, text string")
-    chunked, count = ordered_chunks(docs, "doc_id", "text", 10_000)
+    chunked, count = ordered_chunks(docs, "doc_id", "text", 10_000, per_task=per_task)
     got = chunked.collect()
     assert len(got) == len(rows) and {r.chunk for r in got} <= set(range(count))
     sizes = Counter(r.chunk for r in got)
-    assert max(sizes.values()) <= 160 and 40 <= len(sizes) <= 90
+    assert max(sizes.values()) <= 160 and 40 <= len(sizes) <= most
     ids = sorted((r.doc_id is None, r.doc_id or 0, r.tie, r.chunk) for r in got)
     assert [r[3] for r in ids] == sorted(r[3] for r in ids)
     assert len({r.chunk for r in got if r.doc_id == 7}) == 1
     assert len({r.chunk for r in got if r.doc_id is None}) > 5
 
 
+def test_driver_gets_a_row_a_task(spark, monkeypatch):
+    """Numbering chunks brings the driver a row a task of cells, not a row a cell."""
+    docs = spark.range(0, 40_000, 2).select(F.col("id").alias("doc_id"), F.lit("x" * 84).alias("text"))
+    fetched, kind = [], type(docs)
+    for name in ("collect", "toArrow", "toPandas"):
+        monkeypatch.setattr(kind, name, lambda self, fetch=getattr(kind, name): fetched.append(len(got := fetch(self))) or got)
+    shifts, levels = common._cells(docs, F.octet_length("text").cast("long") + 16, 10_000)
+    known, n, count = common._numbered(levels, 10_000, 1000)
+    assert n > 5000 and sum(fetched) <= n // 1000 + 10
+    assert n == known.count() and known.select("chunk").distinct().count() == count and 200 <= count <= 230
+
+
 def test_hash_collisions_remove_nothing(spark, monkeypatch):
     """Windows whose hashes meet are judged by digests of their words."""
     rows = [(i, " ".join(f"w{i}x{j}" for j in range(40))) for i in range(6)] + [(6, " ".join(f"w2x{j}" for j in range(5, 30)))]
