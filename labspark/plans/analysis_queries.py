@@ -391,6 +391,6 @@ def c17_labels_join(spark: SparkSession, d: str) -> DataFrame:
     return relation(spark, d, SCORED_SQL).join(table(spark, d, "embeddings"), F.col("doc_id") == F.col("vec_id")).groupBy("lang", "label").agg(F.count("*").alias("n"))
 
 
-@query("WITH m AS (SELECT event_type, 'high' AS measure, coalesce(value > 300, false) AS hit FROM events UNION ALL SELECT event_type, 'low', coalesce(value < 20, false) FROM events), r AS (SELECT measure, event_type, count(*) AS n, count_if(hit) AS hits FROM m GROUP BY ALL), w AS (SELECT *, hits / n AS rate, sum(hits) OVER (PARTITION BY measure) / sum(n) OVER (PARTITION BY measure) AS whole FROM r) SELECT measure, event_type, n, hits, round(rate * 100, 1) AS percent, round((rate - whole) * 100, 1) AS points_off, row_number() OVER (PARTITION BY measure ORDER BY rate DESC, event_type) AS place FROM w")
+@query("WITH m AS (SELECT event_type, 'high' AS measure, coalesce(value > 300, false) AS hit FROM events UNION ALL SELECT event_type, 'low', coalesce(value < 20, false) FROM events), r AS (SELECT measure, event_type, count(*) AS n, count_if(hit) AS hits FROM m GROUP BY ALL), w AS (SELECT *, hits / n AS rate, sum(hits) OVER (PARTITION BY measure) / sum(n) OVER (PARTITION BY measure) AS whole FROM r) SELECT measure, event_type, n, hits, round(rate * 100, 1) AS percent, round((rate - whole) * 100, 1) + 0.0 AS points_off, row_number() OVER (PARTITION BY measure ORDER BY rate DESC, event_type) AS place FROM w")
 def j24_insight_table(spark: SparkSession, d: str) -> DataFrame:
     return stats.insight_table(table(spark, d, "events"), "event_type", {"high": F.col("value") > 300, "low": F.col("value") < 20})
