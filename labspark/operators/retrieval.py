@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
-from ..sources.io import durable
+from ..sources.io import durable, scratch, write_zone
 from . import neighbours
 
 K1, B = 1.4, 0.75
@@ -62,11 +63,86 @@ def corpus_stats(docs: DataFrame, key: str, text: str = "text", owner: str | Non
     return docs.select(*keep, F.size(S.tokens(F.col(text))).alias("length")).groupBy(*keep).agg(F.count("*").alias("n"), F.avg("length").alias("avg_length"))
 
 
+@dataclass
+class SearchIndex:
+    """Weighed postings in blocks, written once: owner, ``term``, ``cell``, ``top`` (the block's largest weight) and ``entries`` (key, length, weight)."""
+
+    blocks: DataFrame
+    key: str
+    keep: list[str]
+
+
+def ranked_index(docs: DataFrame, key: str, text: str = "text", owner: str | None = None, block: int = 128) -> SearchIndex:
+    """The BM25 weight of every posting, in blocks of one term and one cell of at most ``block`` texts.
+
+    A cell is a run of texts ordered by their weightiest term and its weight, and is the same for all terms; so the sum of its blocks' largest weights bounds the
+    score of every text in it, and texts about the same thing lie together, which keeps that bound low elsewhere.
+    Rows that share a key and a length are one text; a text without terms has no posting.
+    """
+    keep = [owner] if owner else []
+    words = docs.select(key, *keep, S.tokens(F.col(text)).alias("_t")).select(key, *keep, F.size("_t").alias("length"), F.explode_outer("_t").alias("term"))
+    counted = durable(words.groupBy(*keep, key, "length", "term").agg(F.count("*").alias("tf")))
+    found = counted.where("term is not null")
+    df = found.groupBy(*keep, "term").agg(F.count("*").alias("df"))
+    stats = counted.groupBy(*keep, key, "length").agg(F.lit(1).alias("_one")).groupBy(*keep).agg(F.count("*").alias("n"), F.avg("length").alias("avg_length"))
+    weighed = found.join(df, [*keep, "term"])
+    weighed = weighed.join(stats, keep) if keep else weighed.crossJoin(F.broadcast(stats))  # without owners one row
+    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    tf = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("avg_length")))
+    weighed = weighed.select(*keep, "term", key, "length", (idf * tf).alias("w"))
+    texts = weighed.groupBy(*keep, key, "length").agg(F.collect_list(F.struct("term", "w")).alias("_p"), F.max(F.struct("w", "term")).alias("_h"))
+    order = [*map(F.col, keep), F.col("_h.term"), F.desc("_h.w"), F.xxhash64(key), F.col("length")]
+    # Row numbers of different partitions lie 2^33 apart, so a run never spans two.
+    celled = texts.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("cell", F.floor(F.monotonically_increasing_id() / block))
+    blocks = celled.select(*keep, "cell", key, "length", F.inline("_p")).groupBy(*keep, "term", "cell").agg(F.max("w").alias("top"), F.collect_list(F.struct(key, "length", "w")).alias("entries"))
+    folder = scratch(docs.sparkSession, "postings")
+    write_zone(blocks, folder)
+    return SearchIndex(docs.sparkSession.read.parquet(folder), key, keep)
+
+
+def live_cells(index: SearchIndex, asked: DataFrame, query_key: str, k: int, probe: int = 4) -> DataFrame:
+    """query, owner, cell: the cells that may hold one of a query's ``k`` best texts.
+
+    The blocks' largest weights bound each cell's scores.  The ``k``-th best text of a query's ``probe`` most promising cells is as good as its ``k``-th best of all or worse, so
+    cells bounded below it are never read; where those hold fewer than ``k`` texts all cells stay.
+    """
+    keep = index.keep
+    tops = index.blocks.select(*keep, "term", "cell", "top")
+    bounds = durable(asked.join(tops, [*keep, "term"]).groupBy(query_key, *keep, "cell").agg(F.sum(F.col("top") * F.col("times")).alias("bound")))
+    first = Window.partitionBy(query_key, *keep).orderBy(F.desc("bound"), "cell")
+    probed = bounds.withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= probe).drop("_r", "bound")
+    floor = _best(index, asked, probed, query_key, k).where(F.col("rank") == k).select(query_key, *keep, F.col("score").alias("_floor"))
+    # The margin is far above what the order of a sum or the rounding of ranks can move.
+    return bounds.join(floor, [query_key, *keep], "left").where(F.col("_floor").isNull() | (F.col("bound") >= F.col("_floor") - F.lit(1e-6))).select(query_key, *keep, "cell")
+
+
+def _best(index: SearchIndex, asked: DataFrame, cells: DataFrame, query_key: str, k: int) -> DataFrame:
+    """The ``k`` best texts of each query among those of its cells."""
+    keep, key = index.keep, index.key
+    read = asked.join(cells, [query_key, *keep]).join(index.blocks.select(*keep, "term", "cell", "entries"), [*keep, "term", "cell"])
+    entries = read.select(query_key, *keep, "times", F.inline("entries"))
+    texts = entries.groupBy(query_key, *keep, key, "length").agg(F.sum(F.col("w") * F.col("times")).alias("score")).where("score > 0")
+    scored = texts.groupBy(query_key, *keep, key).agg(F.max("score").alias("score"))
+    order = Window.partitionBy(query_key, *keep).orderBy(F.desc(F.round("score", 9)), F.desc(key))
+    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def _asked_terms(queries: DataFrame, query_key: str, query: str, keep: list[str]) -> DataFrame:
+    return queries.select(query_key, *keep, F.explode(S.tokens(F.col(query))).alias("term")).groupBy(query_key, *keep, "term").agg(F.count("*").alias("times"))
+
+
+def search(index: SearchIndex, queries: DataFrame, query_key: str, query: str = "query", k: int = 4) -> DataFrame:
+    """The ``k`` best texts with a positive score of each query, exactly; of the index, only blocks that may still hold one of them are read whole."""
+    asked = durable(_asked_terms(queries, query_key, query, index.keep))
+    return _best(index, asked, live_cells(index, asked, query_key, k), query_key, k)
+
+
 def bm25(docs: DataFrame, queries: DataFrame, key: str, query_key: str, text: str = "text", query: str = "query", k: int = 4, owner: str | None = None) -> DataFrame:
     """The ``k`` best chunks with a positive score of each query, ties to the higher key.
 
     A repeated query term counts repeatedly.  With ``owner`` both sides carry it and statistics are each owner's own, so a query
-    never meets another owner's chunks.  Only postings of terms that queries have leave the first join.
+    never meets another owner's chunks.  Only postings of terms that queries have leave the first join.  One set of queries is answered in
+    one pass over the texts; for many sets over the same texts see ``ranked_index`` and ``search``.
     """
     keep = [owner] if owner else []
     asked = queries.select(query_key, *keep, F.explode(S.tokens(F.col(query))).alias("term")).groupBy(query_key, *keep, "term").agg(F.count("*").alias("times"))

@@ -246,6 +246,13 @@ def k16_f5_bm25(spark: SparkSession, d: str) -> DataFrame:
     return rounded(retrieval.bm25(table(spark, d, "documents").select("doc_id", "text"), _asked(spark, d), "doc_id", "item_id"), 5).select("item_id", "doc_id", "rank", "score")
 
 
+@query(_BM25 + "SELECT item_id, doc_id, rank, round(score, 5) AS score FROM r WHERE rank <= 4")
+def k16_indexed_search(spark: SparkSession, d: str) -> DataFrame:
+    """The same ranks from an index of all terms, of which only blocks that may hold one of the best are read."""
+    index = retrieval.ranked_index(table(spark, d, "documents").select("doc_id", "text"), "doc_id")
+    return rounded(retrieval.search(index, _asked(spark, d), "item_id"), 5).select("item_id", "doc_id", "rank", "score")
+
+
 @query(f"SELECT count(*) AS n, round(avg(len({_tokens('text')})), 6) AS avg_length FROM documents")
 def d25_corpus_stats(spark: SparkSession, d: str) -> DataFrame:
     return rounded(retrieval.corpus_stats(table(spark, d, "documents"), "doc_id"))
