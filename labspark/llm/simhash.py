@@ -342,7 +342,7 @@ class Leaf:
         """Pairs (two arrays of positions in the leaf, the later one first, by rising order) within the distances, of different labels and near enough in
         size; ``across``: of different blocks only.  Labels may change between two steps."""
         n = len(self.at)
-        step = max(1, (1 << 21) // max(1, n))
+        step = max(1, (1 << 19) // max(1, n))  # some 40 MB at once where all pairs are near
         for i in range(0, n, step):
             stop = min(i + step, n)
             x, y = np.nonzero(np.bitwise_count(self.print[i:stop, None] ^ self.print[None, :stop]) <= self.distance)
@@ -381,20 +381,23 @@ def first_neighbours(leaves: Iterator[Leaf], across: bool, most: int) -> tuple[n
 
 def joined_up(leaf: Leaf, sets: list[np.ndarray], across: bool) -> Iterator[tuple[int, int]]:
     """Links (positions in the leaf) of a spanning forest over the leaf's labels: every possible pair is compared, but where links join its ends already."""
-    shared = None
+    shared, step = None, 1 << 14
     for later, earlier in leaf.pairs(across):
-        for i in range(0, len(later), 1 << 14):
-            x, y = later[i : i + (1 << 14)], earlier[i : i + (1 << 14)]
+        i = 0
+        while i < len(later):
+            x, y = later[i : i + step], earlier[i : i + step]
+            i += step
             keep = leaf.label[x] != leaf.label[y]
             x, y = x[keep], y[keep]
             if not len(x):
                 continue
             if shared is None:
                 shared = _bitmaps(sets)
-            if shared.nbytes > 1 << 27 or len(x) * shared.shape[1] > 1 << 25:
+                step = min(step, max(1, (1 << 21) // max(1, shared.shape[1])))  # 16 MB of bits a side from the next pairs on
+            if not len(shared):
                 both = np.array([len(np.intersect1d(sets[k], sets[m], assume_unique=True)) for k, m in zip(x.tolist(), y.tolist(), strict=True)])
             else:
-                both = np.bitwise_count(shared[x] & shared[y]).sum(axis=1, dtype=np.int64)
+                both = np.concatenate([np.bitwise_count(shared[x[j : j + step]] & shared[y[j : j + step]]).sum(axis=1, dtype=np.int64) for j in range(0, len(x), step)])
             alike = both >= leaf.similarity * (leaf.size[x] + leaf.size[y] - both)
             for k, m in zip(x[alike].tolist(), y[alike].tolist(), strict=True):
                 if leaf.label[k] != leaf.label[m]:
@@ -403,15 +406,15 @@ def joined_up(leaf: Leaf, sets: list[np.ndarray], across: bool) -> Iterator[tupl
 
 
 def _bitmaps(sets: list[np.ndarray]) -> np.ndarray:
-    """A row of bits for each set: one for every value that several sets have.  Empty (with more columns than are worth it) where that takes too much."""
+    """A row of bits for each set: one for every value that several sets have.  No rows where that takes more than 64 MB."""
     sizes = [len(s) for s in sets]
     _, inverse, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     number = np.cumsum(counts > 1) - 1
     keep = (counts > 1)[inverse]
     column, row = number[inverse][keep], np.repeat(np.arange(len(sets)), sizes)[keep]
     words = (int(number[-1]) + 64) // 64
-    if words * len(sets) > 1 << 24:
-        return np.zeros((0, 1 << 26), np.uint64)
+    if words * len(sets) > 1 << 23:
+        return np.zeros((0, 1), np.uint64)
     out = np.zeros((len(sets), words), np.uint64)
     np.bitwise_or.at(out, (row, column >> 6), np.uint64(1) << (column & 63).astype(np.uint64))
     return out
