@@ -35,6 +35,19 @@ def test_nearest_join_equals_all_pairs(spark, clustered):
     assert sum(work) < (0.5 if clustered else 1.01) * 500 * 1500
 
 
+def test_nearest_join_over_many_tasks(spark):
+    """Groups of a cell's queries and stored vectors meet in one task where adaptive execution leaves the tasks as they are, too."""
+    x = np.random.default_rng(9).random((300, 3))
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    np.fill_diagonal(d, np.inf)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {r.query: r.distance for r in neighbours.nearest_join(frame(spark, x), frame(spark, x), "id", "id", "v", 5).where("rank = 5").collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert np.allclose([got[i] for i in range(300)], np.sort(d, 1)[:, 4])
+
+
 def test_nearest_join_of_little(spark):
     x = frame(spark, np.zeros((3, 2)))
     assert sorted((r.query, r.chunk) for r in neighbours.nearest_join(x, x, "id", "id", "v", 5).collect()) == [(0, 1), (0, 2), (1, 0), (1, 2), (2, 0), (2, 1)]
