@@ -276,3 +276,15 @@ def test_models_rank_what_they_were_fitted_on(spark, sf_dir):
     known = [(r.probability, label[r.id]) for r in rows if r.probability is not None]
     assert all(0 <= p <= 1 for p, _ in known) and np.mean([p for p, y in known if y]) > np.mean([p for p, y in known if not y])
     assert all(r.level == ("low" if r.probability < 0.15 else "moderate" if r.probability < 0.35 else "elevated") for r in rows if r.probability is not None)
+
+
+def test_equal_duplicates_are_ranked_by_the_given_ties(spark):
+    """Rows that the duplicate rank's own order leaves equal come in the order of ``ties``, however the rows are dealt."""
+    from labspark.operators import lake
+
+    raw = [(e, "r1", "p1", f"lab{e % 5}", "2024-01-01", "TSH", "2.500", "mIU/L", "0.4 - 4.0", None) for e in (9, 3, 7, 5)]
+    for parts in (1, 4):
+        rows = spark.createDataFrame(raw if parts == 1 else raw[::-1], "event_id long, " + ", ".join(f"{c} string" for c in lake.LAB_COLUMNS)).repartition(parts)
+        made = lake.converted(rows)
+        found = lake.flagged(made, quality.population_stats(made, where=lake.plausible()), ties=("event_id",))
+        assert [r.event_id for r in found.orderBy("dup_rank").collect()] == [3, 5, 7, 9]
