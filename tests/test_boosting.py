@@ -50,3 +50,17 @@ def test_contributions_add_up_to_the_margin_with_missing_values(spark, cohort):
     scored = {r.id: r.margin for r in risk.score(rows, model).collect()}
     for r in risk.contributions(rows, model, "id").collect():
         assert r.bias + sum(r.contributions) == pytest.approx(scored[r.id], abs=1e-9)
+
+
+def test_a_pass_is_one_job_of_one_stage(spark, cohort):
+    """Rounds of small tables cost what starting a job costs, so a level of all trees is one job without a shuffle."""
+    rows = stats.stratified_split(cohort, "id", "a").cache()
+    rows.count()
+    spark.sparkContext.setJobGroup("boosting", "one fit")
+    try:
+        model = boosting.fit(rows, COLUMNS, ("a", "b", "c"), rounds=20, depth=2)["a"]
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    tracker = spark.sparkContext.statusTracker()
+    stages = sum(len(tracker.getJobInfo(j).stageIds) for j in tracker.getJobIdsForGroup("boosting"))
+    assert len(model.losses) == 21 and stages < 60, stages
