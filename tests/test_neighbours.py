@@ -127,3 +127,13 @@ def test_error_rates_of_empty_and_many_words(spark):
     assert got == {1: (0.0, 0.0), 2: (4.0, 2.0), 3: (0.0, 0.0), 4: (1.0, 1.0)}
     short = " ".join(f"w{i}" for i in range(40_990, 41_000))
     assert text.error_rates(spark.createDataFrame([(short, many)], "a string, b string"), "a", "b").first().wer == pytest.approx(40_990 / 10)
+
+
+def test_matrix_of_sliced_and_chunked_vectors():
+    import pyarrow as pa
+
+    rows = [[float(i), None if i == 3 else i / 3] for i in range(6)]
+    column = pa.array(rows, pa.list_(pa.float64()))
+    want = np.array(rows, np.float64)
+    assert np.array_equal(neighbours.matrix(column.slice(2, 3)), want[2:5], equal_nan=True) and neighbours.matrix(column[:0]).size == 0
+    assert np.array_equal(neighbours.matrix(pa.chunked_array([column.slice(1, 2), column.slice(3, 2)])), want[1:5], equal_nan=True)
