@@ -64,3 +64,23 @@ def test_interpretation_is_whole(spark, sf_dir):
     rows = text_queries.l4_interpretation(spark, sf_dir).collect()
     assert rows and all(r.bands > 0 and r.questions > 0 and r.summary_length > 0 for r in rows)
     assert {r.risk_level for r in rows} <= {"low", "moderate", "elevated", None} and any(r.cluster is not None for r in rows) and any(r.escalation is not None for r in rows)
+
+
+def test_labels_that_hold_values_are_not_matched_again(spark, monkeypatch):
+    """Of lines whose first label has a marker, only that label is matched; a longer label wins where it is an alias itself or the first names none."""
+    from labspark.operators import normalize, text
+
+    asked, own = [], normalize.match_labels
+
+    def counted(rows, column="raw_label", *more):
+        asked.append(rows.select(column).distinct().count())
+        return own(rows, column, *more)
+
+    monkeypatch.setattr(normalize, "match_labels", counted)
+    plain = [("a", n, f"TSH    {n}.{n:03d}    mIU/L    0.40 - 4.00") for n in range(200)]
+    odd = [("b", 1, "Vitamin D 25 OH    31.5    ng/mL    30 - 100"), ("b", 2, "Notes 5 TSH    2.5"), ("b", 3, None), ("b", 4, "7 TSH 2.5"), ("b", 5, "Ferritn 88 ng/mL 3")]
+    rows = text.parse_lines(spark.createDataFrame(plain + odd, "doc_id string, line_no long, line string")).collect()
+    assert sum(asked) < 20
+    found = {(r.doc_id, r.line_no): (r.marker, r.label, r.value) for r in rows}
+    assert {found[("a", n)] for n in range(200)} == {("TSH", "TSH", f"{n}.{n:03d}") for n in range(200)}
+    assert {k[1]: v for k, v in found.items() if k[0] == "b"} == {1: ("VITD", "Vitamin D 25 OH", "31.5"), 5: ("FERRITIN", "Ferritn", "88")}
