@@ -84,3 +84,11 @@ def test_labels_that_hold_values_are_not_matched_again(spark, monkeypatch):
     found = {(r.doc_id, r.line_no): (r.marker, r.label, r.value) for r in rows}
     assert {found[("a", n)] for n in range(200)} == {("TSH", "TSH", f"{n}.{n:03d}") for n in range(200)}
     assert {k[1]: v for k, v in found.items() if k[0] == "b"} == {1: ("VITD", "Vitamin D 25 OH", "31.5"), 5: ("FERRITIN", "Ferritn", "88")}
+
+
+def test_rows_of_issues_are_written_once(spark, sf_dir):
+    """The statistics' passes, the findings and the rollup read written rows, not the events again."""
+    from labspark.plans import lake_queries
+
+    for df in lake_queries._issues(spark, sf_dir):
+        assert "FileScan parquet" not in df._jdf.queryExecution().toString()
