@@ -137,3 +137,25 @@ def test_matrix_of_sliced_and_chunked_vectors():
     want = np.array(rows, np.float64)
     assert np.array_equal(neighbours.matrix(column.slice(2, 3)), want[2:5], equal_nan=True) and neighbours.matrix(column[:0]).size == 0
     assert np.array_equal(neighbours.matrix(pa.chunked_array([column.slice(1, 2), column.slice(3, 2)])), want[1:5], equal_nan=True)
+
+
+def test_density_clusters_of_crowded_boxes(spark, monkeypatch):
+    """A grid serves few dimensions: a box of many vectors is not compared with itself, gaps near eps and all of one to three dimensions agree with a plain run."""
+    rng = np.random.default_rng(11)
+    two = np.concatenate([rng.normal(size=(1500, 2)) * 0.2, rng.normal(size=(600, 2)) * 0.2 + [1.55, 0.1], rng.uniform(-3, 5, (500, 2)), [[0.31 * i, 4.0] for i in range(12)]])
+    arcs = np.array([[r * math.cos(a), r * math.sin(a)] for r in (1.0, 1.299, 1.601) for a in np.linspace(0, 1.5, 300)])
+    cases = [(two, 0.3, 8), (arcs, 0.3, 4), (rng.normal(size=(700, 3)), 0.35, 6), (rng.normal(size=(500, 1)) * 30, 0.4, 3), (np.array([[1.0, 2.0]]), 0.5, 1), (two[:50] + 5e4, 0.3, 4)]
+    monkeypatch.setattr(neighbours, "pivots_of", None)  # no cells of pivots
+    monkeypatch.setattr(neighbours, "BLOCK", 100)
+    for x, eps, least in cases:
+        core, want = plain_dbscan(x, eps, least)
+        got = {r.id: r for r in neighbours.density_clusters(frame(spark, x), "id", "v", eps, least).collect()}
+        assert [got[i].core for i in range(len(x))] == core.tolist() and [got[i].cluster for i in range(len(x))] == want
+
+
+def test_touch_equals_all_pairs():
+    rng = np.random.default_rng(2)
+    for k in range(40):
+        a, b = rng.uniform(size=(400, 2)), rng.uniform(size=(300, 2)) + [1.0 + 0.01 * k, 0.3]
+        least = math.sqrt(((a[:, None] - b[None]) ** 2).sum(2).min())
+        assert neighbours._touch(a, b, least * (1 + 1e-9)) and not neighbours._touch(a, b, least * (1 - 1e-9))
