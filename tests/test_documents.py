@@ -92,3 +92,14 @@ def test_rows_of_issues_are_written_once(spark, sf_dir):
 
     for df in lake_queries._issues(spark, sf_dir):
         assert "FileScan parquet" not in df._jdf.queryExecution().toString()
+
+
+def test_documents_on_a_disk_start_no_processes(spark, tmp_path):
+    """Folders are named as Spark names them, rows of one key share a file, and no checksum files (each with a process for its rights) are written."""
+    docs = spark.createDataFrame([("a b/c", "x\ny"), ("d=%e'[1]^{", "z"), (None, "no key"), ("twice", "one"), ("twice", "two"), ("", "empty"), ("blank", "")], "report_id string, body string")
+    io.write_documents(docs, "report_id", "body", str(tmp_path / "own"))
+    docs.selectExpr("report_id", "body as value").repartition("report_id").write.partitionBy("report_id").text(str(tmp_path / "sparks"))
+    folders = {n: sorted(p.name for p in (tmp_path / n).iterdir() if p.is_dir()) for n in ("own", "sparks")}
+    assert folders["own"] == folders["sparks"] and not list((tmp_path / "own").rglob(".*"))
+    own, sparks = ({r.report_id: sorted(r.text.split("\n")) for r in io.read_documents(spark, str(tmp_path / n), io.FOLDER).where("error is null").collect()} for n in ("own", "sparks"))
+    assert own == sparks and own["twice"] == ["", "one", "two"] and len(own) == 4
