@@ -14,6 +14,8 @@ from ..sources.io import durable, scratch, write_zone
 from . import neighbours
 
 K1, B = 1.4, 0.75
+#: Postings that a task of ``bm25`` scores.
+POSTINGS = 200_000
 
 
 def allowed(chunks: DataFrame) -> DataFrame:
@@ -158,7 +160,8 @@ def bm25(docs: DataFrame, queries: DataFrame, key: str, query_key: str, text: st
     weighed = weighed.join(stats, keep) if keep else weighed.crossJoin(F.broadcast(stats))  # without owners one row
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     tf = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("avg_length")))
-    weighed = weighed.select(*keep, "term", key, (idf * tf).alias("w"))
+    # A text's postings lie in one task, which adds up all queries' scores of its texts and keeps the best of each: nearly every text has one of a query's terms.
+    weighed = weighed.select(*keep, "term", key, (idf * tf).alias("w")).repartition(max(1, -(-found.count() // POSTINGS)), key)
     scored = asked.join(weighed, [*keep, "term"]).groupBy(query_key, *keep, key).agg(F.sum(F.col("w") * F.col("times")).alias("score")).where("score > 0")
     order = Window.partitionBy(query_key, *keep).orderBy(F.desc(F.round("score", 9)), F.desc(key))
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

@@ -90,3 +90,18 @@ def test_no_texts_and_rows_of_one_key(spark):
     assert _found(spark.createDataFrame([], "id int, text string"), asked) == []
     twice = spark.createDataFrame([(1, "iron low"), (1, "iron iron iron stores low"), (2, "sleep")], "id int, text string")
     assert _found(twice, asked) == [(1, 1)]
+
+
+def test_scores_are_added_up_where_a_text_lies(spark, monkeypatch, tmp_path):
+    """Pairs of a query and a text, nearly all of them, are not sent to other tasks; the ranks do not depend on the number of tasks."""
+    docs = spark.createDataFrame([(i, " ".join(f"w{j}" for j in range(40) if (i * 7 + j * j) % 5 < 2)) for i in range(300)], "id long, text string")
+    asked = spark.createDataFrame([(q, " ".join(f"w{(q * 3 + j) % 40}" for j in range(6))) for q in range(25)], "q long, query string")
+    asked.write.parquet(str(tmp_path / "asked"))  # a file tells its size: few queries are broadcast
+    asked = spark.read.parquet(str(tmp_path / "asked"))
+    got = []
+    for size in (200_000, 100):
+        monkeypatch.setattr(retrieval, "POSTINGS", size)
+        found = retrieval.bm25(docs, asked, "id", "q")
+        assert not re.search(r"hashpartitioning\(q#\d+L, id#", found._jdf.queryExecution().executedPlan().toString())
+        got.append(sorted(map(tuple, found.selectExpr("q", "id", "rank", "round(score, 9)").collect())))
+    assert got[0] == got[1] and len(got[0]) == 100
