@@ -103,3 +103,13 @@ def test_documents_on_a_disk_start_no_processes(spark, tmp_path):
     assert folders["own"] == folders["sparks"] and not list((tmp_path / "own").rglob(".*"))
     own, sparks = ({r.report_id: sorted(r.text.split("\n")) for r in io.read_documents(spark, str(tmp_path / n), io.FOLDER).where("error is null").collect()} for n in ("own", "sparks"))
     assert own == sparks and own["twice"] == ["", "one", "two"] and len(own) == 4
+
+
+def test_files_of_documents_are_read_once(spark, tmp_path):
+    """Lines and outcomes read written rows, not the files again."""
+    for n in range(200):
+        (tmp_path / f"good{n}.txt").write_text("TSH    2.5    mIU/L    0.40 - 4.00\n")
+    documents = io.read_documents(spark, str(tmp_path))
+    assert documents.rdd.getNumPartitions() == 1 and documents.count() == 200
+    for df in text.ingest(documents):
+        assert "binaryFile" not in df._jdf.queryExecution().toString()
