@@ -16,6 +16,8 @@ from . import neighbours
 K1, B = 1.4, 0.75
 #: Postings that a task of ``bm25`` scores.
 POSTINGS = 200_000
+#: Terms asked of an index, and texts with their cell (16 bytes each), that are sent to every task; more meet in shuffles.
+ASKED, TEXTS = 200_000, 1 << 22
 
 
 def allowed(chunks: DataFrame) -> DataFrame:
@@ -67,11 +69,27 @@ def corpus_stats(docs: DataFrame, key: str, text: str = "text", owner: str | Non
 
 @dataclass
 class SearchIndex:
-    """Weighed postings in blocks, written once: owner, ``term``, ``cell``, ``top`` (the block's largest weight) and ``entries`` (key, length, weight)."""
+    """Postings in blocks, written once: owner, ``term``, ``cell``, ``top`` (the block's largest weight) and ``entries`` (key, length, weight); and ``terms``, with
+    the ``idf`` that all weights of a term are to be multiplied by."""
 
     blocks: DataFrame
     key: str
     keep: list[str]
+    terms: DataFrame
+
+
+def _counted(words: Column) -> Column:
+    """The different terms of an array and how often each occurs, in the order of the terms."""
+
+    def runs(t: Column) -> Column:
+        words, starts = t["words"], t["starts"]
+        return F.transform(starts, lambda p, i: F.struct(F.get(words, p).alias("term"), (F.coalesce(F.get(starts, i + 1), F.size(words)) - p).alias("tf")))
+
+    def marked(words: Column) -> Column:
+        places = F.when(F.size(words) > 0, F.sequence(F.lit(0), F.size(words) - 1)).otherwise(F.array().cast("array<int>"))
+        return F.struct(words.alias("words"), F.filter(places, lambda p: (p == 0) | (F.get(words, p) != F.get(words, p - 1))).alias("starts"))
+
+    return S.once(F.array_sort(words), lambda w: S.once(marked(w), runs))
 
 
 def ranked_index(docs: DataFrame, key: str, text: str = "text", owner: str | None = None, block: int = 128) -> SearchIndex:
@@ -80,26 +98,38 @@ def ranked_index(docs: DataFrame, key: str, text: str = "text", owner: str | Non
     A cell is a run of texts ordered by their weightiest term and its weight, and is the same for all terms; so the sum of its blocks' largest weights bounds the
     score of every text in it, and texts about the same thing lie together, which keeps that bound low elsewhere.
     Rows that share a key and a length are one text; a text without terms has no posting.
+
+    A text's terms are counted within its row, and a posting is shuffled once: to the task of its cell, which makes the cell's blocks.  Up to ``TEXTS`` texts learn
+    their cell from a broadcast table, more by one shuffle more.
     """
-    keep = [owner] if owner else []
-    words = docs.select(key, *keep, S.tokens(F.col(text)).alias("_t")).select(key, *keep, F.size("_t").alias("length"), F.explode_outer("_t").alias("term"))
-    counted = durable(words.groupBy(*keep, key, "length", "term").agg(F.count("*").alias("tf")))
-    found = counted.where("term is not null")
-    df = found.groupBy(*keep, "term").agg(F.count("*").alias("df"))
-    stats = counted.groupBy(*keep, key, "length").agg(F.lit(1).alias("_one")).groupBy(*keep).agg(F.count("*").alias("n"), F.avg("length").alias("avg_length"))
-    weighed = found.join(df, [*keep, "term"])
-    weighed = weighed.join(stats, keep) if keep else weighed.crossJoin(F.broadcast(stats))  # without owners one row
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    tf = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("avg_length")))
-    weighed = weighed.select(*keep, "term", key, "length", (idf * tf).alias("w"))
-    texts = weighed.groupBy(*keep, key, "length").agg(F.collect_list(F.struct("term", "w")).alias("_p"), F.max(F.struct("w", "term")).alias("_h"))
-    order = [*map(F.col, keep), F.col("_h.term"), F.desc("_h.w"), F.xxhash64(key), F.col("length")]
+    keep, spark = [owner] if owner else [], docs.sparkSession
+    words = docs.select(key, *keep, S.tokens(F.col(text)).alias("_t")).select(key, *keep, F.size("_t").alias("length"), "_t")
+    if not docs.groupBy(*keep, key).count().where("count > 1").isEmpty():
+        words = words.groupBy(*keep, key, "length").agg(F.flatten(F.collect_list("_t")).alias("_t"))
+    folder = scratch(spark, "postings")
+    write_zone(words.select(key, *keep, "length", _counted(F.col("_t")).alias("terms"), F.monotonically_increasing_id().alias("_row")), f"{folder}/texts")
+    texts = spark.read.parquet(f"{folder}/texts")
+    stats = durable(texts.groupBy(*keep).agg(F.count("*").alias("n"), F.avg("length").alias("avg_length")))
+
+    def described(rows: DataFrame) -> DataFrame:
+        return rows.join(stats, keep) if keep else rows.crossJoin(F.broadcast(stats))  # without owners one row
+
+    df = described(texts.select(*keep, F.explode("terms.term").alias("term")).groupBy(*keep, "term").agg(F.count("*").alias("df")))
+    write_zone(df.select(*keep, "term", "df", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf")), f"{folder}/terms")
+    terms = spark.read.parquet(f"{folder}/terms")
+    weight = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("avg_length")))
+    # The order of texts needs no exact weights: only the terms that most texts have are looked at.
+    common = F.broadcast(terms.orderBy(F.desc("df"), *keep, "term").limit(ASKED).select(*keep, "term", "idf"))
+    found = described(texts.select("_row", *keep, "length", F.inline("terms"))).join(common, [*keep, "term"], "left")
+    heads = found.groupBy("_row", *keep, "avg_length").agg(F.max(F.struct((F.col("idf") * weight).alias("w"), "term")).alias("_h"))
+    order = [*map(F.col, keep), F.col("_h.term"), F.desc("_h.w"), F.xxhash64("_row")]
     # Row numbers of different partitions lie 2^33 apart, so a run never spans two.
-    celled = texts.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("cell", F.floor(F.monotonically_increasing_id() / block))
-    blocks = celled.select(*keep, "cell", key, "length", F.inline("_p")).groupBy(*keep, "term", "cell").agg(F.max("w").alias("top"), F.collect_list(F.struct(key, "length", "w")).alias("entries"))
-    folder = scratch(docs.sparkSession, "postings")
-    write_zone(blocks, folder)
-    return SearchIndex(docs.sparkSession.read.parquet(folder), key, keep)
+    placed = heads.repartitionByRange(*order).sortWithinPartitions(*order)
+    cells = durable(placed.select("_row", "avg_length", F.floor(F.monotonically_increasing_id() / block).alias("cell")))
+    celled = texts.join(F.broadcast(cells) if cells.count() <= TEXTS else cells, "_row").repartition("cell")
+    blocks = celled.select(*keep, "cell", key, "length", "avg_length", F.inline("terms")).select(*keep, "cell", "term", key, "length", weight.alias("w"))
+    write_zone(blocks.groupBy(*keep, "term", "cell").agg(F.max("w").alias("top"), F.collect_list(F.struct(key, "length", "w")).alias("entries")), f"{folder}/blocks")
+    return SearchIndex(spark.read.parquet(f"{folder}/blocks"), key, keep, terms.drop("df"))
 
 
 def live_cells(index: SearchIndex, asked: DataFrame, query_key: str, k: int, probe: int = 4) -> DataFrame:
@@ -108,34 +138,46 @@ def live_cells(index: SearchIndex, asked: DataFrame, query_key: str, k: int, pro
     The blocks' largest weights bound each cell's scores.  The ``k``-th best text of a query's ``probe`` most promising cells is as good as its ``k``-th best of all or worse, so
     cells bounded below it are never read; where those hold fewer than ``k`` texts all cells stay.
     """
-    keep = index.keep
+    keep, asked = index.keep, _weighed(index, asked)
     tops = index.blocks.select(*keep, "term", "cell", "top")
-    bounds = durable(asked.join(tops, [*keep, "term"]).groupBy(query_key, *keep, "cell").agg(F.sum(F.col("top") * F.col("times")).alias("bound")))
+    bounds = durable((F.broadcast(asked) if _few(asked) else asked).join(tops, [*keep, "term"]).groupBy(query_key, *keep, "cell").agg(F.sum(F.col("top") * F.col("times") * F.col("idf")).alias("bound")))
     first = Window.partitionBy(query_key, *keep).orderBy(F.desc("bound"), "cell")
     probed = bounds.withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= probe).drop("_r", "bound")
-    floor = _best(index, asked, probed, query_key, k).where(F.col("rank") == k).select(query_key, *keep, F.col("score").alias("_floor"))
+    probed = F.broadcast(probed) if _few(asked) else probed  # at most ``probe`` rows for each query
+    floor = _best(index, asked, probed, query_key, k, probing=True).where(F.col("rank") == k).select(query_key, *keep, F.col("score").alias("_floor"))
     # The margin is far above what the order of a sum or the rounding of ranks can move.
     return bounds.join(floor, [query_key, *keep], "left").where(F.col("_floor").isNull() | (F.col("bound") >= F.col("_floor") - F.lit(1e-6))).select(query_key, *keep, "cell")
 
 
-def _best(index: SearchIndex, asked: DataFrame, cells: DataFrame, query_key: str, k: int) -> DataFrame:
-    """The ``k`` best texts of each query among those of its cells."""
+def _best(index: SearchIndex, asked: DataFrame, cells: DataFrame, query_key: str, k: int, probing: bool = False) -> DataFrame:
+    """The ``k`` best texts of each query among those of its cells, which are a few for each query when ``probing``."""
     keep, key = index.keep, index.key
-    read = asked.join(cells, [query_key, *keep]).join(index.blocks.select(*keep, "term", "cell", "entries"), [*keep, "term", "cell"])
-    entries = read.select(query_key, *keep, "times", F.inline("entries"))
-    texts = entries.groupBy(query_key, *keep, key, "length").agg(F.sum(F.col("w") * F.col("times")).alias("score")).where("score > 0")
+    wanted = asked.join(cells, [query_key, *keep])
+    wanted = F.broadcast(wanted) if probing and _few(asked) else wanted  # at most a row for each asked term and cell
+    read = wanted.join(index.blocks.select(*keep, "term", "cell", "entries"), [*keep, "term", "cell"])
+    entries = read.select(query_key, *keep, "times", "idf", F.inline("entries"))
+    texts = entries.groupBy(query_key, *keep, key, "length").agg(F.sum(F.col("w") * F.col("idf") * F.col("times")).alias("score")).where("score > 0")
     scored = texts.groupBy(query_key, *keep, key).agg(F.max("score").alias("score"))
     order = Window.partitionBy(query_key, *keep).orderBy(F.desc(F.round("score", 9)), F.desc(key))
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def _weighed(index: SearchIndex, asked: DataFrame) -> DataFrame:
+    """The asked terms that the index holds, with their ``idf``, written once."""
+    return asked if "idf" in asked.columns else durable(asked.join(index.terms, [*index.keep, "term"]))
+
+
+def _few(asked: DataFrame) -> bool:
+    return asked.count() <= ASKED
+
+
 def _asked_terms(queries: DataFrame, query_key: str, query: str, keep: list[str]) -> DataFrame:
     return queries.select(query_key, *keep, F.explode(S.tokens(F.col(query))).alias("term")).groupBy(query_key, *keep, "term").agg(F.count("*").alias("times"))
 
 
 def search(index: SearchIndex, queries: DataFrame, query_key: str, query: str = "query", k: int = 4) -> DataFrame:
     """The ``k`` best texts with a positive score of each query, exactly; of the index, only blocks that may still hold one of them are read whole."""
-    asked = durable(_asked_terms(queries, query_key, query, index.keep))
+    asked = _weighed(index, _asked_terms(queries, query_key, query, index.keep))
     return _best(index, asked, live_cells(index, asked, query_key, k), query_key, k)
 
 

@@ -105,3 +105,17 @@ def test_scores_are_added_up_where_a_text_lies(spark, monkeypatch, tmp_path):
         assert not re.search(r"hashpartitioning\(q#\d+L, id#", found._jdf.queryExecution().executedPlan().toString())
         got.append(sorted(map(tuple, found.selectExpr("q", "id", "rank", "round(score, 9)").collect())))
     assert got[0] == got[1] and len(got[0]) == 100
+
+
+def test_postings_are_shuffled_once(spark, monkeypatch):
+    """Terms are counted within a text's row, without a shuffle; the blocks are made where their cell's texts lie."""
+    plans, own = {}, retrieval.write_zone
+
+    def kept(df, path, *more):
+        plans[path.rsplit("/", 1)[1]] = df._jdf.queryExecution().executedPlan().toString()
+        return own(df, path, *more)
+
+    monkeypatch.setattr(retrieval, "write_zone", kept)
+    index = retrieval.ranked_index(spark.createDataFrame([(1, "b a b"), (2, "c"), (3, None), (4, "")], "id int, text string"), "id", block=1)
+    assert "Exchange" not in plans["texts"] and plans["blocks"].count("Exchange hashpartitioning") == 1 and "Exchange hashpartitioning(cell" in plans["blocks"]
+    assert sorted((r.term, len(r.entries), r.entries[0].length) for r in index.blocks.collect()) == [("b", 1, 2), ("c", 1, 1)]  # "a" is a stop word
