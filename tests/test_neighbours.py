@@ -159,3 +159,35 @@ def test_touch_equals_all_pairs():
         a, b = rng.uniform(size=(400, 2)), rng.uniform(size=(300, 2)) + [1.0 + 0.01 * k, 0.3]
         least = math.sqrt(((a[:, None] - b[None]) ** 2).sum(2).min())
         assert neighbours._touch(a, b, least * (1 + 1e-9)) and not neighbours._touch(a, b, least * (1 - 1e-9))
+
+
+def test_queries_are_sent_once_to_each_region(spark, monkeypatch):
+    """Where nearly all cells are visited, a query's vector goes to a few regions of cells, not to every cell."""
+    sent, own = [], neighbours._nearest_in_cells
+
+    def counted(asked, *more):
+        sent.append(asked.count())
+        return own(asked, *more)
+
+    monkeypatch.setattr(neighbours, "_nearest_in_cells", counted)
+    x = np.random.default_rng(11).random((2000, 16))
+    work = []
+    got = {r.query: r.distance for r in neighbours.nearest_join(frame(spark, x), frame(spark, x), "id", "id", "v", 9, work=work).where("rank = 9").collect()}
+    assert sum(work) > 0.8 * 2000 * 2000 and sum(sent) <= 5 * 2000
+    for q in range(0, 2000, 97):
+        assert got[q] == pytest.approx(np.sort(np.sqrt(((x - x[q]) ** 2).sum(1)))[9])
+
+
+def test_keys_of_text_and_short_blocks(spark, monkeypatch):
+    """Ties go to the smaller key, regions of several blocks and cells of several slices lose nothing."""
+    monkeypatch.setattr(neighbours, "GROUP", 4096)
+    monkeypatch.setattr(neighbours, "BLOCK", 16)
+    x = np.random.default_rng(12).integers(0, 4, (400, 3)).astype(float)
+    rows = spark.createDataFrame([(f"k{i:03d}", v.tolist()) for i, v in enumerate(x)], "id string, v array<double>")
+    got = {}
+    for r in neighbours.nearest_join(rows, rows, "id", "id", "v", 6).collect():
+        got.setdefault(r.query, {})[r["rank"]] = r.chunk
+    for q in range(0, 400, 13):
+        d = np.sqrt(((x - x[q]) ** 2).sum(1))
+        want = sorted((d[i], f"k{i:03d}") for i in range(400) if i != q)[:6]
+        assert [got[f"k{q:03d}"][j + 1] for j in range(6)] == [n for _, n in want]
