@@ -64,3 +64,36 @@ def test_a_pass_is_one_job_of_one_stage(spark, cohort):
     tracker = spark.sparkContext.statusTracker()
     stages = sum(len(tracker.getJobInfo(j).stageIds) for j in tracker.getJobIdsForGroup("boosting"))
     assert len(model.losses) == 21 and stages < 60, stages
+
+
+def test_small_tables_are_fitted_in_few_jobs(spark, cohort, monkeypatch):
+    """A small table's rounds are steps of one task a target, and give the trees that the passes over many tasks give."""
+    rows = stats.stratified_split(cohort, "id", "a").withColumn("x1", F.when(F.col("id") % 5 > 0, F.col("x1"))).cache()
+    rows.count()
+    spark.sparkContext.setJobGroup("alone", "one fit")
+    try:
+        own = boosting.fit(rows, COLUMNS, ("a", "b", "c"), rounds=18, depth=3)
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("alone")) < 10
+    monkeypatch.setattr(boosting, "ALONE", 0)
+    x = np.random.default_rng(3).normal(size=(500, 4))
+    x[::7, 1] = np.nan
+    for t, passes in boosting.fit(rows, COLUMNS, ("a", "b", "c"), rounds=18, depth=3).items():
+        assert len(own[t].trees) == len(passes.trees) > 0 and own[t].losses == pytest.approx(passes.losses, rel=1e-9)
+        assert np.allclose(own[t].margins(x), passes.margins(x), rtol=0, atol=1e-9)
+        for a, b in zip(own[t].trees, passes.trees, strict=True):
+            assert (a.feature == b.feature).all() and np.array_equal(a.weight, b.weight)
+
+
+def test_sums_of_a_sibling_are_the_rest_of_its_parent(spark, cohort):
+    """Weights and values of all leaves are those of the rows that reach them."""
+    rows = stats.stratified_split(cohort, "id", "a")
+    model = boosting.fit(rows, COLUMNS, ("a",), rounds=1, depth=3, penalty=1.0)["a"]
+    own = [r for r in rows.where("split = 'train'").collect()]
+    x, y, p = np.array([[r[c] for c in COLUMNS] for r in own]), np.array([r.a for r in own]), 1 / (1 + np.exp(-model.base))
+    reached = model.trees[0].leaves(boosting.binned(x, model.cuts).T, 3)
+    for leaf in np.unique(reached).tolist():
+        at = reached == leaf
+        assert model.trees[0].weight[leaf] == at.sum()
+        assert model.trees[0].value[leaf] == pytest.approx(-0.05 * (p - y[at]).sum() / (at.sum() * p * (1 - p) + 1))
