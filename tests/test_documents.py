@@ -113,3 +113,31 @@ def test_files_of_documents_are_read_once(spark, tmp_path):
     assert documents.rdd.getNumPartitions() == 1 and documents.count() == 200
     for df in text.ingest(documents):
         assert "binaryFile" not in df._jdf.queryExecution().toString()
+
+
+def test_interpretation_leaves_no_part_of_the_analytics_out(spark, sf_dir, monkeypatch):
+    """All three targets, trees up to their early stop, the whole range of cluster numbers, and drivers where a risk is given."""
+    from labspark.operators import boosting, cluster
+
+    asked, fitted, plain, grow = [], {}, cluster.choose_kmeans, boosting.fit
+
+    def chosen(*args, **more):
+        model, scored = plain(*args, **more)
+        asked.extend(k for k, _ in scored)
+        return model, scored
+
+    def fit(rows, columns, labels, **more):
+        fitted.update(grow(rows, columns, labels, **more))
+        return {t: fitted[t] for t in labels}
+
+    monkeypatch.setattr(cluster, "choose_kmeans", chosen)
+    monkeypatch.setattr(boosting, "fit", fit)
+    rows = text_queries.l4_interpretation(spark, sf_dir).collect()
+    assert asked == list(range(3, 10)) and set(fitted) == {"fatigue", "brain_fog", "hair_loss"}
+    for model in fitted.values():
+        assert len(model.losses) - 1 - len(model.trees) == 50 or len(model.losses) == 1501 or not model.losses
+    known = [r for r in rows if r.cluster is not None]
+    assert known and all(r.risks == 3 for r in known) and all(r.risks == 0 for r in rows if r.cluster is None)
+    for r in rows:
+        assert (r.risk_level is None) == (r.brain_fog_level is None) == (r.hair_loss_level is None) and (r.risk_level is not None or not r.drivers)
+        assert (r.drivers or 0) <= 9
